@@ -22,15 +22,16 @@ from .common import table
 SHINGLE = 5
 #: Rows of a range of ids that are put in order in one task, about.
 RANGE_ROWS = 8192
-_LANES = 0x0101010101010101
 
 
 def terms(text: Column) -> Column:
     """Hashes of the shingles of a text, one for each occurrence."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
-    )
+
+    def shingles(words: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
+        return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(places, lambda i: F.xxhash64(F.slice(words, i, SHINGLE))))
+
+    return let(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), shingles)
 
 
 def let(value: Column, use) -> Column:
@@ -38,32 +39,19 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def simhash(hashes: Column) -> Column:
-    """The 64-bit fingerprint (long) of an array of hashes; no hash: 0.
+def simhash(terms_df: DataFrame, keys: list[str], hashes: str = "terms") -> DataFrame:
+    """(keys, fingerprint) for rows (keys, an array of hashes): one fingerprint (long) for each set of keys, 0 without hashes.
 
-    Eight sums of eight 8-bit lanes count the votes of up to 127 hashes (more could overflow a signed long); the lanes of all such chunks are
-    added up, so a text may have any number of them.
+    Votes are sums of 16-bit lanes, four in a long, over runs of 32,767 hashes at most, so no lane overflows
+    however long a text is; they are summed up where the texts are, and a row a run is shuffled.
     """
-    zero = F.lit(0).cast("bigint")
-
-    def chunk(part: Column) -> Column:
-        start = F.struct(*[zero.alias(f"s{i}") for i in range(8)])
-        return F.aggregate(part, start, lambda s, h: F.struct(*[(s[f"s{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_LANES))).alias(f"s{i}") for i in range(8)]))
-
-    def bit(votes: Column, n: Column, b: int) -> Column:
-        ones = F.aggregate(votes, zero, lambda t, v: t + F.shiftrightunsigned(v[f"s{b % 8}"], b - b % 8).bitwiseAND(F.lit(255)))
-        return F.when(2 * ones > n, F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("bigint")).otherwise(zero)
-
-    def folded(h: Column) -> Column:
-        def bits(votes: Column) -> Column:
-            parts = [bit(votes, F.size(h), b) for b in range(64)]
-            while len(parts) > 1:
-                parts = [x.bitwiseOR(y) for x, y in zip(parts[::2], parts[1::2])]
-            return parts[0]
-
-        return let(F.transform(F.sequence(F.lit(1), F.size(h), F.lit(127)), lambda i: chunk(F.slice(h, i, 127))), bits)
-
-    return let(hashes, lambda h: F.when(F.size(h) == 0, zero).otherwise(folded(h)))
+    votes = terms_df.select(*keys, F.posexplode_outer(hashes).alias("place", "h"))
+    lanes = [F.expr(f"sum(shiftrightunsigned(h, {i}) & {0x0001000100010001}L)").alias(f"s{i}") for i in range(16)]
+    runs = votes.groupBy(*keys, F.expr("coalesce(place, 0) div 32767").alias("run")).agg(F.count("h").alias("n"), *lanes)
+    ones = [F.expr(f"sum(shiftrightunsigned(s{b % 16}, {b - b % 16}) & 65535L)").alias(f"b{b}") for b in range(64)]
+    sums = runs.groupBy(*keys).agg(F.sum("n").alias("n"), *ones)
+    bits = " | ".join(f"if(2 * b{b} > n, shiftleft(1L, {b}), 0L)" for b in range(64))
+    return sums.select(*keys, F.expr(bits).alias("fingerprint"))
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -140,18 +128,20 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     Texts are shuffled once, to the range of their id.
     """
     placed, window = ordered(docs)
-    led = placed.withColumn("next_text", F.coalesce(F.lead("text").over(window), F.lit("")))
+    led = placed.withColumn("next_text", F.coalesce(F.lead("text").over(window), F.lit(""))).withColumn("nth", F.row_number().over(window))
     third = "cast(floor(length(text) / 3) as int)"
-    edited = led.select("at", "copy", "doc_id", "text", F.expr(f"concat(substring(text, 1, length(text) - {third}), substring(next_text, 1, {third}))").alias("edited"))
-    printed = edited.select(
-        "at", "copy", "doc_id", "text",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        simhash(terms(F.col("text"))).alias("own"),
-        F.when(F.col("copy") == 0, simhash(terms(F.col("edited")))).alias("changed"),
+    both = led.select(
+        "at", "nth", "copy", "doc_id", F.length("text").cast("long").alias("n_chars"), "text",
+        F.expr(f"concat(substring(text, 1, length(text) - {third}), substring(next_text, 1, {third}))").alias("edited"),
     )
-    following = F.lead("own").over(window)
-    out = printed.withColumn("following", following).where("copy = 0")
+    # the copy of the next range's first row needs no edited text
+    sides = F.when(F.col("copy") == 0, F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t"))))
+    sides = sides.otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t"))))
+    texts = both.select("at", "nth", "copy", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(sides).alias("s"))
+    keys = ["at", "nth", "copy", "doc_id", "n_chars", "edited_sha256"]
+    printed = simhash(texts.select(*keys, "s.side", terms(F.col("s.t")).alias("terms")), [*keys, "side"])
+    pair = printed.groupBy(*keys).agg(F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("own"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("changed"))
+    out = pair.withColumn("following", F.lead("own").over(Window.partitionBy("at").orderBy("nth"))).where("copy = 0")
     return out.select(
         "doc_id", "n_chars", "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"),

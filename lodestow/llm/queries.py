@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .best_fit_packing import op7_best_fit_packing
 from .byte_bpe import op3_byte_bpe
+from .fingerprints import op6_fingerprints
+from .line_dedup import op8_line_dedup
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op2_quality_rules
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_byte_bpe, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_byte_bpe, op6_fingerprints, op7_best_fit_packing, op8_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
