@@ -5,6 +5,7 @@ from __future__ import annotations
 from .best_fit_packing import op7_best_fit_packing
 from .byte_bpe import op3_byte_bpe
 from .fingerprints import op6_fingerprints
+from .language_id import op10_language_id
 from .line_dedup import op8_line_dedup
 from .ngram_join import op9_ngram_join
 from .quality_classifier import op1_quality_classifier
@@ -12,7 +13,7 @@ from .quality_rules import op2_quality_rules
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_byte_bpe, op6_fingerprints, op7_best_fit_packing, op8_line_dedup, op9_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_byte_bpe, op6_fingerprints, op7_best_fit_packing, op8_line_dedup, op9_ngram_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
