@@ -11,10 +11,11 @@ from .ngram_join import op9_ngram_join
 from .ppm import op4_ppm
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op2_quality_rules
+from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_byte_bpe, op4_ppm, op6_fingerprints, op7_best_fit_packing, op8_line_dedup, op9_ngram_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_byte_bpe, op4_ppm, op5_toxicity, op6_fingerprints, op7_best_fit_packing, op8_line_dedup, op9_ngram_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
