@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from . import text_arrays as A
 from .common import prepare, table, written
@@ -55,9 +56,10 @@ def evidence_of_pages(pages: DataFrame) -> DataFrame:
     return rows.select("id", "text", primary(F.col("tag")).alias("declared"), F.nullif(F.substring_index("host", ".", -1), F.lit("")).alias("suffix"), "host")
 
 
-def evidence_of_documents(docs: DataFrame) -> DataFrame:
-    """Documents have no address: their source stands for the host."""
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), primary(F.col("lang")).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"))
+def evidence_of_documents(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Documents have no address: their source stands for the host.  ``whole``: with each row itself as ``row``."""
+    row = [F.struct(*docs.columns).alias("row")] if whole else []
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), primary(F.col("lang")).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), *row)
 
 
 def _grams(buf, off) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +117,8 @@ def _text_scores(evidence: DataFrame, model: TextModel) -> DataFrame:
     """(id, declared, suffix, host, loglik, even, grams): weighted log-likelihoods of each language, and of even grams."""
     shared = prepare(evidence.sparkSession).sparkContext.broadcast(model.log.astype(np.float32))
     width = len(model.languages)
+    rows = evidence.select("id", "text", "declared", "suffix", "host", *(["row"] if "row" in evidence.columns else []))
+    out = StructType([StructField(k, t) for k, t in (("id", LongType()), ("declared", StringType()), ("suffix", StringType()), ("host", StringType()), ("loglik", ArrayType(DoubleType())), ("even", DoubleType()), ("grams", LongType()))] + rows.schema.fields[5:])
 
     def score(batches):
         log = shared.value
@@ -127,9 +131,10 @@ def _text_scores(evidence: DataFrame, model: TextModel) -> DataFrame:
                     z[lo:hi, k] = np.bincount(row, log[k][i], hi - lo)
             z *= (np.minimum(n, WEIGHT) / np.maximum(n, 1))[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * width), pa.array(z[:, :width].ravel()))
-            yield pa.record_batch([b.column(0), *(b.column(k) for k in (2, 3, 4)), lists, pa.array(z[:, width]), pa.array(n)], names=["id", "declared", "suffix", "host", "loglik", "even", "grams"])
+            yield pa.record_batch([b.column(0), *(b.column(k) for k in (2, 3, 4)), lists, pa.array(z[:, width]), pa.array(n), *b.columns[5:]], names=out.names)
 
-    return evidence.select("id", "text", "declared", "suffix", "host").mapInArrow(score, "id long, declared string, suffix string, host string, loglik array<double>, even double, grams long")
+    scored = rows.mapInArrow(score, out)
+    return scored.withColumn("p", F.expr(f"if(grams > 0, {_softmax('loglik')}, array_repeat(0D, {width}))"))
 
 
 def _softmax(x: str) -> str:
@@ -137,14 +142,15 @@ def _softmax(x: str) -> str:
 
 
 def identify(evidence: DataFrame, model: TextModel, prior_rows: float = PRIOR_ROWS, accept: float = ACCEPT) -> DataFrame:
-    """(id, language, probability, text_language, declared, host, accepted) for every row of evidence."""
-    width = len(model.languages)
-    spark = evidence.sparkSession
+    """(id, language, probability, text_language, declared, host, accepted) for every row of evidence, and ``row`` if it has that.
+
+    Scores are written once for the sums; rows that are carried along are scored again, which spares writing them.
+    """
+    width, row = len(model.languages), ["row"] if "row" in evidence.columns else []
     if not width:
-        return evidence.select("id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_language"), "declared", "host", F.lit(False).alias("accepted"))
+        return evidence.select("id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_language"), "declared", "host", F.lit(False).alias("accepted"), *row)
     names = F.array(*map(F.lit, model.languages))
-    scored = _text_scores(evidence, model).withColumn("p", F.expr(f"if(grams > 0, {_softmax('loglik')}, array_repeat(0D, {width}))"))
-    scored = written(scored, "evidence")
+    scored = written(_text_scores(evidence.drop("row"), model), "evidence")
     sums = F.array(*[F.sum(F.col("p")[k]) for k in range(width)])
     corpus = [x or 0.0 for x in scored.agg(sums.alias("c")).first()["c"]]
     total = sum(corpus)
@@ -160,7 +166,7 @@ def identify(evidence: DataFrame, model: TextModel, prior_rows: float = PRIOR_RO
 
     # how often a language's texts carry this declaration, towards any of as many as there are languages
     likely = F.zip_with("declared_c", F.array(*[F.lit(c + 2.0) for c in corpus]), lambda d, c: F.log((d + 2.0 / kinds) / c))
-    fused = scored.join(declared, "declared", "left").join(suffixes, "suffix", "left").join(hosts, "host", "left")
+    fused = (_text_scores(evidence, model) if row else scored).join(declared, "declared", "left").join(suffixes, "suffix", "left").join(hosts, "host", "left")
     own = F.zip_with("host_c", "p", lambda c, p: F.greatest(c - p, F.lit(0.0)))
     fused = fused.withColumn("prior", smoothed(own, smoothed(F.col("suffix_c"), everywhere)))
     fused = fused.withColumn("say", F.when(F.col("declared_c").isNull(), F.array_repeat(F.lit(0.0), width)).otherwise(likely))
@@ -174,13 +180,15 @@ def identify(evidence: DataFrame, model: TextModel, prior_rows: float = PRIOR_RO
         F.when(F.col("grams") > 0, F.element_at(names, of_text)).alias("text_language"),
         "declared", "host",
         ((F.col("grams") > 0) & (F.array_max("post") >= accept) & (F.element_at("loglik", F.col("best")) > F.col("even"))).alias("accepted"),
+        *row,
     )
 
 
 def identify_documents(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """Documents only; the text models are fitted on them and, if given, on pages."""
+    """Documents only, each with its ``row``; the text models are fitted on them and, if given, on pages."""
     own = evidence_of_documents(docs)
-    return identify(own, train_text_model(own if pages is None else own.unionByName(evidence_of_pages(pages))))
+    model = train_text_model(own if pages is None else own.unionByName(evidence_of_pages(pages)))
+    return identify(evidence_of_documents(docs, whole=True), model)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,13 +28,13 @@ def _lines(text: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text, n_lines, n_removed): each text without its repeated passages.
+    """(doc_id, text, n_lines, n_removed): each text without its repeated passages; and ``row`` if ``docs`` has it.
 
     Windows travel as hashes of 128 bits.  Counting is a partial aggregate before the shuffle, so a window
     that a third of the corpus holds is a few rows; only windows found twice are joined back, and that join
     may be split where it is skewed.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(["row"] if "row" in docs.columns else []))
     rows = rows.withColumn("key", F.xxhash64("text"))
     lines = rows.where("text is not null").select("doc_id", "key", _lines(F.col("text")).alias("l")).where(F.size("l") >= width)
     starts = F.sequence(F.lit(1), F.size("l") - (width - 1))
@@ -67,6 +67,7 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n", -1), without)).alias("text"),
         F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *(["row"] if "row" in docs.columns else []),
     )
 
 

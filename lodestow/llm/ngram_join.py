@@ -71,16 +71,17 @@ def gram_sets(col: pa.Array, n: int = WORDS) -> Iterator[tuple[int, int, np.ndar
 
 
 def band_hashes(g: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A row of band hashes for each set (all must be non-empty)."""
+    """A row of band hashes for each set (all must be non-empty); the lowest byte is the band's number."""
     rng = np.random.Generator(np.random.PCG64(97))
     mul = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     low = np.empty((bands * rows, len(first) - 1), np.uint64)
     for k, m in enumerate(mul):
         low[k] = np.minimum.reduceat((g * m) ^ (m >> np.uint64(17)), first[:-1])
-    out = np.full((len(first) - 1, bands), 0, np.uint64)
+    out = np.zeros((len(first) - 1, bands), np.uint64)
     for b in range(bands):
         for k in range(b * rows, (b + 1) * rows):
             out[:, b] = A.mix(out[:, b] + low[k])
+        out[:, b] = out[:, b] & np.uint64(0xFFFFFFFFFFFFFF00) | np.uint64(b)
     return out
 
 
@@ -133,7 +134,7 @@ def common_counts(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
 def links_of(grams: list[np.ndarray], bands: np.ndarray, band: int, side: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each member that count in this bucket, and a spanning forest of them as (member, member).
 
-    ``side``: in a task for two blocks, the block of each member (only pairs across count); else all 0 and -1.
+    ``side``: in a task for two blocks, the block of each member (only pairs across count); in any other -1.
     """
     size = np.array([len(g) for g in grams])
     first = np.append(0, np.cumsum(size))
@@ -142,7 +143,7 @@ def links_of(grams: list[np.ndarray], bands: np.ndarray, band: int, side: np.nda
     np.fill_diagonal(linked, False)
     for b in range(band):  # pairs that share an earlier band count there
         linked &= bands[:, b][:, None] != bands[:, b][None, :]
-    if side.min() != side.max():
+    if side[0] >= 0:
         linked &= side[:, None] != side[None, :]
     counts, forest = linked.sum(1), []
     left = counts > 0
@@ -174,7 +175,7 @@ def _verified(texts: DataFrame, n: int, threshold: float, per_task: int) -> Data
                             which.append(k - lo)
                             bucket.append(p["bucket"])
                             pair.append(min(own, other) * p["blocks"] + max(own, other))
-                            side.append(own)
+                            side.append(-1 if own == other else own)
                             band.append(p["band"])
                 step = max(1, (1 << 20) // max(1, int(np.diff(first).max())))  # a giant text is copied one row at a time
                 for s in range(0, len(which), step):
@@ -224,6 +225,25 @@ def _verified(texts: DataFrame, n: int, threshold: float, per_task: int) -> Data
     return met.mapInArrow(verify, "node long, other long, links long")
 
 
+def _possible(keyed: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose node may be among the members: a Bloom filter of one bit a node, 32 MB at most."""
+    bits = min(28, max(12, math.ceil(math.log2(16 * max(1, members.count())))))
+    place = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << bits))
+    words = members.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node, 5), {1 << bits}) & 63 as int))")).alias("b"))
+    found = words.toArrow()
+    field = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
+    field[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    shared = keyed.sparkSession.sparkContext.broadcast(field)
+
+    def keep(batches):
+        for b in batches:
+            at = b.column(3).to_numpy()
+            hit = shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            yield b.filter(pa.array(hit.astype(bool))).select(["doc_id", "node", "text"])
+
+    return keyed.select("doc_id", "node", "text", place.alias("place")).mapInArrow(keep, "doc_id long, node long, text string")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of edges (a, b).
 
@@ -244,10 +264,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies, first_copy, text_key) for every row.
+    """(doc_id, class_id, n_links, n_copies, first_copy, text_key, class_key) for every row.
 
     class_id: the least doc_id of all rows whose texts are connected by links; n_links: how many other
-    different texts the row's text is linked to; n_copies: rows with this very text; first_copy: their least id.
+    different texts the row's text is linked to; n_copies: rows with this very text; first_copy: their least id.  class_key: equal
+    within a class, whatever its ids; text_key: xxhash64 of the text.
     """
     spark = prepare(docs.sparkSession)
     bands, rows = bands_and_rows(threshold, recall)
@@ -255,24 +276,25 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     keyed = rows_in.withColumn("node", F.xxhash64("text"))
     nodes = written(keyed.groupBy("node").agg(F.min("doc_id").alias("first_copy"), F.count("*").alias("n_copies")), "nodes")
     signed = written(_signatures(keyed, n, bands, rows).dropDuplicates(["node"]), "signatures")
-    hashes = signed.select("node", "grams", F.posexplode("bands").alias("band", "h"))
-    buckets = hashes.groupBy("band", "h").agg(F.count("*").alias("m"), F.sum("grams").alias("grams"), F.bit_xor(F.xxhash64("node")).alias("x"), F.expr("bit_xor(xxhash64(node, 7))").alias("y")).where("m > 1")
+    hashes = signed.select("node", "grams", F.explode("bands").alias("h"))
+    buckets = hashes.groupBy("h").agg(F.count("*").alias("m"), F.sum("grams").alias("grams"), F.bit_xor(F.xxhash64("node")).alias("x")).where("m > 1")
     # buckets with the same members count once, in their first band; a bucket is named by its members
-    kept = buckets.groupBy("m", "x", "y").agg(F.min(F.struct("band", "h")).alias("f"), F.max("grams").alias("grams"))
+    band = F.col("h").bitwiseAND(F.lit(255))
+    kept = buckets.groupBy("m", "x").agg(F.min(F.struct(band.alias("band"), "h")).alias("f"), F.max("grams").alias("grams"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    kept = kept.select(F.col("f.band").alias("band"), F.col("f.h").alias("h"), F.xxhash64("m", "x", "y").alias("bucket"), F.least(blocks, F.col("m").cast("int")).alias("blocks"))
-    places = hashes.select("node", "band", "h").join(kept, ["band", "h"]).groupBy("node").agg(F.collect_list(F.struct("bucket", "band", "blocks")).alias("places"))
-    members = signed.select("node", "bands").join(places, "node")
-    one = keyed.join(nodes.select("node", "first_copy"), "node").where(F.col("doc_id").eqNullSafe(F.col("first_copy"))).select("node", "text")
-    texts = members.join(one, "node")
+    kept = kept.select(F.col("f.band").cast("int").alias("band"), F.col("f.h").alias("h"), F.xxhash64("m", "x").alias("bucket"), F.least(blocks, F.col("m").cast("int")).alias("blocks"))
+    places = hashes.select("node", "h").join(kept, "h").groupBy("node").agg(F.collect_list(F.struct("bucket", "band", "blocks")).alias("places"))
+    members = written(signed.select("node", "bands").join(places, "node").join(nodes.select("node", "first_copy"), "node"), "members")
+    one = _possible(keyed, members).withColumnRenamed("node", "n").withColumnRenamed("doc_id", "d")
+    texts = members.join(one, (F.col("node") == F.col("n")) & F.col("first_copy").eqNullSafe(F.col("d")))
     per_task = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = written(_verified(texts, n, threshold, per_task), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     labels = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     classed = nodes.join(links, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classed.groupBy("label").agg(F.min("first_copy").alias("class_id"))
-    classed = classed.join(least, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "first_copy")
-    return keyed.select("doc_id", "node").join(classed, "node").select("doc_id", "class_id", "n_links", "n_copies", "first_copy", F.col("node").alias("text_key"))
+    classed = classed.join(least, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "first_copy", "label")
+    return keyed.select("doc_id", "node").join(classed, "node").select("doc_id", "class_id", "n_links", "n_copies", "first_copy", F.col("node").alias("text_key"), F.col("label").alias("class_key"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import text_arrays as A
 from .common import prepare, table
@@ -55,8 +56,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT)
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, score, n_features) for every row of ``docs``; no shuffle, one pass over the texts."""
+    """(doc_id, score, n_features) for every row of ``docs``, and its ``row`` if it has such a column; no shuffle, one pass over the texts."""
     spark = prepare(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(["row"] if "row" in docs.columns else []))
+    out = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), StructField("n_features", LongType())] + rows.schema.fields[2:])
     shared = spark.sparkContext.broadcast((weights[:-1].astype(np.float32), float(weights[-1])))
 
     def score(batches):
@@ -67,9 +70,9 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 i, row = _indices(buf, off)
                 n[lo:hi] = np.bincount(row, minlength=hi - lo)
                 z[lo:hi] += SCALE * np.bincount(row, w[i], hi - lo) / np.maximum(n[lo:hi], 1)
-            yield pa.record_batch([b.column(0), pa.array(sigmoid(z)), pa.array(n)], names=["doc_id", "score", "n_features"])
+            yield pa.record_batch([b.column(0), pa.array(sigmoid(z)), pa.array(n), *b.columns[2:]], names=out.names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(score, "doc_id long, score double, n_features long")
+    return rows.mapInArrow(score, out)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
