@@ -28,6 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
+    from .queries import catalog, matching, ordered, patches, plans  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -41,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The merge flow: grouping, ranking, picking and looking up in one plan."""
+    return queries()["merge_plan"](spark, sf_dir)
