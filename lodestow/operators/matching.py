@@ -35,29 +35,31 @@ def union_lookup(base: DataFrame, update: DataFrame, keys: list[str], value: str
 def exact_else_contains(names: DataFrame, targets: DataFrame, name: str, target: str, grams: int = 12) -> DataFrame:
     """Rows (name, target, how): the targets equal to a name or, if there are none, those that the name contains.
 
-    The containment join goes by short pieces: a target's first ``grams`` characters against all pieces of a
-    name, so candidates meet by equality and no name is held against all targets.  Targets shorter than a
-    piece are joined by their own lengths.  Both columns hold different values; empty targets match nothing.
+    The containment join goes by hashes of short pieces: a target's first ``grams`` bytes against all pieces
+    of a name, so candidates meet by equality and no name is held against all targets; what meets is held
+    against the whole target.  Targets shorter than a piece are joined by their own lengths.  Both columns hold different values; empty targets match nothing.
     """
     n = names.select(name).where(F.col(name).isNotNull()).distinct()
     t = targets.select(target).where(F.length(target) > 0).distinct()
     exact = n.join(t, F.col(name) == F.col(target)).withColumn("how", F.lit("exact"))
-    rest = n.join(exact.select(name), name, "left_anti")
-    lengths = [r[0] for r in t.select(F.least(F.length(target), F.lit(grams)).alias("k")).distinct().collect()]  # grams values at most
+    rest = n.join(exact.select(name), name, "left_anti").withColumn("_id", F.md5(name))
+    begins = t.withColumn("_k", F.least(F.octet_length(target), F.lit(grams)))
+    begins = begins.withColumn("_p", F.expr(f"xxhash64(substring(encode(`{target}`, 'UTF-8'), 1, _k))"))
+    lengths = [r[0] for r in begins.select("_k").distinct().collect()]  # grams values at most
 
     def pieces_of(k: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length(name) - (k - 1), F.lit(1)))
-        return F.array_distinct(F.transform(places, lambda i: F.substring(F.col(name), i, F.lit(k))))
-
-    pieces = [rest.select(name, F.explode(pieces_of(k)).alias("_p")) for k in lengths]
-    if not pieces:
-        return exact
-    every = pieces[0]
-    for p in pieces[1:]:
-        every = every.unionByName(p)
-    begins = t.withColumn("_p", F.substring(F.col(target), 1, grams))
-    found = every.join(begins, "_p").where(F.contains(name, target)).select(name, target).distinct()
-    return exact.unionByName(found.withColumn("how", F.lit("contains")))
+        def hashes(data: Column) -> Column:
+            places = F.sequence(F.lit(1), F.greatest(F.octet_length(data) - (k - 1), F.lit(1)))
+            return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(data, i, F.lit(k)))))
+
+        return F.transform(F.array(F.encode(name, "UTF-8")), hashes)[0]  # the bytes are bound once
+
+    out = exact
+    for k in lengths:
+        # a piece travels with its name's digest; the name itself comes back only for what has met a target
+        met = rest.select("_id", F.explode(pieces_of(k)).alias("_p")).join(begins.where(F.col("_k") == k), "_p").select("_id", target).distinct()
+        out = out.unionByName(met.join(rest, "_id").where(F.contains(name, target)).select(name, target).withColumn("how", F.lit("contains")))
+    return out
 
 
 def by_priority(left: DataFrame, tiers: list[DataFrame], keys: list[str], value: str) -> DataFrame:
