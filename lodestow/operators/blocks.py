@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import visible
 from .matching import range_overlaps
 from .ordered import offsets
 
@@ -30,23 +31,25 @@ def compressed(blocks: DataFrame, level: int = 6) -> DataFrame:
             raw = [len(g) >= len(x) for g, x in zip(got, s)]
             yield pd.DataFrame({"packed": [bytes(x) if r else g for g, x, r in zip(got, s, raw)], "is_raw": raw})
 
+    visible(blocks.sparkSession)
     return blocks.withColumn("_p", pack("bytes")).select(*blocks.columns, "_p.packed", "_p.is_raw")
 
 
-@F.pandas_udf("ok boolean, bytes binary, error string")
-def _unpack(packed: pd.Series, is_raw: pd.Series) -> pd.DataFrame:
-    out = []
-    for p, raw in zip(packed, is_raw):
-        try:
-            out.append((True, bytes(p) if raw else zlib.decompress(p), None))
-        except zlib.error as e:
-            out.append((False, None, str(e)))
-    return pd.DataFrame(out, columns=["ok", "bytes", "error"])
-
-
 def decompressed(blocks: DataFrame) -> DataFrame:
     """``bytes``, ``ok`` and ``error`` for (packed, is_raw); a corrupt block is a row that is not ok."""
-    return blocks.withColumn("_u", _unpack("packed", "is_raw")).select(*[c for c in blocks.columns if c not in ("bytes", "ok", "error")], "_u.bytes", "_u.ok", "_u.error")
+
+    @F.pandas_udf("ok boolean, bytes binary, error string")
+    def unpack(packed: pd.Series, is_raw: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, raw in zip(packed, is_raw):
+            try:
+                out.append((True, bytes(p) if raw else zlib.decompress(p), None))
+            except zlib.error as e:
+                out.append((False, None, str(e)))
+        return pd.DataFrame(out, columns=["ok", "bytes", "error"])
+
+    visible(blocks.sparkSession)
+    return blocks.withColumn("_u", unpack("packed", "is_raw")).select(*[c for c in blocks.columns if c not in ("bytes", "ok", "error")], "_u.bytes", "_u.ok", "_u.error")
 
 
 def seek_index(blocks: DataFrame, key: str, packed: str = "packed") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import base_name, directory, extension
+from ..session import visible
 
 #: Levels of archives within archives that are opened.
 DEPTH = 4
@@ -58,6 +59,7 @@ def zip_entries(archives: DataFrame, key: str = "path", content: str = "content"
             for k, body in zip(df[key], df[content]):
                 yield pd.DataFrame([(k, *m) for m in _members("", bytes(body), 0)], columns=[key, "entry", "size", "bytes", "error"])
 
+    visible(archives.sparkSession)
     return archives.select(key, content).mapInPandas(run, f"{key} {archives.schema[key].dataType.simpleString()}, entry string, size long, bytes binary, error string")
 
 
