@@ -42,7 +42,7 @@ def from_bcd(c: Column) -> Column:
 
 def index_shift(size: Column, most: int = 31) -> Column:
     """The least shift after which an offset of ``size`` is under 2 ** ``most``."""
-    return F.greatest(F.lit(0), F.ceil(F.log2((size + 1).cast("double"))).cast("int") - most)
+    return F.greatest(F.lit(0), F.length(F.bin(size)) - most)
 
 
 def size_text(c: Column) -> Column:
