@@ -56,6 +56,8 @@ def fit(sample: DataFrame, features: Callable[[pa.Array], Iterator[tuple[np.ndar
 
     rows = sample.selectExpr("cast(doc_id as long) doc_id", "text", "cast(y as int) y").mapInArrow(extract, "doc_id long, y int, i binary, v binary")
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "y", "i").mapInArrow(train, "n long, i binary, w binary").first()
+    if one is None:  # not one labelled row
+        return learn([], [], np.zeros(0), [])
     w = np.zeros(one["n"])
     w[np.frombuffer(one["i"], "<i4")] = np.frombuffer(one["w"], "<f8")
     return w

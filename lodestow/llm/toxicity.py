@@ -3,7 +3,8 @@
 A passage may be disguised if it has look-alike characters next to letters (leetspeak), a letter three times
 in a row, or at least three single characters spread out with spaces, dots, dashes and the like.  Its lattice
 has for each character the letters it may stand for, for each repetition one or two of the letter, and for
-each gap nothing or the end of a word, all at a channel cost.  Viterbi decoding finds the path that is most
+each gap nothing or the end of a word, all at a channel cost: a narrow gap is more likely nothing, a wide one
+the end of a word.  Viterbi decoding finds the path that is most
 likely under a character trigram model, which is counted over all texts.  All other passages stay.
 
 The score is a logistic regression on which words, beginnings of words and pairs of words the restored text
@@ -32,8 +33,8 @@ BITS, HELD_OUT, THRESHOLD = 20, 2, 0.3
 PREFIXES = (4, 5, 6)
 #: Letters that a character may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
-#: log costs of the channel: a look-alike, a repetition, a gap inside a word.
-LOOK_COST, REPEAT_COST, GAP_COST = -0.7, -0.5, -0.3
+#: log costs of the channel: a look-alike, a repetition, a gap; what a gap costs more if it does not mean what its width says.
+LOOK_COST, REPEAT_COST, GAP_COST, ODD_GAP = -0.7, -0.5, -0.3, -3.0
 _STATES = 28  # 0 between words, 1-26 a-z, 27 any other letter
 _LETTER = re.compile(r"[A-Za-z]")
 _LOOK = "".join(re.escape(c) for c in LOOKS)
@@ -99,7 +100,7 @@ class Restorer:
                 letters = [(LOOK_COST, x) for x in LOOKS[c]]
                 out.append(letters + ([(LOOK_COST + REPEAT_COST, x * 2) for x in LOOKS[c]] if j - i > 1 else []))
             elif c in " ._*~-" and spread:
-                out.append([(GAP_COST, ""), (GAP_COST - (j - i == 1), " ")])
+                out.append([(GAP_COST + (ODD_GAP if j - i > 1 else 0), ""), (GAP_COST + (ODD_GAP if j - i == 1 else 0), " ")])
             elif c.isalpha():
                 out += [[(0.0, low)]] * (j - i)
             else:
