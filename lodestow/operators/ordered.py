@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import align_up
+from ..session import cut
 
 
 def offsets(df: DataFrame, keys: list[str], order: list[Column], size: Column, step: int = 1, start: Column | int = 0, name: str = "offset") -> DataFrame:
@@ -104,7 +105,7 @@ def tree_levels(nodes: DataFrame, key: str, parent: str, most: int = 64) -> Data
     level = nodes.where(F.col(parent).isNull()).select(key, parent, F.lit(0).alias("level"))
     out = level
     for n in range(1, most):
-        level = nodes.join(level.select(F.col(key).alias(parent)), parent).select(key, parent, F.lit(n).alias("level"))
+        level = cut(nodes.join(level.select(F.col(key).alias(parent)), parent).select(key, parent, F.lit(n).alias("level")))
         if level.isEmpty():
             break
         out = out.unionByName(level)

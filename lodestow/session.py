@@ -1,10 +1,11 @@
-"""What Python workers need to know about this package."""
+"""What Python workers need to know about this package, and where lineage is cut."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -16,3 +17,11 @@ def visible(spark: SparkSession) -> SparkSession:
     if ROOT not in path.split(":"):
         environment["PYTHONPATH"] = f"{path}:{ROOT}" if path else ROOT
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read from the shared folder (spark.checkpoint.dir; a folder of our own where that is unset)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

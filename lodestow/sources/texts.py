@@ -81,6 +81,19 @@ def ini_values(df: DataFrame, key: str = "id") -> DataFrame:
     return last_by(pair, [key, "section", "name"], [F.col("no")]).drop("no")
 
 
+def ccd_tracks(df: DataFrame, key: str = "id") -> DataFrame:
+    """(key, track, mode, start) of a CCD sheet: of its [TRACK n] sections, or else of its [Entry n] sections with points 1 to 99."""
+    values = ini_values(df, key).withColumn("name", F.upper("name"))
+    number = F.nullif(F.regexp_extract("section", r"(?i)^TRACK\s+(\d+)$", 1), F.lit("")).cast("int")
+    value = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
+    own = values.withColumn("track", number).where("track is not null").groupBy(key, "track").agg(value("MODE").cast("int").alias("mode"), value("INDEX 1").cast("bigint").alias("start"))
+    entry = values.where(F.col("section").rlike(r"(?i)^Entry\s+\d+$")).groupBy(key, "section").agg(value("POINT").alias("p"), value("CONTROL").alias("c"), value("PLBA").cast("bigint").alias("start"))
+    point = F.conv(F.regexp_replace(F.lower("p"), "^0x", ""), 16, 10).cast("int")
+    data = F.conv(F.regexp_replace(F.lower("c"), "^0x", ""), 16, 10).cast("int").bitwiseAND(F.lit(4)) != 0
+    other = entry.select(key, point.alias("track"), F.when(data, 1).otherwise(0).alias("mode"), "start").where("track between 1 and 99")
+    return own.unionByName(other.join(own.select(key).distinct(), key, "left_anti"))
+
+
 def playlist(df: DataFrame, key: str = "id", folder: str | None = None) -> DataFrame:
     """(key, nth, path): entries of an M3U playlist; relative ones lie in the column ``folder``."""
     rows = lines(df, key).where("line <> '' and not startswith(line, '#')")

@@ -70,3 +70,20 @@ def test_empty_inputs(spark):
     assert ordered.sequential_bins(none, ["k"], "o", "v", 10).count() == 0
     assert ordered.runs(none, ["k"], "o").count() == 0
     assert ordered.debounced(none, ["k"], "o", 1, "v").count() == 0
+
+
+def test_chains_with_gaps_and_circles(spark):
+    from lodestow.operators import chains
+
+    df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (9, 8), (20, 21), (21, 20)], "k long, before long")
+    assert rows(chains.positions(df, "k", "before")) == [(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 3)]
+
+
+def test_hashed_layout(spark):
+    import hashlib
+
+    from lodestow.operators import containers
+
+    df = spark.createDataFrame([("c", "b.bin", b"xyz"), ("c", "a.bin", b"q" * 600)], "c string, name string, data binary")
+    got = {r["name"]: r for r in containers.hashed_layout(df, "c", "name", "data").collect()}
+    assert (got["b.bin"]["data_offset"], got["a.bin"]["sha256"], got["a.bin"]["header_size"]) == (600, hashlib.sha256(b"q" * 512).hexdigest(), 16 + 2 * 64 + 16)

@@ -86,3 +86,19 @@ def test_links(spark):
     assert rows(got, "nth") == [(1, 1, "/X.zip"), (1, 2, "http://h/get?fname=my%20file.rar")]
     assert [r[0] for r in got.orderBy("nth").select(pages.file_name(F.col("url"))).collect()] == ["X.zip", "my file.rar"]
     assert pages.prioritised(got, [("fname", 5)], [F.col("nth")]).first()["nth"] == 2
+
+
+def test_ccd(spark):
+    a = "[CloneCD]\nVersion=3\n[TRACK 1]\nMODE=1\nINDEX 1=0\n[TRACK 2]\nMODE=0\nINDEX 1=300\n[Entry 0]\nPoint=0x09\nPLBA=1\n"
+    b = "[Entry 0]\nPoint=0xa0\nControl=0x04\nPLBA=4350\n[Entry 3]\nPoint=0x01\nControl=0x04\nPLBA=0\n[Entry 4]\nPoint=0x02\nControl=0x00\nPLBA=900\n"
+    df = spark.createDataFrame([("a", a), ("b", b)], "id string, text string")
+    assert rows(texts.ccd_tracks(df), "id", "track") == [("a", 1, 1, 0), ("a", 2, 0, 300), ("b", 1, 1, 0), ("b", 2, 0, 900)]
+
+
+def test_gdi_written_and_read(spark):
+    from lodestow.operators.containers import gdi_text
+
+    tracks = [("d", 2, 600, 0, 2352, "track02.raw", 0), ("d", 1, 0, 4, 2352, "track 01.bin", 0)]
+    df = spark.createDataFrame(tracks, "id string, number int, lba long, type int, sector int, file string, offset long")
+    back = texts.gdi_tracks(gdi_text(df, "id"))
+    assert sorted(map(tuple, back.drop("complete").collect())) == sorted(tracks) and back.where("not complete").count() == 0
