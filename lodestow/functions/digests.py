@@ -53,3 +53,17 @@ def verified_blocks(blocks: DataFrame, expected: DataFrame, key: list[str]) -> D
     ok = F.coalesce(F.sha2("bytes", 256) == F.col("_want"), F.lit(False))
     zeros = F.unhex(F.repeat(F.lit("00"), F.octet_length("bytes")))
     return joined.withColumn("ok", ok).withColumn("bytes", F.when(ok | F.col("_want").isNull(), F.col("bytes")).otherwise(zeros)).drop("_want")
+
+
+def path_hash(name: Column, seed: int = 123456789) -> Column:
+    """A 32-bit hash of a name: rotate right by five, then exclusive-or with each UTF-16 unit.
+
+    Characters beyond the basic plane are two units; names hold few of these, they count as one replacement character.
+    """
+    units = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.when(F.octet_length(c) < 4, F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("bigint")).otherwise(F.lit(0xFFFD).cast("bigint")))
+
+    def step(h: Column, u: Column) -> Column:
+        turned = F.shiftrightunsigned(h, 5).bitwiseOR(F.shiftleft(h.bitwiseAND(F.lit(31)), 27))
+        return turned.bitwiseXOR(u).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    return F.aggregate(units, F.lit(seed).cast("bigint"), step)

@@ -70,3 +70,16 @@ def flags(mask: Column, names: list[str]) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part * 100.0 / whole).otherwise(F.lit(0.0))
+
+
+def little_endian(data: Column, at: Column | int, size: int) -> Column:
+    """An unsigned integer of up to seven bytes in a binary column, ``at`` counted from 0; null beyond the end."""
+    start = F.lit(at) if isinstance(at, int) else at
+    part = F.substring(data, start + 1, F.lit(size))
+    return F.when(F.octet_length(part) == size, F.conv(F.concat(*[F.hex(F.substring(part, i + 1, 1)) for i in reversed(range(size))]), 16, 10).cast("bigint"))
+
+
+def big_endian(data: Column, at: Column | int, size: int) -> Column:
+    start = F.lit(at) if isinstance(at, int) else at
+    part = F.substring(data, start + 1, F.lit(size))
+    return F.when(F.octet_length(part) == size, F.conv(F.hex(part), 16, 10).cast("bigint"))

@@ -97,3 +97,25 @@ def contiguous(df: DataFrame, keys: list[str], part: str, first: int = 1) -> Dat
     """
     n, least, most, different = F.count(part), F.min(part), F.max(part), F.count_distinct(part)
     return df.groupBy(*keys).agg(n.cast("bigint").alias("parts"), F.coalesce((least == first) & (most == n + first - 1) & (different == n), F.lit(True)).alias("complete"))
+
+
+def regex_rule(column: str, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
+    """The label of the first pattern that all of a text matches."""
+    return first_rule([(F.col(column).rlike(f"^(?:{pattern})$"), label) for pattern, label in rules], otherwise)
+
+
+def shallowest(entries: DataFrame, keys: list[str], path: str, anchors: list[str]) -> DataFrame:
+    """(keys, root): the folder that holds an anchor folder with the fewest folders above it (ties by name); '' is the top."""
+    parts = F.split(path, "/")
+    names = F.array(*[F.lit(a.lower()) for a in anchors])
+    place = F.array_position(F.transform(parts, lambda p: F.array_contains(names, F.lower(p))), F.lit(True))
+    found = entries.withColumn("_at", place).where("_at > 0 and _at < size(split(`" + path + "`, '/'))")
+    root = F.array_join(F.slice(parts, 1, F.col("_at").cast("int") - 1), "/")
+    return found.groupBy(*keys).agg(F.min_by(root, F.struct("_at", root)).alias("root"))
+
+
+def inferred_kind(df: DataFrame, keys: list[str], track_type: str, frames: str) -> DataFrame:
+    """(keys, kind): what a disc is, by its tracks: audio only, data only, mixed, or high density by its length."""
+    audio, data = F.count_if(F.col(track_type) == "AUDIO"), F.count_if(F.col(track_type) != "AUDIO")
+    kind = F.when(F.sum(frames) > 500_000, "high density").when(data == 0, "audio").when(audio == 0, "data").otherwise("mixed")
+    return df.groupBy(*keys).agg(kind.alias("kind"))

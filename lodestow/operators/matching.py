@@ -118,3 +118,20 @@ def first_owner(df: DataFrame, items: str, owner: str, order: list[Column]) -> D
     """(item, owner): the first row, in order, whose array of items has the item."""
     rows = df.select(F.explode(items).alias("item"), owner, *[o.alias(f"_o{i}") for i, o in enumerate(order)])
     return first_by(rows, ["item"], [F.col(f"_o{i}") for i in range(len(order))]).select("item", owner)
+
+
+def bucket_fallback(sources: DataFrame, buckets: DataFrame, ext: str, key: str, order: str) -> DataFrame:
+    """Sources with the first bucket (by ``order``) whose key contains their extension; a blank extension matches none.
+
+    Extensions and keys are few different texts, so these are what is compared; rows then join by equality.
+    """
+    kinds = sources.select(ext).where(F.length(ext) > 0).distinct()
+    found = exact_else_contains(buckets.select(key), kinds, key, ext, grams=3).join(buckets, key)
+    best = found.groupBy(ext).agg(F.min_by(key, F.struct(order, key)).alias(key))
+    return sources.join(best, ext, "left")
+
+
+def unpacked(contents: DataFrame, selector: DataFrame, keys: list[str]) -> DataFrame:
+    """Of two copies of each block (copy 0 and 1) the one that a selector row (keys, copy) names; copy 0 without one."""
+    chosen = contents.join(selector.withColumnRenamed("copy", "_want"), keys, "left")
+    return chosen.where(F.col("copy") == F.coalesce("_want", F.lit(0))).drop("_want", "copy")

@@ -110,3 +110,14 @@ def tree_levels(nodes: DataFrame, key: str, parent: str, most: int = 64) -> Data
             break
         out = out.unionByName(level)
     return out
+
+
+def blended_rate(df: DataFrame, keys: list[str], at: str, written: str, total: str, span: int) -> DataFrame:
+    """``df`` with rate (bytes a second over the last ``span`` microseconds, blended half and half with the rate since the start) and eta (seconds)."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    near = w.rangeBetween(-span, Window.currentRow)
+    since = lambda first_at, first: (F.col(written) - first) * 1e6 / F.nullif(F.col(at) - first_at, F.lit(0))
+    recent = since(F.first(at).over(near), F.first(written).over(near))
+    overall = since(F.first(at).over(w), F.first(written).over(w))
+    rate = F.coalesce((recent + overall) / 2, recent, overall, F.lit(0.0))
+    return df.withColumn("rate", rate).withColumn("eta", F.when(F.col("rate") > 0, (F.col(total) - F.col(written)) / F.col("rate")))

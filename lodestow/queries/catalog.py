@@ -235,3 +235,30 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     return table(spark, sf_dir, "documents").select("doc_id", names.numbered(F.concat("source", F.lit(".txt")), nth).alias("file"))
+
+
+@register(
+    "regex_rules",
+    "select doc_id, case when regexp_full_match(source, 'src[0-4]') then 'first' when regexp_full_match(source, 'src1.*') then 'teens' else 'rest' end as rule from documents",
+)
+def regex_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", C.regex_rule("source", [("src[0-4]", "first"), ("src1.*", "teens")], "rest").alias("rule"))
+
+
+@register(
+    "shallowest_root",
+    """select o_custkey, arg_min(case when d = 1 then '' when d = 2 then 'a' else 'a/b' end, d) as root from (select o_custkey, (o_orderkey % 3 + 1) as d from orders) group by o_custkey""",
+)
+def shallowest_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.element_at(F.array(F.lit("Patch/x"), F.lit("a/patch/y"), F.lit("a/b/PATCH/z")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return C.shallowest(table(spark, sf_dir, "orders").select("o_custkey", path.alias("path")), ["o_custkey"], "path", ["patch"])
+
+
+@register(
+    "inferred_kind",
+    """select o_custkey, case when sum(floor(o_totalprice)::bigint) > 500000 then 'high density' when count(*) filter (o_orderstatus <> 'F') = 0 then 'audio' when count(*) filter (o_orderstatus = 'F') = 0 then 'data' else 'mixed' end as kind
+       from orders group by o_custkey""",
+)
+def inferred_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderstatus") == "F", "AUDIO").otherwise("MODE1").alias("type"), F.floor("o_totalprice").alias("frames"))
+    return C.inferred_kind(o, ["o_custkey"], "type", "frames")

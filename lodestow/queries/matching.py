@@ -217,3 +217,25 @@ def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"))
     return levels(c, "k", "parent").select("k", "level")
+
+
+@register(
+    "bucket_fallback",
+    """with b as (select distinct p_type as key from part), s as (select p_partkey, lower(substr(p_brand, 1, 1)) || case when p_partkey % 2 = 0 then 'zz' else '' end as x, substr(p_type, length(p_type) - 2) as ext from part)
+       select p_partkey, s.ext, (select min(key) from b where contains(key, s.ext)) as key from s""",
+)
+def bucket_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    sources = p.select("p_partkey", F.substring("p_type", F.length("p_type") - 2, F.lit(3)).alias("ext"))
+    buckets = p.select(F.col("p_type").alias("key")).distinct().withColumn("ord", F.col("key"))
+    return M.bucket_fallback(sources, buckets, "ext", "key", "ord").select("p_partkey", "ext", "key")
+
+
+@register(
+    "selected_copies",
+    "select a.p_partkey as k, case when s.c = 1 then p_brand else p_name end as v from part a left join (select p_partkey, (p_size % 2)::int as c from part where p_size > 10) s on a.p_partkey = s.p_partkey",
+)
+def selected_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    copies = p.select(F.col("p_partkey").alias("k"), F.lit(0).alias("copy"), F.col("p_name").alias("v")).union(p.select("p_partkey", F.lit(1), "p_brand"))
+    return M.unpacked(copies, p.where("p_size > 10").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 2).alias("copy")), ["k"])

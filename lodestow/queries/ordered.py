@@ -157,3 +157,39 @@ def delta_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.links(table(spark, sf_dir, "pages"))
+
+
+@register(
+    "blended_rate",
+    f"""with x as (select event_id, user_id, epoch_us(ts) as at, sum(100) over (partition by user_id order by ts, event_id rows unbounded preceding) as done from events),
+       y as (select *, first_value(at) over n as a1, first_value(done) over n as d1, first_value(at) over w as a0, first_value(done) over w as d0 from x
+             window w as (partition by user_id order by at, event_id), n as (partition by user_id order by at range between {_HALF_DAY} preceding and current row))
+       select event_id, round(coalesce(((done - d1) * 1e6 / nullif(at - a1, 0) + (done - d0) * 1e6 / nullif(at - a0, 0)) / 2, (done - d1) * 1e6 / nullif(at - a1, 0), (done - d0) * 1e6 / nullif(at - a0, 0), 0), 9) as rate from y""",
+)
+def blended_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.expr(_MICROS).alias("at"), F.lit(10**6).alias("total"))
+    w = Window.partitionBy("user_id").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return O.blended_rate(e.withColumn("done", F.sum(F.lit(100)).over(w)), ["user_id"], "at", "done", "total", _HALF_DAY).select("event_id", F.round("rate", 9).alias("rate"))
+
+
+@register(
+    "byte_integers",
+    "select event_id, ascii(x[1]) + 256 * ascii(x[2]) + 65536 * ascii(x[3]) as little, ascii(x[1]) * 65536 + 256 * ascii(x[2]) + ascii(x[3]) as big from (select event_id, event_type as x from events)",
+)
+def byte_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.numbers import big_endian, little_endian
+
+    data = F.encode("event_type", "UTF-8")
+    return table(spark, sf_dir, "events").select("event_id", little_endian(data, 0, 3).alias("little"), big_endian(data, 0, 3).alias("big"))
+
+
+@register(
+    "anchor_names",
+    """with x as (select page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref="[^"]*"[^>]*>.*?</a>')) as a, generate_subscripts(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref="[^"]*"[^>]*>.*?</a>'), 1) as nth from pages)
+       select page_id, nth, regexp_extract(a, '(?i)\\bhref="([^"]*)"', 1) as url,
+       trim(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(a, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) as name from x""",
+)
+def anchor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.anchors(table(spark, sf_dir, "pages"))

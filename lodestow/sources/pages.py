@@ -27,3 +27,22 @@ def prioritised(links_df: DataFrame, scores: list[tuple[str, int]], order: list[
     for text, score in reversed(scores):
         chain = F.when(F.contains(F.lower("url"), F.lit(text.lower())), score).otherwise(chain)
     return links_df.withColumn("score", chain).orderBy(F.desc("score"), *order)
+
+
+#: Named entities that link texts use.
+_ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+
+
+def decoded(text: Column) -> Column:
+    """A text with the common named entities as characters, & last."""
+    for entity, character in _ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return text
+
+
+def anchors(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, nth, url, name): links with the text inside them, without tags, entities decoded, white space single."""
+    pair = F.posexplode(F.regexp_extract_all(html, F.lit(r'(?is)<a\b[^>]*\bhref="[^"]*"[^>]*>.*?</a>'), 0)).alias("at", "a")
+    rows = pages.select(key, pair)
+    inside = F.regexp_replace(F.regexp_replace("a", r"(?s)<[^>]*>", " "), r"\s+", " ")
+    return rows.select(key, (F.col("at") + 1).alias("nth"), F.regexp_extract("a", r'(?i)\bhref="([^"]*)"', 1).alias("url"), F.trim(decoded(inside)).alias("name"))

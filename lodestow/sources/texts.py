@@ -107,3 +107,9 @@ def playlist(df: DataFrame, key: str = "id", folder: str | None = None) -> DataF
 def track_fields(text: str = "text"):
     """A map of a metadata string such as TRACK:1 TYPE:AUDIO FRAMES:300."""
     return F.str_to_map(F.trim(text), F.lit(r"\s+"), F.lit(":"))
+
+
+def xml_values(df: DataFrame, paths: dict[str, str], key: str = "id", text: str = "text") -> DataFrame:
+    """(key, and a column for each XPath): the text of the first element found, null for none."""
+    found = [F.nullif(F.expr(f"xpath_string(`{text}`, '{p}')"), F.lit("")).alias(name) for name, p in paths.items()]
+    return df.select(key, *found)

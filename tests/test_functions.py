@@ -57,3 +57,27 @@ def test_verification_zeroes_corrupt_blocks(spark):
     want = spark.createDataFrame([("a", 0, hashlib.sha256(b"good").hexdigest()), ("a", 1, hashlib.sha256(b"good").hexdigest())], "id string, n int, sha256 string")
     got = {(r["id"], r["n"]): (r["ok"], bytes(r["bytes"])) for r in digests.verified_blocks(blocks, want, ["id", "n"]).collect()}
     assert got == {("a", 0): (True, b"good"), ("a", 1): (False, bytes(4)), ("b", 0): (False, b"none")}
+
+
+def test_path_hash(spark):
+    def plain(name, h=123456789):
+        for c in name:
+            h = ((h >> 5 | h << 27) & 0xFFFFFFFF) ^ ord(c)
+        return h
+
+    for name in ("", "a", "folder/Ünï.bin"):
+        assert one(spark, digests.path_hash(F.col("v")), v=name) == plain(name)
+
+
+def test_integers_of_bytes(spark):
+    assert one(spark, numbers.little_endian(F.col("v"), 1, 4), v=b"\x00\xff\xff\xff\xff") == 0xFFFFFFFF
+    assert one(spark, numbers.big_endian(F.col("v"), 0, 2), v=b"\x01\x02") == 258
+    assert one(spark, numbers.big_endian(F.col("v"), 1, 2), v=b"\x01\x02") is None
+
+
+def test_xml_and_entities(spark):
+    from lodestow.sources import pages, texts
+
+    df = spark.createDataFrame([("x", "<app><id>7</id><v/></app>")], "id string, text string")
+    assert tuple(texts.xml_values(df, {"ident": "/app/id", "v": "/app/v", "none": "/app/no"}).first()) == ("x", "7", None, None)
+    assert one(spark, pages.decoded(F.col("v")), v="a&amp;lt;b&nbsp;&quot;") == 'a&lt;b "'
