@@ -161,10 +161,10 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "blended_rate",
-    f"""with x as (select event_id, user_id, epoch_us(ts) as at, sum(100) over (partition by user_id order by ts, event_id rows unbounded preceding) as done from events),
-       y as (select *, first_value(at) over n as a1, first_value(done) over n as d1, first_value(at) over w as a0, first_value(done) over w as d0 from x
-             window w as (partition by user_id order by at, event_id), n as (partition by user_id order by at range between {_HALF_DAY} preceding and current row))
-       select event_id, round(coalesce(((done - d1) * 1e6 / nullif(at - a1, 0) + (done - d0) * 1e6 / nullif(at - a0, 0)) / 2, (done - d1) * 1e6 / nullif(at - a1, 0), (done - d0) * 1e6 / nullif(at - a0, 0), 0), 9) as rate from y""",
+    f"""with x as (select event_id, user_id, epoch_us(ts) as t, sum(100) over (partition by user_id order by ts, event_id rows unbounded preceding) as done from events),
+       y as (select *, first_value(t) over n as a1, first_value(done) over n as d1, first_value(t) over w as a0, first_value(done) over w as d0 from x
+             window w as (partition by user_id order by t, event_id), n as (partition by user_id order by t range between {_HALF_DAY} preceding and current row))
+       select event_id, round(coalesce(((done - d1) * 1e6 / nullif(t - a1, 0) + (done - d0) * 1e6 / nullif(t - a0, 0)) / 2, (done - d1) * 1e6 / nullif(t - a1, 0), (done - d0) * 1e6 / nullif(t - a0, 0), 0), 9) as rate from y""",
 )
 def blended_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
