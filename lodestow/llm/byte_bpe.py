@@ -28,7 +28,7 @@ from . import text_arrays as A
 from .common import prepare, table
 
 #: Merged pre-tokens that a task remembers, characters of text handled at once.
-KEEP, CHUNK = 400_000, 1 << 19
+KEEP, CHUNK = 150_000, 1 << 19
 
 _SPACE, _WHITE, _LETTER, _NUMBER, _OTHER = range(5)
 _OUTSIDE = 0x110000

@@ -11,9 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults: 10,000 long texts are too much for a task.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(8 << 20))}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package (the path is merged with theirs) and see a checkpoint folder."""
+    """Let Python workers import this package (the path is merged with theirs), bound Arrow batches, and see to a checkpoint folder."""
     sc = spark.sparkContext
+    for name, (default, bound) in BATCH.items():
+        if spark.conf.get(name).removesuffix("b") == default:
+            spark.conf.set(name, bound)
     path = sc.environment.get("PYTHONPATH", "")
     if ROOT not in path.split(":"):
         sc.environment["PYTHONPATH"] = f"{path}:{ROOT}" if path else ROOT
