@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 SHINGLE = 5
-#: Rows of a range of ids that are put in order in one task, about.
-RANGE_ROWS = 8192
+#: Rows of a range of ids that are put in order in one task, about; ranges at most.
+RANGE_ROWS, RANGES = 8192, 10_000
 
 
 def terms(text: Column) -> Column:
@@ -94,29 +94,39 @@ def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = 3,
     return pairs.where(F.col("distance") <= radius).distinct()
 
 
+def _longs(values: list[int | None]) -> str:
+    return f"array({', '.join('cast(null as bigint)' if v is None else f'{v}L' if v > -(1 << 63) else 'bigint(-9223372036854775808)' for v in values)})"
+
+
 def ordered(docs: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, Window]:
     """Rows (doc_id, text, at, copy) and the window in which the next row is the next in descending order of doc_id.
 
-    Ids are cut into ranges of about ``range_rows`` rows at approximate quantiles, at most 2000; each range
+    Ids are cut into ranges of about ``range_rows`` rows at approximate quantiles, at most RANGES; each range
     ``at`` is ordered on its own and ends with a copy of the first row of the range that follows (the last
     with one of the very first row).  Null ids come last; equal ids go by text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = max(1, min(2000, round(rows.agg(F.count("doc_id")).first()[0] / range_rows)))
-    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10000)).first()[0] or [])) if n > 1 else []
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    n = max(1, min(RANGES, round(rows.agg(F.count("doc_id")).first()[0] / range_rows)))
+    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * RANGES)).first()[0] or [])) if n > 1 else []
+    # the place of an id among the cuts by two looks: which block of cuts, and where in the block
+    block = max(1, round(len(cuts) ** 0.5))
+    blocks = [cuts[i : i + block] for i in range(0, len(cuts), block)]
+    less = lambda array: f"size(filter({array}, e -> e < doc_id))"
+    below = "0"
+    if cuts:
+        whole = f"array({', '.join(map(_longs, blocks))})"
+        below = f"transform(array({less(_longs([x[0] for x in blocks]))}), c -> if(c = 0, 0, (c - 1) * {block} + {less(f'get({whole}, c - 1)')}))[0]"
     # range 0 holds the largest ids, the last one null ids
-    rank = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(edges, lambda e: e >= F.col("doc_id"))))
-    rows = rows.withColumn("at", rank)
+    rows = rows.withColumn("at", F.expr(f"if(doc_id is null, {len(cuts) + 1}, {len(cuts)} - {below})"))
     heads = sorted((r["at"], r["head"]) for r in rows.groupBy("at").agg(F.max("doc_id").alias("head")).collect())  # a row a range
     own = F.struct(F.col("at").alias("at"), F.lit(0).alias("copy"))
+    places = F.array(own)
     if heads:
-        head = F.create_map(*[F.lit(x) for at, h in heads for x in (at, -1 if h is None else h)])
-        before = F.create_map(*[F.lit(x) for k, (at, _) in enumerate(heads) for x in (at, heads[k - 1][0])])
-        is_head = F.col("doc_id").isNull() | (F.col("doc_id") == head[F.col("at")])
-        places = F.when(is_head, F.array(own, F.struct(before[F.col("at")].alias("at"), F.lit(1).alias("copy")))).otherwise(F.array(own))
-    else:
-        places = F.array(own)
+        head, before = [None] * (len(cuts) + 2), [None] * (len(cuts) + 2)
+        for k, (at, first) in enumerate(heads):
+            head[at], before[at] = first, heads[k - 1][0]
+        is_head = F.expr(f"doc_id is null or doc_id = get({_longs(head)}, at)")
+        places = F.when(is_head, F.array(own, F.struct(F.expr(f"cast(get({_longs(before)}, at) as int)").alias("at"), F.lit(1).alias("copy")))).otherwise(places)
     placed = rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.at", "p.copy")
     return placed, Window.partitionBy("at").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
 

@@ -168,6 +168,16 @@ def test_op6_edits_and_fingerprints(spark, data, texts):
     assert np.mean([r["near_edited"] > r["near_next"] for r in got.values()]) > 0.95
 
 
+def test_op6_order_over_many_ranges(spark):
+    rng = np.random.default_rng(11)
+    ids = sorted(set(rng.integers(-(1 << 62), 1 << 62, 500).tolist() + [-(1 << 63), (1 << 63) - 1, 0]), reverse=True)
+    docs = spark.createDataFrame([(i, f"text of {k} " * 9) for k, i in enumerate(ids)], "doc_id long, text string")
+    placed, window = fingerprints.ordered(docs, 5)
+    got = {r["doc_id"]: r["following"] for r in placed.withColumn("following", F.lead("text").over(window)).where("copy = 0").collect()}
+    assert got == {i: f"text of {(k + 1) % len(ids)} " * 9 for k, i in enumerate(ids)}
+    assert placed.select("at").distinct().count() > 50
+
+
 def test_op6_votes_and_radius(spark):
     rng = np.random.default_rng(5)
     hashes = {0: [], 1: rng.integers(-(1 << 63), 1 << 63, 5).tolist(), 2: rng.integers(-(1 << 63), 1 << 63, 40_000).tolist()}
