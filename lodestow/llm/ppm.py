@@ -10,11 +10,13 @@ next shorter one with probability q / 2T (q different bytes met, T in all; a byt
 not yet excluded are equally likely.  Before all that comes a context that adapts to the text itself: where
 the two words before a word have stood together earlier in the text, the word that followed them then is
 predicted, with the share of such predictions that have come true in this text so far ((right + 1/2) /
-(made + 1)); a wrong one escapes to the trie.  The trie keeps the counts of at least the value at which at most
-ENTRIES are left, so a model has a bound however large the corpus; the counts themselves cover all of it.
+(made + 1)); a wrong one escapes to the trie.
 
-The base score is that of a unigram model with exact counts of all words.  Words meet their counts by
-buckets of hashes: a task holds one bucket's counts and streams through what the texts ask of it.
+The base score is that of a unigram model with exact counts of all words.  Words and grams (a byte with its
+longest context) meet their counts by buckets: a task holds one bucket's counts and streams through what the
+texts ask of it.  All grams of the training texts are counted, however many; a bucket has all grams whose
+contexts end in the same NEAR bytes, so it finds the counts of all its longer contexts by sums, and those of the
+shorter ones (at most 2^24 + 2^16 + 2^8, constant) come along as rows.
 
 Null is the empty text: it has one token, the end.  Rows with null ids learn.  Repeated rows are rows of
 their own.  Without any training text nothing is known and every byte is equally likely.  Extra columns of
@@ -35,9 +37,11 @@ from . import text_arrays as A
 from .common import prepare, table, written
 from .linear import fold
 
-ORDER, ENTRIES = 6, 1_500_000
-#: Bytes of text in a chunk; words that a task counts before it hands them on; words of a bucket, about.
-CHUNK, FLUSH, BUCKET_WORDS = 1 << 22, 1_500_000, 2_000_000
+ORDER = 6
+#: Contexts of fewer bytes than NEAR go to every bucket of grams, longer ones to the bucket of their nearest NEAR bytes.
+NEAR = 3
+#: Bytes of text in a chunk; words or grams that a task counts before it hands them on; words and grams of a bucket, about.
+CHUNK, FLUSH, BUCKET_WORDS, BUCKET_GRAMS = 1 << 22, 3_000_000, 2_000_000, 1_000_000
 HELD_OUT, FOLDS = 1, 5
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -45,57 +49,55 @@ _LOWER[65:91] += 32
 _SPACE, _END, _SYMBOLS = 0x20, 0x0A, 257
 #: The hash that stands for the end.
 END = A.mix(np.array([0xE0F], np.uint64))[0]
+#: The lowest bytes of a context, by how many.
+_LOWEST = (np.int64(1) << 8 * np.arange(ORDER + 1)) - 1
 
 
-def _unique_words(buf: np.ndarray, off: np.ndarray):
-    """(hashes ascending, a start and end of each, which of them each word is, each row's first word)."""
-    starts, ends, first = A.runs(buf, off)
-    h, at, which = np.unique(A.hashes(buf, starts, ends, A.FOLDED), return_index=True, return_inverse=True)
-    return h, starts[at], ends[at], which, first
+def _key(context, order, symbol):
+    """One integer for a context of ``order`` bytes, the nearest lowest, and a symbol."""
+    return ((context & _LOWEST[order]) << 8 | symbol) << 3 | order
 
 
-def _positions(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Each word as it is coded, end to end: symbols, the word of each, its place in the word."""
-    size = ends - starts + 1
-    word = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-    last = place == size[word] - 1
-    symbol = _LOWER[buf[np.minimum(starts[word] + place, len(buf) - 1)]]
-    symbol[last] = _SPACE
-    return symbol.astype(np.int64), word, place
+def coded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of texts as they are coded (symbols with their longest contexts, as keys), and the token of each.
 
-
-def _contexts(symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The ORDER bytes before each symbol as an integer, the nearest lowest; the space before the word included."""
-    out = np.zeros(len(symbol), np.int64)
+    A text's tokens are its words and its end.  ``across``: contexts go on over the words before.
+    """
+    size = np.insert(ends - starts + 1, first[1:], 1)
+    begin = np.insert(starts, first[1:], 0)
+    upto = np.cumsum(size)
+    token = np.repeat(np.arange(len(size)), size)
+    nth = np.arange(len(token))
+    at = nth + np.repeat(begin - (upto - size), size)
+    symbol = np.append(_LOWER[buf], np.uint8(0))[np.minimum(at, len(buf))].astype(np.int64)
+    symbol[upto - 1] = _SPACE
+    closing = first[1:] + np.arange(len(first) - 1)
+    symbol[upto[closing] - 1] = _END
+    if across:
+        text_ends = upto[closing]
+        since = nth - np.repeat(np.insert(text_ends[:-1], 0, 0), np.diff(np.insert(text_ends, 0, 0)))
+    else:
+        since = nth - np.repeat(upto - size, size)
+    context = np.zeros(len(symbol), np.int64)
     for d in range(1, ORDER + 1):
-        before = np.full(len(symbol), 0, np.int64)
-        before[d:] = symbol[:-d]
-        before = np.where(place >= d, before, np.where(place == d - 1, _SPACE, 0))
-        out |= before << (8 * (d - 1))
-    return out
-
-
-def _key(context, order: int, symbol):
-    """One integer for a context of ``order`` bytes and a symbol."""
-    return ((context & ((1 << 8 * order) - 1)) << 8 | symbol) << 3 | order
-
-
-def trie_counts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of all contexts of these words, each met ``n`` times, and of ``texts`` ends."""
-    keys, counts = [np.array([_key(_SPACE, k, _END) for k in (0, 1)])], [np.full(2, texts)]
-    step = 200_000
-    for lo in range(0, len(starts), step):
-        symbol, word, place = _positions(buf, starts[lo : lo + step], ends[lo : lo + step])
-        context, weight = _contexts(symbol, place), n[lo : lo + step][word]
-        for order in range(ORDER + 1):
-            deep = place + 1 >= order
-            k, which = np.unique(_key(context[deep], order, symbol[deep]), return_inverse=True)
-            keys.append(k)
-            counts.append(np.bincount(which, weight[deep], len(k)).astype(np.int64))
+        context[d:] |= symbol[:-d] << (8 * (d - 1))
+    near = np.minimum(since, ORDER)
+    context &= _LOWEST[near]
+    young = np.flatnonzero(since < ORDER)
+    context[young] |= np.int64(_SPACE) << 8 * since[young]  # a text, or a word without what is before it, begins after a space
+    return _key(context, np.minimum(since + 1, ORDER), symbol), token
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, which = np.unique(np.concatenate(keys), return_inverse=True)
-    c = np.bincount(which, np.concatenate(counts), len(k)).astype(np.int64)
-    return k[c > 0], c[c > 0]
+    return k, np.bincount(which, np.concatenate(counts), len(k)).astype(np.int64)
+
+
+def shortened(keys: np.ndarray, counts: np.ndarray, orders) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of these grams' contexts of ``orders`` bytes."""
+    order, context, symbol = keys & 7, keys >> 11, keys >> 3 & 255
+    parts = [(_key(context[deep], k, symbol[deep]), counts[deep]) for k in orders for deep in (order >= k,)]
+    return _summed(*zip(*parts))
 
 
 class Trie:
@@ -159,27 +161,24 @@ class Trie:
         out[left] -= np.log2(_SYMBOLS - met)
         return out
 
-    def words(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each word and the space after it."""
-        out, step = np.empty(len(starts)), 50_000
-        for lo in range(0, len(starts), step):
-            symbol, word, place = _positions(buf, starts[lo : lo + step], ends[lo : lo + step])
-            bits = self.log2(symbol, _contexts(symbol, place), np.minimum(place + 1, ORDER))
-            out[lo : lo + step] = np.bincount(word, bits, len(starts[lo : lo + step]))
+    def price(self, keys: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each gram's symbol in its context."""
+        out, step = np.empty(len(keys)), 200_000
+        for lo in range(0, len(keys), step):
+            k = keys[lo : lo + step]
+            out[lo : lo + step] = self.log2(k >> 3 & 255, k >> 11, k & 7)
         return out * math.log10(2)
 
-    def end(self) -> float:
-        one = np.array([1])
-        return float(self.log2(np.array([_END]), np.array([_SPACE]), one)[0]) * math.log10(2)
 
+def foretold(h: np.ndarray, row: np.ndarray, depth: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens the ``depth`` tokens before them foretell, and log10 of the share of each prediction (0 without one).
 
-def adapted(h: np.ndarray, row: np.ndarray, price: np.ndarray, depth: int = 2) -> np.ndarray:
-    """log10 of each token's probability from its ``price`` in the trie and what the ``depth`` tokens before it foretell.
-
+    A token that is foretold costs that share alone, any other one its price in the trie besides.
     ``h`` and ``row``: the tokens of texts laid end to end, each text's end included.
     """
+    hit, share = np.zeros(len(h), bool), np.zeros(len(h))
     if len(h) <= depth:
-        return price
+        return hit, share
     g, at = A.ngrams(h, row, depth)
     at = at + depth
     inside = at < len(h)
@@ -195,218 +194,219 @@ def adapted(h: np.ndarray, row: np.ndarray, price: np.ndarray, depth: int = 2) -
     begin = np.searchsorted(row[at], row[at])
     so_far = [(total := np.cumsum(x) - x) - total[begin] for x in (made.astype(np.int64), right.astype(np.int64))]
     p = (so_far[1] + 0.5) / (so_far[0] + 1)
-    out = price.copy()
-    out[at[right]] = np.log10(p[right])
+    hit[at[right]] = True
+    share[at[right]] = np.log10(p[right])
     wrong = made & ~right
-    out[at[wrong]] += np.log10(1 - p[wrong])
-    return out
+    share[at[wrong]] = np.log10(1 - p[wrong])
+    return hit, share
 
 
 @dataclass
 class Model:
-    """Counts of all training words as rows (h, c) in the shared folder, and the trie's entries."""
+    """Counts of all training words as rows (h, c), of grams as rows (k, n), and of the contexts shorter than NEAR; all in the shared folder."""
 
     words: DataFrame
     tokens: int
     distinct: int
-    keys: np.ndarray
-    counts: np.ndarray
+    grams: DataFrame
+    low: DataFrame
+    n_grams: int
+    across: bool
 
 
-def train(docs: DataFrame, entries: int = ENTRIES) -> Model:
-    """Count words and contexts of all rows (column text; only where ``learn`` is true)."""
+def train(docs: DataFrame, across: bool = False) -> Model:
+    """Count words and contexts of all rows (column text; only where ``learn`` is true).
+
+    ``across``: contexts go on over the words before, else each word begins anew.
+    """
 
     def count(batches):
-        held: dict = {"h": [], "n": [], "bytes": [], "texts": 0, "size": 0}
+        held: dict = {"h": [], "n": [], "k": [], "c": [], "texts": 0, "size": 0}
 
         def flush():
             if not held["texts"]:
                 return
-            h, at, which = np.unique(np.concatenate(held["h"]), return_index=True, return_inverse=True)
-            n = np.bincount(which, np.concatenate(held["n"]), len(h)).astype(np.int64)
-            body = np.concatenate([b for b, _, _ in held["bytes"]])
-            shift = np.cumsum([0] + [len(b) for b, _, _ in held["bytes"]])
-            starts = np.concatenate([s + d for (_, s, _), d in zip(held["bytes"], shift)])[at]
-            ends = np.concatenate([e + d for (_, _, e), d in zip(held["bytes"], shift)])[at]
-            k, c = trie_counts(body, starts, ends, n, held["texts"])
+            h, n = _summed(held["h"], held["n"])
             h, n = np.append(h, END), np.append(n, held["texts"])
-            held.update(h=[], n=[], bytes=[], texts=0, size=0)
-            for kind, key, value in ((0, h.view(np.int64), n), (1, k, c)):
+            k, c = _summed(held["k"], held["c"])
+            low = shortened(k, c, range(NEAR))
+            k, c = k[k & 7 >= NEAR], c[k & 7 >= NEAR]
+            held.update(h=[], n=[], k=[], c=[], texts=0, size=0)
+            for kind, key, value in ((0, h.view(np.int64), n), (1, k, c), (2, *low)):
                 for lo in range(0, len(key), 100_000):
                     part = slice(lo, lo + 100_000)
                     yield pa.record_batch([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part]), pa.array(value[part])], names=["kind", "k", "n"])
 
         for b in batches:
             for lo, hi, buf, off in A.chunks(b.column(0), CHUNK):
-                h, starts, ends, which, _ = _unique_words(buf, off)
-                size = ends - starts
-                at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                held["h"].append(h)
-                held["n"].append(np.bincount(which, minlength=len(h)))
-                held["bytes"].append((buf[at], np.cumsum(size) - size, np.cumsum(size)))
+                starts, ends, first = A.runs(buf, off)
+                for name, of, values in (("h", "n", A.hashes(buf, starts, ends, A.FOLDED)), ("k", "c", coded(buf, starts, ends, first, across)[0])):
+                    values, n = np.unique(values, return_counts=True)
+                    held[name].append(values)
+                    held[of].append(n)
+                    held["size"] += len(values)
                 held["texts"] += hi - lo
-                held["size"] += len(h)
                 if held["size"] > FLUSH:
                     yield from flush()
         yield from flush()
 
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     partial = docs.where("learn").select("text").mapInArrow(count, "kind int, k long, n long")
     counted = written(partial.groupBy("kind", "k").agg(F.sum("n").alias("n")), "counts")
     words = counted.where("kind = 0").select(F.col("k").alias("h"), F.col("n").alias("c"))
     total = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    trie = counted.where("kind = 1").select("k", "n")
-    # the least count that leaves at most `entries`: a histogram of counts, fine below 2^12 and by powers of two above
-    level = F.expr("if(n < 4096, n, shiftleft(1L, cast(floor(log2(n)) as int)))")
-    sizes = sorted(((r["level"], r["count"]) for r in trie.groupBy(level.alias("level")).count().collect()), reverse=True)
-    least, kept = 1, 0
-    for value, size in sizes:
-        if kept + size > entries:
-            break
-        least, kept = value, kept + size
-    found = trie.where(F.col("n") >= least).toArrow()
-    return Model(words, total["n"], total["v"], found["k"].to_numpy(), found["n"].to_numpy())
+    grams, low = (counted.where(f"kind = {kind}").select("k", "n") for kind in (1, 2))
+    return Model(words, total["n"], total["v"], grams, low, grams.count(), across)
+
+
+def _bits(n: int, each: int) -> int:
+    return max(4, math.ceil(math.log2(max(1, n / each))))
 
 
-_tries: dict[str, tuple] = {}
+def _bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of each gram, by the nearest NEAR bytes of its context."""
+    return (A.mix((keys >> 11 & _LOWEST[NEAR]).astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every row (doc_id, text)."""
     spark = prepare(docs.sparkSession)
-    import uuid
-
-    shared, name = spark.sparkContext.broadcast((model.keys, model.counts)), uuid.uuid4().hex
-    bits = max(4, math.ceil(math.log2(max(1, model.distinct / BUCKET_WORDS))))
+    across = model.across
+    word_bits, gram_bits = _bits(model.distinct, BUCKET_WORDS), _bits(model.n_grams, BUCKET_GRAMS)
+    n_words, n_grams = 1 << word_bits, 1 << gram_bits
+    # buckets of words come first, those of grams behind them
 
     def ask(batches):
-        """What each chunk of texts asks of each bucket of words; the first bucket's row carries the texts' own results."""
+        """What each chunk of texts asks of each bucket; the first bucket's row carries the texts' own results."""
         from pyspark import TaskContext
 
-        if name not in _tries:
-            _tries.clear()
-            _tries[name] = Trie(*shared.value), np.zeros(0, np.uint64), np.zeros(0)
-        trie, known, cost = _tries[name]
-        end, part, nth = trie.end(), TaskContext.get().partitionId(), 0
+        part, nth = TaskContext.get().partitionId(), 0
         for b in batches:
             for lo, hi, buf, off in A.chunks(b.column(1), CHUNK):
-                h, starts, ends, which, first = _unique_words(buf, off)
-                at = np.searchsorted(known, h)
-                hit = np.zeros(len(h), bool)
-                hit[at < len(known)] = known[at[at < len(known)]] == h[at < len(known)]
-                price = np.empty(len(h))
-                price[hit] = cost[at[hit]]
-                new = np.flatnonzero(~hit)
-                price[new] = trie.words(buf, starts[new], ends[new])
-                if len(known) > FLUSH:
-                    known, cost = h, price
-                else:
-                    known, cost = np.insert(known, at[new], h[new]), np.insert(cost, at[new], price[new])
-                row = A.rows_of(first)
-                tokens = np.insert(h[which], first[1:], END)
-                of_row = np.insert(row, first[1:], np.arange(hi - lo))
-                own = np.bincount(of_row, adapted(tokens, of_row, np.insert(price[which], first[1:], end)), hi - lo)
-                ask_h = np.append(h, END)
-                ends_of = np.argsort(ask_h)
-                rank = np.empty(len(ask_h), np.int64)
-                rank[ends_of] = np.arange(len(ask_h))
-                ask_h = ask_h[ends_of]
-                pair = np.concatenate([rank[which], np.full(hi - lo, rank[-1])]) * (hi - lo) + np.concatenate([row, np.arange(hi - lo)])
-                pair, times = np.unique(pair, return_counts=True)
-                word, doc = pair // (hi - lo), pair % (hi - lo)
-                edges = np.searchsorted(ask_h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                cuts = np.searchsorted(word, edges)
+                docs, kind = hi - lo, "<u2" if hi - lo < 65536 else "<u4"
+                starts, ends, first = A.runs(buf, off)
+                tokens = np.insert(A.hashes(buf, starts, ends, A.FOLDED), first[1:], END)
+                of_row = np.insert(A.rows_of(first), first[1:], np.arange(docs))
+                hit, share = foretold(tokens, of_row)
+                own = np.bincount(of_row, share, docs)
+                out = {k: [] for k in ("bucket", "h", "size", "doc", "times")}
+
+                def questions(values, row, bucket_of, buckets, base):
+                    """Different values, by bucket, and the texts that have each, how often."""
+                    different, which = np.unique(values, return_inverse=True)
+                    bucket = bucket_of(different)
+                    by = np.argsort(bucket, kind="stable")
+                    rank = np.empty(len(by), np.int64)
+                    rank[by] = np.arange(len(by))
+                    different = different[by]
+                    pair, times = np.unique(rank[which] * docs + row, return_counts=True)
+                    word, doc = pair // docs, pair % docs
+                    edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                    cuts = np.searchsorted(word, edges)
+                    for k in range(buckets):
+                        w, p = slice(edges[k], edges[k + 1]), slice(cuts[k], cuts[k + 1])
+                        if w.start == w.stop and k + base:
+                            continue
+                        out["bucket"].append(k + base)
+                        out["h"].append(different[w].tobytes())
+                        out["size"].append(np.bincount(word[p] - w.start, minlength=w.stop - w.start).astype(kind).tobytes())
+                        out["doc"].append(doc[p].astype(kind).tobytes())
+                        out["times"].append(times[p].astype("<u4").tobytes())
+
+                questions(tokens, of_row, lambda h: (h >> np.uint64(64 - word_bits)).astype(np.int64), n_words, 0)
+                grams, token = coded(buf, starts, ends, first, across)
+                priced = ~hit[token]
+                questions(grams[priced], of_row[token[priced]], lambda k: _bucket_of(k, gram_bits), n_grams, n_words)
                 chunk = part << 24 | nth
                 nth += 1
-                out = {k: [] for k in ("bucket", "h", "size", "doc", "times")}
-                for k in range(1 << bits):
-                    w = slice(edges[k], edges[k + 1])
-                    p = slice(cuts[k], cuts[k + 1])
-                    if w.start == w.stop and k:
-                        continue
-                    out["bucket"].append(k)
-                    out["h"].append(ask_h[w].tobytes())
-                    out["size"].append(np.bincount(word[p] - w.start, minlength=w.stop - w.start).astype("<u2" if hi - lo < 65536 else "<u4").tobytes())
-                    out["doc"].append(doc[p].astype("<u2" if hi - lo < 65536 else "<u4").tobytes())
-                    out["times"].append(times[p].astype("<u4").tobytes())
                 m = len(out["bucket"])
                 nothing = [None] * (m - 1)
-                tokens = np.diff(first) + 1
                 yield pa.record_batch(
-                    [pa.array(out["bucket"], pa.int32()), pa.array([chunk] * m, pa.int64()), pa.array([hi - lo] * m, pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("h", "size", "doc", "times")),
-                     pa.array([b.column(0).slice(lo, hi - lo).to_pylist(), *nothing], pa.list_(pa.int64())), pa.array([tokens, *nothing], pa.list_(pa.int64())), pa.array([own, *nothing], pa.list_(pa.float64()))],
+                    [pa.array(out["bucket"], pa.int32()), pa.array([chunk] * m, pa.int64()), pa.array([docs] * m, pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("h", "size", "doc", "times")),
+                     pa.array([b.column(0).slice(lo, docs).to_pylist(), *nothing], pa.list_(pa.int64())), pa.array([np.diff(first) + 1, *nothing], pa.list_(pa.int64())), pa.array([own, *nothing], pa.list_(pa.float64()))],
                     names=[x.split()[0] for x in ASKED.split(", ")],
                 )
-        _tries[name] = trie, known, cost
-
-    def packed(batches):
-        """Words and counts as pairs of arrays, one for each bucket and about FLUSH words of a task."""
-
-        def rows(h, c):
-            by = np.argsort(h)
-            h, c = h[by], c[by]
-            edges = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            full = np.flatnonzero(np.diff(edges))
-            parts = [slice(edges[k], edges[k + 1]) for k in full]
-            return pa.record_batch([pa.array(full.astype(np.int32)), pa.array([h[p].tobytes() for p in parts], pa.binary()), pa.array([c[p].tobytes() for p in parts], pa.binary())], names=["bucket", "words", "counts"])
 
-        h, c, size = [], [], 0
-        for b in batches:
-            h.append(b.column(0).to_numpy().view(np.uint64))
-            c.append(b.column(1).to_numpy())
-            size += b.num_rows
-            if size > FLUSH:
-                yield rows(np.concatenate(h), np.concatenate(c))
-                h, c, size = [], [], 0
-        if size:
-            yield rows(np.concatenate(h), np.concatenate(c))
+    def packed(bucket_of, base):
+        """Keys and counts as pairs of arrays, one for each bucket and about FLUSH keys of a task."""
+
+        def rows(keys, counts):
+            keys, counts = np.concatenate(keys), np.concatenate(counts)
+            bucket = bucket_of(keys)
+            by = np.argsort(bucket, kind="stable")
+            full, at = np.unique(bucket[by], return_index=True)
+            parts = np.split(by, at[1:])
+            return pa.record_batch([pa.array((full + base).astype(np.int32)), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([counts[p].tobytes() for p in parts], pa.binary())], names=["bucket", "words", "counts"])
+
+        def pack(batches):
+            keys, counts, size = [], [], 0
+            for b in batches:
+                keys.append(b.column(0).to_numpy())
+                counts.append(b.column(1).to_numpy())
+                size += b.num_rows
+                if size > FLUSH:
+                    yield rows(keys, counts)
+                    keys, counts, size = [], [], 0
+            if size:
+                yield rows(keys, counts)
+
+        return pack
 
     def answer(batches):
-        place, h, c = None, [], []
+        place, held, ready = None, [], None
         for b in batches:
             places = list(zip(b.column(0).to_pylist(), b.column(12).to_pylist()))
             for k in range(b.num_rows):
                 if places[k] != place:
-                    place, h, c = places[k], [], []
+                    place, held, ready = places[k], [], None
                 if b.column(10)[k].is_valid:  # counts come before questions
-                    h.append(np.frombuffer(b.column(10)[k].as_py(), np.uint64))
-                    c.append(np.frombuffer(b.column(11)[k].as_py(), np.int64))
+                    held.append((b.column(10)[k].as_py(), b.column(11)[k].as_py()))
                     continue
-                if len(h) != 1:
-                    h, c = [np.concatenate([*h, np.zeros(0, np.uint64)])], [np.concatenate([*c, np.zeros(0, np.int64)])]
-                    by = np.argsort(h[0])
-                    h, c = [h[0][by]], [c[0][by]]
-                yield _answers(b.slice(k, 1), h[0], c[0])
+                grams = place[0] >= n_words
+                if ready is None:
+                    h = np.frombuffer(b"".join(x for x, _ in held), np.int64 if grams else np.uint64)
+                    c = np.frombuffer(b"".join(x for _, x in held), np.int64)
+                    held = []
+                    ready = _gram_prices(h, c) if grams else _word_counts(h, c)
+                yield _answers(b.slice(k, 1), ready, grams)
 
     def total(batches):
-        key, known, logs, head = None, None, None, None
+        key, known, logs, own, head = None, None, None, None, None
         for b in batches:
             for k in range(b.num_rows):
                 chunk = b.column(0)[k].as_py()
                 if chunk != key:
                     if head is not None:
-                        yield _rows(head, known, logs)
-                    key, known, logs, head = chunk, 0, 0.0, None
-                known = known + np.frombuffer(b.column(1)[k].as_py(), "<u4").astype(np.int64)
-                logs = logs + np.frombuffer(b.column(2)[k].as_py(), "<f8")
+                        yield _rows(head, known, logs, own)
+                    key, known, logs, own, head = chunk, 0, 0.0, 0.0, None
+                sums = np.frombuffer(b.column(2)[k].as_py(), "<f8")
+                if b.column(1)[k].is_valid:
+                    known, logs = known + np.frombuffer(b.column(1)[k].as_py(), "<u4").astype(np.int64), logs + sums
+                else:
+                    own = own + sums
                 if b.column(3)[k].is_valid:
                     head = b.slice(k, 1)
         if head is not None:
-            yield _rows(head, known, logs)
+            yield _rows(head, known, logs, own)
 
     floor = math.log10(model.tokens + 0.5 * (model.distinct + 1))
 
-    def _rows(head, known, logs):
+    def _rows(head, known, logs, own):
         tokens = head.column(4)[0].values.to_numpy()
-        return pa.record_batch([head.column(3)[0].values, pa.array(tokens), pa.array(known), pa.array(logs - tokens * floor), head.column(5)[0].values], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        return pa.record_batch([head.column(3)[0].values, pa.array(tokens), pa.array(known), pa.array(logs - tokens * floor), pa.array(own + head.column(5)[0].values.to_numpy())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     asked = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(ask, ASKED)
     # a bucket's chunks are dealt to several tasks, each with a copy of its counts, where they are far more than the counts
-    copies = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) >> bits, model.tokens // (64 * max(1, model.distinct))))
+    buckets = n_words + n_grams
+    copies = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) // n_grams, model.tokens // (64 * max(1, model.distinct)), model.tokens // (4 * max(1, model.n_grams))))
     asked = asked.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(copies)).cast("int"))
-    counts = model.words.select("h", "c").mapInArrow(packed, "bucket int, words binary, counts binary").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    kind = "bucket int, words binary, counts binary"
+    words = model.words.select("h", "c").mapInArrow(packed(lambda h: (h.view(np.uint64) >> np.uint64(64 - word_bits)).astype(np.int64), 0), kind)
+    grams = model.grams.mapInArrow(packed(lambda k: _bucket_of(k, gram_bits), n_words), kind)
+    low = model.low.mapInArrow(packed(lambda k: np.zeros(len(k), np.int64), n_words), kind).withColumn("bucket", F.explode(F.sequence(F.lit(n_words), F.lit(buckets - 1))))
+    counts = words.unionByName(grams).unionByName(low).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     both = asked.unionByName(counts, allowMissingColumns=True).select(*[x.split()[0] for x in ASKED.split(", ")], "words", "counts", "salt")
-    met = both.repartitionById(copies << bits, F.col("bucket") * copies + F.col("salt")).sortWithinPartitions("bucket", "salt", F.col("chunk").asc_nulls_first())
+    met = both.repartitionById(copies * buckets, F.col("bucket") * copies + F.col("salt")).sortWithinPartitions("bucket", "salt", F.col("chunk").asc_nulls_first())
     answered = met.mapInArrow(answer, ANSWERED)
     return answered.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(total, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
@@ -415,24 +415,50 @@ ASKED = "bucket int, chunk long, docs int, h binary, size binary, doc binary, ti
 ANSWERED = "chunk long, known binary, logs binary, ids array<long>, tokens array<long>, own array<double>"
 
 
-def _answers(asked, h: np.ndarray, c: np.ndarray):
-    """For each chunk of a bucket: known tokens and sums of log10(c + 0.5) of its texts."""
-    known, logs = [], []
-    for k in range(asked.num_rows):
-        docs = asked.column(2)[k].as_py()
-        kind = "<u2" if docs < 65536 else "<u4"
-        want = np.frombuffer(asked.column(3)[k].as_py(), np.uint64)
-        count = np.zeros(len(want), np.int64)
-        if len(h):
-            at = np.minimum(np.searchsorted(h, want), len(h) - 1)
-            count = np.where(h[at] == want, c[at], 0)
-        size = np.frombuffer(asked.column(4)[k].as_py(), kind)
-        doc = np.frombuffer(asked.column(5)[k].as_py(), kind)
-        times = np.frombuffer(asked.column(6)[k].as_py(), "<u4")
-        each = np.repeat(count, size)
-        known.append(np.bincount(doc, times * (each > 0), docs).astype("<u4").tobytes())
-        logs.append(np.bincount(doc, times * np.log10(each + 0.5), docs).astype("<f8").tobytes())
-    return pa.record_batch([asked.column(1), pa.array(known, pa.binary()), pa.array(logs, pa.binary()), *(asked.column(i) for i in (7, 8, 9))], names=[x.split()[0] for x in ANSWERED.split(", ")])
+def _word_counts(h: np.ndarray, c: np.ndarray):
+    by = np.argsort(h)
+    h, c = h[by], c[by]
+
+    def counts(want: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return np.zeros(len(want), np.int64)
+        at = np.minimum(np.searchsorted(h, want), len(h) - 1)
+        return np.where(h[at] == want, c[at], 0)
+
+    return counts
+
+
+def _gram_prices(k: np.ndarray, c: np.ndarray):
+    """Prices of grams from a bucket's grams and the short contexts of all; those of its own grams are found once."""
+    deep = k & 7 >= NEAR
+    short, grams, n = (k[~deep], c[~deep]), k[deep], c[deep]
+    parts = [short] if not len(grams) else [short, shortened(grams, n, range(NEAR, ORDER + 1))]
+    trie = Trie(*map(np.concatenate, zip(*parts)))
+    known = np.sort(grams)
+    cost = trie.price(known)
+
+    def prices(want: np.ndarray) -> np.ndarray:
+        out, new = np.empty(len(want)), np.ones(len(want), bool)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+            new = known[at] != want
+            out[~new] = cost[at[~new]]
+        out[new] = trie.price(want[new])
+        return out
+
+    return prices
+
+
+def _answers(asked, ready, grams: bool):
+    """For a chunk's questions to a bucket: known tokens and sums of log10(c + 0.5) of its texts, or sums of their grams' prices."""
+    docs = asked.column(2)[0].as_py()
+    kind = "<u2" if docs < 65536 else "<u4"
+    size, doc = (np.frombuffer(asked.column(i)[0].as_py(), kind) for i in (4, 5))
+    times = np.frombuffer(asked.column(6)[0].as_py(), "<u4")
+    each = np.repeat(ready(np.frombuffer(asked.column(3)[0].as_py(), np.int64 if grams else np.uint64)), size)
+    known = None if grams else np.bincount(doc, times * (each > 0), docs).astype("<u4").tobytes()
+    logs = np.bincount(doc, times * (each if grams else np.log10(each + 0.5)), docs).astype("<f8").tobytes()
+    return pa.record_batch([asked.column(1), pa.array([known], pa.binary()), pa.array([logs], pa.binary()), *(asked.column(i) for i in (7, 8, 9))], names=[x.split()[0] for x in ANSWERED.split(", ")])
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
