@@ -2,8 +2,8 @@
 
 A text is its words (runs of bytes other than space and 0x09-0x0D, with A-Z as a-z) and one end.  The model
 codes each word's bytes and a space after them, and the end as a line feed where a word could start.  The
-context of a byte is the ORDER bytes before it, back to the space before its word and no further, so what a
-word costs does not depend on where it stands.  Contexts form a trie of counts over all training texts.  A
+context of a byte is the ORDER bytes before it, those of earlier words included; a text begins after a space.
+Without ``across`` each word begins anew, so what it costs does not depend on where it stands.  Contexts form a trie of counts over all training texts.  A
 byte is coded in the longest context that the trie has; a context that has not met the byte escapes to the
 next shorter one with probability q / 2T (q different bytes met, T in all; a byte met c times has
 (2c - 1) / 2T), where the bytes that the longer one has met are excluded; behind the empty context all bytes
@@ -41,7 +41,7 @@ ORDER = 6
 #: Contexts of fewer bytes than NEAR go to every bucket of grams, longer ones to the bucket of their nearest NEAR bytes.
 NEAR = 3
 #: Bytes of text in a chunk; words or grams that a task counts before it hands them on; words and grams of a bucket, about.
-CHUNK, FLUSH, BUCKET_WORDS, BUCKET_GRAMS = 1 << 22, 3_000_000, 2_000_000, 1_000_000
+CHUNK, FLUSH, BUCKET_WORDS, BUCKET_GRAMS = 1 << 21, 3_000_000, 2_000_000, 1_000_000
 HELD_OUT, FOLDS = 1, 5
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -308,10 +308,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         if w.start == w.stop and k + base:
                             continue
                         out["bucket"].append(k + base)
-                        out["h"].append(different[w].tobytes())
-                        out["size"].append(np.bincount(word[p] - w.start, minlength=w.stop - w.start).astype(kind).tobytes())
-                        out["doc"].append(doc[p].astype(kind).tobytes())
-                        out["times"].append(times[p].astype("<u4").tobytes())
+                        out["h"].append(_squeezed(np.diff(different[w], prepend=different.dtype.type(0))))
+                        out["size"].append(_squeezed(np.bincount(word[p] - w.start, minlength=w.stop - w.start).astype(kind)))
+                        out["doc"].append(_squeezed(doc[p].astype(kind)))
+                        out["times"].append(_squeezed(times[p].astype("<u4")))
 
                 questions(tokens, of_row, lambda h: (h >> np.uint64(64 - word_bits)).astype(np.int64), n_words, 0)
                 grams, token = coded(buf, starts, ends, first, across)
@@ -415,6 +415,20 @@ ASKED = "bucket int, chunk long, docs int, h binary, size binary, doc binary, ti
 ANSWERED = "chunk long, known binary, logs binary, ids array<long>, tokens array<long>, own array<double>"
 
 
+def _squeezed(a: np.ndarray) -> bytes:
+    """An array as compressed planes of bytes: most high bytes are zero."""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
+    return len(a).to_bytes(4, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else b"")
+
+
+def _released(data: bytes, kind) -> np.ndarray:
+    n, kind = int.from_bytes(data[:4], "little"), np.dtype(kind)
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data[4:], n * kind.itemsize, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
 def _word_counts(h: np.ndarray, c: np.ndarray):
     by = np.argsort(h)
     h, c = h[by], c[by]
@@ -453,9 +467,9 @@ def _answers(asked, ready, grams: bool):
     """For a chunk's questions to a bucket: known tokens and sums of log10(c + 0.5) of its texts, or sums of their grams' prices."""
     docs = asked.column(2)[0].as_py()
     kind = "<u2" if docs < 65536 else "<u4"
-    size, doc = (np.frombuffer(asked.column(i)[0].as_py(), kind) for i in (4, 5))
-    times = np.frombuffer(asked.column(6)[0].as_py(), "<u4")
-    each = np.repeat(ready(np.frombuffer(asked.column(3)[0].as_py(), np.int64 if grams else np.uint64)), size)
+    size, doc, times = (_released(asked.column(i)[0].as_py(), t) for i, t in ((4, kind), (5, kind), (6, "<u4")))
+    want = np.cumsum(_released(asked.column(3)[0].as_py(), np.int64 if grams else np.uint64))
+    each = np.repeat(ready(want), size)
     known = None if grams else np.bincount(doc, times * (each > 0), docs).astype("<u4").tobytes()
     logs = np.bincount(doc, times * (each if grams else np.log10(each + 0.5)), docs).astype("<f8").tobytes()
     return pa.record_batch([asked.column(1), pa.array([known], pa.binary()), pa.array([logs], pa.binary()), *(asked.column(i) for i in (7, 8, 9))], names=[x.split()[0] for x in ANSWERED.split(", ")])
@@ -464,5 +478,5 @@ def _answers(asked, ready, grams: bool):
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold(FOLDS) == HELD_OUT, F.lit(False))
-    model = train(docs.withColumn("learn", ~held_out))
+    model = train(docs.withColumn("learn", ~held_out), across=True)
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

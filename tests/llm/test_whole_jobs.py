@@ -1,8 +1,13 @@
 """Inputs on which a cut of the work would show: many rare contexts, order of words, unusual disguises, rare languages."""
 
+import zlib
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lodestow.llm import ppm
+from test_brute_force import PlainTrie
 
 
 def test_op4_keeps_rare_contexts_of_a_large_table(spark):
@@ -16,3 +21,35 @@ def test_op4_keeps_rare_contexts_of_a_large_table(spark):
     assert got[99]["n_known"] == 501
     # five letters tell nearly every word: the rest costs about half a letter's share each, not log10(1 / 26)
     assert got[99]["score"] / 500 > -8.5
+
+
+def test_op4_tells_prose_from_word_salad(spark):
+    """The query's model, by hand and by the order of words: no two words are repeated after the same two within a text."""
+    prose = ["the old man sat on a red mat", "a red mat lay on the old floor", "the old man saw a cat"] * 5
+    salad = "mat the on a sat red man old"
+    rows = [(i, t, True) for i, t in enumerate(prose)] + [(100, prose[0], False), (101, salad, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    got = {r["doc_id"]: r["score"] for r in ppm.score(docs, ppm.train(docs, across=True)).where("doc_id >= 100").collect()}
+    trie = PlainTrie({}, 0)
+    trie.count.clear()
+
+    def coded(t):
+        text = b" " + t.encode() + b" \n"
+        return [(text[max(0, i - ppm.ORDER) : i], text[i]) for i in range(1, len(text))]
+
+    for t in prose:
+        for context, symbol in coded(t):
+            for k in range(len(context) + 1):
+                trie.count[context[len(context) - k :]][symbol] += 1
+    for i, t in ((100, prose[0]), (101, salad)):
+        assert got[i] == pytest.approx(sum(trie.symbol(c, s) for c, s in coded(t)), abs=1e-6)
+    assert got[100] - got[101] > 5
+
+
+def test_op4_query_reads_contexts_across_words(spark, tmp_path):
+    held, learnt = ([i for i in range(200) if (zlib.crc32(str(i).encode()) % 5 == 1) == x] for x in (True, False))
+    prose = ["the old man sat on a red mat", "a red mat lay on the old floor", "the old man saw a cat"]
+    rows = [(i, prose[k % 3]) for k, i in enumerate(learnt)] + [(held[0], prose[0]), (held[1], "mat the on a sat red man old")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in ppm.op4_ppm(spark, str(tmp_path)).collect()}
+    assert got[held[0]] - got[held[1]] > 5
