@@ -1,10 +1,11 @@
 """Toxicity: restore disguised words by a noisy-channel model, then score the restored text.
 
 A passage may be disguised if it has look-alike characters next to letters (leetspeak), a letter three times
-in a row, or at least three single characters spread out with spaces, dots, dashes and the like.  Its lattice
-has for each character the letters it may stand for, for each repetition one or two of the letter, and for
-each gap nothing or the end of a word, all at a channel cost: a narrow gap is more likely nothing, a wide one
-the end of a word.  Viterbi decoding finds the path that is most
+in a row, or at least three single characters spread out with any runs of white space and punctuation, behind
+any opening punctuation; passages have any length.  Its lattice has for each character the letters it may stand
+for, for each repetition one or two of the letter, and for each gap nothing or the end of a word, all at a
+channel cost: a gap as narrow as the passage's narrowest is more likely nothing, a wider one the end of a word.
+Viterbi decoding finds the path that is most
 likely under a character trigram model, which is counted over all texts.  All other passages stay.
 
 The score is a logistic regression on which words, beginnings of words and pairs of words the restored text
@@ -35,12 +36,16 @@ PREFIXES = (4, 5, 6)
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
 #: log costs of the channel: a look-alike, a repetition, a gap; what a gap costs more if it does not mean what its width says.
 LOOK_COST, REPEAT_COST, GAP_COST, ODD_GAP = -0.7, -0.5, -0.3, -3.0
+#: Characters of the longest passages whose answers are kept.
+KEPT = 64
 _STATES = 28  # 0 between words, 1-26 a-z, 27 any other letter
 _LETTER = re.compile(r"[A-Za-z]")
 _LOOK = "".join(re.escape(c) for c in LOOKS)
-_SPREAD = rf"(?<![^\s])[A-Za-z{_LOOK}](?:[ ._*~-]{{1,2}}[A-Za-z{_LOOK}](?![A-Za-z{_LOOK}])){{2,}}(?![A-Za-z0-9@])"
+_GAP = rf"(?:[^\w{_LOOK}]|_)"
+_SPREAD = rf"(?<!\S)(?:[^\w\s]|_)*?[A-Za-z{_LOOK}](?:{_GAP}+[A-Za-z{_LOOK}](?![A-Za-z{_LOOK}])){{2,}}(?![A-Za-z0-9@])"
 _DISGUISED = rf"(?:[A-Za-z][{_LOOK}]|[{_LOOK}][A-Za-z]|([A-Za-z])\1\1)"
-_SUSPECT = re.compile(rf"{_SPREAD}|(?<!\S)(?=\S{{0,63}}?{_DISGUISED})\S{{3,64}}(?!\S)", re.IGNORECASE)
+_SUSPECT = re.compile(rf"{_SPREAD}|(?<!\S)(?=\S*?{_DISGUISED})\S{{3,}}", re.IGNORECASE)
+_GAPS = re.compile(f"{_GAP}+")
 _TRAIL = re.compile(r"^[^A-Za-z0-9@$|+€(]+|[^A-Za-z0-9@$|+€]+$")
 
 _CLASS = np.zeros(256, np.int64)
@@ -82,11 +87,18 @@ class Restorer:
         self.log, self.keep, self.known = log.tolist(), keep, {}
 
     def _lattice(self, passage: str) -> list[list[tuple[float, str]]]:
-        spread = len(passage) > 2 and not _LETTER.search(re.sub(r"(?<![^\W_])\S(?![^\W_])", "", passage)) and bool(re.search(r"[ ._*~-]", passage))
+        spread = len(passage) > 2 and not _LETTER.search(re.sub(r"(?<![^\W_])\S(?![^\W_])", "", passage)) and bool(_GAPS.search(passage))
+        narrow = min((len(g) for g in _GAPS.findall(passage)), default=0) if spread else 0
         out: list[list[tuple[float, str]]] = []
         i, n = 0, len(passage)
         while i < n:
             c = passage[i]
+            gap = _GAPS.match(passage, i) if spread else None
+            if gap:
+                wide = gap.end() - i > narrow
+                out.append([(GAP_COST + (ODD_GAP if wide else 0), ""), (GAP_COST + (0 if wide else ODD_GAP), " ")])
+                i = gap.end()
+                continue
             j = i + 1
             while j < n and passage[j] == c:
                 j += 1
@@ -99,8 +111,6 @@ class Restorer:
             elif c in LOOKS:
                 letters = [(LOOK_COST, x) for x in LOOKS[c]]
                 out.append(letters + ([(LOOK_COST + REPEAT_COST, x * 2) for x in LOOKS[c]] if j - i > 1 else []))
-            elif c in " ._*~-" and spread:
-                out.append([(GAP_COST + (ODD_GAP if j - i > 1 else 0), ""), (GAP_COST + (ODD_GAP if j - i == 1 else 0), " ")])
             elif c.isalpha():
                 out += [[(0.0, low)]] * (j - i)
             else:
@@ -110,10 +120,11 @@ class Restorer:
 
     def decode(self, passage: str) -> str:
         log = self.log
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # what a path has emitted is a chain of pairs, shared by the paths that go on from it: linear in the passage
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for choices in [*self._lattice(passage), [(0.0, " ")]]:
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, chain) in best.items():
                 for cost, emitted in choices:
                     p, q, s = a, b, score + cost
                     for c in emitted:
@@ -122,9 +133,13 @@ class Restorer:
                             s += log[p][q][k]
                             p, q = q, k
                     if (p, q) not in following or following[p, q][0] < s:
-                        following[p, q] = s, text + emitted
+                        following[p, q] = s, (chain, emitted)
             best = following
-        return " ".join(max(best.values())[1].split())
+        chain, emitted = max(best.values(), key=lambda x: x[0])[1], []
+        while chain is not None:
+            emitted.append(chain[1])
+            chain = chain[0]
+        return " ".join("".join(reversed(emitted)).split())
 
     def _replace(self, m: re.Match) -> str:
         whole = m.group()
@@ -135,7 +150,9 @@ class Restorer:
         if answer is None:
             if len(self.known) > self.keep:
                 self.known.clear()
-            answer = self.known[core] = self.decode(core)
+            answer = self.decode(core)
+            if len(core) <= KEPT:
+                self.known[core] = answer
         return whole.replace(core, answer, 1)
 
     def __call__(self, text: str) -> str:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestow.llm import ppm
+from lodestow.llm import ppm, toxicity
 from test_brute_force import PlainTrie
 
 
@@ -53,3 +53,14 @@ def test_op4_query_reads_contexts_across_words(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["score"] for r in ppm.op4_ppm(spark, str(tmp_path)).collect()}
     assert got[held[0]] - got[held[1]] > 5
+
+
+def test_op5_restores_long_and_spread_passages(spark, data):
+    plain = spark.createDataFrame([(0, "you idiot clown are stupid and worthless trash")] * 50, "doc_id long, text string")
+    r = toxicity.Restorer(toxicity.train_characters(plain.union(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"))))
+    cases = {
+        "s - t - u - p - i - d": "stupid", '"s.t.u.p.i.d"': '"stupid"', "[s.t.u.p.i.d]": "[stupid]", "s\tt\tu\tp\ti\td": "stupid", "s\nt\nu\np\ni\nd": "stupid",
+        "s/t/u/p/i/d": "stupid", "s,t,u,p,i,d": "stupid", "an id" + "i" * 70 + "ot": "an idiot", "/".join(["1d10t"] * 20): " ".join(["idiot"] * 20), "st-u-p-i-d": "st-u-p-i-d",
+    }
+    assert {given: r(given) for given in cases} == cases
+    assert r("/".join(["1d10t"] * 20_000)).count("idiot") == 20_000
