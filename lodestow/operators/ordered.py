@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import align_up
-from ..session import cut
+from .chains import positions
 
 
 def offsets(df: DataFrame, keys: list[str], order: list[Column], size: Column, step: int = 1, start: Column | int = 0, name: str = "offset") -> DataFrame:
@@ -100,16 +100,10 @@ def sliding_rate(df: DataFrame, keys: list[str], at: str, span: int, amount: Col
     return df.withColumn("in_span", F.count("*").over(w)).withColumn("amount_in_span", F.sum(amount).over(w))
 
 
-def tree_levels(nodes: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame:
-    """(key, parent, level): level 0 where the parent is null, a join for each further level; cycles and orphans are left out."""
-    level = nodes.where(F.col(parent).isNull()).select(key, parent, F.lit(0).alias("level"))
-    out = level
-    for n in range(1, most):
-        level = cut(nodes.join(level.select(F.col(key).alias(parent)), parent).select(key, parent, F.lit(n).alias("level")))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def tree_levels(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, parent, level): level 0 where the parent is null; joins grow with log2 of the depth; cycles and orphans are left out."""
+    levels = positions(nodes.select(key, parent).distinct(), key, parent).select(key, F.col("position").cast("int").alias("level"))
+    return nodes.select(key, parent).join(levels, key)
 
 
 def blended_rate(df: DataFrame, keys: list[str], at: str, written: str, total: str, span: int) -> DataFrame:
