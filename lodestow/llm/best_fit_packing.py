@@ -91,7 +91,7 @@ def _encoder(vocabulary: str) -> Encoder:
 
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenizer.encode_special_tokens = True
-        _encoders[vocabulary] = Encoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        _encoders[vocabulary] = Encoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
     return _encoders[vocabulary]
 
 

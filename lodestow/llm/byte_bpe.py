@@ -6,7 +6,7 @@ bitmap says which buckets hold any, find-first-set gives the next rank, and posi
 changed since are skipped.  The work is O(n log n) in the length of a pre-token, however long it is.
 
 Texts are split with array operations over code points; a task merges a pre-token once and keeps its ids
-under a 64-bit hash, up to KEEP of them.  Null is the empty text; the empty text has no ids; repeated rows
+under its bytes, up to KEEP of them.  Null is the empty text; the empty text has no ids; repeated rows
 have equal results; extra columns of the input are not read.
 """
 
@@ -28,7 +28,7 @@ from . import text_arrays as A
 from .common import prepare, table
 
 #: Merged pre-tokens that a task remembers, characters of text handled at once.
-KEEP, CHUNK = 150_000, 1 << 19
+KEEP, CHUNK = 300_000, 1 << 19
 
 _SPACE, _WHITE, _LETTER, _NUMBER, _OTHER = range(5)
 _OUTSIDE = 0x110000
@@ -194,30 +194,29 @@ def _segments(text: str) -> Iterator[str]:
 
 
 class Encoder:
-    """Ids of many texts; ``merge`` gives those of pre-tokens (a list of strings) as lists of ids."""
+    """Ids of many texts; ``merge`` gives those of pre-tokens (a list of bytes) as lists of ids."""
 
-    def __init__(self, merge: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, merge: Callable[[list[bytes]], list[list[int]]]):
         self.merge, self.known, self.older = merge, {}, {}
 
-    def _part(self, text: str, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        starts = split(points, first)
-        ends = np.append(starts[1:], len(points))
-        h = np.empty(len(starts), np.uint64)
-        i = 0
-        while i < len(starts):  # as text_arrays.hashes, over code points
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + A.PIECE, "right")))
-            base = starts[i]
-            v = A.mix(points[base : ends[j - 1]].astype(np.uint64) + np.uint64(1))
-            power, inverse = A._tables(len(v) + 1)
-            v *= power[: len(v)]
-            total = np.zeros(len(v) + 1, np.uint64)
-            np.cumsum(v, out=total[1:])
-            s = starts[i:j] - base
-            h[i:j] = (total[ends[i:j] - base] - total[s]) * inverse[s]
-            i = j
-        unique, where, which = np.unique(h, return_index=True, return_inverse=True)
-        keys = unique.tolist()
+    def _unique(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A place of each different pre-token, and which of them each pre-token is: by hashes, held against the bytes."""
+        _, where, which = np.unique(A.hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        first = where[which]
+        if not A.same(buf, starts, ends, starts[first], ends[first]).all():  # two that differ have one hash: by value
+            data, seen = buf.tobytes(), {}
+            which = np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())])
+            where = np.unique(which, return_index=True)[1]
+        return where, which
+
+    def _part(self, data: bytes, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        buf = np.frombuffer(data, np.uint8)
+        starts = split(np.frombuffer(data.decode().encode("utf-32-le"), np.uint32), first)
+        row_first = np.searchsorted(starts, first)
+        starts = np.flatnonzero((buf & 0xC0) != 0x80)[starts]  # from code points to bytes
+        ends = np.append(starts[1:], len(buf))[: len(starts)]
+        where, which = self._unique(buf, starts, ends)
+        keys = [data[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
         known = self.known
         blobs = list(map(known.get, keys))
         new = [k for k, b in enumerate(blobs) if b is None]
@@ -228,8 +227,7 @@ class Encoder:
                     known[keys[k]] = b
             new = [k for k in new if blobs[k] is None]
         if new:
-            lo, hi = starts[where[new]].tolist(), ends[where[new]].tolist()
-            for k, ids in zip(new, self.merge([text[a:b] for a, b in zip(lo, hi)])):
+            for k, ids in zip(new, self.merge([keys[k] for k in new])):
                 blobs[k] = known[keys[k]] = pack(f"<{len(ids)}I", *ids)
         if len(known) > KEEP:  # what has not been met since the last time is forgotten
             self.known, self.older = {}, known
@@ -240,19 +238,19 @@ class Encoder:
         total = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=total[1:])
         ids = flat[np.repeat(begin[which] - total[:-1], count) + np.arange(total[-1])]
-        return ids, total[np.searchsorted(starts, first)]
+        return ids, total[row_first]
 
     def rows(self, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, their ids end to end, each row's first id and the end)."""
         for lo, hi, buf, off in A.chunks(col, CHUNK):
             if hi - lo == 1:
-                parts = [self._part(t, np.array([0, len(t)]))[0] for t in _segments(buf.tobytes().decode())]
+                parts = [self._part(t.encode(), np.array([0, len(t)]))[0] for t in _segments(buf.tobytes().decode())]
                 ids = np.concatenate(parts)
                 yield lo, hi, ids, np.array([0, len(ids)])
                 continue
             at = np.zeros(len(buf) + 1, np.int64)
             np.cumsum((buf & 0xC0) != 0x80, out=at[1:])
-            yield lo, hi, *self._part(buf.tobytes().decode(), at[off])
+            yield lo, hi, *self._part(buf.tobytes(), at[off])
 
 
 class Decoder:
@@ -280,7 +278,7 @@ def _tools(ranks: dict[bytes, int], key: str) -> tuple[Encoder, Decoder]:
     """One encoder and decoder for each vocabulary in a worker, so that later tasks know its pre-tokens."""
     if key not in _loaded:
         merger = Merger(ranks)
-        _loaded[key] = Encoder(lambda pieces: [merger(p.encode()) for p in pieces]), Decoder({i: t for t, i in ranks.items()})
+        _loaded[key] = Encoder(lambda pieces: list(map(merger, pieces))), Decoder({i: t for t, i in ranks.items()})
     return _loaded[key]
 
 

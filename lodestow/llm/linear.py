@@ -19,16 +19,18 @@ def fold(modulus: int, doc_id="doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: int, modulus: int = 4, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """Rows (doc_id, text, y) of up to ``per_class`` labelled rows a class, none of the fold ``held_out``.
+    """Rows (doc_id, text, y) of up to ``per_class`` labelled ids a class, none of the fold ``held_out``.
 
-    Which rows: the least hashes of doc_id, so the choice is the same on every run.  The ids, at most
-    2 * per_class, are broadcast; documents are scanned once and not shuffled.
+    Which ids: those with the least hashes, so the choice is the same on every run.  The ids, at most
+    2 * per_class, are broadcast; documents are scanned once, and only the sample's are shuffled.  An id that
+    is labelled both ways is left out; of several texts with one id the least is taken.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(target).alias("y")).where(F.col("_id").isNotNull() & F.col("y").isin(0, 1))
-    known = known.where(fold(modulus, "_id") != held_out)
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(target).alias("y")).where(F.col("_id").isNotNull() & F.col("y").isin(0, 1))
+    known = known.where(fold(modulus, "_id") != held_out).groupBy("_id").agg(F.min("y").alias("y"), F.max("y").alias("_most")).where("y = _most").drop("_most")
     picks = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
-    picked = picks[0].unionByName(picks[1]).dropDuplicates(["_id"])
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    drawn = rows.join(F.broadcast(picks[0].unionByName(picks[1])), F.col("doc_id") == F.col("_id"))
+    return drawn.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fit(sample: DataFrame, features: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]], learn: Callable) -> np.ndarray:

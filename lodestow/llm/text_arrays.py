@@ -11,11 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once, and bytes hashed at once.
-CHUNK, PIECE = 1 << 20, 1 << 18
+#: Bytes of text handled at once.
+CHUNK = 1 << 20
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 
@@ -27,23 +25,15 @@ SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 WORDS = np.where(SEPARATORS, 0, 1).astype(np.uint8)
 RUNS = np.array([0 if SEPARATORS[b] else 1 if b >= 0x80 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
 
-_VALUES = np.random.Generator(np.random.PCG64(20240601)).integers(1, 1 << 63, 256, dtype=np.uint64)
-#: The value of a byte in a hash: as it is, or with A-Z as a-z.
-EXACT = _VALUES.copy()
-FOLDED = _VALUES.copy()
-FOLDED[65:91] = _VALUES[97:123]
+#: Each byte with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, PIECE + 1)
-        for k, base in enumerate((_ODD, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
+#: 8-byte words of a run that are folded one after the other; longer runs are hashed by blocks of that many.
+_WORDS = 32
+#: Masks of the first k bytes of a word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -92,22 +82,51 @@ def runs(buf: np.ndarray, off: np.ndarray, classes: np.ndarray = WORDS) -> tuple
     return starts, ends, np.searchsorted(starts, off)
 
 
-def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = EXACT) -> np.ndarray:
-    """A 64-bit hash of each run; equal bytes have equal hashes wherever they are."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        base = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + PIECE, "right")))
-        v = values[buf[base : ends[j - 1]]]
-        power, inverse = _tables(len(v) + 1)
-        v *= power[: len(v)]
-        total = np.zeros(len(v) + 1, np.uint64)
-        np.cumsum(v, out=total[1:])
-        s = starts[i:j] - base
-        out[i:j] = (total[ends[i:j] - base] - total[s]) * inverse[s]
-        i = j
-    return mix(out)
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
+    """A 64-bit hash of each run; equal bytes have equal hashes wherever they are.  ``folded``: with A-Z as a-z.
+
+    A run's length and then its bytes, eight at a time, go through a mixing step each that is no linear function
+    of them; a run of more than 256 bytes is the hash of the hashes of its blocks.
+    """
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = LOWER[buf] if folded else buf
+    return _hashed(padded, np.asarray(starts, np.int64), np.asarray(ends, np.int64), 0)
+
+
+def _hashed(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, level: int) -> np.ndarray:
+    words = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _LENGTH + np.uint64(level))
+    block = 8 * _WORDS
+    long = np.flatnonzero(size > block)
+    left = np.flatnonzero(size > 0) if not len(long) else np.flatnonzero((size > 0) & (size <= block))
+    for k in range(_WORDS):
+        if not len(left):
+            break
+        at, rest = starts[left] + 8 * k, size[left] - 8 * k
+        out[left] = mix(out[left] ^ (words[at] & _FIRST[np.minimum(rest, 8)]))
+        left = left[rest > 8]
+    if len(long):
+        parts = -(-size[long] // block)
+        upto = np.cumsum(parts)
+        nth = np.arange(upto[-1]) - np.repeat(upto - parts, parts)
+        begin = np.repeat(starts[long], parts) + nth * block
+        each = _hashed(padded, begin, np.minimum(begin + block, np.repeat(ends[long], parts)), level)
+        inner = np.zeros(8 * len(each) + 8, np.uint8)
+        inner[:-8] = each.astype("<u8").view(np.uint8)
+        out[long] = mix(out[long] ^ _hashed(inner, 8 * (upto - parts), 8 * upto, level + 1))
+    return out
+
+
+def same(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Which runs have the very bytes of the other run beside them."""
+    size = ends - starts
+    equal = size == other_ends - others
+    run = np.repeat(np.flatnonzero(equal), size[equal])
+    upto = np.cumsum(size[equal])
+    nth = np.arange(len(run)) - np.repeat(upto - size[equal], size[equal])
+    equal[run[buf[starts[run] + nth] != buf[others[run] + nth]]] = False
+    return equal
 
 
 def rows_of(first: np.ndarray) -> np.ndarray:

@@ -175,12 +175,12 @@ def _indices(buf, off) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features that each row has, once each, in order of rows."""
     starts, ends, first = A.runs(buf, off, A.RUNS)
     row = A.rows_of(first)
-    h = A.hashes(buf, starts, ends, A.FOLDED)
+    h = A.hashes(buf, starts, ends, folded=True)
     two, at = A.ngrams(h, row, 2)
     parts, rows = [h, two], [row, row[at]]
     for n in PREFIXES:
         long = ends - starts > n
-        parts.append(A.mix(A.hashes(buf, starts[long], starts[long] + n, A.FOLDED) + np.uint64(n)))
+        parts.append(A.mix(A.hashes(buf, starts[long], starts[long] + n, folded=True) + np.uint64(n)))
         rows.append(row[long])
     i, row = (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
     key = np.unique(row << BITS | i)
