@@ -3,8 +3,8 @@
 A text is its words (runs of bytes other than space and 0x09-0x0D, with A-Z as a-z) and one end.  The model
 codes each word's bytes and a space after them, and the end as a line feed where a word could start.  The
 context of a byte is the ORDER bytes before it, those of earlier words included; a text begins after a space.
-Without ``across`` each word begins anew, so what it costs does not depend on where it stands.  Contexts form a trie of counts over all training texts.  A
-byte is coded in the longest context that the trie has; a context that has not met the byte escapes to the
+Without ``across`` each word begins anew, so what it costs does not depend on where it stands.  Contexts form
+a trie of counts over all training texts.  A byte is coded in the longest context that the trie has; a context that has not met the byte escapes to the
 next shorter one with probability q / 2T (q different bytes met, T in all; a byte met c times has
 (2c - 1) / 2T), where the bytes that the longer one has met are excluded; behind the empty context all bytes
 not yet excluded are equally likely.  Before all that comes a context that adapts to the text itself: where
@@ -12,9 +12,9 @@ the two words before a word have stood together earlier in the text, the word th
 predicted, with the share of such predictions that have come true in this text so far ((right + 1/2) /
 (made + 1)); a wrong one escapes to the trie.
 
-The base score is that of a unigram model with exact counts of all words.  Words and grams (a byte with its
-longest context) meet their counts by buckets: a task holds one bucket's counts and streams through what the
-texts ask of it.  All grams of the training texts are counted, however many; a bucket has all grams whose
+The base score is that of a unigram model with counts of all words, told apart by 64-bit hashes.  Words and
+grams (a byte with its longest context) meet their counts by buckets: a task holds one bucket's counts and
+streams through what the texts ask of it.  All grams of the training texts are counted, however many; a bucket has all grams whose
 contexts end in the same NEAR bytes, so it finds the counts of all its longer contexts by sums, and those of the
 shorter ones (at most 2^24 + 2^16 + 2^8, constant) come along as rows.
 
@@ -26,6 +26,7 @@ the input are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,12 +41,12 @@ from .linear import fold
 ORDER = 6
 #: Contexts of fewer bytes than NEAR go to every bucket of grams, longer ones to the bucket of their nearest NEAR bytes.
 NEAR = 3
-#: Bytes of text in a chunk; words or grams that a task counts before it hands them on; words and grams of a bucket, about.
-CHUNK, FLUSH, BUCKET_WORDS, BUCKET_GRAMS = 1 << 21, 3_000_000, 2_000_000, 1_000_000
+#: Bytes of text in a chunk; words or grams that a task counts before it hands them on.
+CHUNK, FLUSH = 1 << 22, 3_000_000
+#: Of a bucket, about: words, grams, and bytes of training text whose keys are merged at once; bytes of questions for a task.
+BUCKET_WORDS, BUCKET_GRAMS, BUCKET_BYTES, TASK_BYTES = 2_000_000, 1_000_000, 4 << 20, 32 << 20
 HELD_OUT, FOLDS = 1, 5
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SPACE, _END, _SYMBOLS = 0x20, 0x0A, 257
 #: The hash that stands for the end.
 END = A.mix(np.array([0xE0F], np.uint64))[0]
@@ -69,7 +70,7 @@ def coded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarr
     token = np.repeat(np.arange(len(size)), size)
     nth = np.arange(len(token))
     at = nth + np.repeat(begin - (upto - size), size)
-    symbol = np.append(_LOWER[buf], np.uint8(0))[np.minimum(at, len(buf))].astype(np.int64)
+    symbol = np.append(A.LOWER[buf], np.uint8(0))[np.minimum(at, len(buf))].astype(np.int64)
     symbol[upto - 1] = _SPACE
     closing = first[1:] + np.arange(len(first) - 1)
     symbol[upto[closing] - 1] = _END
@@ -203,22 +204,60 @@ def foretold(h: np.ndarray, row: np.ndarray, depth: int = 2) -> tuple[np.ndarray
 
 @dataclass
 class Model:
-    """Counts of all training words as rows (h, c), of grams as rows (k, n), and of the contexts shorter than NEAR; all in the shared folder."""
+    """Counts of all training words and grams, and of the contexts shorter than NEAR, in the shared folder.
 
-    words: DataFrame
+    ``counts``: rows (kind, bucket, size, total, keys, counts), each with a sorted part of a bucket's keys; kind
+    0 words, 1 grams, 2 short contexts; a bucket is the first ``bits`` bits of a hash.
+    """
+
+    counts: DataFrame
+    bits: int
     tokens: int
     distinct: int
-    grams: DataFrame
-    low: DataFrame
     n_grams: int
     across: bool
 
 
+COUNTED = "kind int, bucket int, size long, total long, keys binary, counts binary"
+
+
+def _place(kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of each key: of words by their hash, of grams by the nearest NEAR bytes of their context, of short contexts the first."""
+    if kind == 2:
+        return np.zeros(len(keys), np.int64)
+    h = keys.view(np.uint64) if kind == 0 else A.mix((keys >> 11 & _LOWEST[NEAR]).astype(np.uint64) + np.uint64(1))
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted keys and their counts as a row for each bucket."""
+    bucket = _place(kind, keys, bits)
+    by = np.argsort(bucket, kind="stable")
+    full, at = np.unique(bucket[by], return_index=True)
+    parts = np.split(by, at[1:]) if len(at) else []
+    columns = [np.full(len(parts), kind, np.int32), full.astype(np.int32), np.array([len(x) for x in parts], np.int64), np.array([counts[x].sum() for x in parts], np.int64)]
+    blobs = [[_squeezed(_steps(keys[x])) for x in parts], [_squeezed(counts[x]) for x in parts]]
+    return pa.record_batch([*map(pa.array, columns), *(pa.array(x, pa.binary()) for x in blobs)], names=[x.split()[0] for x in COUNTED.split(", ")])
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys.view(np.uint64), prepend=np.uint64(0))
+
+
+def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_released(keys, np.uint64)).view(np.int64), _released(counts, np.int64)
+
+
 def train(docs: DataFrame, across: bool = False) -> Model:
     """Count words and contexts of all rows (column text; only where ``learn`` is true).
 
-    ``across``: contexts go on over the words before, else each word begins anew.
+    ``across``: contexts go on over the words before, else each word begins anew.  A task hands on sorted keys
+    and counts by buckets; a bucket's parts are merged in one task.
     """
+    prepare(docs.sparkSession)
+    learnt = docs.where("learn").select(F.col("text").cast("string").alias("text"))
+    size = learnt.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    bits = min(24, _bits(size, BUCKET_BYTES))
 
     def count(batches):
         held: dict = {"h": [], "n": [], "k": [], "c": [], "texts": 0, "size": 0}
@@ -227,20 +266,19 @@ def train(docs: DataFrame, across: bool = False) -> Model:
             if not held["texts"]:
                 return
             h, n = _summed(held["h"], held["n"])
-            h, n = np.append(h, END), np.append(n, held["texts"])
+            by = np.argsort(h := np.append(h, END))
             k, c = _summed(held["k"], held["c"])
             low = shortened(k, c, range(NEAR))
             k, c = k[k & 7 >= NEAR], c[k & 7 >= NEAR]
+            words = h[by].view(np.int64), np.append(n, held["texts"])[by]
             held.update(h=[], n=[], k=[], c=[], texts=0, size=0)
-            for kind, key, value in ((0, h.view(np.int64), n), (1, k, c), (2, *low)):
-                for lo in range(0, len(key), 100_000):
-                    part = slice(lo, lo + 100_000)
-                    yield pa.record_batch([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part]), pa.array(value[part])], names=["kind", "k", "n"])
+            for kind, keys, counts in ((0, *words), (1, k, c), (2, *low)):
+                yield _packed(kind, keys, counts, bits)
 
         for b in batches:
-            for lo, hi, buf, off in A.chunks(b.column(0), CHUNK):
+            for lo, hi, buf, off in A.chunks(b.column(0)):
                 starts, ends, first = A.runs(buf, off)
-                for name, of, values in (("h", "n", A.hashes(buf, starts, ends, A.FOLDED)), ("k", "c", coded(buf, starts, ends, first, across)[0])):
+                for name, of, values in (("h", "n", A.hashes(buf, starts, ends, folded=True)), ("k", "c", coded(buf, starts, ends, first, across)[0])):
                     values, n = np.unique(values, return_counts=True)
                     held[name].append(values)
                     held[of].append(n)
@@ -250,169 +288,211 @@ def train(docs: DataFrame, across: bool = False) -> Model:
                     yield from flush()
         yield from flush()
 
-    prepare(docs.sparkSession)
-    partial = docs.where("learn").select("text").mapInArrow(count, "kind int, k long, n long")
-    counted = written(partial.groupBy("kind", "k").agg(F.sum("n").alias("n")), "counts")
-    words = counted.where("kind = 0").select(F.col("k").alias("h"), F.col("n").alias("c"))
-    total = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    grams, low = (counted.where(f"kind = {kind}").select("k", "n") for kind in (1, 2))
-    return Model(words, total["n"], total["v"], grams, low, grams.count(), across)
+    def merge(batches):
+        place, keys, counts = None, [], []
+
+        def done():
+            k, c = _summed([x.view(np.uint64) for x in keys], counts)
+            return pa.record_batch([[place[1]], [place[0]], [len(k)], [int(c.sum())], [_squeezed(_steps(k))], [_squeezed(c)]], schema=schema)
+
+        schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("size", pa.int64()), ("total", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+        for b in batches:
+            for kind, bucket, k, c in zip(*(b.column(i).to_pylist() for i in (0, 1, 4, 5))):
+                if (bucket, kind) != place:
+                    if place:
+                        yield done()
+                    place, keys, counts = (bucket, kind), [], []
+                k, c = _unpacked(k, c)
+                keys.append(k)
+                counts.append(c)
+                if sum(map(len, keys)) > FLUSH and len(keys) > 8:  # what is held stays near what is different
+                    k, c = _summed([x.view(np.uint64) for x in keys], counts)
+                    keys, counts = [k.view(np.int64)], [c]
+        if place:
+            yield done()
+
+    parts = learnt.mapInArrow(count, COUNTED)
+    counted = written(parts.repartition("bucket", "kind").sortWithinPartitions("bucket", "kind").mapInArrow(merge, COUNTED), "counts")
+    sums = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("size").alias("size"), F.sum("total").alias("total")).collect()}
+    of = lambda kind, name: sums[kind][name] if kind in sums else 0
+    return Model(counted, bits, of(0, "total"), of(0, "size"), of(1, "size"), across)
 
 
 def _bits(n: int, each: int) -> int:
     return max(4, math.ceil(math.log2(max(1, n / each))))
 
 
-def _bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The bucket of each gram, by the nearest NEAR bytes of its context."""
-    return (A.mix((keys >> 11 & _LOWEST[NEAR]).astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
+class _Chunk:
+    """Texts laid end to end, and what they ask: the different words and grams of all, sorted."""
+
+    def __init__(self, texts: pa.Array, across: bool):
+        self.docs = len(texts)
+        self.tokens, self.own = np.zeros(self.docs, np.int64), np.zeros(self.docs)
+        self.parts: list[tuple] = []  # (values, row of each) of words and of grams
+        for lo, hi, buf, off in A.chunks(texts):
+            starts, ends, first = A.runs(buf, off)
+            words = np.insert(A.hashes(buf, starts, ends, folded=True), first[1:], END)
+            row = np.insert(A.rows_of(first), first[1:], np.arange(hi - lo))
+            hit, share = foretold(words, row)
+            self.own[lo:hi] = np.bincount(row, share, hi - lo)
+            self.tokens[lo:hi] = np.diff(first) + 1
+            grams, token = coded(buf, starts, ends, first, across)
+            priced = ~hit[token]
+            self.parts.append(((words.view(np.int64), (row + lo).astype(np.int32)), (grams[priced], (row[token[priced]] + lo).astype(np.int32))))
+        self.different = [self._different(kind) for kind in (0, 1)]
+
+    def _different(self, kind: int) -> np.ndarray:
+        values = [np.unique(part[kind][0].view(np.uint64)) for part in self.parts]
+        return (np.unique(np.concatenate(values)) if values else np.zeros(0, np.uint64)).view(np.int64)
+
+    def by_bucket(self, kind: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the different values by bucket, and the buckets' edges in it."""
+        bucket = _place(kind, self.different[kind], bits)
+        by = np.argsort(bucket, kind="stable")
+        return by, np.searchsorted(bucket[by], np.arange((1 << bits) + 1))
+
+    def sums(self, kind: int, values: np.ndarray) -> np.ndarray:
+        """Sums over each text, of one value for each different word or gram."""
+        out, keys = np.zeros(self.docs), self.different[kind].view(np.uint64)
+        for part in self.parts:
+            asked, row = part[kind]
+            out += np.bincount(row, values[np.searchsorted(keys, asked.view(np.uint64))], self.docs)
+        return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) for every row (doc_id, text)."""
+    """(doc_id, n_tokens, n_known, base_score, score) for every row (doc_id, text).
+
+    Texts are asked about by chunks: a chunk's different words and grams go to their buckets, counts and prices
+    come back to the chunk's texts, which travel as one compressed row, and are summed there.
+    """
     spark = prepare(docs.sparkSession)
     across = model.across
-    word_bits, gram_bits = _bits(model.distinct, BUCKET_WORDS), _bits(model.n_grams, BUCKET_GRAMS)
+    word_bits, gram_bits = (min(model.bits, _bits(n, each)) for n, each in ((model.distinct, BUCKET_WORDS), (model.n_grams, BUCKET_GRAMS)))
     n_words, n_grams = 1 << word_bits, 1 << gram_bits
     # buckets of words come first, those of grams behind them
+    none = pa.array([None], pa.binary())
 
     def ask(batches):
-        """What each chunk of texts asks of each bucket; the first bucket's row carries the texts' own results."""
         from pyspark import TaskContext
 
         part, nth = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for lo, hi, buf, off in A.chunks(b.column(1), CHUNK):
-                docs, kind = hi - lo, "<u2" if hi - lo < 65536 else "<u4"
-                starts, ends, first = A.runs(buf, off)
-                tokens = np.insert(A.hashes(buf, starts, ends, A.FOLDED), first[1:], END)
-                of_row = np.insert(A.rows_of(first), first[1:], np.arange(docs))
-                hit, share = foretold(tokens, of_row)
-                own = np.bincount(of_row, share, docs)
-                out = {k: [] for k in ("bucket", "h", "size", "doc", "times")}
-
-                def questions(values, row, bucket_of, buckets, base):
-                    """Different values, by bucket, and the texts that have each, how often."""
-                    different, which = np.unique(values, return_inverse=True)
-                    bucket = bucket_of(different)
-                    by = np.argsort(bucket, kind="stable")
-                    rank = np.empty(len(by), np.int64)
-                    rank[by] = np.arange(len(by))
-                    different = different[by]
-                    pair, times = np.unique(rank[which] * docs + row, return_counts=True)
-                    word, doc = pair // docs, pair % docs
-                    edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                    cuts = np.searchsorted(word, edges)
-                    for k in range(buckets):
-                        w, p = slice(edges[k], edges[k + 1]), slice(cuts[k], cuts[k + 1])
-                        if w.start == w.stop and k + base:
-                            continue
-                        out["bucket"].append(k + base)
-                        out["h"].append(_squeezed(np.diff(different[w], prepend=different.dtype.type(0))))
-                        out["size"].append(_squeezed(np.bincount(word[p] - w.start, minlength=w.stop - w.start).astype(kind)))
-                        out["doc"].append(_squeezed(doc[p].astype(kind)))
-                        out["times"].append(_squeezed(times[p].astype("<u4")))
-
-                questions(tokens, of_row, lambda h: (h >> np.uint64(64 - word_bits)).astype(np.int64), n_words, 0)
-                grams, token = coded(buf, starts, ends, first, across)
-                priced = ~hit[token]
-                questions(grams[priced], of_row[token[priced]], lambda k: _bucket_of(k, gram_bits), n_grams, n_words)
-                chunk = part << 24 | nth
-                nth += 1
-                m = len(out["bucket"])
-                nothing = [None] * (m - 1)
-                yield pa.record_batch(
-                    [pa.array(out["bucket"], pa.int32()), pa.array([chunk] * m, pa.int64()), pa.array([docs] * m, pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("h", "size", "doc", "times")),
-                     pa.array([b.column(0).slice(lo, docs).to_pylist(), *nothing], pa.list_(pa.int64())), pa.array([np.diff(first) + 1, *nothing], pa.list_(pa.int64())), pa.array([own, *nothing], pa.list_(pa.float64()))],
-                    names=[x.split()[0] for x in ASKED.split(", ")],
-                )
-
-    def packed(bucket_of, base):
-        """Keys and counts as pairs of arrays, one for each bucket and about FLUSH keys of a task."""
-
-        def rows(keys, counts):
-            keys, counts = np.concatenate(keys), np.concatenate(counts)
-            bucket = bucket_of(keys)
-            by = np.argsort(bucket, kind="stable")
-            full, at = np.unique(bucket[by], return_index=True)
-            parts = np.split(by, at[1:])
-            return pa.record_batch([pa.array((full + base).astype(np.int32)), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([counts[p].tobytes() for p in parts], pa.binary())], names=["bucket", "words", "counts"])
-
-        def pack(batches):
-            keys, counts, size = [], [], 0
-            for b in batches:
-                keys.append(b.column(0).to_numpy())
-                counts.append(b.column(1).to_numpy())
-                size += b.num_rows
-                if size > FLUSH:
-                    yield rows(keys, counts)
-                    keys, counts, size = [], [], 0
-            if size:
-                yield rows(keys, counts)
-
-        return pack
+        for ids, texts in _gathered(batches):
+            chunk, number = _Chunk(texts, across), part << 24 | nth
+            nth += 1
+            head = pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, head.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(head)
+            yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([number], pa.int64()), none, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "chunk", "asked", "texts"])
+            for kind, bits, base in ((0, word_bits, 0), (1, gram_bits, n_words)):
+                by, edges = chunk.by_bucket(kind, bits)
+                full = np.flatnonzero(np.diff(edges))
+                blobs = [_squeezed(_steps(chunk.different[kind][by[edges[k] : edges[k + 1]]])) for k in full]
+                yield pa.record_batch([pa.array((full + base).astype(np.int32)), pa.array([number] * len(full), pa.int64()), pa.array(blobs, pa.binary()), pa.array([None] * len(full), pa.binary())], names=["bucket", "chunk", "asked", "texts"])
 
     def answer(batches):
         place, held, ready = None, [], None
         for b in batches:
-            places = list(zip(b.column(0).to_pylist(), b.column(12).to_pylist()))
-            for k in range(b.num_rows):
-                if places[k] != place:
-                    place, held, ready = places[k], [], None
-                if b.column(10)[k].is_valid:  # counts come before questions
-                    held.append((b.column(10)[k].as_py(), b.column(11)[k].as_py()))
+            out: list[tuple] = []
+            rows = zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("bucket", "salt", "chunk", "asked", "keys", "counts")))
+            for bucket, salt, chunk, asked, keys, counts in rows:
+                if (bucket, salt) != place:
+                    place, held, ready = (bucket, salt), [], None
+                if asked is None:  # counts come before questions
+                    held.append(_unpacked(keys, counts))
                     continue
-                grams = place[0] >= n_words
                 if ready is None:
-                    h = np.frombuffer(b"".join(x for x, _ in held), np.int64 if grams else np.uint64)
-                    c = np.frombuffer(b"".join(x for _, x in held), np.int64)
-                    held = []
-                    ready = _gram_prices(h, c) if grams else _word_counts(h, c)
-                yield _answers(b.slice(k, 1), ready, grams)
-
-    def total(batches):
-        key, known, logs, own, head = None, None, None, None, None
-        for b in batches:
-            for k in range(b.num_rows):
-                chunk = b.column(0)[k].as_py()
-                if chunk != key:
-                    if head is not None:
-                        yield _rows(head, known, logs, own)
-                    key, known, logs, own, head = chunk, 0, 0.0, 0.0, None
-                sums = np.frombuffer(b.column(2)[k].as_py(), "<f8")
-                if b.column(1)[k].is_valid:
-                    known, logs = known + np.frombuffer(b.column(1)[k].as_py(), "<u4").astype(np.int64), logs + sums
-                else:
-                    own = own + sums
-                if b.column(3)[k].is_valid:
-                    head = b.slice(k, 1)
-        if head is not None:
-            yield _rows(head, known, logs, own)
+                    k, c = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
+                    held, ready = [], _gram_prices(k, c) if bucket >= n_words else _word_counts(k, c)
+                out.append((bucket, chunk, _told(ready(np.cumsum(_released(asked, np.uint64)).view(np.int64)))))
+                if len(out) == 64:
+                    yield _columns(out)
+                    out = []
+            if out:
+                yield _columns(out)
+
+    def _columns(out):
+        bucket, chunk, told = zip(*out)
+        return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(chunk, pa.int64()), pa.array(told, pa.binary())], names=["bucket", "chunk", "told"])
 
     floor = math.log10(model.tokens + 0.5 * (model.distinct + 1))
 
-    def _rows(head, known, logs, own):
-        tokens = head.column(4)[0].values.to_numpy()
-        return pa.record_batch([head.column(3)[0].values, pa.array(tokens), pa.array(known), pa.array(logs - tokens * floor), pa.array(own + head.column(5)[0].values.to_numpy())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    asked = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(ask, ASKED)
-    # a bucket's chunks are dealt to several tasks, each with a copy of its counts, where they are far more than the counts
-    buckets = n_words + n_grams
-    copies = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) // n_grams, model.tokens // (64 * max(1, model.distinct)), model.tokens // (4 * max(1, model.n_grams))))
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(copies)).cast("int"))
-    kind = "bucket int, words binary, counts binary"
-    words = model.words.select("h", "c").mapInArrow(packed(lambda h: (h.view(np.uint64) >> np.uint64(64 - word_bits)).astype(np.int64), 0), kind)
-    grams = model.grams.mapInArrow(packed(lambda k: _bucket_of(k, gram_bits), n_words), kind)
-    low = model.low.mapInArrow(packed(lambda k: np.zeros(len(k), np.int64), n_words), kind).withColumn("bucket", F.explode(F.sequence(F.lit(n_words), F.lit(buckets - 1))))
-    counts = words.unionByName(grams).unionByName(low).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    both = asked.unionByName(counts, allowMissingColumns=True).select(*[x.split()[0] for x in ASKED.split(", ")], "words", "counts", "salt")
-    met = both.repartitionById(copies * buckets, F.col("bucket") * copies + F.col("salt")).sortWithinPartitions("bucket", "salt", F.col("chunk").asc_nulls_first())
-    answered = met.mapInArrow(answer, ANSWERED)
-    return answered.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(total, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-
+    def total(batches):
+        number, held, told = None, None, []
+
+        def rows():
+            with pa.ipc.open_stream(held) as stream:
+                head = stream.read_next_batch()
+            chunk, got = _Chunk(head.column(1), across), []
+            for kind, bits, mine in ((0, word_bits, [x for x in told if x[0] < n_words]), (1, gram_bits, [x for x in told if x[0] >= n_words])):
+                by, _ = chunk.by_bucket(kind, bits)
+                values = np.zeros(len(by))
+                if len(by):
+                    values[by] = np.concatenate([_heard(x) for _, x in mine])
+                got.append(values)
+            counts, prices = got
+            base = chunk.sums(0, np.log10(counts + 0.5)) - chunk.tokens * floor
+            return pa.record_batch([head.column(0), pa.array(chunk.tokens), pa.array(chunk.sums(0, counts > 0).astype(np.int64)), pa.array(base), pa.array(chunk.own + chunk.sums(1, prices))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-ASKED = "bucket int, chunk long, docs int, h binary, size binary, doc binary, times binary, ids array<long>, tokens array<long>, own array<double>"
-ANSWERED = "chunk long, known binary, logs binary, ids array<long>, tokens array<long>, own array<double>"
+        for b in batches:
+            for bucket, chunk, texts, x in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("bucket", "chunk", "texts", "told"))):
+                if chunk != number:
+                    if number is not None:
+                        yield rows()
+                    number, told = chunk, []
+                if bucket < 0:
+                    held = texts
+                else:
+                    told.append((bucket, x))
+        if number is not None:
+            yield rows()
+
+    rows_in = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    # texts are asked about once, however often the rows of questions are read
+    asked = written(rows_in.mapInArrow(ask, "bucket int, chunk long, asked binary, texts binary"), "asked")
+    heads = asked.where("bucket < 0").select("bucket", "chunk", "texts")
+    questions = asked.where("bucket >= 0").select("bucket", "chunk", "asked")
+    volume = questions.agg(F.coalesce(F.sum(F.length("asked")), F.lit(0)).alias("n")).first()["n"]
+    # a bucket's chunks are dealt to several tasks, each with a copy of its counts, where they are much
+    copies = max(1, math.ceil(volume / (n_words + n_grams) / TASK_BYTES))
+    questions = questions.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(copies)).cast("int"))
+    counts = model.counts.select("kind", "bucket", "keys", "counts")
+    nearer = lambda bits: F.shiftright("bucket", model.bits - bits)
+    every = F.explode(F.sequence(F.lit(n_words), F.lit(n_words + n_grams - 1)))
+    kinds = [counts.where("kind = 0").withColumn("bucket", nearer(word_bits)), counts.where("kind = 1").withColumn("bucket", nearer(gram_bits) + n_words), counts.where("kind = 2").withColumn("bucket", every)]
+    known = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).drop("kind").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    both = questions.unionByName(known, allowMissingColumns=True)
+    met = both.repartitionById(copies * (n_words + n_grams), F.col("bucket") * copies + F.col("salt")).sortWithinPartitions("bucket", "salt", F.col("chunk").asc_nulls_first())
+    answered = met.mapInArrow(answer, "bucket int, chunk long, told binary")
+    back = heads.unionByName(answered, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    return back.mapInArrow(total, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def _gathered(batches) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of runs of about CHUNK bytes of text, null texts as empty ones."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for lo, hi, buf, _ in A.chunks(b.column(1), CHUNK):
+            ids.append(b.column(0).slice(lo, hi - lo))
+            texts.append(b.column(1).slice(lo, hi - lo).fill_null("").cast(pa.large_string()))
+            size += len(buf)
+            if size >= CHUNK:
+                yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+                ids, texts, size = [], [], 0
+    if ids:
+        yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+
+
+def _told(values: np.ndarray) -> bytes:
+    """Answers in the order of the questions: the different ones, and which of them each is."""
+    different, which = np.unique(values.astype(float), return_inverse=True)
+    return len(different).to_bytes(4, "little") + different.tobytes() + _squeezed(which.astype(np.uint32))
+
+
+def _heard(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    return np.frombuffer(data, float, n, 4)[_released(data[4 + 8 * n :], np.uint32)]
 
 
 def _squeezed(a: np.ndarray) -> bytes:
@@ -463,18 +543,6 @@ def _gram_prices(k: np.ndarray, c: np.ndarray):
     return prices
 
 
-def _answers(asked, ready, grams: bool):
-    """For a chunk's questions to a bucket: known tokens and sums of log10(c + 0.5) of its texts, or sums of their grams' prices."""
-    docs = asked.column(2)[0].as_py()
-    kind = "<u2" if docs < 65536 else "<u4"
-    size, doc, times = (_released(asked.column(i)[0].as_py(), t) for i, t in ((4, kind), (5, kind), (6, "<u4")))
-    want = np.cumsum(_released(asked.column(3)[0].as_py(), np.int64 if grams else np.uint64))
-    each = np.repeat(ready(want), size)
-    known = None if grams else np.bincount(doc, times * (each > 0), docs).astype("<u4").tobytes()
-    logs = np.bincount(doc, times * (each if grams else np.log10(each + 0.5)), docs).astype("<f8").tobytes()
-    return pa.record_batch([asked.column(1), pa.array([known], pa.binary()), pa.array([logs], pa.binary()), *(asked.column(i) for i in (7, 8, 9))], names=[x.split()[0] for x in ANSWERED.split(", ")])
-
-
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold(FOLDS) == HELD_OUT, F.lit(False))
