@@ -6,22 +6,25 @@ more than half of the votes say so.  Fingerprints are 16 hex digits.  The likene
 0 and falls as the cosine that the distance stands for: max(0, cos(pi d / 64)).
 
 Null is the empty text; a text without words has the fingerprint of zeros.  Equal texts have equal
-fingerprints.  Repeated rows are kept; rows with the same id are ordered by their text.  Extra columns of
-the input are not read.
+fingerprints.  Repeated rows are kept; rows with the same id are ordered by the hash of their text, null ids
+come last.  Extra columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 SHINGLE = 5
-#: Rows of a range of ids that are put in order in one task, about; ranges at most.
-RANGE_ROWS, RANGES = 8192, 10_000
+#: Keys of a range that are put in order in one task, about.
+RANGE_ROWS = 500_000
+#: Bits that may differ between fingerprints that the query finds near each other.
+RADIUS = 3
 
 
 def terms(text: Column) -> Column:
@@ -94,72 +97,89 @@ def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = 3,
     return pairs.where(F.col("distance") <= radius).distinct()
 
 
-def _longs(values: list[int | None]) -> str:
-    return f"array({', '.join('cast(null as bigint)' if v is None else f'{v}L' if v > -(1 << 63) else 'bigint(-9223372036854775808)' for v in values)})"
+#: Names of a node's key: its id (0 for none), whether it has none, and the hash of its text.
+_KEY = ["ki", "kz", "kh"]
 
 
-def ordered(docs: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, Window]:
-    """Rows (doc_id, text, at, copy) and the window in which the next row is the next in descending order of doc_id.
+def _nodes(docs: DataFrame) -> DataFrame:
+    """Rows (ki, kz, kh, text): a key and its text for every row; rows equal in id and text have one key."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select(F.coalesce("id", F.lit(0).cast("long")).alias("ki"), F.col("id").isNull().alias("kz"), F.xxhash64("text").alias("kh"), "text")
 
-    Ids are cut into ranges of about ``range_rows`` rows at approximate quantiles, at most RANGES; each range
-    ``at`` is ordered on its own and ends with a copy of the first row of the range that follows (the last
-    with one of the very first row).  Null ids come last; equal ids go by text.
+
+def following(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(ki, kz, kh, copies, n_chars, ni, nz, nh): every distinct key with the next one in descending order of doc_id.
+
+    Null ids come last, equal ids go by the hash of their text, and the first key follows the last.  Only keys
+    and lengths travel: they are dealt into ranges of about ``range_rows`` keys, each written in order, and the
+    last key of a range meets the first of the next one through a table of a row a range.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = max(1, min(RANGES, round(rows.agg(F.count("doc_id")).first()[0] / range_rows)))
-    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * RANGES)).first()[0] or [])) if n > 1 else []
-    # the place of an id among the cuts by two looks: which block of cuts, and where in the block
-    block = max(1, round(len(cuts) ** 0.5))
-    blocks = [cuts[i : i + block] for i in range(0, len(cuts), block)]
-    less = lambda array: f"size(filter({array}, e -> e < doc_id))"
-    below = "0"
-    if cuts:
-        whole = f"array({', '.join(map(_longs, blocks))})"
-        below = f"transform(array({less(_longs([x[0] for x in blocks]))}), c -> if(c = 0, 0, (c - 1) * {block} + {less(f'get({whole}, c - 1)')}))[0]"
-    # range 0 holds the largest ids, the last one null ids
-    rows = rows.withColumn("at", F.expr(f"if(doc_id is null, {len(cuts) + 1}, {len(cuts)} - {below})"))
-    heads = sorted((r["at"], r["head"]) for r in rows.groupBy("at").agg(F.max("doc_id").alias("head")).collect())  # a row a range
-    own = F.struct(F.col("at").alias("at"), F.lit(0).alias("copy"))
-    places = F.array(own)
-    if heads:
-        head, before = [None] * (len(cuts) + 2), [None] * (len(cuts) + 2)
-        for k, (at, first) in enumerate(heads):
-            head[at], before[at] = first, heads[k - 1][0]
-        is_head = F.expr(f"doc_id is null or doc_id = get({_longs(head)}, at)")
-        places = F.when(is_head, F.array(own, F.struct(F.expr(f"cast(get({_longs(before)}, at) as int)").alias("at"), F.lit(1).alias("copy")))).otherwise(places)
-    placed = rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.at", "p.copy")
-    return placed, Window.partitionBy("at").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
-
-
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+    keys = _nodes(docs).groupBy(*_KEY).agg(F.count("*").alias("copies"), F.max(F.length("text")).cast("long").alias("n_chars"))
+    keys = written(keys, "keys")
+    ranges = max(1, math.ceil(keys.count() / range_rows))
+    order = [F.col("kz"), F.col("ki").desc(), F.col("kh")]
+    placed = written(keys.repartitionByRange(ranges, *order).withColumn("at", F.spark_partition_id()), "placed")
+    key = F.struct(*_KEY)
+    heads = placed.groupBy("at").agg(F.min_by(key, F.struct("kz", -F.col("ki").cast("decimal(20,0)"), "kh")).alias("head"))
+    # a row a range: one task puts these few in order
+    heads = heads.select("at", F.lead("head").over(Window.orderBy("at")).alias("next_head"), F.min_by("head", "at").over(Window.partitionBy()).alias("first"))
+    inside = placed.withColumn("next", F.lead(key).over(Window.partitionBy("at").orderBy(*order)))
+    joined = inside.join(heads, "at").withColumn("next", F.coalesce("next", "next_head", "first"))
+    return joined.select(*_KEY, "copies", "n_chars", F.col("next.ki").alias("ni"), F.col("next.kz").alias("nz"), F.col("next.kh").alias("nh"))
+
+
+def fingerprint_documents(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The fingerprint of every text, of its edited text, and their likeness (see the module's head).
 
-    The edited text: the last third of the code points replaced by as many of the next text's first.
-    Texts are shuffled once, to the range of their id.
+    The edited text: the last third of the code points replaced by as many of the next text's first.  Texts
+    are shuffled once by their keys; from there only the beginnings that other texts need go on to those.
+    Of rows equal in id and text each but the last is followed by another of them.
     """
-    placed, window = ordered(docs)
-    led = placed.withColumn("next_text", F.coalesce(F.lead("text").over(window), F.lit(""))).withColumn("nth", F.row_number().over(window))
-    third = "cast(floor(length(text) / 3) as int)"
-    both = led.select(
-        "at", "nth", "copy", "doc_id", F.length("text").cast("long").alias("n_chars"), "text",
-        F.expr(f"concat(substring(text, 1, length(text) - {third}), substring(next_text, 1, {third}))").alias("edited"),
-    )
-    # the copy of the next range's first row needs no edited text
-    sides = F.when(F.col("copy") == 0, F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t"))))
-    sides = sides.otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t"))))
-    texts = both.select("at", "nth", "copy", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(sides).alias("s"))
-    keys = ["at", "nth", "copy", "doc_id", "n_chars", "edited_sha256"]
-    printed = simhash(texts.select(*keys, "s.side", terms(F.col("s.t")).alias("terms")), [*keys, "side"])
-    pair = printed.groupBy(*keys).agg(F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("own"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("changed"))
-    out = pair.withColumn("following", F.lead("own").over(Window.partitionBy("at").orderBy("nth"))).where("copy = 0")
-    return out.select(
-        "doc_id", "n_chars", "edited_sha256",
+    order = written(following(docs, range_rows), "following")
+    texts = _nodes(docs).groupBy(*_KEY).agg(F.first("text").alias("text"))  # copies become one before the shuffle
+    needs = order.select(F.col("ni").alias("ki"), F.col("nz").alias("kz"), F.col("nh").alias("kh"), F.expr("n_chars div 3").cast("int").alias("size"), F.struct(*_KEY).alias("by"))
+    heads = texts.join(needs, _KEY).select("by.*", F.expr("substring(text, 1, size)").alias("head"))
+    both = texts.join(heads, _KEY)
+    third = "cast(length(text) div 3 as int)"
+    joint = lambda head: F.expr(f"concat(substring(text, 1, length(text) - {third}), {head})")
+    sides = [F.struct(F.lit(k).alias("side"), t.alias("t")) for k, t in ((0, F.col("text")), (1, joint("head")), (2, joint(f"substring(text, 1, {third})")))]
+    side = F.explode(F.array(*sides)).alias("s")
+    # side 2, for a row that is followed by its own copy, is needed by few
+    copied = both.join(order.select(*_KEY, "copies"), _KEY).select(*_KEY, side, "copies").where("s.side < 2 or copies > 1")
+    each = copied.select(*_KEY, F.col("s.side").alias("side"), F.when(F.col("s.side") > 0, F.sha2(F.col("s.t").cast("binary"), 256)).alias("sha"), terms(F.col("s.t")).alias("terms"))
+    printed = simhash(each, [*_KEY, "side", "sha"])
+    of = lambda side, name: F.max(F.when(F.col("side") == side, F.col(name)))
+    prints = written(printed.groupBy(*_KEY).agg(of(0, "fingerprint").alias("own"), *(of(k, x).alias(f"{x}{k}") for k in (1, 2) for x in ("fingerprint", "sha"))), "prints")
+    led = order.join(prints, _KEY).join(prints.select(F.col("ki").alias("ni"), F.col("kz").alias("nz"), F.col("kh").alias("nh"), F.col("own").alias("led")), ["ni", "nz", "nh"])
+    rows = led.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    last = F.col("nth") == F.col("copies")
+    changed = F.when(last, F.col("fingerprint1")).otherwise(F.col("fingerprint2"))
+    return rows.select(
+        F.when(~F.col("kz"), F.col("ki")).alias("doc_id"), "n_chars",
+        F.when(last, F.col("sha1")).otherwise(F.col("sha2")).alias("edited_sha256"),
         as_text(F.col("own")).alias("fingerprint"),
-        as_text(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("following")).alias("near_next"),
+        as_text(changed).alias("edited_fingerprint"),
+        likeness(F.col("own"), changed).alias("near_edited"),
+        F.when(last, likeness(F.col("own"), F.col("led"))).otherwise(1.0).alias("near_next"),
+        F.col("own").alias("print"),
     )
 
 
+def neighbours(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(print, n_near): how many other rows have a fingerprint within ``radius``, for the prints of rows whose doc_id is divisible by 100.
+
+    ``prints``: rows (doc_id, print).  The search is by permuted tables over all distinct fingerprints.
+    """
+    distinct = written(prints.groupBy("print").agg(F.count("*").alias("rows"), F.max(F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))).alias("asked")), "distinct")
+    asked = distinct.where("asked").select("print", "rows")
+    pairs = within_radius(asked.select(F.col("print").alias("fingerprint")), distinct.select(F.col("print").alias("fingerprint")), radius)
+    found = pairs.join(distinct.select(F.col("print").alias("found"), "rows"), "found").groupBy(F.col("query").alias("print")).agg(F.sum("rows").alias("others"))
+    return asked.join(found, "print", "left").select("print", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    """The digests of every row; ``n_near``, for rows whose doc_id is divisible by 100, by the search over all rows."""
+    rows = written(fingerprint_documents(table(spark, sf_dir, "documents")), "fingerprints")
+    near = neighbours(rows.select("doc_id", "print"))
+    asked = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
+    return rows.join(near, "print", "left").withColumn("n_near", F.when(asked, F.col("n_near"))).drop("print")
