@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .fingerprints import let
 
 WIDTH = 3
@@ -44,6 +44,7 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return F.struct((i - 1).alias("p"), F.xxhash64(part).alias("h"), F.xxhash64(F.lit(1), part).alias("g"))
 
     windows = lines.select("doc_id", "key", F.explode(F.transform(starts, window)).alias("w")).select("doc_id", "key", "w.p", "w.h", "w.g")
+    windows = written(windows, "windows")  # read twice: to count them and to find the later ones
     place = F.struct(F.col("doc_id"), F.col("key"), F.col("p"))
     repeated = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     later = windows.join(repeated, ["h", "g"]).where(place != F.col("first"))
