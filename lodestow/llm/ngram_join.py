@@ -31,7 +31,7 @@ from .common import prepare, table, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
 #: Rows of a signature at most; members and n-grams of a block, about.
-ROWS, BLOCK, BLOCK_GRAMS = 160, 1024, 1 << 20
+ROWS, BLOCK, BLOCK_GRAMS = 160, 256, 1 << 19
 #: n-grams that more members than this share are counted by a matrix product.
 HEAVY = 48
 
@@ -237,11 +237,11 @@ def _possible(keyed: DataFrame, members: DataFrame) -> DataFrame:
 
     def keep(batches):
         for b in batches:
-            at = b.column(3).to_numpy()
+            at = b.column(2).to_numpy()
             hit = shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-            yield b.filter(pa.array(hit.astype(bool))).select(["doc_id", "node", "text"])
+            yield b.filter(pa.array(hit.astype(bool))).select(["node", "text"])
 
-    return keyed.select("doc_id", "node", "text", place.alias("place")).mapInArrow(keep, "doc_id long, node long, text string")
+    return keyed.select("node", "text", place.alias("place")).mapInArrow(keep, "node long, text string")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -284,9 +284,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     kept = kept.select(F.col("f.band").cast("int").alias("band"), F.col("f.h").alias("h"), F.xxhash64("m", "x").alias("bucket"), F.least(blocks, F.col("m").cast("int")).alias("blocks"))
     places = hashes.select("node", "h").join(kept, "h").groupBy("node").agg(F.collect_list(F.struct("bucket", "band", "blocks")).alias("places"))
-    members = written(signed.select("node", "bands").join(places, "node").join(nodes.select("node", "first_copy"), "node"), "members")
-    one = _possible(keyed, members).withColumnRenamed("node", "n").withColumnRenamed("doc_id", "d")
-    texts = members.join(one, (F.col("node") == F.col("n")) & F.col("first_copy").eqNullSafe(F.col("d")))
+    members = written(signed.select("node", "bands").join(places, "node"), "members")
+    one = _possible(keyed, members).groupBy("node").agg(F.first("text").alias("text"))  # copies are one row before they are shuffled
+    texts = members.join(one, "node")
     per_task = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = written(_verified(texts, n, threshold, per_task), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
