@@ -9,7 +9,9 @@
   towards its suffix's, the suffix's towards the corpus's; a row's own share is taken out of its host's.
 
 The answer is the language of the greatest posterior.  A row is accepted if that posterior reaches ACCEPT and
-its text is more likely under that language than under evenly spread grams.  Null, empty and blank texts have
+its text is more likely under that language than under evenly spread grams.  Every declared language with at
+least LEAST rows has a text model.  A row that declares a language without one, and that is accepted for no
+other, is taken at its word: its answer is that language, of probability 0, and it is accepted.  Null, empty and blank texts have
 no evidence of their own: the answer comes from the priors and they are not accepted.  Unknown or missing
 declarations, suffixes and hosts add nothing.  Repeated rows are rows of their own.  An empty table gives an
 empty result.  Extra columns of the input are not read.
@@ -28,8 +30,17 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 from . import text_arrays as A
 from .common import prepare, table, written
 
-BITS, SAMPLE, LANGUAGES = 16, 1500, 64
+BITS, SAMPLE = 16, 1500
+#: Declared rows that a language's text model needs at least.
+LEAST = 20
 WEIGHT, PRIOR_ROWS, ACCEPT = 60.0, 20.0, 0.5
+#: Bytes of host counts, counted before, that are broadcast at most.
+SMALL = 16 << 20
+
+
+#: The value of a byte in the hash of three, with A-Z as a-z.
+_VALUES = np.random.Generator(np.random.PCG64(20240601)).integers(1, 1 << 63, 256, dtype=np.uint64)
+_VALUES[65:91] = _VALUES[97:123]
 
 
 @dataclass
@@ -64,23 +75,21 @@ def evidence_of_documents(docs: DataFrame, whole: bool = False) -> DataFrame:
 
 def _grams(buf, off) -> tuple[np.ndarray, np.ndarray]:
     """Gram indices of these rows, and the rows'."""
-    low = A.FOLDED[buf]
+    low = _VALUES[buf]
     rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
     three, row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(buf) > 2:
         inside = (rows[:-2] == rows[2:]) & ~(A.SEPARATORS[buf[:-2]] & A.SEPARATORS[buf[1:-1]] & A.SEPARATORS[buf[2:]])
         three, row = A.mix(low[:-2] + low[1:-1] * np.uint64(3) + low[2:] * np.uint64(5))[inside], rows[:-2][inside]
     starts, ends, first = A.runs(buf, off, A.RUNS)
-    h = A.hashes(buf, starts, ends, A.FOLDED)
+    h = A.hashes(buf, starts, ends, folded=True)
     return (np.concatenate([three, h]) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([row, A.rows_of(first)])
 
 
 def train_text_model(evidence: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """The models of the LANGUAGES most declared languages; those with fewer than one in 2000 rows are left out."""
+    """The models of all languages that at least LEAST rows declare (of 26 ** 2 + 26 ** 3 possible tags)."""
     prepare(evidence.sparkSession)
-    counts = evidence.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()
-    total = sum(r["count"] for r in counts)
-    found = {r["declared"]: r["count"] for r in counts if r["count"] * 2000 >= total}
+    found = {r["declared"]: r["count"] for r in evidence.where("declared is not null").groupBy("declared").count().where(F.col("count") >= LEAST).collect()}
     languages = sorted(found)
     size = 1 << BITS
     if not languages:
@@ -106,8 +115,13 @@ def train_text_model(evidence: DataFrame, sample: int = SAMPLE) -> TextModel:
 
     sums = drawn.select("declared", "text").mapInArrow(count, "language string, gram long, n double").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     n = np.zeros((len(languages), size))
-    for r in sums.toLocalIterator(prefetchPartitions=True):  # at most LANGUAGES times 2 ** BITS rows
-        n[languages.index(r["language"]), r["gram"]] = r["n"]
+    sums = written(sums, "grams")
+    for lo in range(0, len(languages), 16):  # 2 ** BITS rows a language at most
+        part = sums.where(F.col("language").isin(languages[lo : lo + 16])).toArrow()
+        place = {name: k for k, name in enumerate(languages)}
+        at = np.array([place[x] for x in part["language"].dictionary_encode().combine_chunks().dictionary.to_pylist()], np.int64)
+        which = part["language"].dictionary_encode().combine_chunks().indices.to_numpy()
+        n[at[which] if len(which) else which, part["gram"].to_numpy()] = part["n"].to_numpy()
     mean = n.sum(1, keepdims=True)
     log = np.log((n + mean * 0.02 / size) / np.maximum(mean * 1.02, 1e-12)) if mean.all() else np.log((n + 1e-6) / (mean + 1e-6 * size))
     return TextModel(languages, np.vstack([log, np.full(size, -np.log(size))]))
@@ -144,20 +158,23 @@ def _softmax(x: str) -> str:
 def identify(evidence: DataFrame, model: TextModel, prior_rows: float = PRIOR_ROWS, accept: float = ACCEPT) -> DataFrame:
     """(id, language, probability, text_language, declared, host, accepted) for every row of evidence, and ``row`` if it has that.
 
-    Scores are written once for the sums; rows that are carried along are scored again, which spares writing them.
+    Scores are written once, with the rows that are carried along: the sums and the fusion read them from there.
     """
     width, row = len(model.languages), ["row"] if "row" in evidence.columns else []
     if not width:
-        return evidence.select("id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_language"), "declared", "host", F.lit(False).alias("accepted"), *row)
+        said = F.col("declared").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        return evidence.select("id", F.when(said, F.col("declared")).alias("language"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_language"), "declared", "host", said.alias("accepted"), *row)
     names = F.array(*map(F.lit, model.languages))
-    scored = written(_text_scores(evidence.drop("row"), model), "evidence")
+    scored = written(_text_scores(evidence, model), "evidence")
     sums = F.array(*[F.sum(F.col("p")[k]) for k in range(width)])
     corpus = [x or 0.0 for x in scored.agg(sums.alias("c")).first()["c"]]
     total = sum(corpus)
     everywhere = F.array(*[F.lit((c + 1) / (total + width)) for c in corpus])
     declared = scored.where("declared is not null").groupBy("declared").agg(sums.alias("declared_c"))
     suffixes = scored.where("suffix is not null").groupBy("suffix").agg(sums.alias("suffix_c"))
-    hosts = scored.where("host is not null").groupBy("host").agg(sums.alias("host_c"))
+    hosts = written(scored.where("host is not null").groupBy("host").agg(sums.alias("host_c")), "hosts")
+    if hosts.count() * 8 * (width + 8) <= SMALL:  # else rows meet their hosts by a shuffle
+        hosts = F.broadcast(hosts)
     kinds = F.lit(float(width))
 
     def smoothed(count: Column, towards: Column) -> Column:
@@ -166,20 +183,22 @@ def identify(evidence: DataFrame, model: TextModel, prior_rows: float = PRIOR_RO
 
     # how often a language's texts carry this declaration, towards any of as many as there are languages
     likely = F.zip_with("declared_c", F.array(*[F.lit(c + 2.0) for c in corpus]), lambda d, c: F.log((d + 2.0 / kinds) / c))
-    fused = (_text_scores(evidence, model) if row else scored).join(declared, "declared", "left").join(suffixes, "suffix", "left").join(hosts, "host", "left")
+    fused = scored.join(declared, "declared", "left").join(suffixes, "suffix", "left").join(hosts, "host", "left")
     own = F.zip_with("host_c", "p", lambda c, p: F.greatest(c - p, F.lit(0.0)))
     fused = fused.withColumn("prior", smoothed(own, smoothed(F.col("suffix_c"), everywhere)))
     fused = fused.withColumn("say", F.when(F.col("declared_c").isNull(), F.array_repeat(F.lit(0.0), width)).otherwise(likely))
     fused = fused.withColumn("z", F.expr("zip_with(zip_with(loglik, prior, (l, r) -> l + ln(r)), say, (l, r) -> l + r)"))
     fused = fused.withColumn("post", F.expr(_softmax("z"))).withColumn("best", F.expr("cast(array_position(post, array_max(post)) as int)"))
     of_text = F.expr("cast(array_position(p, array_max(p)) as int)")
+    seen = (F.col("grams") > 0) & (F.array_max("post") >= accept) & (F.element_at("loglik", F.col("best")) > F.col("even"))
+    said = ~seen & (F.col("grams") > 0) & F.col("declared").isNotNull() & ~F.coalesce(F.array_contains(names, F.col("declared")), F.lit(False))
     return fused.select(
         "id",
-        F.element_at(names, F.col("best")).alias("language"),
-        F.array_max("post").alias("probability"),
+        F.when(said, F.col("declared")).otherwise(F.element_at(names, F.col("best"))).alias("language"),
+        F.when(said, 0.0).otherwise(F.array_max("post")).alias("probability"),
         F.when(F.col("grams") > 0, F.element_at(names, of_text)).alias("text_language"),
         "declared", "host",
-        ((F.col("grams") > 0) & (F.array_max("post") >= accept) & (F.element_at("loglik", F.col("best")) > F.col("even"))).alias("accepted"),
+        (seen | said).alias("accepted"),
         *row,
     )
 
