@@ -25,6 +25,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in path.split(":"):
         sc.environment["PYTHONPATH"] = f"{path}:{ROOT}" if path else ROOT
     if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestow-"))
     return spark
 

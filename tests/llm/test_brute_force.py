@@ -9,7 +9,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 
 from lodestow.llm import best_fit_packing, byte_bpe, fingerprints, line_dedup, ngram_join, ppm, quality_rules, queries, toxicity
 
@@ -168,14 +167,57 @@ def test_op6_edits_and_fingerprints(spark, data, texts):
     assert np.mean([r["near_edited"] > r["near_next"] for r in got.values()]) > 0.95
 
 
-def test_op6_order_over_many_ranges(spark):
+def plain_print(text):
+    """SimHash of five-word shingles, each hashed word by word on the hash before."""
+    import xxhash
+
+    words = [w for w in WORD.findall(text)]
+    votes, n = [0] * 64, 0
+    for k in range(max(len(words) - 4, min(len(words), 1))):
+        h = 42
+        for w in words[k : k + 5]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        n += 1
+        for b in range(64):
+            votes[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * votes[b] > n)
+
+
+def plain_fingerprints(rows):
+    """The query by hand: (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near), sorted."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    near = lambda d: 1.0 if d == 0 else max(0.0, math.cos(math.pi * d / 64))
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    prints = [plain_print(t) for _, t in rows]
+    out = []
+    for k, (i, t) in enumerate(rows):
+        n = (k + 1) % len(rows)
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + rows[n][1][:cut]
+        e = plain_print(edited)
+        among = sum((prints[k] ^ x).bit_count() <= 3 for x in prints) - 1 if i is not None and i % 100 == 0 else None
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{prints[k]:016x}", f"{e:016x}", near((prints[k] ^ e).bit_count()), near((prints[k] ^ prints[n]).bit_count()), among))
+    return sorted(out, key=str)
+
+
+def test_op6_whole_query_from_text(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(11)
-    ids = sorted(set(rng.integers(-(1 << 62), 1 << 62, 500).tolist() + [-(1 << 63), (1 << 63) - 1, 0]), reverse=True)
-    docs = spark.createDataFrame([(i, f"text of {k} " * 9) for k, i in enumerate(ids)], "doc_id long, text string")
-    placed, window = fingerprints.ordered(docs, 5)
-    got = {r["doc_id"]: r["following"] for r in placed.withColumn("following", F.lead("text").over(window)).where("copy = 0").collect()}
-    assert got == {i: f"text of {(k + 1) % len(ids)} " * 9 for k, i in enumerate(ids)}
-    assert placed.select("at").distinct().count() > 50
+    words = [f"w{i}" for i in range(60)]
+    ids = sorted(set(rng.integers(-(1 << 62), 1 << 62, 80).tolist() + [-(1 << 63), (1 << 63) - 1, 0, *range(100, 4100, 100)]), reverse=True)
+    base = " ".join(words)
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40)))) for i in ids]
+    rows += [(100, "another text of one id"), (100, "another text of one id"), (100, "another text of one id"), (None, "no id"), (None, "no id"), (None, None), (None, "none either"), (300, ""), (300, None)]
+    rows += [(5000 + k, base + f" more {k % 3}" * (k % 4)) for k in range(0, 600, 50)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(fingerprints.fingerprint_documents, "__defaults__", (7,))  # many ranges of ids
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near"]
+    got = sorted((tuple(r[n] for n in names) for r in fingerprints.op6_fingerprints(spark, str(tmp_path)).collect()), key=str)
+    want = plain_fingerprints(rows)
+    assert [g[:5] + g[7:] for g in got] == [w[:5] + w[7:] for w in want]
+    assert np.allclose([g[5:7] for g in got], [w[5:7] for w in want], atol=1e-12)
+    assert max(w[7] or 0 for w in want) > 1
 
 
 def test_op6_votes_and_radius(spark):
@@ -334,3 +376,61 @@ def test_op10_evidence_decides_where_text_is_silent(spark):
     e = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string")
     got = {r["id"]: r["language"] for r in L.identify(e, L.train_text_model(e)).where("id >= 1000").collect()}
     assert got == {1000: "de", 1001: "de", 1002: "en", 1003: "de"}
+
+
+def thue_morse(n, a, b):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+PAIRS = [tuple(thue_morse(n, *ab) for ab in ((a, b), (b, a))) for n in (1024, 2048, 4096) for a, b in ("ab", "01", "th")]
+
+
+def test_texts_that_differ_have_different_keys(spark):
+    """Words that a polynomial hash takes for one, through every operator that tells words apart."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from lodestow.llm import text_arrays
+
+    for x, y in PAIRS:
+        buf = np.frombuffer(f"{x} {y} {x}".encode(), np.uint8)
+        starts, ends, _ = text_arrays.runs(buf, np.array([0, len(buf)]))
+        h = text_arrays.hashes(buf, starts, ends)
+        assert h[0] == h[2] != h[1]
+        assert text_arrays.same(buf, starts[[0, 0]], ends[[0, 0]], starts[[1, 2]], ends[[1, 2]]).tolist() == [False, True]
+        text = f"{x}\n{y}\n{x}"
+        stats, _, _ = quality_rules.statistics(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert stats["n_dup_lines"].tolist() == [1]
+        grams = [g.tolist() for _, _, g, _ in ngram_join.gram_sets(text_arrays.pa.array([x, y, x]))][0]
+        assert len(set(grams)) == 2
+    texts = {i: f"{x} {y} {x}\n{y}" for i, (x, y) in enumerate(PAIRS)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(1)
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in byte_bpe.round_trip(docs, ranks).collect():
+        ids = np.array(library.encode_ordinary(texts[r["doc_id"]]), "<u4")
+        assert (r["ids_sha256"], r["decoded_sha256"]) == (hashlib.sha256(ids).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        vocabulary = f.read()
+    tokenizer = Tokenizer.from_str(vocabulary)
+    for r in best_fit_packing.pieces(docs, vocabulary, 1 << 20).collect():
+        assert r["ids_crc32"] == zlib.crc32(np.array([*tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2], "<u4"))
+    model = ppm.train(docs.withColumn("learn", docs.doc_id % 3 == 0))
+    words = Counter(w for i, t in texts.items() if i % 3 == 0 for w in [*t.split(), None])
+    assert (model.tokens, model.distinct) == (sum(words.values()), len(words))
+    assert {r["doc_id"]: r["n_known"] for r in ppm.score(docs, model).collect()} == {i: sum(w in words for w in [*t.split(), None]) for i, t in texts.items()}
+
+
+def test_equal_hashes_are_held_against_the_bytes(monkeypatch):
+    """With a hash that takes all for one, pre-tokens and lines are still told apart."""
+    from lodestow.llm import text_arrays
+
+    text = "one two\none  two\n three\none two\n three"
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    merger = byte_bpe.Merger(ranks)
+    encode = lambda: [ids.tolist() for _, _, ids, _ in byte_bpe.Encoder(lambda p: list(map(merger, p))).rows(text_arrays.pa.array([text, "x"]))]
+    want = encode()
+    monkeypatch.setattr(text_arrays, "hashes", lambda buf, starts, ends, folded=False: np.zeros(len(starts), np.uint64))
+    assert encode() == want
+    stats, _, _ = quality_rules.statistics(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert stats["n_dup_lines"].tolist() == [2]
