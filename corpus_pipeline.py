@@ -2,7 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``.  A null or empty text has no language and goes in the first stage.  Rows that are equal in id
-and text are one document to the stage that removes near duplicates: one row of them stays at most.
+and text are one document to the stage that removes near duplicates: one row of them stays at most, the one
+whose columns have the least hash.  Null ids are documents of their own text; very long texts are whole
+documents; further columns, whatever their names, go along.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without the passages that an earlier one has; ``n_chars`` follows the text."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = dedup_lines(docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("row")))
+    spare = "_" * (1 + max(map(len, docs.columns)))  # a struct needs one field, of no column's name
+    done = dedup_lines(docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias(spare)).alias("row")))
     new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")}
     return done.select(*[new.get(c, F.col("row")[c].alias(c)) for c in docs.columns])
 
@@ -43,9 +46,11 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     groups = near_duplicates(docs)
     first = F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
     stay = groups.groupBy("class_key").agg(first.alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.text_key").alias("_text"))
-    stay = stay.select(F.xxhash64("_id", "_text").alias("_stay"))
-    keyed = docs.withColumn("_stay", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    return keyed.join(stay, "_stay").dropDuplicates(["_stay"]).select(*docs.columns)
+    stay = stay.select(F.xxhash64("_id", "_text").alias("stay"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("stay"))
+    # of rows equal in id and text the one whose columns have the least hash
+    kept = keyed.join(stay, "stay").groupBy("stay").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
