@@ -34,11 +34,36 @@ def block_hashes(data: Column, size: int) -> Column:
     zeros = F.lit(bytes(size))
 
     def block(i: Column) -> Column:
-        return F.sha2(F.substring(F.concat(data, zeros), i * size + 1, F.lit(size)), 256)
+        part = F.substring(data, i * size + 1, F.lit(size))
+        return F.sha2(F.when(i < n - 1, part).otherwise(F.substring(F.concat(part, zeros), 1, size)), 256)
 
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), block)).otherwise(F.array().cast("array<string>"))
 
 
+def padded_sha1(data: Column, step: int) -> Column:
+    """SHA-1 of the bytes with zeros up to the next multiple of ``step``."""
+    short = F.pmod(-F.octet_length(data), F.lit(step))
+    return F.sha1(F.concat(data, F.unhex(F.repeat(F.lit("00"), short))))
+
+
+def hash_levels(blocks: DataFrame, key: list[str], block_no: str, data: str, size: int, fan: int = 16, levels: int = 4) -> DataFrame:
+    """(key, level, node, sha1) of a tree of SHA-1: level 0 of each block filled up to ``size`` bytes with zeros, each
+    level above of ``fan`` hashes of the one below, those that are missing as zeros.
+
+    A level is one aggregation on (key, node); nothing larger than ``fan`` hashes is put together.
+    """
+    short = F.lit(size) - F.octet_length(data)
+    level = blocks.select(*key, F.lit(0).alias("level"), F.col(block_no).cast("bigint").alias("node"), F.sha1(F.concat(F.col(data), F.unhex(F.repeat(F.lit("00"), short)))).alias("sha1"))
+    out = level
+    for n in range(1, levels):
+        place = F.pmod("node", F.lit(fan)).cast("int")
+        parts = [F.coalesce(F.max(F.when(place == i, F.col("sha1"))), F.lit("00" * 20)) for i in range(fan)]
+        level = level.groupBy(*key, F.expr(f"node div {fan}").alias("up")).agg(F.sha1(F.unhex(F.concat(*parts))).alias("sha1"))
+        level = level.select(*key, F.lit(n).alias("level"), F.col("up").alias("node"), "sha1")
+        out = out.unionByName(level)
+    return out
+
+
 def hash_tree_root(leaves: Column) -> Column:
     """SHA-256 of the leaves' bytes end to end."""
     return F.sha2(F.unhex(F.array_join(leaves, "")), 256)
@@ -56,11 +81,10 @@ def verified_blocks(blocks: DataFrame, expected: DataFrame, key: list[str]) -> D
 
 
 def path_hash(name: Column, seed: int = 123456789) -> Column:
-    """A 32-bit hash of a name: rotate right by five, then exclusive-or with each UTF-16 unit.
-
-    Characters beyond the basic plane are two units; names hold few of these, they count as one replacement character.
-    """
-    units = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.when(F.octet_length(c) < 4, F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("bigint")).otherwise(F.lit(0xFFFD).cast("bigint")))
+    """A 32-bit hash of a name: rotate right by five, then exclusive-or with each UTF-16 unit."""
+    digits = F.hex(F.encode(name, "UTF-16BE"))
+    places = F.when(F.length(digits) > 0, F.sequence(F.lit(0), (F.length(digits) / 4).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    units = F.transform(places, lambda i: F.conv(F.substring(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint"))
 
     def step(h: Column, u: Column) -> Column:
         turned = F.shiftrightunsigned(h, 5).bitwiseOR(F.shiftleft(h.bitwiseAND(F.lit(31)), 27))

@@ -28,8 +28,24 @@ def msf_frames(text: Column) -> Column:
     return frames_of(*part)
 
 
+def _two(c: Column) -> Column:
+    """At least two digits."""
+    return F.when(c < 10, F.concat(F.lit("0"), c.cast("string"))).otherwise(c.cast("string"))
+
+
 def msf_text(frames: Column) -> Column:
-    return F.concat_ws(":", *[F.lpad(x.cast("string"), 2, "0") for x in (div(frames, 60 * FRAMES), div(frames, FRAMES) % 60, frames % FRAMES)])
+    """mm:ss:ff; hours and more stay minutes, of as many digits as they take."""
+    return F.concat_ws(":", *map(_two, (div(frames, 60 * FRAMES), div(frames, FRAMES) % 60, frames % FRAMES)))
+
+
+def msf_add(a: Column, b: Column) -> Column:
+    """The sum of two mm:ss:ff."""
+    return msf_text(msf_frames(a) + msf_frames(b))
+
+
+def msf_subtract(a: Column, b: Column) -> Column:
+    """The difference of two mm:ss:ff, 00:00:00 at least."""
+    return msf_text(F.greatest(msf_frames(a) - msf_frames(b), F.lit(0).cast("bigint")))
 
 
 def to_bcd(c: Column) -> Column:
@@ -68,6 +84,16 @@ def flags(mask: Column, names: list[str]) -> Column:
     return F.filter(every, lambda x: x.isNotNull())
 
 
+def all_zero(data: Column) -> Column:
+    """Whether no byte differs from zero (true of none)."""
+    return F.regexp_replace(F.hex(data), "^(?:00)*", "") == ""
+
+
+def any_nonzero(data: Column, at: int, size: int) -> Column:
+    """Whether a slice has a byte other than zero."""
+    return ~all_zero(F.substring(data, at + 1, size))
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part * 100.0 / whole).otherwise(F.lit(0.0))
 
@@ -79,6 +105,16 @@ def little_endian(data: Column, at: Column | int, size: int) -> Column:
     return F.when(F.octet_length(part) == size, F.conv(F.concat(*[F.hex(F.substring(part, i + 1, 1)) for i in reversed(range(size))]), 16, 10).cast("bigint"))
 
 
+def le_bytes(c: Column, size: int) -> Column:
+    """A non-negative integer as ``size`` bytes, the lowest first."""
+    digits = F.lpad(F.hex(c.cast("bigint")), 2 * size, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]))
+
+
+def be_bytes(c: Column, size: int) -> Column:
+    return F.unhex(F.lpad(F.hex(c.cast("bigint")), 2 * size, "0"))
+
+
 def big_endian(data: Column, at: Column | int, size: int) -> Column:
     start = F.lit(at) if isinstance(at, int) else at
     part = F.substring(data, start + 1, F.lit(size))

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import align_up
-from .ordered import offsets
+from .ordered import offsets, spread_sums
 
 
 def partition_layout(entries: DataFrame, container: str, name: str, size: str, head: int = 16, entry: int = 24, step: int = 16) -> DataFrame:
     """Entries in order of their names' bytes with name_offset (in the table of names, each closed by a zero),
     data_offset (from the end of the header) and header_size: ``head`` and ``entry`` bytes an entry, and the names rounded up to ``step``.
     """
-    order = [F.col(name)]
-    named = offsets(entries, [container], order, F.octet_length(name).cast("bigint") + 1, name="name_offset")
-    placed = offsets(named, [container], order, F.col(size).cast("bigint"), name="data_offset")
-    every = Window.partitionBy(container)
-    strings = F.sum(F.octet_length(name).cast("bigint") + 1).over(every)
-    n = F.count("*").over(every)
-    return placed.withColumn("header_size", head + n * entry + align_up(strings, step))
+    order, named, sized = [F.col(name)], F.octet_length(name).cast("bigint") + 1, F.col(size).cast("bigint")
+    placed = spread_sums(spread_sums(entries, [container], order, named, "name_offset"), [container], order, sized, "data_offset")
+    placed = placed.withColumn("name_offset", F.col("name_offset") - named).withColumn("data_offset", F.col("data_offset") - sized)
+    sums = entries.groupBy(F.col(container).alias("_c")).agg((head + F.count("*") * entry + align_up(F.sum(named), step)).alias("header_size"))
+    return placed.join(sums, F.col(container).eqNullSafe(F.col("_c"))).drop("_c")
 
 
 def hashed_layout(entries: DataFrame, container: str, name: str, data: str, region: int = 512) -> DataFrame:

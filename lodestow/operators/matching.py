@@ -9,11 +9,12 @@ from .catalog import first_by
 
 
 def pair_full(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Full outer pairing on a key: status Matched, OrphanSource (left only) or OrphanPatch (right only)."""
+    """Full outer pairing on a key, of texts whatever their case: status both, left (only) or right (only)."""
     a = left.withColumnRenamed(key, "_l")
     b = right.withColumnRenamed(key, "_r")
-    status = F.when(F.col("_r").isNull(), "OrphanSource").when(F.col("_l").isNull(), "OrphanPatch").otherwise("Matched")
-    return a.join(b, F.col("_l") == F.col("_r"), "full").withColumn("status", status).withColumn(key, F.coalesce("_l", "_r")).drop("_l", "_r")
+    status = F.when(F.col("_r").isNull(), "left").when(F.col("_l").isNull(), "right").otherwise("both")
+    same = [F.upper(c) if left.schema[key].dataType.simpleString() == "string" else F.col(c) for c in ("_l", "_r")]
+    return a.join(b, same[0] == same[1], "full").withColumn("status", status).withColumn(key, F.coalesce("_l", "_r")).drop("_l", "_r")
 
 
 def unmatched(df: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,7 +43,14 @@ def exact_else_contains(names: DataFrame, targets: DataFrame, name: str, target:
     n = names.select(name).where(F.col(name).isNotNull()).distinct()
     t = targets.select(target).where(F.length(target) > 0).distinct()
     exact = n.join(t, F.col(name) == F.col(target)).withColumn("how", F.lit("exact"))
-    rest = n.join(exact.select(name), name, "left_anti").withColumn("_id", F.md5(name))
+    rest = n.join(exact.select(name), name, "left_anti")
+    return exact.unionByName(contained(rest, t, name, target, grams).withColumn("how", F.lit("contains")))
+
+
+def contained(names: DataFrame, targets: DataFrame, name: str, target: str, grams: int = 12) -> DataFrame:
+    """(name, target) for all targets that a name contains, itself included, by the hashes of ``exact_else_contains``."""
+    rest = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_id", F.md5(name))
+    t = targets.select(target).where(F.length(target) > 0).distinct()
     begins = t.withColumn("_k", F.least(F.octet_length(target), F.lit(grams)))
     begins = begins.withColumn("_p", F.expr(f"xxhash64(substring(encode(`{target}`, 'UTF-8'), 1, _k))"))
     lengths = [r[0] for r in begins.select("_k").distinct().collect()]  # grams values at most
@@ -54,14 +62,44 @@ def exact_else_contains(names: DataFrame, targets: DataFrame, name: str, target:
 
         return F.transform(F.array(F.encode(name, "UTF-8")), hashes)[0]  # the bytes are bound once
 
-    out = exact
+    out = rest.limit(0).select(name, F.lit("").alias(target)) if not lengths else None
     for k in lengths:
         # a piece travels with its name's digest; the name itself comes back only for what has met a target
         met = rest.select("_id", F.explode(pieces_of(k)).alias("_p")).join(begins.where(F.col("_k") == k), "_p").select("_id", target).distinct()
-        out = out.unionByName(met.join(rest, "_id").where(F.contains(name, target)).select(name, target).withColumn("how", F.lit("contains")))
+        found = met.join(rest, "_id").where(F.contains(name, target)).select(name, target)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
+def passages_in(texts: DataFrame, passages: DataFrame, ident: str, text: str, passage_id: str, passage: str) -> DataFrame:
+    """(ident, passage_id): which passages each text contains, to the letter, itself included where they are equal.
+
+    A passage of five words or more has three whole ones behind its first space, which a text that contains it
+    has too: they meet by a hash of three words, and what meets is held against the whole passage.  Texts are
+    cut at spaces once.  Shorter passages, which are names more than passages, meet by hashes of bytes.
+    """
+    parts = passages.select(passage_id, F.col(passage).alias("_passage"), F.split(passage, " ").alias("_w")).where(F.length(passage) > 0)
+    worded = parts.where(F.size("_w") >= 5).select(passage_id, "_passage", F.xxhash64(F.slice("_w", 2, 3)).alias("_p"))
+
+    def triples(w: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 3))))
+
+    pieces = texts.select(ident, F.explode(F.transform(F.array(F.split(text, " ")), triples)[0]).alias("_p"))
+    met = pieces.join(worded.drop("_passage"), "_p").select(ident, passage_id).distinct()
+    long = met.join(texts.select(ident, F.col(text).alias("_text")), ident).join(worded.drop("_p"), passage_id).where(F.contains("_text", "_passage")).select(ident, passage_id)
+    few = parts.where(F.size("_w") < 5).select(passage_id, "_passage")
+    if few.isEmpty():
+        return long
+    named = contained(texts.select(text), few, text, "_passage")
+    return long.unionByName(named.join(texts.select(ident, text), text).join(few, "_passage").select(ident, passage_id)).distinct()
+
+
+def in_folder(named: DataFrame, there: DataFrame, name: str, file: str, folder: str) -> DataFrame:
+    """Names of a folder with the first file there that has the name, whatever its case (null columns without one)."""
+    first = first_by(there.withColumn("_k", F.upper(file)), ["_k", folder], [F.col(file)])
+    return named.withColumn("_k", F.upper(name)).join(first, ["_k", folder], "left").drop("_k")
+
+
 def by_priority(left: DataFrame, tiers: list[DataFrame], keys: list[str], value: str) -> DataFrame:
     """``left`` with the value of the first tier that knows its key (tiers hold one row a key), and that tier's number."""
     out = left

@@ -1,14 +1,20 @@
 """Computations along an order: offsets, next and previous rows, runs, renumbering, sequential packing.
 
-All are windows partitioned by a key.  ``order`` should tell the rows of a key apart, or ties fall as they come.
+Most are windows partitioned by a key, for keys of which each is a task's work; ``spread_sums`` and what is
+built on it take keys of any size.  ``order`` should tell the rows of a key apart, or ties fall as they come.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.numbers import align_up
+from ..session import cut, visible
 from .chains import positions
 
 
@@ -30,6 +36,26 @@ def renumber(df: DataFrame, keys: list[str], order: list[Column], prefix: str =
     return df.withColumn("number", n).withColumn("label", F.concat(F.lit(prefix), F.lpad(n.cast("string"), digits, "0")))
 
 
+def spread_renumber(df: DataFrame, keys: list[str], order: list[Column], prefix: str = "D", digits: int = 2) -> DataFrame:
+    """As ``renumber``, for keys of any size."""
+    return spread_sums(df, keys, order, F.lit(1), "number").withColumn("label", F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), digits, "0")))
+
+
+def spread_sums(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its key up to each row, that one included, for keys of any size.
+
+    Rows are dealt into ranges of (keys, order) and written; a range's sums by key are a few rows, whose own
+    running sum is what each range begins with.  So a key with a third of all rows is many ranges' work.
+    """
+    ranged = cut(df.withColumn(name, value.cast("bigint")).repartitionByRange(*keys, *order).withColumn("_at", F.spark_partition_id()))
+    sums = ranged.groupBy("_at", *keys).agg(F.sum(name).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sums.select("_at", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], before.alias("_begin"))
+    own = F.sum(name).over(Window.partitionBy("_at", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = ranged.withColumn(name, own).join(begins.withColumnRenamed("_at", "_a"), reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_at") == F.col("_a")))
+    return met.withColumn(name, F.col(name) + F.col("_begin")).select(*df.columns, name)
+
+
 def runs(df: DataFrame, keys: list[str], order: str, same: list[Column] | None = None, step: Column | None = None) -> DataFrame:
     """``df`` with ``run``, which grows by one where a row does not continue the one before.
 
@@ -62,36 +88,55 @@ def carried(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> D
 def sequential_bins(df: DataFrame, keys: list[str], order: str, size: str, capacity: int) -> DataFrame:
     """(keys, order, bin): rows in order, a new bin where the next row would not fit; larger rows have a bin of their own.
 
-    What is carried from row to row is two numbers, so a key is folded in one expression over its sorted
-    (order, size) pairs.  A key's pairs must fit into a row: order values are not data.
+    Rows are sorted by (key, order) within partitions by key and read as a stream; what is carried from row to
+    row is two numbers, so no key is held in memory, however many rows it has.
     """
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("s")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("bigint").alias("bin"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("out"))
+    rows = df.select(*keys, order, F.col(size).cast("bigint").alias("_size"))
 
-    def step(s: Column, r: Column) -> Column:
-        fresh = (s["used"] > 0) & (s["used"] + r["s"] > capacity)
-        number = F.when(fresh, s["bin"] + 1).otherwise(s["bin"])
-        return F.struct(number.alias("bin"), F.when(fresh, r["s"]).otherwise(s["used"] + r["s"]).alias("used"), F.concat(s["out"], F.array(number)).alias("out"))
+    def step(state, value):
+        number, used = state or (0, 0)
+        fresh = used > 0 and used + value > capacity
+        state = (number + 1, value) if fresh else (number, used + value)
+        return state, state[0]
 
-    folded = rows.select(*keys, "rows", F.aggregate("rows", start, step)["out"].alias("bins"))
-    pairs = folded.select(*keys, F.explode(F.arrays_zip("rows", "bins")).alias("x"))
-    return pairs.select(*keys, F.col("x.rows.o").alias(order), F.col("x.bins").alias("bin"))
+    return _folded(rows, keys, [order], "_size", step, "bin")
 
 
 def debounced(df: DataFrame, keys: list[str], at: str, gap: int, tie: str) -> DataFrame:
     """Rows that come at least ``gap`` after the last row that was itself kept; the first of a key is kept.
 
-    Whether a row is kept depends on what was kept before, so a window cannot tell: each key's sorted
-    positions are folded in one expression.
+    Whether a row is kept depends on what was kept before, so a window cannot tell: rows are read in order as
+    a stream, and the time of the last one that was kept is carried along.
     """
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("t"), F.col(tie).alias("tie")))).alias("rows"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(f"array<{df.schema[tie].dataType.simpleString()}>").alias("kept"))
-
-    def step(s: Column, r: Column) -> Column:
-        take = s["last"].isNull() | (r["t"] - s["last"] >= gap)
-        return F.struct(F.when(take, r["t"]).otherwise(s["last"]).alias("last"), F.when(take, F.concat(s["kept"], F.array(r["tie"]))).otherwise(s["kept"]).alias("kept"))
-
-    return rows.select(*keys, F.explode(F.aggregate("rows", start, step)["kept"]).alias(tie))
+    rows = df.select(*keys, F.col(at).cast("bigint").alias("_at"), tie)
+
+    def step(last, value):
+        taken = last is None or value - last >= gap
+        return (value if taken else last), int(taken)
+
+    return _folded(rows, keys, ["_at", tie], "_at", step, "_kept").where("_kept = 1").select(*keys, tie)
+
+
+def _folded(df: DataFrame, keys: list[str], order: list[str], value: str, step, name: str) -> DataFrame:
+    """The columns of ``df`` but ``value``'s helper, and what ``step`` gives row by row within a key: (state, value) -> (state, number)."""
+    kept = [c for c in df.columns if c != value or c in keys or c in order]
+    out = StructType([*df.select(*kept).schema.fields, StructField(name, LongType())])
+    at = [df.columns.index(k) for k in keys]
+    of, places = df.columns.index(value), [df.columns.index(c) for c in kept]
+
+    def run(batches):
+        key, state = None, None
+        for b in batches:
+            names, numbers = zip(*(b.column(i).to_pylist() for i in at)), []
+            for k, v in zip(names, b.column(of).to_pylist()):
+                if k != key:
+                    key, state = k, None
+                state, n = step(state, v)
+                numbers.append(n)
+            yield pa.record_batch([*(b.column(i) for i in places), pa.array(numbers, pa.int64())], names=out.names)
+
+    visible(df.sparkSession)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
 
 
 def sliding_rate(df: DataFrame, keys: list[str], at: str, span: int, amount: Column) -> DataFrame:

@@ -151,17 +151,22 @@ def contiguous_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.contiguous(table(spark, sf_dir, "conversations").where("(conv_id + turn) % 5 <> 3"), ["conv_id"], "turn", first=0)
 
 
-@register("volume_group", "select 'doc' || (doc_id // 10)::varchar as volume, min(doc_id % 10 + 1)::int as first_part, count(*) as parts from documents group by doc_id // 10")
+@register(
+    "volume_group",
+    """select 'doc' || (doc_id // 40)::varchar || case doc_id % 4 when 0 then '.rar' when 1 then '.7z' when 2 then '.zip' else '.iso' end as volume,
+       case when doc_id % 4 < 3 then min(doc_id // 4 % 10 + 1)::int end as first_part, count(*) as parts from documents group by doc_id // 40, doc_id % 4""",
+)
 def volume_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.expr("concat('Doc', doc_id div 10, '.part', lpad(doc_id % 10 + 1, 2, '0'), '.rar')")
+    part = "lpad(doc_id div 4 % 10 + 1, 3, '0')"
+    name = F.expr(f"concat('Doc', doc_id div 40, element_at(array(concat('.part', {part}, '.rar'), concat('.7z.', {part}), concat('.zip.', {part}), '.iso'), cast(doc_id % 4 + 1 as int)))")
     d = table(spark, sf_dir, "documents").select(name.alias("file"))
     return d.groupBy(names.volume_key(F.col("file")).alias("volume")).agg(F.min(names.volume_part(F.col("file"))).alias("first_part"), F.count("*").alias("parts"))
 
 
-@register("take_with_overflow", "select greatest(count(*) - 100, 0) as skipped, (select sum(o_orderkey) from (select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 100))::bigint as kept from orders")
+@register("take_with_overflow", "(select 'taken' as what, o_orderkey as n from orders order by o_totalprice desc, o_orderkey limit 100) union all select 'left out', greatest(count(*) - 100, 0) from orders")
 def take_with_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, left = C.take_with_overflow(table(spark, sf_dir, "orders"), 100, [F.desc("o_totalprice"), F.col("o_orderkey")])
-    return left.join(taken.agg(F.sum("o_orderkey").alias("kept")))
+    return taken.select(F.lit("taken").alias("what"), F.col("o_orderkey").alias("n")).union(left.select(F.lit("left out"), "skipped"))
 
 
 @register(
@@ -175,11 +180,12 @@ def role_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return renumber(table(spark, sf_dir, "orders"), ["o_custkey"], [role, F.col("o_orderkey")]).select("o_orderkey", F.col("number").alias("place"))
 
 
-@register("size_format", """select l_orderkey * 4099 as n, case when l_orderkey * 4099 >= 1048576 then (floor(l_orderkey * 4099 * 10 / 1048576.0 + 0.5)::bigint // 10)::varchar || '.' || (floor(l_orderkey * 4099 * 10 / 1048576.0 + 0.5)::bigint % 10)::varchar || ' MB'
+@register("size_format", """select l_orderkey * 4099 as n, case when l_orderkey * 4099 >= 1073741824 then (floor(l_orderkey * 4099 * 10 / 1073741824.0 + 0.5)::bigint // 10)::varchar || '.' || (floor(l_orderkey * 4099 * 10 / 1073741824.0 + 0.5)::bigint % 10)::varchar || ' GB'
+       when l_orderkey * 4099 >= 1048576 then (floor(l_orderkey * 4099 * 10 / 1048576.0 + 0.5)::bigint // 10)::varchar || '.' || (floor(l_orderkey * 4099 * 10 / 1048576.0 + 0.5)::bigint % 10)::varchar || ' MB'
        when l_orderkey * 4099 >= 1024 then (floor(l_orderkey * 4099 * 10 / 1024.0 + 0.5)::bigint // 10)::varchar || '.' || (floor(l_orderkey * 4099 * 10 / 1024.0 + 0.5)::bigint % 10)::varchar || ' KB'
-       else (l_orderkey * 4099)::varchar || ' B' end as size from (select distinct l_orderkey from lineitem where l_orderkey < 200000)""")
+       else (l_orderkey * 4099)::varchar || ' B' end as size from (select distinct l_orderkey from lineitem)""")
 def size_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "lineitem").where("l_orderkey < 200000").select((F.col("l_orderkey") * 4099).alias("n")).distinct()
+    n = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 4099).alias("n")).distinct()
     return n.select("n", numbers.size_text(F.col("n")).alias("size"))
 
 
@@ -211,10 +217,10 @@ def flag_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(numbers.flags(F.col("p_size"), list("abcd")), ",").alias("flags"))
 
 
-@register("frame_addresses", "select doc_id, lpad((n_chars // 4500)::varchar, 2, '0') || ':' || lpad((n_chars // 75 % 60)::varchar, 2, '0') || ':' || lpad((n_chars % 75)::varchar, 2, '0') as msf, n_chars as frames from documents where n_chars < 400000")
+@register("frame_addresses", "select doc_id, case when n_chars < 45000 then '0' else '' end || (n_chars // 4500)::varchar || ':' || lpad((n_chars // 75 % 60)::varchar, 2, '0') || ':' || lpad((n_chars % 75)::varchar, 2, '0') as msf, n_chars as frames from documents")
 def frame_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     msf = numbers.msf_text(F.col("n_chars"))
-    return table(spark, sf_dir, "documents").where("n_chars < 400000").select("doc_id", msf.alias("msf"), numbers.msf_frames(msf).alias("frames"))
+    return table(spark, sf_dir, "documents").select("doc_id", msf.alias("msf"), numbers.msf_frames(msf).alias("frames"))
 
 
 @register("json_dim", "select event_type, sum(cast(json_extract(props, '$.k') as bigint))::bigint as total from events group by event_type")
@@ -231,10 +237,10 @@ def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("unique_names", "select doc_id, case when n = 1 then source || '.txt' else source || ' (' || (n - 1)::varchar || ').txt' end as file from (select doc_id, source, row_number() over (partition by source order by doc_id) as n from documents)")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    from ..operators.ordered import spread_sums
 
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", names.numbered(F.concat("source", F.lit(".txt")), nth).alias("file"))
+    numbered = spread_sums(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], [F.col("doc_id")], F.lit(1), "nth")
+    return numbered.select("doc_id", names.numbered(F.concat("source", F.lit(".txt")), F.col("nth")).alias("file"))
 
 
 @register(

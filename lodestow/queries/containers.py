@@ -31,9 +31,9 @@ def track_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.track_starts(o, "o_custkey", "o_orderkey", "frames", F.lit(150)).select("o_orderkey", "physical", "padded", "logical")
 
 
-@register("split_by_id", "select l_orderkey, l_linenumber, p_partkey from lineitem join part on substr(md5(l_partkey::varchar), 1, 32) = md5(p_partkey::varchar) where l_quantity > 48")
+@register("split_by_id", "select l_orderkey, l_linenumber, p_partkey from lineitem join part on substr(md5(l_partkey::varchar), 1, 32) = md5(p_partkey::varchar)")
 def split_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contents = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select("l_orderkey", "l_linenumber", F.concat(F.md5(F.col("l_partkey").cast("string")), F.lit(".nca")).alias("file"))
+    contents = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.md5(F.col("l_partkey").cast("string")), F.lit(".nca")).alias("file"))
     metas = table(spark, sf_dir, "part").select("p_partkey", F.upper(F.md5(F.col("p_partkey").cast("string"))).alias("content_id"))
     return containers.split_by_id(contents, metas, "file", "content_id").select("l_orderkey", "l_linenumber", "p_partkey")
 

@@ -15,7 +15,7 @@ _MICROS = "timestampdiff(microsecond, timestamp_ntz'1970-01-01', ts)"
 
 @register(
     "pair_full_outer",
-    """select coalesce(d.doc_id, l.doc_id) as doc_id, case when l.doc_id is null then 'OrphanSource' when d.doc_id is null then 'OrphanPatch' else 'Matched' end as status
+    """select coalesce(d.doc_id, l.doc_id) as doc_id, case when l.doc_id is null then 'left' when d.doc_id is null then 'right' else 'both' end as status
        from (select doc_id from documents where doc_id % 3 <> 0) d full outer join labels l on d.doc_id = l.doc_id""",
 )
 def pair_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +24,12 @@ def pair_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.pair_full(d, table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("doc_id", "status")
 
 
-@register("validated_match", "select a.doc_id as a, b.doc_id as b from documents a join documents b on md5(a.text) = md5(b.text) and a.n_chars = b.n_chars and a.doc_id < b.doc_id where a.n_chars < 100000")
+@register("validated_match", "select doc_id, min(doc_id) over (partition by text) as original from documents")
 def validated_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("n_chars < 100000").select("doc_id", F.md5("text").alias("h"), "n_chars")
-    left, right = d.select(F.col("doc_id").alias("a"), "h", F.col("n_chars").alias("na")), d.select(F.col("doc_id").alias("b"), "h", F.col("n_chars").alias("nb"))
-    return M.validated(left, right, ["h"], (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))).select("a", "b")
+    """Every document with the first of those that have its text: they meet by a checksum and are held against the digest and the length."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"), F.md5("text").alias("h"), "n_chars")
+    first = d.groupBy("crc", F.col("h").alias("fh"), F.col("n_chars").alias("fn")).agg(F.min("doc_id").alias("original"))
+    return M.validated(d, first, ["crc"], (F.col("h") == F.col("fh")) & (F.col("n_chars") == F.col("fn"))).select("doc_id", "original")
 
 
 @register("unmatched_anti", "select doc_id from documents where doc_id not in (select doc_id from labels)")
@@ -80,10 +81,8 @@ def exact_else_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select item_id, count(*) as documents from (select distinct b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)) group by item_id",
 )
 def benchmark_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, b = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole")), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    # only pieces that begin a passage can match; there are few of them, and the join with them drops the rest
-    found = M.exact_else_contains(d.select("whole"), b.select("passage"), "whole", "passage", grams=24)
-    return found.join(d, "whole").join(b, "passage").select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("documents"))
+    found = M.passages_in(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 @register(

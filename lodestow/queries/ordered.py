@@ -32,7 +32,8 @@ def lead_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("renumber_label", "select doc_id, n as number, 'D' || lpad(n::varchar, 6, '0') as label from (select doc_id, row_number() over (partition by source order by n_chars desc, doc_id) as n from documents)")
 def renumber_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.renumber(table(spark, sf_dir, "documents"), ["source"], [F.desc("n_chars"), F.col("doc_id")], "D", 6).select("doc_id", "number", "label")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return O.spread_renumber(d, ["source"], [F.desc("n_chars"), F.col("doc_id")], "D", 6).select("doc_id", "number", "label")
 
 
 @register(
@@ -143,9 +144,9 @@ def read_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.read_ranges(reads, B.chunks(p, "p_partkey", "x", 7), "p_partkey", 7).select("p_partkey", F.decode("bytes", "UTF-8").alias("piece"))
 
 
-@register("delta_segments", "select doc_id, md5(substr(text, 1, 5) || 'DELTA' || substr(text, 11, 20)) as hash from documents where regexp_full_match(text[:40], '[\\x00-\\x7F]*')")
+@register("delta_segments", "select doc_id, md5(unhex(substr(h, 1, 10) || '44454C5441' || substr(h, 21, 40))) as hash from (select doc_id, hex(encode(text[:40])) as h from documents)")
 def delta_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.substring("text", 1, 40).rlike("^[\\x00-\\x7F]*$")).select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
     plan = F.array(*[F.struct(F.lit(n).alias("nth"), F.lit(s).alias("src"), F.lit(a).alias("at"), F.lit(k).alias("size"), F.lit(b).alias("bytes")) for n, s, a, k, b in ((0, "base", 0, 5, None), (1, "delta", 0, 5, b"DELTA"), (2, "base", 10, 20, None))])
     return B.delta_applied(d.select("doc_id", F.explode(plan).alias("s")).select("doc_id", "s.*"), d, "doc_id").select("doc_id", F.md5("bytes").alias("hash"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import base_name, directory, extension
+from ..operators.catalog import first_by
 from ..session import visible
 
 #: Levels of archives within archives that are opened.
@@ -19,7 +20,9 @@ DEPTH = 4
 
 def tree(spark: SparkSession, path: str, pattern: str = "*", content: bool = False) -> DataFrame:
     """(path, parent, name, ext, size, modified) of all files below ``path``; with their bytes only if asked, so that scans stay light."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("ignoreMissingFiles", "true").load(path)
+    below = F.substring(F.col("path"), F.instr("path", path) + len(path), F.length("path"))
+    files = files.where(~below.rlike(r"(?:^|/)\.[^/]"))  # what is hidden stays so
     cols = [F.col("path"), directory(F.col("path")).alias("parent"), base_name(F.col("path")).alias("name"), extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
     return files.select(*cols, *(["content"] if content else []))
 
@@ -69,6 +72,8 @@ def scoped(entries: DataFrame, prefix: str, column: str = "entry") -> DataFrame:
 
 
 def json_table(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """JSON lines with a declared schema, the first row of each key."""
+    """JSON lines with a declared schema, the first row of each key in order of files and of places in them."""
     rows = spark.read.schema(schema).json(path)
-    return rows.dropDuplicates([key])
+    columns = rows.columns
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_n"))
+    return first_by(placed, [key], [F.col("_f"), F.col("_b"), F.col("_n")]).select(*columns)

@@ -44,6 +44,25 @@ def cue_files(df: DataFrame, key: str = "id") -> DataFrame:
     return once.select(key, F.row_number().over(Window.partitionBy(key).orderBy("no")).alias("nth"), "file")
 
 
+def main_data_track(df: DataFrame, key: str = "id") -> DataFrame:
+    """(key, file_no): which of a cue sheet's binary files, from 0, holds the main data track.
+
+    The last data track of a high-density area, or else the first data track, or else file 0.  Remarks switch
+    the area; tracks before any file are not counted.
+    """
+    low = F.lower("line")
+    rows = lines(df, key).select(
+        key, "no",
+        F.when(low.rlike("^rem") & F.contains(low, F.lit("high-density")), F.lit(True)).when(low.rlike("^rem") & F.contains(low, F.lit("single-density")), F.lit(False)).alias("dense"),
+        F.when(low.rlike(r'^file\s+".+?"\s+binary'), 1).otherwise(0).alias("file"),
+        _part(r"(?i)^TRACK\s+\d+\s+(\S+)").alias("type"),
+    )
+    files = F.sum("file").over(Window.partitionBy(key).orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    placed = carried(rows, [key], "no", ["dense"]).withColumn("file", files)
+    data = (F.upper("type") != "AUDIO") & (F.col("file") >= 0)
+    return placed.groupBy(key).agg(F.coalesce(F.max(F.when(data & F.col("dense"), F.col("file"))), F.min(F.when(data, F.col("file"))), F.lit(0)).alias("file_no"))
+
+
 def gdi_tracks(df: DataFrame, key: str = "id") -> DataFrame:
     """(key, number, lba, type, sector, file, offset, complete): ``complete`` if as many tracks follow as the first line says."""
     every = lines(df, key).where("line <> ''")
@@ -56,6 +75,13 @@ def gdi_tracks(df: DataFrame, key: str = "id") -> DataFrame:
     return joined.withColumn("complete", F.coalesce(F.when(F.col("said").rlike(r"^\d+$"), F.col("said").cast("int")) == F.col("_n"), F.lit(False))).drop("_n", "said")
 
 
+def data_picks(tracks: DataFrame, key: str = "id", dense: int = 45_000) -> DataFrame:
+    """(key, first_dense, last_data): the numbers of the first data track from sector ``dense`` on, and of the last data track."""
+    data = F.col("type") == 4
+    first = F.min_by(F.when(data & (F.col("lba") >= dense), F.col("number")), F.when(data & (F.col("lba") >= dense), F.struct("lba", "number")))
+    return tracks.groupBy(key).agg(first.alias("first_dense"), F.max(F.when(data, F.col("number"))).alias("last_data"))
+
+
 def dat_entries(df: DataFrame, key: str = "id") -> DataFrame:
     """(key, ord, source_name, patch_base, crc) of the tab-separated lines before the first blank one."""
     every = lines(df, key)
@@ -81,6 +107,13 @@ def ini_values(df: DataFrame, key: str = "id") -> DataFrame:
     return last_by(pair, [key, "section", "name"], [F.col("no")]).drop("no")
 
 
+def ini_text(settings: DataFrame, key: str = "id") -> DataFrame:
+    """(key, text): settings (key, ord, section, name, value) as sections of quoted values, in order; sections go by their first setting."""
+    each = settings.groupBy(key, "section").agg(F.min("ord").alias("o"), F.array_sort(F.collect_list(F.struct("ord", "name", "value"))).alias("s"))
+    body = F.concat(F.lit("["), F.col("section"), F.lit("]\n"), F.array_join(F.transform("s", lambda x: F.concat(x["name"], F.lit('="'), x["value"], F.lit('"\n'))), ""))
+    return each.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", body.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
+
+
 def ccd_tracks(df: DataFrame, key: str = "id") -> DataFrame:
     """(key, track, mode, start) of a CCD sheet: of its [TRACK n] sections, or else of its [Entry n] sections with points 1 to 99."""
     values = ini_values(df, key).withColumn("name", F.upper("name"))

@@ -17,7 +17,7 @@ def one(spark, expr, **values):
         (names.extension, "a/b.tar.GZ", "gz"), (names.extension, "a.b/c", ""), (names.stem, "x/y.part1.rar", "y.part1"), (names.directory, "a/b/c.x", "a/b"),
         (names.content_id, "0123456789ABCDEF0123456789abcdef.cnmt.nca", "0123456789abcdef0123456789abcdef"), (names.content_id, "short.nca", ""),
         (names.base_id, "0100abcd12345801", "0100ABCD12340000"), (names.base_id, "xyz", ""), (names.version_text, " ", "1.0.0"), (names.version_text, "v2.1", "2.1"), (names.version_text, None, "1.0.0"),
-        (names.without_disc, "Game (Disc 2)", "Game"), (names.volume_key, "Game.PART01.rar", "game"), (names.volume_part, "set.7z.003", 3), (names.volume_part, "single.zip", None),
+        (names.without_disc, "Game (Disc 2)", "Game"), (names.volume_key, "Game.PART01.rar", "game.rar"), (names.volume_key, "Game.7Z.1000", "game.7z"), (names.volume_key, "Game.iso", "game.iso"), (names.volume_part, "scan.001", None), (names.without_disc, "Game [Disk A]", "Game"), (names.volume_part, "set.7z.003", 3), (names.volume_part, "single.zip", None),
         (names.disc_id, "cdrom:SLUS_012.34;1", "SLUS01234"), (names.ci_key, "Straße", "STRASSE"), (names.without_forbidden, 'a:b*"c', "abc"),
         (numbers.size_bytes, "about 1.5 mb", 1572864), (numbers.size_bytes, "none", None), (numbers.msf_frames, "00:02:00", 150), (numbers.msf_frames, "x", None),
     ],
