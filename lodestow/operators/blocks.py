@@ -67,9 +67,36 @@ def read_ranges(reads: DataFrame, blocks: DataFrame, key: str, size: int) -> Dat
     return parts.select(key, "read_no", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("bytes"))
 
 
-def mapped_reads(reads: DataFrame, extents: DataFrame, key: str, block: int) -> DataFrame:
-    """What reads of virtual ranges touch in the physical space, extent by extent (sparse holes: src 'zero')."""
-    return range_overlaps(reads, extents, key, block)
+def sparse_reads(reads: DataFrame, extents: DataFrame, blocks: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, read_no, bytes) of byte ranges of virtual objects; what no extent covers reads as zeros.
+
+    Extents (key, e_start, e_end, src, p_start) say where a range lies in the physical object ``src``, of which
+    ``blocks`` (src, block_no, offset, bytes) are the blocks of ``size`` bytes.  Extents of a key do not overlap.
+    """
+    pieces = range_overlaps(reads, extents, key, size)
+    asked = pieces.select(key, F.col("read_no").alias("_read"), F.col("from").alias("_from"), "src", F.col("p_from").alias("v_start"), (F.col("p_from") + F.col("until") - F.col("from")).alias("v_end"))
+    asked = asked.withColumn("read_no", F.struct(key, "_read", "_from"))
+    got = read_ranges(asked.select("src", "read_no", "v_start", "v_end"), blocks, "src", size)
+    parts = got.groupBy(F.col(f"read_no.{key}").alias(key), F.col("read_no._read").alias("read_no")).agg(F.array_sort(F.collect_list(F.struct(F.col("read_no._from").alias("at"), F.hex("bytes").alias("h")))).alias("p"))
+    zeros = F.repeat(F.lit("00"), (F.col("v_end") - F.col("v_start")).cast("int"))
+    laid = F.aggregate(F.coalesce("p", F.array().cast("array<struct<at:bigint,h:string>>")), zeros, lambda s, x: F.overlay(s, x["h"], ((x["at"] - F.col("v_start")) * 2 + 1).cast("int"), F.length(x["h"])))
+    return reads.where("v_end > v_start").join(parts, [key, "read_no"], "left").select(key, "read_no", F.unhex(laid).alias("bytes"))
+
+
+def transcoded(packed: DataFrame, key: str, size: int, to: int, level: int = 6) -> DataFrame:
+    """Packed blocks of ``size`` bytes as packed blocks of ``to`` bytes: (key, block_no, offset, bytes, packed, is_raw).
+
+    Each block's bytes go to the one or few new blocks that they lie in, so no object is ever whole.
+    """
+    plain = decompressed(packed).select(key, "offset", "bytes")
+    first, last = F.floor(F.col("offset") / to), F.floor((F.col("offset") + F.octet_length("bytes") - 1) / to)
+    parts = plain.where(F.octet_length("bytes") > 0).withColumn("_no", F.explode(F.sequence(first, last)))
+    lo = F.greatest(F.col("_no") * to - F.col("offset"), F.lit(0))
+    hi = F.least((F.col("_no") + 1) * to - F.col("offset"), F.octet_length("bytes"))
+    piece = F.struct("offset", F.hex(F.substring("bytes", (lo + 1).cast("int"), (hi - lo).cast("int"))).alias("h"))
+    new = parts.groupBy(key, F.col("_no").alias("block_no")).agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    whole = new.select(key, "block_no", (F.col("block_no") * to).alias("offset"), F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("bytes"))
+    return compressed(whole, level)
 
 
 def reframed(sectors: DataFrame, data: str, header: int, keep: int) -> DataFrame:

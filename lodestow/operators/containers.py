@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import align_up
+from ..functions.numbers import align_up, le_bytes, little_endian
 from .ordered import offsets, spread_sums
 
 
@@ -26,6 +26,33 @@ def hashed_layout(entries: DataFrame, container: str, name: str, data: str, regi
     return partition_layout(hashed, container, name, "size", entry=64)
 
 
+def container_bytes(entries: DataFrame, container: str, name: str, data: str) -> DataFrame:
+    """(container, content): small containers in whole: a mark, the number of files, the size of the table of names, an
+    entry (offset, size, name's offset) of 24 bytes for each, the names, the data.  For containers that fit into a row;
+    of larger ones ``partition_layout`` gives the places, and blocks are written to them.
+    """
+    placed = partition_layout(entries.withColumn("_size", F.octet_length(data)), container, name, "_size")
+    entry = F.concat(le_bytes(F.col("data_offset"), 8), le_bytes(F.col("_size"), 8), le_bytes(F.col("name_offset"), 4), F.lit(bytes(4)))
+    each = F.struct(F.col(name).alias("n"), F.hex(entry).alias("e"), F.hex(F.encode(name, "UTF-8")).alias("s"), F.hex(data).alias("d"))
+    rows = placed.groupBy(container).agg(F.array_sort(F.collect_list(each)).alias("f"), F.max("header_size").alias("header_size"))
+    joined = lambda f: F.unhex(F.array_join(F.transform("f", f), ""))
+    strings = (F.col("header_size") - 16 - F.size("f") * 24).cast("int")
+    names = F.rpad(joined(lambda x: F.concat(x["s"], F.lit("00"))), strings, F.lit(b"\0"))
+    return rows.select(container, F.concat(F.lit(b"PFS0"), le_bytes(F.size("f"), 4), le_bytes(strings, 4), F.lit(bytes(4)), joined(lambda x: x["e"]), names, joined(lambda x: x["d"])).alias("content"))
+
+
+def container_entries(df: DataFrame, container: str, data: str) -> DataFrame:
+    """(container, name, offset, size, bytes) of the files in containers as ``container_bytes`` makes them; none of other bytes."""
+    d = F.col("_d")
+    rows = df.where(F.substring(data, 1, 4) == F.lit(b"PFS0")).select(container, F.col(data).alias("_d"), little_endian(F.col(data), 4, 4).cast("int").alias("_count"), little_endian(F.col(data), 8, 4).cast("int").alias("_strings"))
+    rows = rows.where("_count > 0").withColumn("_n", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
+    of = lambda o, n: little_endian(d, F.lit(16 + o) + F.col("_n") * 24, n)
+    names = F.lit(16) + F.col("_count") * 24
+    name = F.unhex(F.regexp_extract(F.hex(F.substring(d, (names + of(16, 4) + 1).cast("int"), F.col("_strings"))), r"^((?:(?!00)..)*)", 1))
+    body = F.substring(d, (names + F.col("_strings") + of(0, 7) + 1).cast("int"), of(8, 7).cast("int"))
+    return rows.select(container, F.decode(name, "UTF-8").alias("name"), of(0, 7).alias("offset"), of(8, 7).alias("size"), body.alias("bytes"))
+
+
 def split_by_id(contents: DataFrame, metas: DataFrame, file: str, ident: str, digits: int = 32) -> DataFrame:
     """Contents with the meta whose id (of ``digits`` hex digits) their file's name begins with: equality on the beginning."""
     return contents.join(metas.withColumn("_id", F.lower(ident)), F.lower(F.substring(file, 1, digits)) == F.col("_id")).drop("_id")
