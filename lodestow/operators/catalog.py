@@ -119,3 +119,43 @@ def inferred_kind(df: DataFrame, keys: list[str], track_type: str, frames: str)
     audio, data = F.count_if(F.col(track_type) == "AUDIO"), F.count_if(F.col(track_type) != "AUDIO")
     kind = F.when(F.sum(frames) > 500_000, "high density").when(data == 0, "audio").when(audio == 0, "data").otherwise("mixed")
     return df.groupBy(*keys).agg(kind.alias("kind"))
+
+
+def last_regex_rule(column: str, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
+    """The label of the last pattern that all of a text matches: later rules overrule earlier ones."""
+    return regex_rule(column, rules[::-1], otherwise)
+
+
+def role_groups(df: DataFrame, base: str, role: str, roles: list[str], order: Column, value: str, name: str) -> DataFrame:
+    """(base, name, and a list for each role): rows by base, whatever its case, in order; the first row's name; blank bases are left out."""
+    rows = df.withColumn("_base", F.upper(F.trim(base))).where("_base <> ''")
+    each = lambda r: F.transform(F.array_sort(F.collect_list(F.when(F.col(role) == r, F.struct(order.alias("o"), F.col(value).alias("v"))))), lambda x: x["v"])
+    return rows.groupBy(F.col("_base").alias("base")).agg(F.min_by(name, order).alias("name"), *[each(r).alias(r) for r in roles])
+
+
+def id_set(c: Column) -> Column:
+    """An aggregate: the different values, sorted; null for none."""
+    found = F.array_sort(F.collect_set(c))
+    return F.when(F.size(found) > 0, found)
+
+
+def outcomes(ok: Column) -> list[Column]:
+    """Aggregates: how many rows succeeded and how many failed; an unknown outcome is a failure."""
+    good = F.coalesce(ok, F.lit(False))
+    return [F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed")]
+
+
+def least_above(c: Column, bound=0) -> Column:
+    """An aggregate: the least value above a bound."""
+    return F.min(F.when(c > bound, c))
+
+
+def folded_size(parts: Column, field: str) -> Column:
+    """The sum of a field over an array of structs; 0 for none."""
+    return F.aggregate(F.coalesce(parts, F.array().cast(f"array<struct<{field}:bigint>>")), F.lit(0).cast("bigint"), lambda s, x: s + x[field])
+
+
+def skip_take(df: DataFrame, keys: list[str], order: list[Column], skip: int, take: int) -> DataFrame:
+    """Of each group, in order, ``take`` rows at most behind the first ``skip``."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_n", n).where(F.col("_n").between(skip + 1, skip + take)).drop("_n")

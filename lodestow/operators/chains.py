@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -25,3 +25,21 @@ def positions(nodes: DataFrame, key: str, before: str) -> DataFrame:
             break
         jump, rounds = following, rounds + 1
     return jump.where("done").select(key, F.col("to").alias("head"), F.col("steps").alias("position"))
+
+
+def linked(blocks: DataFrame, owner: str, block: str) -> DataFrame:
+    """Blocks given to owners as chains: each with the one ``before`` it, in order of blocks."""
+    return blocks.withColumn("before", F.lag(block).over(Window.partitionBy(owner).orderBy(block)))
+
+
+def paths(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:
+    """(key, path): the names from the root to each node, joined by /, by pointer doubling; cycles and orphans are left out."""
+    jump = cut(nodes.select(key, F.coalesce(parent, key).alias("to"), F.col(name).alias("path"), F.col(parent).isNull().alias("done")))
+    left = None
+    while (now := jump.where("not done").count()) and now != left:
+        ahead = jump.select(F.col(key).alias("to"), F.col("to").alias("_to"), F.col("path").alias("_path"), F.col("done").alias("_done"))
+        moved = jump.join(ahead, "to")
+        longer = F.when(F.col("done"), F.col("path")).otherwise(F.concat("_path", F.lit("/"), "path"))
+        before, jump = jump, cut(moved.select(key, F.col("_to").alias("to"), longer.alias("path"), (F.col("done") | F.col("_done")).alias("done")))
+        left = now if jump.where("done").count() == before.where("done").count() else None
+    return jump.where("done").select(key, "path")

@@ -63,3 +63,20 @@ def sector_index(sectors: DataFrame, content: str) -> tuple[DataFrame, DataFrame
     """
     named = sectors.withColumn("sector", F.sha2(F.col(content).cast("binary"), 256))
     return named.groupBy("sector").agg(F.any_value(content).alias(content), F.count("*").alias("uses")), named.drop(content)
+
+
+def as_of(log: DataFrame, seq_no: int, key: str = "key", seq: str = "seq", deleted: str = "deleted") -> DataFrame:
+    """The snapshot of a log as it was at a commit: what came later does not count."""
+    return snapshot(log.where(F.col(seq) <= seq_no), key, seq, deleted)
+
+
+def committed(copies: DataFrame, selector: DataFrame, written: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(copies, selector) after a commit: what was written goes to the copy that is not selected, and is selected then.
+
+    Until the new selector counts, every reader sees the old copies.
+    """
+    value = [c for c in written.columns if c not in keys][0]
+    new = written.select(*keys, F.col(value).alias("_new")).join(selector.select(*keys, (1 - F.col("copy")).alias("copy")), keys)
+    blocks = copies.join(new, [*keys, "copy"], "left").select(*keys, "copy", F.coalesce("_new", value).alias(value))
+    turned = selector.join(new.select(*keys, F.col("copy").alias("_to")), keys, "left").select(*keys, F.coalesce("_to", "copy").alias("copy"))
+    return blocks, turned

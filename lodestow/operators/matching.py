@@ -173,3 +173,11 @@ def unpacked(contents: DataFrame, selector: DataFrame, keys: list[str]) -> DataF
     """Of two copies of each block (copy 0 and 1) the one that a selector row (keys, copy) names; copy 0 without one."""
     chosen = contents.join(selector.withColumnRenamed("copy", "_want"), keys, "left")
     return chosen.where(F.col("copy") == F.coalesce("_want", F.lit(0))).drop("_want", "copy")
+
+
+def version_sources(versions: DataFrame, base: DataFrame, key: str, before: str) -> DataFrame:
+    """(key, source, kind): a version is read from the base if that has it, else it is a delta on the version before, else new."""
+    there = base.select(F.col(key).alias("_base")).distinct()
+    joined = versions.join(there, F.col(key) == F.col("_base"), "left")
+    kind = F.when(F.col("_base").isNotNull(), "base").when(F.col(before).isNotNull(), "delta").otherwise("new")
+    return joined.select(key, F.coalesce("_base", before).alias("source"), kind.alias("kind"))

@@ -15,7 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.numbers import align_up
 from ..session import cut, visible
-from .chains import positions
+from .chains import paths, positions
 
 
 def offsets(df: DataFrame, keys: list[str], order: list[Column], size: Column, step: int = 1, start: Column | int = 0, name: str = "offset") -> DataFrame:
@@ -151,6 +151,19 @@ def tree_levels(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     return nodes.select(key, parent).join(levels, key)
 
 
+def tree_paths(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:
+    """(key, path) of every node below a root, to be found by their whole path with one equality join."""
+    return paths(nodes.select(key, parent, name).distinct(), key, parent, name)
+
+
+def path_table(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:
+    """(key, number, parent_number): nodes numbered from 1, level by level, in a level by their parents' order and then by name; roots have parent 0."""
+    placed = tree_paths(nodes, key, parent, name).join(tree_levels(nodes, key, parent).select(key, parent, "level"), key)
+    numbered = cut(spread_sums(placed, [], [F.col("level"), F.split("path", "/")], F.lit(1), "number"))
+    above = numbered.select(F.col(key).alias(parent), F.col("number").alias("parent_number"))
+    return numbered.join(above, parent, "left").select(key, "number", F.coalesce("parent_number", F.lit(0)).alias("parent_number"))
+
+
 def blended_rate(df: DataFrame, keys: list[str], at: str, written: str, total: str, span: int) -> DataFrame:
     """``df`` with rate (bytes a second over the last ``span`` microseconds, blended half and half with the rate since the start) and eta (seconds)."""
     w = Window.partitionBy(*keys).orderBy(at)

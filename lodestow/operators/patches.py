@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StringType, StructField, StructType
 
+from ..functions import names
 from ..functions import patch_formats as P
 from ..session import visible
 from .catalog import first_rule
@@ -59,3 +60,18 @@ def created(df: DataFrame, kind: str, source: str = "source", target: str = "tar
     """``df`` with ``patch`` and ``patch_error``."""
     visible(df.sparkSession)
     return df.withColumn("_r", _each(_MAKE, F.col(source), F.col(target), F.lit(kind))).select(*df.columns, F.col("_r.bytes").alias("patch"), F.col("_r.error").alias("patch_error"))
+
+
+def batch_targets(patches: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """``patches`` with ``kind`` and ``target``: the file that each one is for.
+
+    A file that is no patch takes the place of its own path.  A patch is for the file of its name without the
+    ending, or with another ending than that: in its own folder, or else anywhere, the first by path; whatever
+    the case.  Null: there is none.
+    """
+    known = files.select(F.col(path).alias("_file"), F.explode(F.array_distinct(F.array(F.upper(names.stem(F.col(path))), F.upper(names.base_name(F.col(path)))))).alias("_k")).withColumn("_dir", F.upper(names.directory(F.col("_file"))))
+    near = known.groupBy("_dir", "_k").agg(F.min("_file").alias("_near"))
+    far = known.groupBy("_k").agg(F.min("_file").alias("_far"))
+    asked = patches.withColumn("kind", names.patch_kind(F.col(path))).withColumn("_k", F.when(F.col("kind") == "patch", F.upper(names.patch_target(F.col(path))))).withColumn("_dir", F.upper(names.directory(F.col(path))))
+    met = asked.join(near, ["_dir", "_k"], "left").join(far, "_k", "left")
+    return met.withColumn("target", F.when(F.col("kind") == "overwrite", F.col(path)).otherwise(F.coalesce("_near", "_far"))).drop("_k", "_dir", "_near", "_far")

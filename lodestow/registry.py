@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .queries import binaries, catalog, containers, matching, ordered, patches, plans, streams, texts  # noqa: F401
+    from .queries import binaries, catalog, containers, flows, matching, ordered, patches, plans, streams, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

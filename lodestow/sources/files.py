@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.names import base_name, directory, extension
 from ..operators.catalog import first_by
 from ..session import visible
+from .texts import cue_files, gdi_tracks
 
 #: Levels of archives within archives that are opened.
 DEPTH = 4
@@ -77,3 +78,25 @@ def json_table(spark: SparkSession, path: str, schema: str, key: str) -> DataFra
     columns = rows.columns
     placed = rows.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_n"))
     return first_by(placed, [key], [F.col("_f"), F.col("_b"), F.col("_n")]).select(*columns)
+
+
+def titles_by_folder(entries: DataFrame, path: str = "path") -> DataFrame:
+    """(ident, nth, part): folders within folders named by 16 hex digits, with how far each id is from the least one."""
+    parts = r"(?:^|/)([0-9a-fA-F]{16})/([^/]+)$"
+    rows = entries.where(F.col(path).rlike(parts)).select(F.upper(F.regexp_extract(path, parts, 1)).alias("ident"), F.regexp_extract(path, parts, 2).alias("part"))
+    least = rows.agg(F.min("ident").alias("m")).first()["m"]  # one value
+    far = F.conv("ident", 16, 10).cast("decimal(20,0)") - int(least or "0", 16)
+    return rows.select("ident", far.cast("bigint").alias("nth"), "part")
+
+
+def descriptor_sizes(sheets: DataFrame, entries: DataFrame, key: str = "id") -> DataFrame:
+    """(key, size, missing): a sheet's own size and those of the files it names that are there, and how many are not.
+
+    Sheets are (key, folder, text), of the cue or the GDI kind; entries are (folder, name, size).  Names are
+    compared whatever their case.
+    """
+    named = cue_files(sheets, key).select(key, "file").unionByName(gdi_tracks(sheets, key).select(key, "file")).distinct()
+    there = entries.groupBy("folder", F.upper("name").alias("_n")).agg(F.max("size").alias("_size"))
+    found = named.join(sheets.select(key, "folder"), key).withColumn("_n", F.upper("file")).join(there, ["folder", "_n"], "left")
+    sums = found.groupBy(key).agg(F.sum("_size").alias("_sum"), F.count_if(F.col("_size").isNull()).alias("_gone"))
+    return sheets.join(sums, key, "left").select(key, (F.octet_length("text") + F.coalesce("_sum", F.lit(0))).alias("size"), F.coalesce("_gone", F.lit(0)).alias("missing"))
