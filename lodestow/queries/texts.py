@@ -9,7 +9,7 @@ from ..functions import digests, names, numbers
 from ..operators import matching as M
 from ..registry import register
 from ..sources import texts as T
-from . import table
+from . import crc32_sql, table
 
 _KIND = "case o_orderstatus when 'F' then 'MODE1/2352' when 'O' then 'AUDIO' else 'MODE2/2352' end"
 _TRACKS = f"""select o_custkey as id, o_orderkey as k, row_number() over (partition by o_custkey order by o_orderkey) as n, {_KIND} as kind, o_orderkey * 75 + 13 as frames, o_orderpriority as p from orders"""
@@ -189,16 +189,7 @@ def hex_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", names.hex_text(data).alias("low"), names.hex_text(data, lower=False).alias("high"), F.decode(names.hex_bytes(names.hex_text(data)), "UTF-8").alias("back"), F.decode(names.hex_bytes(F.concat(names.hex_text(data), F.lit("a"))), "UTF-8").alias("odd"))
 
 
-def _crc_sql(text: str) -> str:
-    """CRC-32 of an ASCII text in SQL: its polynomial bit by bit."""
-    step = "xor(c, b)"
-    for _ in range(8):
-        step = f"list_transform([{step}], lambda v: xor(v >> 1, (v & 1) * 3988292384))[1]"
-    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::bigint)"
-    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda c, b: {step}), 4294967295)"
-
-
-@register("synthetic_ids", f"select p_partkey, '010' || upper(lpad(printf('%x', {_crc_sql('p_name')}), 8, '0')) || '000' as ident from part")
+@register("synthetic_ids", f"select p_partkey, '010' || upper(lpad(printf('%x', {crc32_sql('p_name')}), 8, '0')) || '000' as ident from part")
 def synthetic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", digests.synthetic_id(F.col("p_name")).alias("ident"))
 
