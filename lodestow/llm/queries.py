@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..queries import crc32_sql
 from .best_fit_packing import op7_best_fit_packing
 from .byte_bpe import op3_byte_bpe
 from .fingerprints import op6_fingerprints
@@ -14,9 +18,55 @@ from .quality_rules import op2_quality_rules
 from .toxicity import op5_toxicity
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op2_quality_rules`` that no model decides."""
+    return op2_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def word_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op4_ppm`` that its word counts decide."""
+    return op4_ppm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
+_SPACE = r"[\x20\x09-\x0D]"
+
+_LINES = rf"""
+with l as (select doc_id, unnest(range(len(a))) as i, unnest(a) as raw from (select doc_id, string_split(text, chr(10)) as a from documents where text is not null)),
+f as (select *, row_number() over (partition by doc_id order by i) - 1 as p from (select doc_id, i, regexp_replace(raw, '^{_SPACE}+|{_SPACE}+$', '', 'g') as s from l) where s <> ''),
+w as (select doc_id, p, s || chr(10) || lead(s) over q || chr(10) || lead(s, 2) over q as h from f window q as (partition by doc_id order by p)),
+first as (select h, min({{'d': doc_id, 'p': p}}) as m from w where h is not null group by h having count(*) > 1),
+later as (select doc_id, case when m.d = doc_id then greatest(p, m.p + 3) else p end as b, p + 3 as e from w join first using (h) where m.d <> doc_id or m.p <> p),
+gone as (select distinct doc_id, unnest(range(b, e)) as p from later where b < e)
+select d.doc_id, case when d.text is null then null else coalesce(x.text, '') end as text, case when coalesce(d.text, '') = '' then 0 else n_lines end as n_lines, coalesce(n_removed, 0) as n_removed
+from documents d left join (select l.doc_id, string_agg(raw, chr(10) order by l.i) filter (g.p is null) as text, count(*) as n_lines, count(g.p) as n_removed
+    from l left join f on f.doc_id = l.doc_id and f.i = l.i left join gone g on g.doc_id = f.doc_id and g.p = f.p group by l.doc_id) x on x.doc_id = d.doc_id
+"""
+
+_STATISTICS = rf"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+w as (select doc_id, unnest(range(len(a))) as i, unnest(a) as w from (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as a from t)),
+win as (select doc_id, i, w || ' ' || lead(w) over q || ' ' || lead(w, 2) over q as h from w window q as (partition by doc_id order by i)),
+again as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, h) as n from win where h is not null) where n > 1),
+covered as (select doc_id, count(*) as n from (select distinct doc_id, i + k as i from again, range(3) r(k)) group by doc_id),
+lines as (select doc_id, count(*) - count(distinct x) as n from (select doc_id, unnest(string_split(text, chr(10))) as x from t) where regexp_matches(x, '[^\x20\x09-\x0D]') group by doc_id),
+s as (select t.doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as n_words, length(regexp_replace(text, '{_SPACE}', '', 'g')) as word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(lines.n, 0) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words
+    from t left join lines on lines.doc_id = t.doc_id left join covered on covered.doc_id = t.doc_id)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s
+"""
+
+_WORDS = f"""
+with d as (select doc_id, {crc32_sql("doc_id::varchar")} % 5 = 1 as held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' ') as a from documents),
+w as (select doc_id, held_out, unnest(a) as w from d), c as (select w, count(*) as c from w where not held_out group by w), n as (select coalesce(sum(c), 0)::bigint as n, count(*) as v from c)
+select doc_id, any_value(held_out) as held_out, count(*) as n_tokens, count(c) as n_known, any_value(n) as train_tokens, round(sum(log10((coalesce(c, 0) + 0.5::double) / (n + 0.5::double * (v + 1)))), 5) as base_score
+from w left join c using (w) cross join n group by doc_id
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_byte_bpe, op4_ppm, op5_toxicity, op6_fingerprints, op7_best_fit_packing, op8_line_dedup, op9_ngram_join, op10_language_id)}
+    operators = (op1_quality_classifier, op2_quality_rules, op3_byte_bpe, op4_ppm, op5_toxicity, op6_fingerprints, op7_best_fit_packing, op8_line_dedup, op9_ngram_join, op10_language_id)
+    return {f.__name__: f for f in (*operators, quality_statistics, word_model_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": _LINES, "quality_statistics": _STATISTICS, "word_model_scores": _WORDS}

@@ -1,14 +1,24 @@
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from lodestow.llm import queries
 
 
 def test_queries_cover_the_operators():
-    names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
+    names = sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op"))
     assert names == list(range(1, 11))
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, duck, data, name):
+    df = queries.queries()[name](spark, data)
+    found = duck.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in found.description]
+    assert sorted(df.columns) == sorted(names)
+    assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=str) == sorted((tuple(r) for r in found.fetchall()), key=str)
+
+
 def test_pipeline(spark, data, tmp_path):
     docs = before = spark.read.parquet(f"{data}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
