@@ -1,18 +1,38 @@
-"""Binary patch formats, one patch at a time: small helpers of the Arrow functions in operators/patches.py.
+"""Binary patch formats: parsers of one patch into records, encoders of records, and what cannot be told as records.
 
 Layouts follow the published descriptions of IPS, IPS32, UPS, BPS and PPF; APS is the flat form of records
-(u32 offset, u8 length, bytes).  Every fault raises ValueError.
+(u32 offset, u8 length, bytes).  Every fault raises ValueError.  Where records go, and where they come from, is
+the work of DataFrames in operators/patches.py.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 
 #: What patches begin with.
 MAGIC = {"ips": b"PATCH", "ips32": b"IPS32", "ups": b"UPS1", "bps": b"BPS1", "aps": b"APS1", "ppf": b"PPF"}
+#: Most bytes of a record, and equal bytes that two changes may have between them to be one record.
+MOST = {"ips": 0xFFFE, "ips32": 0xFFFE, "aps": 255, "ppf": 255, "ups": 1 << 40}
+GAP = {"ips": 5, "ips32": 5, "aps": 5, "ppf": 8, "ups": 0}
+
+
+@dataclass
+class Patch:
+    """Records (offset, bytes), and what the patch says of the objects; ``xor``: bytes are differences."""
+
+    records: list[tuple[int, bytes]] = field(default_factory=list)
+    xor: bool = False
+    grows: bool = True
+    source_size: int | None = None
+    target_size: int | None = None
+    source_crc: int | None = None
+    target_crc: int | None = None
+    check_at: int | None = None
+    check: bytes | None = None
 
 
 def need(holds: bool, what: str) -> None:
@@ -57,85 +77,126 @@ def changed_runs(a: bytes, b: bytes, gap: int, most: int) -> Iterator[tuple[int,
             yield start, min(start + most, hi + 1)
 
 
-def records(patch: bytes, wide: bool) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes) of an IPS or IPS32 patch, runs written out."""
-    size, end = (4, b"EEOF") if wide else (3, b"EOF")
-    at = 5
+def differences(kind: str, offset: int, a: bytes, b: bytes) -> Iterator[tuple[int, bytes]]:
+    """Records that turn a block at ``offset`` into another one; differences for a format of such."""
+    if kind == "ups":
+        n = max(len(a), len(b))
+        b = (np.frombuffer(a.ljust(n, b"\0"), np.uint8) ^ np.frombuffer(b.ljust(n, b"\0"), np.uint8)).tobytes()
+        a = bytes(n)
+    for lo, hi in changed_runs(a, b, GAP[kind], MOST[kind]):
+        if kind in _ENDS and (offset + lo).to_bytes(8)[-_WIDTHS[kind] :] == _ENDS[kind] and lo:
+            lo -= 1  # an offset that spells the end mark: begin a byte earlier
+        yield offset + lo, b[lo:hi]
+
+
+_ENDS, _WIDTHS = {"ips": b"EOF", "ips32": b"EEOF"}, {"ips": 3, "ips32": 4}
+
+
+def parsed(patch: bytes, kind: str) -> Patch:
+    return {"ips": _ips, "ips32": _ips, "ups": _ups, "aps": _aps, "ppf": _ppf}[kind](patch, kind)
+
+
+def _ips(patch: bytes, kind: str) -> Patch:
+    size, end, at, out = _WIDTHS[kind], _ENDS[kind], 5, Patch()
+    need(len(patch) >= 8, "truncated record")
     while True:
         need(at + size <= len(patch), "truncated record")
         if patch[at : at + size] == end:
-            return
+            return out
         offset, at = int.from_bytes(patch[at : at + size]), at + size
         need(at + 2 <= len(patch), "truncated record")
         n, at = int.from_bytes(patch[at : at + 2]), at + 2
-        width = n or 3
+        width = n or 3  # no length: a run of one byte
         need(at + width <= len(patch), "truncated record")
-        yield offset, patch[at : at + n] if n else patch[at + 2 : at + 3] * int.from_bytes(patch[at : at + 2])
+        out.records.append((offset, patch[at : at + n] if n else patch[at + 2 : at + 3] * int.from_bytes(patch[at : at + 2])))
         at += width
 
 
-def apply_ips(patch: bytes, source: bytes, wide: bool = False) -> bytes:
-    need(len(patch) >= 8 and patch.startswith(MAGIC["ips32" if wide else "ips"]), "not a patch of this format")
-    out = bytearray(source)
-    for offset, body in records(patch, wide):
-        out.extend(bytes(max(0, offset + len(body) - len(out))))
-        out[offset : offset + len(body)] = body
-    return bytes(out)
-
-
-def make_ips(source: bytes, target: bytes, wide: bool = False) -> bytes:
-    size, end = (4, b"EEOF") if wide else (3, b"EOF")
-    need(len(target) >= len(source), "the format cannot shorten")
-    need(len(target) <= 1 << 8 * size, "the target is too large for the format")
-    out = bytearray(MAGIC["ips32" if wide else "ips"])
-    for lo, hi in changed_runs(source, target, 5, 0xFFFE):
-        if lo.to_bytes(size) == end:
-            lo -= 1  # an offset that spells the end mark: begin a byte earlier
-        body = target[lo:hi]
-        out += lo.to_bytes(size)
-        out += b"\0\0" + len(body).to_bytes(2) + body[:1] if len(body) > 8 and body == body[:1] * len(body) else len(body).to_bytes(2) + body
-    return bytes(out) + end
+def _aps(patch: bytes, kind: str) -> Patch:
+    at, out = 4, Patch(grows=False)
+    while at < len(patch):
+        need(at + 5 <= len(patch) and at + 5 + patch[at + 4] <= len(patch), "truncated record")
+        n = patch[at + 4]
+        out.records.append((int.from_bytes(patch[at : at + 4], "little"), patch[at + 5 : at + 5 + n]))
+        at += 5 + n
+    return out
 
 
-def _crc(data: bytes) -> bytes:
-    return zlib.crc32(data).to_bytes(4, "little")
+def _ppf(patch: bytes, kind: str) -> Patch:
+    need(len(patch) >= 56, "truncated header")
+    version, out = patch[5] + 1, Patch(grows=False)
+    need(version in (1, 2, 3), "unknown version")
+    need(len(patch) >= (56 if version == 1 else 60), "truncated header")
+    at, width, undo = (56 if version == 1 else 60), (8 if version == 3 else 4), version == 3 and patch[58] == 1
+    if version == 2:
+        out.source_size = int.from_bytes(patch[56:60], "little")
+    if version == 2 or version == 3 and patch[57] == 1:
+        out.check_at, out.check = (0x80A0 if version == 3 and patch[56] == 1 else 0x9320), patch[at : at + 1024]
+        need(len(out.check) == 1024, "truncated block check")
+        at += 1024
+    tail = patch.find(b"@BEGIN_FILE_ID.DIZ", at)
+    end = tail if tail >= 0 else len(patch)
+    while at < end:
+        need(at + width + 1 <= end, "truncated record")
+        offset, n = int.from_bytes(patch[at : at + width], "little"), patch[at + width]
+        at += width + 1
+        need(at + n * (1 + undo) <= end, "truncated record")
+        out.records.append((offset, patch[at : at + n]))
+        at += n * (1 + undo)
+    return out
 
 
-def apply_ups(patch: bytes, source: bytes) -> bytes:
-    need(len(patch) >= 18 and patch.startswith(MAGIC["ups"]), "not a patch of this format")
-    need(_crc(patch[:-4]) == patch[-4:], "patch checksum")
+def _ups(patch: bytes, kind: str) -> Patch:
+    need(len(patch) >= 18 and _crc(patch[:-4]) == patch[-4:], "patch checksum")
     n, at = varint(patch, 4)
     m, at = varint(patch, at)
-    need(n == len(source) and _crc(source) == patch[-12:-8], "source checksum")
-    out = np.zeros(max(n, m), np.uint8)
-    out[:n] = np.frombuffer(source, np.uint8)
+    out = Patch(xor=True, source_size=n, target_size=m, source_crc=int.from_bytes(patch[-12:-8], "little"), target_crc=int.from_bytes(patch[-8:-4], "little"))
     place = 0
     while at < len(patch) - 12:
         skip, at = varint(patch, at)
-        end = patch.index(b"\0", at)
-        body = np.frombuffer(patch[at:end], np.uint8)
+        end = patch.find(b"\0", at)
+        need(end >= 0, "truncated record")
         place += skip
-        body = body[: max(0, len(out) - place)]
-        out[place : place + len(body)] ^= body
+        if body := patch[at : min(end, at + max(0, m - place))]:
+            out.records.append((place, body))
         place, at = place + end - at + 1, end + 1
-    done = out[:m].tobytes()
-    need(_crc(done) == patch[-8:-4], "target checksum")
-    return done
+    return out
+
+
+class Encoder:
+    """Records in order as a patch; ``sizes`` and ``crcs``: of source and target."""
+
+    def __init__(self, kind: str, sizes: tuple[int, int], crcs: tuple[int, int]):
+        need(kind not in ("ips", "ips32") or sizes[1] >= sizes[0], "the format cannot shorten")
+        need(kind not in _WIDTHS or sizes[1] <= 1 << 8 * _WIDTHS[kind], "the target is too large for the format")
+        need(kind not in ("aps", "ppf") or sizes[0] == sizes[1], "the format cannot change the size")
+        self.kind, self.crcs, self.last = kind, crcs, 0
+        head = {"ups": lambda: b"".join(map(to_varint, sizes)), "ppf": lambda: b"30" + bytes([2]) + b"".ljust(50) + bytes(4)}
+        self.out = bytearray(MAGIC[kind] + head.get(kind, bytes)())
+
+    def add(self, offset: int, body: bytes) -> None:
+        if self.kind in _WIDTHS:
+            run = len(body) > 8 and body == body[:1] * len(body)
+            self.out += offset.to_bytes(_WIDTHS[self.kind]) + (b"\0\0" + len(body).to_bytes(2) + body[:1] if run else len(body).to_bytes(2) + body)
+        elif self.kind == "ups":
+            self.out += to_varint(offset - self.last) + body + b"\0"
+            self.last = offset + len(body) + 1
+        else:
+            self.out += offset.to_bytes(4 if self.kind == "aps" else 8, "little") + bytes([len(body)]) + body
 
+    def done(self) -> bytes:
+        if self.kind == "ups":
+            self.out += b"".join(c.to_bytes(4, "little") for c in self.crcs)
+            self.out += _crc(bytes(self.out))
+        return bytes(self.out) + _ENDS.get(self.kind, b"")
 
-def make_ups(source: bytes, target: bytes) -> bytes:
-    n = max(len(source), len(target))
-    x = np.frombuffer(source.ljust(n, b"\0"), np.uint8) ^ np.frombuffer(target.ljust(n, b"\0"), np.uint8)
-    out = bytearray(MAGIC["ups"] + to_varint(len(source)) + to_varint(len(target)))
-    last = 0
-    for lo, hi in changed_runs(bytes(n), x.tobytes(), 0, n + 1):
-        out += to_varint(lo - last) + x[lo:hi].tobytes() + b"\0"
-        last = hi + 1
-    out += _crc(source) + _crc(target)
-    return bytes(out) + _crc(bytes(out))
+
+def _crc(data: bytes) -> bytes:
+    return zlib.crc32(data).to_bytes(4, "little")
 
 
 def apply_bps(patch: bytes, source: bytes) -> bytes:
+    """BPS copies from what it has itself just written, so its actions are taken one after the other."""
     need(len(patch) >= 19 and patch.startswith(MAGIC["bps"]), "not a patch of this format")
     need(_crc(patch[:-4]) == patch[-4:], "patch checksum")
     n, at = varint(patch, 4)
@@ -193,53 +254,3 @@ def make_bps(source: bytes, target: bytes) -> bytes:
     action(0, len(target) - last)
     out += _crc(source) + _crc(target)
     return bytes(out) + _crc(bytes(out))
-
-
-def apply_aps(patch: bytes, source: bytes) -> bytes:
-    need(patch.startswith(MAGIC["aps"]), "not a patch of this format")
-    out, at = bytearray(source), 4
-    while at < len(patch):
-        need(at + 5 <= len(patch) and at + 5 + patch[at + 4] <= len(patch), "truncated record")
-        offset, body = int.from_bytes(patch[at : at + 4], "little"), patch[at + 5 : at + 5 + patch[at + 4]]
-        need(offset + len(body) <= len(out), "outside the source")
-        out[offset : offset + len(body)] = body
-        at += 5 + len(body)
-    return bytes(out)
-
-
-def make_aps(source: bytes, target: bytes) -> bytes:
-    need(len(source) == len(target), "the format cannot change the size")
-    return MAGIC["aps"] + b"".join(lo.to_bytes(4, "little") + bytes([hi - lo]) + target[lo:hi] for lo, hi in changed_runs(source, target, 5, 255))
-
-
-def apply_ppf(patch: bytes, source: bytes) -> bytes:
-    need(len(patch) >= 56 and patch.startswith(MAGIC["ppf"]), "not a patch of this format")
-    version = patch[5] + 1
-    need(version in (1, 2, 3), "unknown version")
-    if version == 3:
-        need(len(patch) >= 60, "truncated header")
-        at, check, undo, width, place = 60, patch[57] == 1, patch[58] == 1, 8, 0x80A0 if patch[56] == 1 else 0x9320
-    else:
-        at, check, undo, width, place = (56, False, False, 4, 0) if version == 1 else (60, True, False, 4, 0x9320)
-    if version == 2:
-        need(int.from_bytes(patch[56:60], "little") == len(source), "source size")
-    if check:
-        need(patch[at : at + 1024] == source[place : place + 1024], "block check")
-        at += 1024
-    tail = patch.find(b"@BEGIN_FILE_ID.DIZ", at)
-    end = tail if tail >= 0 else len(patch)
-    out = bytearray(source)
-    while at < end:
-        need(at + width + 1 <= end, "truncated record")
-        offset, n = int.from_bytes(patch[at : at + width], "little"), patch[at + width]
-        body = patch[at + width + 1 : at + width + 1 + n]
-        need(len(body) == n and offset + n <= len(out), "outside the source")
-        out[offset : offset + n] = body
-        at += width + 1 + n * (1 + undo)
-    return bytes(out)
-
-
-def make_ppf(source: bytes, target: bytes) -> bytes:
-    need(len(source) == len(target), "the format cannot change the size")
-    head = MAGIC["ppf"] + b"30" + bytes([2]) + b"".ljust(50) + bytes(4)
-    return head + b"".join(lo.to_bytes(8, "little") + bytes([hi - lo]) + target[lo:hi] for lo, hi in changed_runs(source, target, 8, 255))

@@ -1,24 +1,27 @@
-"""Binary patches over columns: detection, application, creation.  Faults are rows, not failed jobs.
+"""Binary patches: detection, application, creation.  Faults are rows, not failed jobs.
 
-An object and its patch are one row each, so they must fit into a task's memory; MOST is the largest size taken.
+A patch is parsed into records; records go to the blocks of the object that they touch, and a block is laid over
+with its records in order.  So an object is rows of blocks, of any size, and only the patch itself is one row.
+Creation is the reverse: blocks of source and target meet, and what differs in a block is its records.  BPS,
+which copies from what it has just written, is applied whole, to objects that fit into a row.
 """
 
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StringType, StructField, StructType
 
 from ..functions import names
 from ..functions import patch_formats as P
-from ..session import visible
+from ..session import cut, visible
+from .blocks import chunks
 from .catalog import first_rule
 
-MOST = 256 << 20
-
-_APPLY = {"ips": P.apply_ips, "ips32": lambda p, s: P.apply_ips(p, s, True), "ups": P.apply_ups, "bps": P.apply_bps, "aps": P.apply_aps, "ppf": P.apply_ppf}
-_MAKE = {"ips": P.make_ips, "ips32": lambda a, b: P.make_ips(a, b, True), "ups": P.make_ups, "bps": P.make_bps, "aps": P.make_aps, "ppf": P.make_ppf}
+#: Bytes of a block of an object.
+BLOCK = 1 << 16
 
 
 def patch_format(patch: Column) -> Column:
@@ -27,39 +30,175 @@ def patch_format(patch: Column) -> Column:
     return first_rule(rules)
 
 
-def _guarded(call, *args):
-    try:
-        if any(a is None or len(a) > MOST for a in args):
-            raise ValueError("missing or too large")
-        return True, call(*map(bytes, args)), None
-    except (ValueError, IndexError) as e:
-        return False, None, str(e)
+_HEAD = "grows boolean, xor boolean, source_size bigint, target_size bigint, source_crc bigint, target_crc bigint, check_at bigint, check_bytes binary, error string"
 
 
-_RESULT = StructType([StructField("ok", BooleanType()), StructField("bytes", BinaryType()), StructField("error", StringType())])
+def records(patches: DataFrame, key: str, patch: str = "patch") -> DataFrame:
+    """(key, seq, at, data) of each patch's records, and a row with seq null for what the patch says of the objects, or its fault."""
+    kind = patches.schema[key].dataType.simpleString()
+    names_ = [x.split()[0] for x in _HEAD.split(", ")]
+    schema = StructType.fromDDL(f"`{key}` {kind}, seq bigint, at bigint, data binary, {_HEAD}")
 
+    def run(batches):
+        for b in batches:
+            for k, fmt, body in zip(*(b.column(i).to_pylist() for i in range(3))):
+                try:
+                    got, error = P.parsed(body, fmt), None
+                except ValueError as e:
+                    got, error = P.Patch(), str(e)
+                head = (got.grows, got.xor, got.source_size, got.target_size, got.source_crc, got.target_crc, got.check_at, got.check, error)
+                rows = [(k, None, None, None, *head)] + [(k, i, at, data, *[None] * len(names_)) for i, (at, data) in enumerate(got.records if not error else [])]
+                for lo in range(0, len(rows), 4096):
+                    part = zip(*rows[lo : lo + 4096])
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(part, (b.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), *[pa.int64()] * 5, pa.binary(), pa.string()))], names=schema.names)
 
-def _each(calls: dict, a: Column, b: Column, kind: Column) -> Column:
-    """calls[kind](a, b) for each row, in Arrow batches."""
+    visible(patches.sparkSession)
+    known = patches.select(key, patch_format(F.col(patch)).alias("_f"), patch).where(F.col("_f").isin(*P.MOST))
+    return known.mapInArrow(run, schema)
 
-    def run(x: pd.Series, y: pd.Series, kinds: pd.Series) -> pd.DataFrame:
-        unknown = lambda p, s: P.need(False, "unknown format")
-        return pd.DataFrame([_guarded(calls.get(k, unknown), p, s) for p, s, k in zip(x, y, kinds)], columns=_RESULT.names)
 
-    return F.pandas_udf(run, _RESULT)(a, b, kind)
+def xored(a: Column, b: Column) -> Column:
+    """Two byte strings of one length, exclusive-or, seven bytes at a time."""
+    x, y = F.hex(a), F.hex(b)
+    digits = lambda c, i: F.conv(F.substring(c, i * 14 + 1, F.lit(14)), 16, 10).cast("bigint")
+    width = F.length(x)
+    part = lambda i: F.lpad(F.hex(digits(x, i).bitwiseXOR(digits(y, i))), F.least(F.lit(14), width - i * 14), F.lit("0"))
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(width / 14).cast("int") - 1), part), ""))
 
 
-def applied(df: DataFrame, patch: str = "patch", source: str = "source") -> DataFrame:
-    """``df`` with format, ok, bytes (the patched object) and error; the format is found by what the patch begins with."""
-    visible(df.sparkSession)
-    kind = patch_format(F.col(patch))
-    return df.withColumn("format", kind).withColumn("_r", _each(_APPLY, F.col(patch), F.col(source), kind)).select(*df.columns, "format", "_r.ok", "_r.bytes", "_r.error")
+def patched_blocks(blocks: DataFrame, recs: DataFrame, sizes: DataFrame, key: str, size: int = BLOCK) -> DataFrame:
+    """(key, block_no, bytes) of objects after their records.
+
+    ``blocks``: (key, block_no, bytes) of ``size`` bytes; ``recs``: (key, seq, at, data, xor); ``sizes``: (key, n) how large
+    the results are.  A record goes to each block that it touches; a block takes its pieces in order of records,
+    so the last one written counts.  What nobody has written is zero.
+    """
+    grid = sizes.where("n > 0").select(key, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / size))).alias("block_no"))
+    pieces = recs.where(F.octet_length("data") > 0).withColumn("block_no", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.octet_length("data") - 1) / size))))
+    start = F.col("block_no") * size - F.col("at")
+    lo = F.greatest(start, F.lit(0))
+    piece = F.substring("data", (lo + 1).cast("int"), (F.least(start + size, F.octet_length("data").cast("bigint")) - lo).cast("int"))
+    laid = pieces.groupBy(key, "block_no").agg(F.array_sort(F.collect_list(F.struct("seq", (lo - start).cast("int").alias("at"), piece.alias("d"), "xor"))).alias("p"))
+    met = grid.join(blocks.select(key, "block_no", "bytes"), [key, "block_no"], "left").join(laid, [key, "block_no"], "left")
+    room = F.least(F.col("n") - F.col("block_no") * size, F.lit(size)).cast("int")
+    base = F.rpad(F.coalesce("bytes", F.lit(b"")), room, F.lit(b"\0"))
+
+    def step(body: Column, x: Column) -> Column:
+        fits = F.substring(x["d"], 1, F.greatest(room - x["at"], F.lit(0)))
+        new = F.when(x["xor"], xored(F.substring(body, x["at"] + 1, F.octet_length(fits)), fits)).otherwise(fits)
+        return F.when(F.octet_length(fits) > 0, F.overlay(body, new, x["at"] + 1)).otherwise(body)
+
+    return met.select(key, "block_no", F.when(F.col("p").isNull(), base).otherwise(F.aggregate("p", base, step)).alias("bytes"))
+
+
+def assembled(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, bytes) of objects that fit into a row."""
+    rows = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block_no", F.hex("bytes").alias("h")))).alias("b"))
+    return rows.select(key, F.unhex(F.array_join(F.transform("b", lambda x: x["h"]), "")).alias("bytes"))
+
 
+def applied(df: DataFrame, key: str, patch: str = "patch", source: str = "source", size: int = BLOCK) -> DataFrame:
+    """(key, format, ok, bytes, error) for rows (key, patch, source); the format is found by what the patch begins with.
 
-def created(df: DataFrame, kind: str, source: str = "source", target: str = "target") -> DataFrame:
-    """``df`` with ``patch`` and ``patch_error``."""
+    What a patch says of its objects (sizes, checksums, a block's bytes) is held against them.  ``patched_blocks``
+    takes objects of any size; here they come and go as rows.
+    """
+    rows = df.select(key, patch_format(F.col(patch)).alias("format"), F.col(patch).alias("_p"), F.col(source).alias("_s"))
+    parsed = cut(records(rows, key, "_p"))
+    heads, recs = parsed.where("seq is null").drop("seq", "at", "data"), parsed.where("seq is not null").select(key, "seq", "at", "data")
+    ends = recs.groupBy(key).agg(F.max(F.col("at") + F.octet_length("data")).alias("_end"))
+    own = rows.select(key, "format", F.octet_length("_s").cast("bigint").alias("_n"), F.crc32("_s").alias("_c"), "_s")
+    told = heads.join(own, key).join(ends, key, "left")
+    held = F.substring("_s", F.col("check_at").cast("int") + 1, F.octet_length("check_bytes"))
+    fault = F.coalesce(
+        "error",
+        F.when(F.col("_n").isNull(), "no source"),
+        F.when((F.col("source_size") != F.col("_n")) | (F.col("source_crc") != F.col("_c")), "source checksum"),
+        F.when(F.col("check_at").isNotNull() & ~(held == F.col("check_bytes")), "block check"),
+        F.when(~F.col("grows") & ~F.col("xor") & (F.col("_end") > F.col("_n")), "outside the source"),
+    )
+    n = F.coalesce("target_size", F.greatest("_n", F.coalesce("_end", F.lit(0))))
+    judged = cut(told.select(key, "format", fault.alias("error"), n.alias("n"), "xor", "target_crc"))
+    good = judged.where("error is null")
+    out = patched_blocks(chunks(rows.join(good.select(key), key), key, "_s", size), recs.join(good.select(key, "xor"), key), good.select(key, "n"), key, size)
+    whole = good.join(assembled(out, key), key, "left").withColumn("bytes", F.coalesce("bytes", F.lit(b"")))
+    right = F.coalesce(F.crc32("bytes") == F.col("target_crc"), F.lit(True))
+    done = whole.select(key, "format", right.alias("ok"), F.when(right, F.col("bytes")).alias("bytes"), F.when(~right, "target checksum").alias("error"))
+    bad = judged.where("error is not null").select(key, "format", F.lit(False).alias("ok"), F.lit(None).cast("binary").alias("bytes"), "error")
+    copying = rows.where("format = 'bps'").select(key, "format", _each(P.apply_bps, F.col("_p"), F.col("_s")).alias("r")).select(key, "format", "r.ok", "r.bytes", "r.error")
+    none = rows.where("format is null").select(key, "format", F.lit(False).alias("ok"), F.lit(None).cast("binary").alias("bytes"), F.lit("unknown format").alias("error"))
+    return done.unionByName(bad).unionByName(copying).unionByName(none)
+
+
+def created(df: DataFrame, key: str, kind: str, source: str = "source", target: str = "target", size: int = BLOCK) -> DataFrame:
+    """(key, patch, error) that turns each source into its target; null where the format cannot."""
     visible(df.sparkSession)
-    return df.withColumn("_r", _each(_MAKE, F.col(source), F.col(target), F.lit(kind))).select(*df.columns, F.col("_r.bytes").alias("patch"), F.col("_r.error").alias("patch_error"))
+    rows = df.select(key, F.col(source).alias("_a"), F.col(target).alias("_b"))
+    if kind == "bps":
+        return rows.select(key, _each(P.make_bps, F.col("_a"), F.col("_b")).alias("r")).select(key, F.col("r.bytes").alias("patch"), F.col("r.error").alias("error"))
+    a, b = (chunks(rows, key, c, size).select(key, "block_no", F.col("bytes").alias(c)) for c in ("_a", "_b"))
+    of_key = rows.schema[key].dataType.simpleString()
+
+    def differ(batches):
+        for b in batches:
+            out = [(k, at, data) for k, no, x, y in zip(*(b.column(i).to_pylist() for i in range(4))) for at, data in P.differences(kind, no * size, x or b"", y or b"")]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (b.schema.field(0).type, pa.int64(), pa.binary()))], names=[key, "at", "data"])
+
+    recs = a.join(b, [key, "block_no"], "full").select(key, "block_no", "_a", "_b").mapInArrow(differ, f"`{key}` {of_key}, at bigint, data binary")
+    if kind == "ups":  # differences that go on over the end of a block are one record
+        from .ordered import runs
+
+        pieces = runs(recs, [key], "at", step=F.octet_length("data")).groupBy(key, "run").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", F.hex("data").alias("h")))).alias("p"))
+        recs = pieces.select(key, "at", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("data"))
+    none = F.lit(None)
+    heads = rows.select(key, none.cast("bigint").alias("at"), none.cast("binary").alias("data"), *[f(F.col(c)).cast("bigint").alias(f"{n}{c}") for c in ("_a", "_b") for n, f in (("n", F.octet_length), ("c", F.crc32))])
+
+    def encode(batches):
+        k, encoder, error, any_ = None, None, None, False
+
+        def done():
+            body = encoder.done() if encoder else None
+            return pa.record_batch([pa.array([k], type_), pa.array([body], pa.binary()), pa.array([error], pa.string())], names=[key, "patch", "error"])
+
+        for b in batches:
+            type_ = b.schema.field(0).type
+            for own, at, data, na, ca, nb, cb in zip(*(b.column(i).to_pylist() for i in range(7))):
+                if at is None:  # a key's head comes first
+                    if any_:
+                        yield done()
+                    k, encoder, error, any_ = own, None, None, True
+                    try:
+                        P.need(na is not None and nb is not None, "no source or no target")
+                        encoder = P.Encoder(kind, (na, nb), (ca, cb))
+                    except ValueError as e:
+                        error = str(e)
+                elif encoder:
+                    encoder.add(at, data)
+        if any_:
+            yield done()
+
+    every = heads.unionByName(recs, allowMissingColumns=True).repartition(key).sortWithinPartitions(key, F.col("at").asc_nulls_first())
+    return every.mapInArrow(encode, f"`{key}` {of_key}, patch binary, error string")
+
+
+_RESULT = StructType([StructField("ok", BooleanType()), StructField("bytes", BinaryType()), StructField("error", StringType())])
+
+
+def _each(call, a: Column, b: Column) -> Column:
+    """call(a, b) for each row, in Arrow batches; faults as values."""
+
+    def one(x, y):
+        try:
+            P.need(x is not None and y is not None, "missing")
+            return True, call(bytes(x), bytes(y)), None
+        except (ValueError, IndexError) as e:
+            return False, None, str(e)
+
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(p, s) for p, s in zip(x, y)], columns=_RESULT.names)
+
+    return F.pandas_udf(run, _RESULT)(a, b)
 
 
 def batch_targets(patches: DataFrame, files: DataFrame, path: str) -> DataFrame:

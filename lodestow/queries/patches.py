@@ -25,8 +25,9 @@ def _pairs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 def _query(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        done = P.applied(P.created(_pairs(spark, sf_dir, kind), kind))
-        return done.select("doc_id", "format", "ok", F.md5("bytes").alias("hash"))
+        pairs = _pairs(spark, sf_dir, kind)
+        made = P.created(pairs, "doc_id", kind).join(pairs.select("doc_id", "source"), "doc_id")
+        return P.applied(made, "doc_id").select("doc_id", "format", "ok", F.md5("bytes").alias("hash"))
 
     target = "a.text || b.text" if kind in _GROWS else "hex(encode(b.text))" if kind in _SAME else "b.text"
     register(f"patch_{kind}", f"select b.doc_id, '{kind}' as format, true as ok, md5({target}) as hash from documents a join documents b on b.doc_id = a.doc_id + 1")(query)

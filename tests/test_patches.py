@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -19,34 +20,84 @@ FIXED = {
 
 @pytest.mark.parametrize("kind", FIXED)
 def test_fixed_vectors(spark, kind):
-    rows = spark.createDataFrame([(SOURCE, bytes.fromhex(FIXED[kind]))], "source binary, patch binary")
-    got = patches.applied(rows).first()
-    assert (got["format"], got["ok"], got["error"]) == (kind, True, None)
-    assert bytes(got["bytes"]) == (TARGET[:20] if kind == "aps" else TARGET)
+    rows = spark.createDataFrame([(1, SOURCE, bytes.fromhex(FIXED[kind]))], "id long, source binary, patch binary")
+    for size in (4, 1 << 16):
+        got = patches.applied(rows, "id", size=size).first()
+        assert (got["format"], got["ok"], got["error"]) == (kind, True, None)
+        assert bytes(got["bytes"]) == (TARGET[:20] if kind == "aps" else TARGET)
 
 
 texts = st.binary(max_size=300)
 
 
+def laid_over(patch, source):
+    """A parsed patch applied by hand."""
+    out = bytearray(source)
+    if patch.target_size is not None:
+        out = bytearray(bytes(out).ljust(patch.target_size, b"\0")[: patch.target_size])
+    for at, data in patch.records:
+        out.extend(bytes(max(0, at + len(data) - len(out))))
+        old = out[at : at + len(data)]
+        out[at : at + len(data)] = bytes(x ^ y for x, y in zip(old, data)) if patch.xor else data
+    return bytes(out)
+
+
 @settings(max_examples=150, deadline=None)
 @given(texts, texts, st.integers(0, 5))
-def test_round_trips(a, b, shared):
+def test_formats_round_trip(a, b, shared):
     b = a[: len(a) * shared // 5] + b
-    for make, apply in ((P.make_ups, P.apply_ups), (P.make_bps, P.apply_bps)):
-        assert apply(make(a, b), a) == b
-    grown = a + b
-    for wide in (False, True):
-        assert P.apply_ips(P.make_ips(a, grown, wide), a, wide) == grown
+    assert P.apply_bps(P.make_bps(a, b), a) == b
     same = bytes(random.Random(len(b)).choices(b or b"x", k=len(a)))
-    for make, apply in ((P.make_aps, P.apply_aps), (P.make_ppf, P.apply_ppf)):
-        assert apply(make(a, same), a) == same
+    for kind, target in (("ips", a + b), ("ips32", a + b), ("ups", b), ("aps", same), ("ppf", same)):
+        e = P.Encoder(kind, (len(a), len(target)), (zlib.crc32(a), zlib.crc32(target)))
+        for at, data in P.differences(kind, 0, a, target):
+            e.add(at, data)
+        assert laid_over(P.parsed(e.done(), kind), a) == target
+
+
+def test_frames_round_trip(spark):
+    """Objects of several blocks, made into patches and patched again."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(12):
+        a = bytes(rng.choices(b"abcd", k=rng.randrange(0, 60)))
+        b = bytes(rng.choices(b"abcd", k=len(a))) if i % 2 else a[:10] + b"zzzz" + a[14:]
+        rows.append((i, a, b.ljust(len(a), b"q")[: len(a)]))
+    df = spark.createDataFrame(rows, "id long, source binary, target binary")
+    for kind in ("ips", "ips32", "ups", "aps", "ppf", "bps"):
+        made = patches.created(df, "id", kind, size=7).join(df.select("id", "source"), "id")
+        got = {r["id"]: r for r in patches.applied(made, "id", size=7).collect()}
+        assert {i: (r["ok"], bytes(r["bytes"])) for i, r in got.items()} == {i: (True, b) for i, _, b in rows}, kind
+
+
+def ppf(version, records, image=0, check=None, undo=False, size=0):
+    """A PPF file by its published layout."""
+    head = b"PPF" + str(version).encode() + b"0" + bytes([version - 1]) + b"a description".ljust(50)
+    if version == 2:
+        head += size.to_bytes(4, "little") + check
+    if version == 3:
+        head += bytes([image, check is not None, undo, 0]) + (check or b"")
+    return head + b"".join(o.to_bytes(8 if version == 3 else 4, "little") + bytes([len(d)]) + d + (b"?" * len(d) if undo else b"") for o, d in records)
+
+
+def test_ppf_versions(spark):
+    source = bytes(i * 7 % 251 for i in range(0xA000))
+    check, other = source[0x9320 : 0x9320 + 1024], source[0x80A0 : 0x80A0 + 1024]
+    recs = [(3, b"abc"), (0x9000, b"xyz")]
+    want = bytearray(source)
+    want[3:6], want[0x9000:0x9003] = b"abc", b"xyz"
+    good = {"v1": ppf(1, recs), "v2": ppf(2, recs, check=check, size=len(source)), "v3": ppf(3, recs), "check": ppf(3, recs, check=check), "other": ppf(3, recs, image=1, check=other), "undo": ppf(3, recs, undo=True), "tail": ppf(3, recs) + b"@BEGIN_FILE_ID.DIZ text @END_FILE_ID.DIZ"}
+    bad = {"size": ppf(2, recs, check=check, size=9), "wrong": ppf(3, recs, check=other), "beyond": ppf(3, [(0xA000 - 1, b"ab")]), "cut": ppf(3, recs)[:-1], "version": ppf(3, recs)[:5] + b"\x09" + ppf(3, recs)[6:]}
+    rows = spark.createDataFrame([(k, source, v) for k, v in (good | bad).items()], "id string, source binary, patch binary")
+    got = {r["id"]: r for r in patches.applied(rows, "id", size=5000).collect()}
+    assert all(got[k]["ok"] and bytes(got[k]["bytes"]) == want for k in good)
+    assert {k: got[k]["error"] for k in bad} == {"size": "source checksum", "wrong": "block check", "beyond": "outside the source", "cut": "truncated record", "version": "unknown version"}
 
 
 def test_offset_that_spells_the_end():
-    a = bytes(0x454F46 + 10)
-    b = bytearray(a)
-    b[0x454F46] = 7
-    assert P.apply_ips(P.make_ips(a, bytes(b)), a) == bytes(b)
+    lo = 0x454F46 - 10
+    a, b = bytes(40), bytes(10) + b"\x07" + bytes(29)
+    assert list(P.differences("ips", lo, a, b)) == [(0x454F45, b"\0\x07")]
 
 
 def test_overlapping_copy():
@@ -57,9 +108,9 @@ def test_overlapping_copy():
 
 def test_faults_are_rows(spark):
     good = bytes.fromhex(FIXED["ups"])
-    rows = [("wrong source", SOURCE + b"x", good), ("truncated", SOURCE, good[:-3]), ("bad magic", SOURCE, b"nothing here"), ("none", SOURCE, None), ("short", SOURCE, b"PAT")]
-    got = {r["what"]: r for r in patches.applied(spark.createDataFrame(rows, "what string, source binary, patch binary")).collect()}
-    assert all(not r["ok"] and r["error"] and r["bytes"] is None for r in got.values()) and len(got) == 5
+    rows = [("wrong source", SOURCE + b"x", good), ("truncated", SOURCE, good[:-3]), ("bad magic", SOURCE, b"nothing here"), ("none", SOURCE, None), ("short", SOURCE, b"PAT"), ("no source", None, bytes.fromhex(FIXED["ips"]))]
+    got = {r["what"]: r for r in patches.applied(spark.createDataFrame(rows, "what string, source binary, patch binary"), "what").collect()}
+    assert all(not r["ok"] and r["error"] and r["bytes"] is None for r in got.values()) and len(got) == 6
     assert got["bad magic"]["format"] is None
-    made = patches.created(spark.createDataFrame([(b"abc", b"ab")], "source binary, target binary"), "ips").first()
-    assert made["patch"] is None and "shorten" in made["patch_error"]
+    made = patches.created(spark.createDataFrame([(1, b"abc", b"ab"), (2, b"a", None)], "id long, source binary, target binary"), "id", "ips").collect()
+    assert all(r["patch"] is None for r in made) and {r["id"]: r["error"] for r in made} == {1: "the format cannot shorten", 2: "no source or no target"}
