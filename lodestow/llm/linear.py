@@ -114,19 +114,29 @@ def adagrad(idx: list, val: list, y: np.ndarray, size: int, rate=0.5, l2=1e-6, e
 
 
 def platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """(a, b) so that sigmoid(a z + b) is a calibrated probability, by Newton steps with smoothed targets."""
+    """(a, b) so that sigmoid(a z + b) is a calibrated probability, by Newton steps with smoothed targets.
+
+    A step is halved until it lowers the loss, which scores far from 0 would else overshoot.
+    """
     if not len(y):
         return 1.0, 0.0
     pos, neg = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+
+    def loss(a: float, b: float) -> float:
+        x = a * z + b
+        return float((np.logaddexp(0, x) - t * x).sum() + 5e-4 * ((a - 1) ** 2 + b * b))
+
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = sigmoid(a * z + b)
-        g = np.array([((p - t) * z).sum() + 1e-3 * (a - 1), (p - t).sum()])
+        g = np.array([((p - t) * z).sum() + 1e-3 * (a - 1), (p - t).sum() + 1e-3 * b])
         q = p * (1 - p) + 1e-9
         h = np.array([[(q * z * z).sum() + 1e-3, (q * z).sum()], [(q * z).sum(), q.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-8:
+        step, now, scale = np.linalg.solve(h, g), loss(a, b), 1.0
+        while scale > 1e-9 and not loss(a - scale * step[0], b - scale * step[1]) <= now:
+            scale /= 2
+        a, b = a - scale * step[0], b - scale * step[1]
+        if abs(scale * step).max() < 1e-8:
             break
     return float(a), float(b)
