@@ -40,3 +40,27 @@ def test_empty_tables(spark, data, tmp_path):
     for t in ("documents", "labels", "pages"):
         spark.read.parquet(f"{data}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_odd_rows(spark, data, tmp_path):
+    """Nulls in any column, repeated rows, ties, long texts and columns with clashing names go through every stage."""
+    base = spark.read.parquet(f"{data}/documents.parquet")
+    first = base.orderBy("doc_id").first()
+    long = " ".join([first["text"]] * max(1, 1_200_000 // max(1, len(first["text"]))))
+    odd = [(None, None, None, None, None), (None, first["text"], "en", None, 3), (None, first["text"], "en", None, 3), (first["doc_id"], first["text"], "xx", "other", 5), (first["doc_id"], first["text"], "xx", "other", 5), (-1, "", "en", "s", 0), (-2, " \n\t", None, None, None), (-3, long, first["lang"], first["source"], len(long)), (-4, None, "de", "s", 1)]
+    docs = base.unionByName(spark.createDataFrame(odd, base.schema))
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("_", "__", "_stay", "stay", "row", "key", "node", "label", "row_", "id", "score", "language", "accepted"))])
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        out.write.parquet(f"{tmp_path}/{name}")
+        after = spark.read.parquet(f"{tmp_path}/{name}")
+        assert after.dtypes == docs.dtypes, name
+        assert after.where("`_` <> 0 or `_stay` <> 2 or `row` <> 4 or accepted <> 12").count() == 0
+        docs, kept[name] = after, after.count()
+        if name == "language_id":
+            assert docs.where("trim(coalesce(text, '')) = ''").count() == 0
+    again = corpus_pipeline.STAGES[3][1](spark, spark.read.parquet(f"{tmp_path}/line_dedup").repartition(7), data)
+    assert sorted(map(str, again.collect())) == sorted(map(str, docs.collect()))  # whichever way the rows lie
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, data)
+    assert packed.agg(F.sum("length")).first()[0] > 0
