@@ -126,15 +126,30 @@ def containing_extent(points: DataFrame, extents: DataFrame, key: str, at: str,
 def range_overlaps(reads: DataFrame, extents: DataFrame, key: str, block: int) -> DataFrame:
     """Pieces of reads (key, v_start, v_end) that lie in extents (key, e_start, e_end, p_start): (…, from, until, p_from).
 
-    Both are cut into cells of ``block`` so that they meet by equality; a piece counts in its first cell.
+    Cells are ``block`` long, or that doubled until a range lies in two of them at most.  A pair meets in the
+    cells of the longer one, so a range is a few rows however long it is: two for each size of cell that occurs,
+    of which there are 63 at most.  A piece counts in its first cell.
     """
-    def cells(df: DataFrame, a: str, b: str) -> DataFrame:
-        return df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(a) / block), F.floor((F.col(b) - 1) / block))))
+    def level(a: str, b: str) -> Column:
+        cells = F.floor((F.col(b) - F.col(a) - 1) / block)
+        return F.when(cells == 0, 0).otherwise(F.length(F.bin(cells)))
+
+    asked = reads.where("v_end > v_start").withColumn("_r", level("v_start", "v_end"))
+    there = extents.where("e_end > e_start").withColumn("_e", level("e_start", "e_end"))
+    sizes = sorted(x[0] for x in asked.select("_r").distinct().union(there.select("_e").distinct()).distinct().collect())
+
+    def cells(df: DataFrame, a: str, b: str, own: str) -> DataFrame:
+        levels = F.filter(F.array(*map(F.lit, sizes)), lambda x: x >= F.col(own)) if sizes else F.array().cast("array<int>")
+        placed = df.withColumn("_level", F.explode(levels)).withColumn("_cell", _cell(F.col(a)))
+        return placed.withColumn("_cell", F.explode(F.array_distinct(F.array("_cell", _cell(F.col(b) - 1)))))
+
+    def _cell(at: Column) -> Column:
+        return F.floor(at / (F.lit(block) * F.expr("shiftleft(1L, _level)"))).cast("bigint")
 
     lo, hi = F.greatest("v_start", "e_start"), F.least("v_end", "e_end")
-    joined = cells(reads.where("v_end > v_start"), "v_start", "v_end").join(cells(extents.where("e_end > e_start"), "e_start", "e_end"), [key, "_cell"]).where(lo < hi)
-    once = joined.where(F.floor(lo / block) == F.col("_cell"))
-    return once.withColumn("from", lo).withColumn("until", hi).withColumn("p_from", F.col("p_start") + lo - F.col("e_start")).drop("_cell")
+    joined = cells(asked, "v_start", "v_end", "_r").join(cells(there, "e_start", "e_end", "_e"), [key, "_level", "_cell"]).where((lo < hi) & (F.col("_level") == F.greatest("_r", "_e")))
+    once = joined.where(_cell(lo) == F.col("_cell"))
+    return once.withColumn("from", lo).withColumn("until", hi).withColumn("p_from", F.col("p_start") + lo - F.col("e_start")).drop("_cell", "_level", "_r", "_e")
 
 
 def validated(left: DataFrame, right: DataFrame, keys: list[str], holds: Column) -> DataFrame:

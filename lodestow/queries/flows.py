@@ -286,3 +286,16 @@ def rule_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = C.last_regex_rule("name", [("f[0-9]*[13579]", "odd"), ("f[0-9]*[02468]", "even"), ("f[0-9]*[789]", "late")])
     placed = O.spread_sums(d.withColumn("rule", rule), ["rule"], [F.col("doc_id")], F.col("n_chars"), "upto")
     return placed.select("doc_id", "rule", F.floor((F.col("upto") - F.col("n_chars")) / 100000).cast("bigint").alias("bin"))
+
+
+@register(
+    "title_tickets",
+    "select p_partkey, count(l_orderkey) as tickets from part left join (select distinct l_orderkey, l_partkey from lineitem) on l_partkey = p_partkey group by p_partkey",
+)
+def title_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose names contain a title's id, counted for each title."""
+    ident = F.md5(F.col("k").cast("string"))
+    titles = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("k")).select("p_partkey", ident.alias("ident"))
+    files = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("k")).distinct().select(F.concat(F.lit("x"), F.col("l_orderkey").cast("string"), F.lit("-"), ident, F.lit(".tik")).alias("file"))
+    found = M.contained(files, titles.select("ident"), "file", "ident", grams=16).groupBy("ident").agg(F.count("*").alias("tickets"))
+    return titles.join(found, "ident", "left").select("p_partkey", F.coalesce("tickets", F.lit(0)).alias("tickets"))

@@ -16,9 +16,12 @@ _HALF_DAY = 12 * 3600 * 1_000_000
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table as a stream of its files, be it a file or a folder."""
+    """The table as a stream of its files: of its folder, or, if it is one file, of the files of its name beside it."""
     schema = table(spark, sf_dir, "events").schema
-    return watch.watched(spark, f"{sf_dir}/events.parque[t]", schema)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return watch.watched(spark, f"{sf_dir}/events.parquet", schema)
+    return watch.watched(spark, sf_dir, schema, name="events.parquet")
 
 
 def _drained(stream: DataFrame) -> DataFrame:

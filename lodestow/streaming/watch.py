@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def watched(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None) -> DataFrame:
-    """New Parquet files below ``path`` as a stream; ``per_trigger`` bounds the files of a batch."""
-    reader = spark.readStream.schema(schema)
+def watched(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None, name: str = "*") -> DataFrame:
+    """New Parquet files in the folder ``path`` whose names match ``name`` as a stream; ``per_trigger`` bounds the files of a batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
     return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(path)
 
 
