@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,36 +36,58 @@ def directories(entries: DataFrame) -> DataFrame:
     return every.where("path <> ''").distinct().select("path", F.nullif(directory(F.col("path")), F.lit("")).alias("parent"))
 
 
-def _members(name: str, body: bytes, depth: int) -> Iterator[tuple]:
+def _members(name: str, body: bytes, depth: int, password: bytes | None) -> Iterator[tuple]:
+    """(path, size, bytes, error) of an archive's files, one at a time; an archive within that cannot be opened is a file."""
+    with zipfile.ZipFile(io.BytesIO(body)) as z:
+        for info in z.infolist():
+            if info.is_dir():
+                continue
+            path = f"{name}/{info.filename}" if name else info.filename
+            try:
+                data = z.read(info, password)
+            except (RuntimeError, zipfile.BadZipFile, NotImplementedError, zlib.error) as e:
+                yield path, info.file_size, None, str(e)
+                continue
+            if depth < DEPTH and _opens(data):
+                yield from _members(path, data, depth + 1, password)
+            else:
+                yield path, info.file_size, data, None
+
+
+def _opens(data: bytes) -> bool:
     try:
-        with zipfile.ZipFile(io.BytesIO(body)) as z:
-            for info in z.infolist():
-                if info.is_dir():
-                    continue
-                path = f"{name}/{info.filename}" if name else info.filename
-                try:
-                    data = z.read(info)
-                except (RuntimeError, zipfile.BadZipFile, NotImplementedError) as e:
-                    yield path, info.file_size, None, str(e)
-                    continue
-                if depth < DEPTH and zipfile.is_zipfile(io.BytesIO(data)):
-                    yield from _members(path, data, depth + 1)
-                else:
-                    yield path, info.file_size, data, None
-    except zipfile.BadZipFile as e:
-        yield name, len(body), None, str(e)
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            return z.infolist() is not None
+    except (zipfile.BadZipFile, NotImplementedError, ValueError):
+        return False
+
 
+def zip_entries(archives: DataFrame, key: str = "path", content: str = "content", password: str | None = None) -> DataFrame:
+    """(key, entry, size, bytes, error): members of ZIP files, those of archives within them too; unreadable ones are rows with an error.
 
-def zip_entries(archives: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, entry, size, bytes, error): members of ZIP files, those of archives within them too; unreadable ones are rows with an error."""
+    Members leave a task as they are read, some MB at once; what is held is the archive and one member.
+    """
+    secret = password.encode() if password else None
+    names = [key, "entry", "size", "bytes", "error"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
             for k, body in zip(df[key], df[content]):
-                yield pd.DataFrame([(k, *m) for m in _members("", bytes(body), 0)], columns=[key, "entry", "size", "bytes", "error"])
+                rows, held = [], 0
+                try:
+                    for m in _members("", bytes(body), 0, secret):
+                        rows.append((k, *m))
+                        held += len(m[2] or b"")
+                        if held > 8 << 20 or len(rows) == 1024:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, held = [], 0
+                except (zipfile.BadZipFile, NotImplementedError) as e:
+                    rows.append((k, "", len(body), None, str(e)))
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
 
     visible(archives.sparkSession)
-    return archives.select(key, content).mapInPandas(run, f"{key} {archives.schema[key].dataType.simpleString()}, entry string, size long, bytes binary, error string")
+    return archives.where(F.col(content).isNotNull()).select(key, content).mapInPandas(run, f"{key} {archives.schema[key].dataType.simpleString()}, entry string, size long, bytes binary, error string")
 
 
 def scoped(entries: DataFrame, prefix: str, column: str = "entry") -> DataFrame:

@@ -69,12 +69,23 @@ def test_archives(spark, tmp_path):
     got = {(r["entry"], bytes(r["bytes"]) if r["bytes"] is not None else None) for r in files.zip_entries(found.select("name", "content"), "name").where("error is null").collect()}
     assert got == {("p/one.txt", b"1"), ("in.zip/two.txt", b"22")}
     assert files.zip_entries(found.select("name", "content"), "name").where("error is not null").count() == 1
+    broken = _zip({"t.txt": b"t" * 50})
+    broken = broken[:-30] + b"?" * 30
+    odd = spark.createDataFrame([("o.zip", _zip({"in.zip": broken, "z.zip": b"PK no archive"}))], "name string, content binary")
+    assert {(r["entry"], bytes(r["bytes"])) for r in files.zip_entries(odd, "name").collect()} == {("in.zip", broken), ("z.zip", b"PK no archive")}
     scoped = files.scoped(spark.createDataFrame([("p/one",), ("q",)], "entry string"), "p/")
     assert [r["entry"] for r in scoped.collect()] == ["one"]
     tree = files.directories(spark.createDataFrame([("a/b/c.txt",), ("a/d.txt",)], "path string"))
     assert rows(tree) == [("a", None), ("a/b", "a")]
 
 
+def test_hidden_files_stay_hidden(spark, tmp_path):
+    for name in ("a.txt", ".b.txt", ".git/c.txt", "sub/d.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert sorted(r["name"] for r in files.tree(spark, str(tmp_path)).collect()) == ["a.txt", "d.txt"]
+
+
 def test_json_table(spark, tmp_path):
     (tmp_path / "g.json").write_text("\n".join(json.dumps(x) for x in ({"id": "a", "eTitle": "A", "languages": ["en"]}, {"id": "b"})))
     assert files.json_table(spark, str(tmp_path), "id string, eTitle string, languages array<string>", "id").count() == 2
