@@ -1,6 +1,7 @@
 """Toxicity: restore disguised words by a noisy-channel model, then score the restored text.
 
-A passage may be disguised if it has look-alike characters next to letters (leetspeak), a letter three times
+A passage may be disguised if it has look-alike characters next to letters (leetspeak, letters of other scripts
+among Latin ones), a letter three times
 in a row, or at least three single characters spread out with any runs of white space and punctuation, behind
 any opening punctuation; passages have any length.  Its lattice has for each character the letters it may stand
 for, for each repetition one or two of the letter, and for each gap nothing or the end of a word, all at a
@@ -34,6 +35,9 @@ BITS, HELD_OUT, THRESHOLD = 20, 2, 0.3
 PREFIXES = (4, 5, 6)
 #: Letters that a character may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
+#: Letters of other scripts that look like Latin ones; full-width letters lie in one order.
+_ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ο": "o", "α": "a", "ı": "i"}
+LOOKS |= _ALIKE | {chr(first + i): chr(97 + i) for first in (0xFF21, 0xFF41) for i in range(26)}
 #: log costs of the channel: a look-alike, a repetition, a gap; what a gap costs more if it does not mean what its width says.
 LOOK_COST, REPEAT_COST, GAP_COST, ODD_GAP = -0.7, -0.5, -0.3, -3.0
 #: Characters of the longest passages whose answers are kept.
@@ -43,10 +47,11 @@ _LETTER = re.compile(r"[A-Za-z]")
 _LOOK = "".join(re.escape(c) for c in LOOKS)
 _GAP = rf"(?:[^\w{_LOOK}]|_)"
 _SPREAD = rf"(?<!\S)(?:[^\w\s]|_)*?[A-Za-z{_LOOK}](?:{_GAP}+[A-Za-z{_LOOK}](?![A-Za-z{_LOOK}])){{2,}}(?![A-Za-z0-9@])"
-_DISGUISED = rf"(?:[A-Za-z][{_LOOK}]|[{_LOOK}][A-Za-z]|([A-Za-z])\1\1)"
+_DISGUISED = rf"(?:[A-Za-z][{_LOOK}]|[{_LOOK}][A-Za-z]|[\uff21-\uff3a\uff41-\uff5a]{{2}}|([A-Za-z])\1\1)"
 _SUSPECT = re.compile(rf"{_SPREAD}|(?<!\S)(?=\S*?{_DISGUISED})\S{{3,}}", re.IGNORECASE)
 _GAPS = re.compile(f"{_GAP}+")
-_TRAIL = re.compile(r"^[^A-Za-z0-9@$|+€(]+|[^A-Za-z0-9@$|+€]+$")
+_TRAIL = re.compile(r"^(?:[^\w@$|+€(]|_)+|(?:[^\w@$|+€]|_)+$")
+_LATIN = re.compile(r"[A-Za-z\uff21-\uff3a\uff41-\uff5a]")
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
@@ -102,6 +107,7 @@ class Restorer:
             j = i + 1
             while j < n and passage[j] == c:
                 j += 1
+            c = c if c in LOOKS else c.lower()
             low = c.lower()
             if "a" <= low <= "z" and len(low) == 1:
                 if j - i > 2:
@@ -144,7 +150,7 @@ class Restorer:
     def _replace(self, m: re.Match) -> str:
         whole = m.group()
         core = _TRAIL.sub("", whole)
-        if len(core) < 3 or len(_LETTER.findall(core)) < 2 or core.isalpha() and not re.search(r"(.)\1\1", core, re.IGNORECASE):
+        if len(core) < 3 or len(_LATIN.findall(core)) < 2 or core.isalpha() and not any(c in LOOKS for c in core) and not re.search(r"(.)\1\1", core, re.IGNORECASE):
             return whole
         answer = self.known.get(core)
         if answer is None:

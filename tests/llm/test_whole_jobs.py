@@ -62,6 +62,7 @@ def test_op5_restores_long_and_spread_passages(spark, data):
     cases = {
         "s - t - u - p - i - d": "stupid", '"s.t.u.p.i.d"': '"stupid"', "[s.t.u.p.i.d]": "[stupid]", "s\tt\tu\tp\ti\td": "stupid", "s\nt\nu\np\ni\nd": "stupid",
         "s/t/u/p/i/d": "stupid", "s,t,u,p,i,d": "stupid", "an id" + "i" * 70 + "ot": "an idiot", "/".join(["1d10t"] * 20): " ".join(["idiot"] * 20), "st-u-p-i-d": "st-u-p-i-d",
+        "an idi\u043et": "an idiot", "\uff49\uff44\uff49\uff4f\uff54": "idiot", "\u0455tupid!": "stupid!", "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440": "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440",
     }
     assert {given: r(given) for given in cases} == cases
     assert r("/".join(["1d10t"] * 20_000)).count("idiot") == 20_000
