@@ -180,7 +180,7 @@ def hash_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "container_files",
-    """select n_regionkey as id, n_name as name, sum(length(n_name)) over (partition by n_regionkey order by n_name) - length(n_name) as "offset", length(n_name) as size, n_name as body from nation""",
+    """select n_regionkey as id, n_name as name, (sum(length(n_name)) over (partition by n_regionkey order by n_name) - length(n_name))::bigint as "offset", length(n_name) as size, n_name as body from nation""",
 )
 def container_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers of small files, written as bytes and read."""

@@ -32,11 +32,11 @@ def role_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("base", F.col("name"), *lists)
 
 
-@register("id_sets", "select o_custkey, list(distinct l_partkey order by l_partkey) filter (l_quantity > 25) as ids from orders left join lineitem on l_orderkey = o_orderkey group by o_custkey")
+@register("id_sets", "select o_custkey, array_to_string(list(distinct l_partkey order by l_partkey) filter (l_quantity > 25), ',') as ids from orders left join lineitem on l_orderkey = o_orderkey group by o_custkey")
 def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ids of a group's rows once; null for none."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return o.groupBy("o_custkey").agg(C.id_set(F.when(F.col("l_quantity") > 25, F.col("l_partkey"))).alias("ids"))
+    return o.groupBy("o_custkey").agg(C.id_set(F.when(F.col("l_quantity") > 25, F.col("l_partkey"))).alias("ids")).select("o_custkey", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @register(
