@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import base_name, directory
 from ..functions.numbers import align_up, le_bytes, little_endian
-from .ordered import offsets, spread_sums
+from .ordered import offsets, sequential_bins, spread_sums
 
 
 def partition_layout(entries: DataFrame, container: str, name: str, size: str, head: int = 16, entry: int = 24, step: int = 16) -> DataFrame:
@@ -72,3 +73,24 @@ def track_starts(tracks: DataFrame, disc: str, number: str, frames: str, pregap:
     out = offsets(tracks, [disc], order, F.col(frames), name="physical")
     out = offsets(out, [disc], order, F.col(frames), pad, name="padded")
     return offsets(out, [disc], order, F.col(frames) + pregap, start=pregap, name="logical")
+
+
+#: Bytes of a disc's sector of files, and of a folder's record without its name.
+SECTOR, _RECORD = 2048, 33
+
+
+def disc_layout(entries: DataFrame, first: int = 18) -> DataFrame:
+    """(path, is_dir, sectors, lba): where a disc image's folders and then its files lie, in order of their paths.
+
+    Entries are (path, is_dir, size), the top folder '' left out.  A folder's records, two of its own and one
+    for each of its entries, do not go over the end of a sector; a file takes whole sectors, none if it is empty.
+    """
+    name = base_name(F.col("path"))
+    records = entries.select(directory(F.col("path")).alias("folder"), F.concat(F.lit("2"), name).alias("name"), (_RECORD + F.octet_length(name) + F.pmod(_RECORD + F.octet_length(name), F.lit(2))).alias("size"))
+    folders = entries.where("is_dir").select("path").union(entries.sparkSession.range(1).select(F.lit("").alias("path")))
+    own = folders.select(F.col("path").alias("folder"), F.explode(F.array(F.lit("0"), F.lit("1"))).alias("name"), F.lit(_RECORD + 1).alias("size"))
+    packed = sequential_bins(own.unionByName(records), ["folder"], "name", "size", SECTOR)
+    sized = packed.groupBy(F.col("folder").alias("path")).agg((F.max("bin") + 1).alias("sectors")).join(folders, "path", "left_semi").select("path", F.lit(True).alias("is_dir"), "sectors")
+    files = entries.where("not is_dir").select("path", "is_dir", F.ceil(F.col("size") / SECTOR).cast("bigint").alias("sectors"))
+    placed = spread_sums(sized.unionByName(files), [], [F.col("is_dir").desc(), F.col("path")], F.col("sectors"), "lba")
+    return placed.withColumn("lba", F.col("lba") - F.col("sectors") + first)

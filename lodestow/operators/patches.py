@@ -214,3 +214,19 @@ def batch_targets(patches: DataFrame, files: DataFrame, path: str) -> DataFrame:
     asked = patches.withColumn("kind", names.patch_kind(F.col(path))).withColumn("_k", F.when(F.col("kind") == "patch", F.upper(names.patch_target(F.col(path))))).withColumn("_dir", F.upper(names.directory(F.col(path))))
     met = asked.join(near, ["_dir", "_k"], "left").join(far, "_k", "left")
     return met.withColumn("target", F.when(F.col("kind") == "overwrite", F.col(path)).otherwise(F.coalesce("_near", "_far"))).drop("_k", "_dir", "_near", "_far")
+
+
+def batch_applied(files: DataFrame, patches: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, content, how, error): a tree of files after a folder of patches: kept, overwritten, new, patched or failed.
+
+    Of several patches for one file the first by path is applied; a file whose patch fails stays as it was.
+    """
+    plan = cut(batch_targets(patches.select(path), files.select(path), path))
+    own = lambda df, name: df.select(F.col(path).alias(name), F.col(content).alias(f"_{name}"))
+    over = plan.where("kind = 'overwrite'").select(F.col(path).alias("_patch"), F.col("target").alias(path)).join(own(patches, "_patch"), "_patch").select(path, F.col("__patch").alias("_new"))
+    first = plan.where("kind = 'patch' and target is not null").groupBy(F.col("target").alias("_file")).agg(F.min(path).alias("_patch"))
+    met = first.join(own(patches, "_patch"), "_patch").join(own(files, "_file"), "_file")
+    done = applied(met.select(F.col("_file").alias(path), F.col("__patch").alias("patch"), F.col("__file").alias("source")), path).select(path, "ok", F.col("bytes").alias("_bytes"), "error")
+    whole = files.select(path, content).join(over, path, "full").join(done, path, "left")
+    how = F.when(F.col("_new").isNotNull(), F.when(F.col(content).isNull(), "new").otherwise("overwritten")).when(F.col("ok"), "patched").when(~F.col("ok"), "failed").otherwise("kept")
+    return whole.select(path, F.coalesce("_new", "_bytes", content).alias(content), how.alias("how"), F.when(F.col("_new").isNull(), F.col("error")).alias("error"))

@@ -299,3 +299,46 @@ def title_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("k")).distinct().select(F.concat(F.lit("x"), F.col("l_orderkey").cast("string"), F.lit("-"), ident, F.lit(".tik")).alias("file"))
     found = M.contained(files, titles.select("ident"), "file", "ident", grams=16).groupBy("ident").agg(F.count("*").alias("tickets"))
     return titles.join(found, "ident", "left").select("p_partkey", F.coalesce("tickets", F.lit(0)).alias("tickets"))
+
+
+@register(
+    "batch_applied",
+    """select p_type || '/' || p_partkey::varchar || '.dat' as path, case p_partkey % 4 when 0 then 'kept' when 1 then 'overwritten' when 2 then 'patched' else 'failed' end as how,
+       md5(case p_partkey % 4 when 1 then p_brand when 2 then p_name || p_brand else p_name end) as hash from part union all select 'new/' || p_partkey::varchar || '.txt', 'new', md5(p_type) from part where p_partkey % 8 = 0""",
+)
+def batch_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of files after a folder of replacements and patches, one in four of which is broken."""
+    p = table(spark, sf_dir, "part")
+    k, b = F.col("p_partkey"), lambda *c: F.encode(F.concat(*c), "UTF-8")
+    stem = F.concat(F.col("p_type"), F.lit("/"), k.cast("string"))
+    files = p.select(F.concat(stem, F.lit(".dat")).alias("path"), b("p_name").alias("content"))
+    made = P.created(p.where("p_partkey % 4 = 2").select("p_partkey", b("p_name").alias("source"), b("p_name", "p_brand").alias("target")), "p_partkey", "ips").join(p.select("p_partkey", "p_type"), "p_partkey")
+    patches = made.select(F.concat(stem, F.lit(".ips")).alias("path"), F.col("patch").alias("content"))
+    broken = p.where("p_partkey % 4 = 3").select(F.concat(stem, F.lit(".bps")).alias("path"), F.lit(b"BPS1 no patch at all").alias("content"))
+    over = p.where("p_partkey % 4 = 1").select(F.concat(stem, F.lit(".dat")).alias("path"), b("p_brand").alias("content"))
+    new = p.where("p_partkey % 8 = 0").select(F.concat(F.lit("new/"), k.cast("string"), F.lit(".txt")).alias("path"), b("p_type").alias("content"))
+    done = P.batch_applied(files, patches.unionByName(broken).unionByName(over).unionByName(new))
+    return done.select("path", "how", F.md5("content").alias("hash"))
+
+
+@register(
+    "disc_relayout",
+    """with recursive e as (select p_type || '/f' || p_partkey::varchar as path, p_type as folder, false as is_dir, case when p_partkey in (select s_suppkey from supplier) then 10 else p_size * 300 end as size, 'f' || p_partkey::varchar as name from part),
+       d as (select distinct folder as path, '' as folder, true as is_dir, 0 as size, folder as name from e), a as (select * from e union all select * from d),
+       r as (select folder, '2' || name as name, 33 + length(name) + (33 + length(name)) % 2 as size from a union all select path, x, 34 from (select path from d union all select '') t, (values ('0'), ('1')) v(x)),
+       o as (select folder, size, row_number() over (partition by folder order by name) as n from r),
+       f as (select folder, n, size as used, 0 as bin from o where n = 1 union all select o.folder, o.n, case when f.used + o.size > 2048 then o.size else f.used + o.size end, case when f.used + o.size > 2048 then f.bin + 1 else f.bin end from f join o on o.folder = f.folder and o.n = f.n + 1),
+       s as (select folder as path, true as is_dir, (max(bin) + 1)::bigint as sectors from f group by folder union all select path, false, (size + 2047) // 2048 from e)
+       select path, is_dir, sectors::bigint as sectors, (18 + sum(sectors) over (order by is_dir desc, path) - sectors)::bigint as lba from s""",
+)
+def disc_relayout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A disc's files, some of them replaced by others, laid out anew."""
+    from ..operators import containers as K
+
+    p = table(spark, sf_dir, "part")
+    path = F.concat(F.col("p_type"), F.lit("/f"), F.col("p_partkey").cast("string"))
+    old = p.select(path.alias("path"), F.lit(False).alias("is_dir"), (F.col("p_size") * 300).cast("bigint").alias("size"))
+    new = p.join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("p_partkey")).select(path.alias("path"), F.lit(False).alias("is_dir"), F.lit(10).cast("bigint").alias("size"))
+    files = L.merged(old, new, ["path"], F.lit(False))
+    folders = p.select(F.col("p_type").alias("path"), F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("size")).distinct()
+    return K.disc_layout(files.unionByName(folders))
