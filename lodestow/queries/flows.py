@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import names
 from ..operators import catalog as C
 from ..operators import layers as L
 from ..operators import matching as M
