@@ -35,8 +35,8 @@ BITS, HELD_OUT, THRESHOLD = 20, 2, 0.3
 PREFIXES = (4, 5, 6)
 #: Letters that a character may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
-#: Letters of other scripts that look like Latin ones; full-width letters lie in one order.
-_ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ο": "o", "α": "a", "ı": "i"}
+#: Letters of other scripts that look like Latin ones (none that is one when case is ignored); full-width letters lie in one order.
+_ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ο": "o", "α": "a"}
 LOOKS |= _ALIKE | {chr(first + i): chr(97 + i) for first in (0xFF21, 0xFF41) for i in range(26)}
 #: log costs of the channel: a look-alike, a repetition, a gap; what a gap costs more if it does not mean what its width says.
 LOOK_COST, REPEAT_COST, GAP_COST, ODD_GAP = -0.7, -0.5, -0.3, -3.0
@@ -51,6 +51,8 @@ _DISGUISED = rf"(?:[A-Za-z][{_LOOK}]|[{_LOOK}][A-Za-z]|[\uff21-\uff3a\uff41-\uff
 _SUSPECT = re.compile(rf"{_SPREAD}|(?<!\S)(?=\S*?{_DISGUISED})\S{{3,}}", re.IGNORECASE)
 _GAPS = re.compile(f"{_GAP}+")
 _TRAIL = re.compile(r"^(?:[^\w@$|+€(]|_)+|(?:[^\w@$|+€]|_)+$")
+#: Letters that look like others.
+_ODD = re.compile("[" + "".join(c for c in LOOKS if c.isalpha()) + "]", re.IGNORECASE)
 _LATIN = re.compile(r"[A-Za-z\uff21-\uff3a\uff41-\uff5a]")
 
 _CLASS = np.zeros(256, np.int64)
@@ -150,7 +152,7 @@ class Restorer:
     def _replace(self, m: re.Match) -> str:
         whole = m.group()
         core = _TRAIL.sub("", whole)
-        if len(core) < 3 or len(_LATIN.findall(core)) < 2 or core.isalpha() and not any(c in LOOKS for c in core) and not re.search(r"(.)\1\1", core, re.IGNORECASE):
+        if len(core) < 3 or len(_LATIN.findall(core)) < 2 or core.isalpha() and not _ODD.search(core) and not re.search(r"(.)\1\1", core, re.IGNORECASE):
             return whole
         answer = self.known.get(core)
         if answer is None:
