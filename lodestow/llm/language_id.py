@@ -34,7 +34,7 @@ BITS, SAMPLE = 16, 1500
 #: Declared rows that a language's text model needs at least.
 LEAST = 20
 WEIGHT, PRIOR_ROWS, ACCEPT = 60.0, 20.0, 0.5
-#: Bytes of host counts, counted before, that are broadcast at most.
+#: Bytes of sums by declaration, suffix or host, counted before, that are broadcast at most.
 SMALL = 16 << 20
 
 
@@ -170,11 +170,12 @@ def identify(evidence: DataFrame, model: TextModel, prior_rows: float = PRIOR_RO
     corpus = [x or 0.0 for x in scored.agg(sums.alias("c")).first()["c"]]
     total = sum(corpus)
     everywhere = F.array(*[F.lit((c + 1) / (total + width)) for c in corpus])
-    declared = scored.where("declared is not null").groupBy("declared").agg(sums.alias("declared_c"))
-    suffixes = scored.where("suffix is not null").groupBy("suffix").agg(sums.alias("suffix_c"))
-    hosts = written(scored.where("host is not null").groupBy("host").agg(sums.alias("host_c")), "hosts")
-    if hosts.count() * 8 * (width + 8) <= SMALL:  # else rows meet their hosts by a shuffle
-        hosts = F.broadcast(hosts)
+
+    def counted(by: str) -> DataFrame:
+        """Sums for each value, to be broadcast where they are counted to be small; else rows meet them by a shuffle."""
+        each = written(scored.where(F.col(by).isNotNull()).groupBy(by).agg(sums.alias(f"{by}_c")), by)
+        return F.broadcast(each) if each.count() * 8 * (width + 8) <= SMALL else each
+
     kinds = F.lit(float(width))
 
     def smoothed(count: Column, towards: Column) -> Column:
@@ -183,7 +184,9 @@ def identify(evidence: DataFrame, model: TextModel, prior_rows: float = PRIOR_RO
 
     # how often a language's texts carry this declaration, towards any of as many as there are languages
     likely = F.zip_with("declared_c", F.array(*[F.lit(c + 2.0) for c in corpus]), lambda d, c: F.log((d + 2.0 / kinds) / c))
-    fused = scored.join(declared, "declared", "left").join(suffixes, "suffix", "left").join(hosts, "host", "left")
+    fused = scored
+    for by in ("declared", "suffix", "host"):
+        fused = fused.join(counted(by), by, "left")
     own = F.zip_with("host_c", "p", lambda c, p: F.greatest(c - p, F.lit(0.0)))
     fused = fused.withColumn("prior", smoothed(own, smoothed(F.col("suffix_c"), everywhere)))
     fused = fused.withColumn("say", F.when(F.col("declared_c").isNull(), F.array_repeat(F.lit(0.0), width)).otherwise(likely))
