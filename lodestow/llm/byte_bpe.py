@@ -5,8 +5,8 @@ pre-token are taken from a queue of ranks: every rank has a bucket of linked-lis
 bitmap says which buckets hold any, find-first-set gives the next rank, and positions whose pair has
 changed since are skipped.  The work is O(n log n) in the length of a pre-token, however long it is.
 
-Texts are split with array operations over code points; a task merges a pre-token once and keeps its ids
-under its bytes, up to KEEP of them.  Null is the empty text; the empty text has no ids; repeated rows
+Texts are split with array operations over code points; a worker merges a pre-token once and keeps its ids in
+flat arrays, found by a hash and held against the bytes, for up to KEEP of them.  Null is the empty text; the empty text has no ids; repeated rows
 have equal results; extra columns of the input are not read.
 """
 
@@ -17,7 +17,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Callable, Iterator
-from struct import pack
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from . import text_arrays as A
 from .common import prepare, table
 
 #: Merged pre-tokens that a task remembers, characters of text handled at once.
-KEEP, CHUNK = 300_000, 1 << 19
+KEEP, CHUNK = 400_000, 1 << 19
 
 _SPACE, _WHITE, _LETTER, _NUMBER, _OTHER = range(5)
 _OUTSIDE = 0x110000
@@ -41,7 +41,9 @@ def _character_classes() -> np.ndarray:
     if not _classes:
         c = np.full(_OUTSIDE, _OTHER, np.uint8)
         # an unassigned stand-in takes the place of surrogates, which no text has
-        everything = "".join(chr(i) if not 0xD800 <= i < 0xE000 else "\uffff" for i in range(_OUTSIDE))
+        points = np.arange(_OUTSIDE, dtype="<u4")
+        points[0xD800:0xE000] = 0xFFFF
+        everything = points.tobytes().decode("utf-32-le")
         for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
             for m in regex.finditer(pattern, everything):
                 c[m.start() : m.end()] = kind
@@ -193,21 +195,79 @@ def _segments(text: str) -> Iterator[str]:
     yield text[lo:]
 
 
+class Known:
+    """Pre-tokens and their ids in a few flat arrays, found by hashes and held against the bytes; some 45 bytes each.
+
+    ``hashes`` is sorted; ``at`` and ``size`` say where a pre-token's bytes are in ``data``, ``first`` and ``count``
+    where its ids are in ``ids``.
+    """
+
+    def __init__(self):
+        self.hashes, self.used = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.at, self.size, self.first, self.count = (np.zeros(0, np.int64) for _ in range(4))
+        self.data, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+
+    def find(self, h: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place of each pre-token, or -1; what is found counts as used."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        same = np.flatnonzero((self.hashes[place] == h) & (self.size[place] == ends - starts))
+        both = np.concatenate([buf, self.data])
+        own = self.at[place[same]] + len(buf)
+        same = same[A.same(both, starts[same], ends[same], own, own + self.size[place[same]])]
+        out = np.full(len(h), -1)
+        out[same] = place[same]
+        self.used[out[same]] = True
+        return out
+
+    def add(self, h: np.ndarray, pieces: list[bytes], ids: list[list[int]]) -> None:
+        """New pre-tokens; of several with one hash, and beside one that is known, the first stays."""
+        h, which = np.unique(h, return_index=True)
+        place = np.searchsorted(self.hashes, h)
+        free = np.append(self.hashes, np.uint64(0))[place] != h if len(self.hashes) else np.ones(len(h), bool)
+        free |= place == len(self.hashes)
+        h, which, place = h[free], which[free], place[free]
+        size, count = (np.fromiter(map(len, x), np.int64, len(x))[which] for x in (pieces, ids))
+        at, first = len(self.data) + np.cumsum(size) - size, len(self.ids) + np.cumsum(count) - count
+        self.data = np.concatenate([self.data, np.frombuffer(b"".join(map(pieces.__getitem__, which.tolist())), np.uint8)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(map(ids.__getitem__, which.tolist())), np.uint32, int(count.sum()))])
+        for name, new in (("hashes", h), ("used", True), ("at", at), ("size", size), ("first", first), ("count", count)):
+            setattr(self, name, np.insert(getattr(self, name), place, new))
+
+    def forget(self, keep: int) -> None:
+        """Beyond ``keep`` pre-tokens, those that have not been used since the last time go."""
+        if len(self.hashes) <= keep:
+            return
+        stay = self.used if self.used.sum() <= keep else np.zeros(len(self.used), bool)
+        self.data, at = _packed(self.data, self.at[stay], self.size[stay])
+        self.ids, first = _packed(self.ids, self.first[stay], self.count[stay])
+        self.hashes, self.size, self.count = self.hashes[stay], self.size[stay], self.count[stay]
+        self.at, self.first, self.used = at, first, np.zeros(len(at), bool)
+
+
+def _packed(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These runs of a flat array, end to end, and where each begins now."""
+    begin = np.cumsum(size) - size
+    return flat[np.repeat(at - begin, size) + np.arange(size.sum())], begin
+
+
 class Encoder:
     """Ids of many texts; ``merge`` gives those of pre-tokens (a list of bytes) as lists of ids."""
 
-    def __init__(self, merge: Callable[[list[bytes]], list[list[int]]]):
-        self.merge, self.known, self.older = merge, {}, {}
+    def __init__(self, merge: Callable[[list[bytes]], list[list[int]]], keep: int = KEEP):
+        self.merge, self.keep, self.known = merge, keep, Known()
 
-    def _unique(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A place of each different pre-token, and which of them each pre-token is: by hashes, held against the bytes."""
-        _, where, which = np.unique(A.hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    def _unique(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hash and a place of each different pre-token, and which of them each pre-token is: by hashes, held against the bytes."""
+        h = A.hashes(buf, starts, ends)
+        _, where, which = np.unique(h, return_index=True, return_inverse=True)
         first = where[which]
         if not A.same(buf, starts, ends, starts[first], ends[first]).all():  # two that differ have one hash: by value
             data, seen = buf.tobytes(), {}
             which = np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())])
             where = np.unique(which, return_index=True)[1]
-        return where, which
+        return h[where], where, which
 
     def _part(self, data: bytes, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         buf = np.frombuffer(data, np.uint8)
@@ -215,30 +275,26 @@ class Encoder:
         row_first = np.searchsorted(starts, first)
         starts = np.flatnonzero((buf & 0xC0) != 0x80)[starts]  # from code points to bytes
         ends = np.append(starts[1:], len(buf))[: len(starts)]
-        where, which = self._unique(buf, starts, ends)
-        keys = [data[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
-        known = self.known
-        blobs = list(map(known.get, keys))
-        new = [k for k, b in enumerate(blobs) if b is None]
-        if new and self.older:
-            for k in new:  # still in use: back among the known
-                blobs[k] = b = self.older.get(keys[k])
-                if b is not None:
-                    known[keys[k]] = b
-            new = [k for k in new if blobs[k] is None]
-        if new:
-            for k, ids in zip(new, self.merge([keys[k] for k in new])):
-                blobs[k] = known[keys[k]] = pack(f"<{len(ids)}I", *ids)
-        if len(known) > KEEP:  # what has not been met since the last time is forgotten
-            self.known, self.older = {}, known
-        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        flat = np.frombuffer(b"".join(blobs), "<u4")
-        begin = np.cumsum(size) - size
+        h, where, which = self._unique(buf, starts, ends)
+        lo, hi = starts[where], ends[where]
+        place = self.known.find(h, buf, lo, hi)
+        begin, size = np.empty(len(where), np.int64), np.empty(len(where), np.int64)
+        met = place >= 0
+        begin[met], size[met] = self.known.first[place[met]], self.known.count[place[met]]
+        flat, new = self.known.ids, np.flatnonzero(~met)
+        if len(new):
+            pieces = [data[a:b] for a, b in zip(lo[new].tolist(), hi[new].tolist())]
+            ids = self.merge(pieces)
+            size[new] = np.fromiter(map(len, ids), np.int64, len(ids))
+            begin[new] = len(flat) + np.cumsum(size[new]) - size[new]
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size[new].sum()))])
+            self.known.add(h[new], pieces, ids)
+            self.known.forget(self.keep)
         count = size[which]
         total = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=total[1:])
-        ids = flat[np.repeat(begin[which] - total[:-1], count) + np.arange(total[-1])]
-        return ids, total[row_first]
+        out = flat[np.repeat(begin[which] - total[:-1], count) + np.arange(total[-1])]
+        return out, total[row_first]
 
     def rows(self, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, their ids end to end, each row's first id and the end)."""

@@ -287,3 +287,27 @@ def test_labels_that_disagree_and_ids_that_repeat(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0), (3, 1), (5, 0), (7, 0)], "doc_id long, quality int")
     got = sorted((r["doc_id"], r["text"], r["y"]) for r in linear.labelled_sample(docs, labels, "quality", 9, 10).collect() if r["text"])
     assert got == [(1, "a", 1), (7, "d", 0)]
+
+
+def test_encoders_that_forget_give_the_same_ids():
+    """Pre-tokens are forgotten and met again; two of one hash are told apart."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from lodestow.llm import byte_bpe
+
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(1, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(300)]
+    merger = byte_bpe.Merger(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    merge = lambda pieces: list(map(merger, pieces))
+    whole = [i for _, _, ids, _ in byte_bpe.Encoder(merge).rows(pa.array(texts)) for i in ids.tolist()]
+    for keep in (0, 40, 250):
+        encoder = byte_bpe.Encoder(merge, keep)
+        assert [i for t in texts for _, _, ids, _ in encoder.rows(pa.array([t])) for i in ids.tolist()] == whole
+        assert len(encoder.known.hashes) <= keep + 60
+    known = byte_bpe.Known()
+    buf = np.frombuffer(b"onetwo", np.uint8)
+    h, lo, hi = np.array([5, 5], np.uint64), np.array([0, 3]), np.array([3, 6])
+    known.add(h, [b"one", b"two"], [[1], [2]])
+    assert known.find(h, buf, lo, hi).tolist() == [0, -1] and known.ids.tolist() == [1]
