@@ -2,22 +2,22 @@
 
 A patch is parsed into records; records go to the blocks of the object that they touch, and a block is laid over
 with its records in order.  So an object is rows of blocks, of any size, and only the patch itself is one row.
-Creation is the reverse: blocks of source and target meet, and what differs in a block is its records.  BPS,
-which copies from what it has just written, is applied whole, to objects that fit into a row.
+Formats that copy (BPS, VCDIFF) have records whose bytes are ranges of the source, read from its blocks; what they
+copy from their own target is resolved to these when the patch is parsed.  Creation is the reverse: blocks of
+source and target meet, and what differs in a block is its records.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..functions import names
 from ..functions import patch_formats as P
 from ..session import cut, visible
-from .blocks import chunks
+from .blocks import chunks, read_ranges
 from .catalog import first_rule
 
 #: Bytes of a block of an object.
@@ -30,14 +30,17 @@ def patch_format(patch: Column) -> Column:
     return first_rule(rules)
 
 
-_HEAD = "grows boolean, xor boolean, source_size bigint, target_size bigint, source_crc bigint, target_crc bigint, check_at bigint, check_bytes binary, error string"
+_HEAD = "grows boolean, xor boolean, source_size bigint, target_size bigint, source_crc bigint, target_crc bigint, check_at bigint, check_bytes binary, copies boolean, error string"
 
 
 def records(patches: DataFrame, key: str, patch: str = "patch") -> DataFrame:
-    """(key, seq, at, data) of each patch's records, and a row with seq null for what the patch says of the objects, or its fault."""
+    """(key, seq, at, data, n, place) of each patch's records, and a row with seq null for what the patch says of the objects, or its fault.
+
+    A record without data takes ``n`` bytes of the source from ``place`` on.
+    """
     kind = patches.schema[key].dataType.simpleString()
     names_ = [x.split()[0] for x in _HEAD.split(", ")]
-    schema = StructType.fromDDL(f"`{key}` {kind}, seq bigint, at bigint, data binary, {_HEAD}")
+    schema = StructType.fromDDL(f"`{key}` {kind}, seq bigint, at bigint, data binary, n bigint, place bigint, {_HEAD}")
 
     def run(batches):
         for b in batches:
@@ -46,11 +49,12 @@ def records(patches: DataFrame, key: str, patch: str = "patch") -> DataFrame:
                     got, error = P.parsed(body, fmt), None
                 except ValueError as e:
                     got, error = P.Patch(), str(e)
-                head = (got.grows, got.xor, got.source_size, got.target_size, got.source_crc, got.target_crc, got.check_at, got.check, error)
-                rows = [(k, None, None, None, *head)] + [(k, i, at, data, *[None] * len(names_)) for i, (at, data) in enumerate(got.records if not error else [])]
+                head = (got.grows, got.xor, got.source_size, got.target_size, got.source_crc, got.target_crc, got.check_at, got.check, got.copies is not None, error)
+                recs = [] if error else [(at, data, len(data), None) for at, data in got.records] + [(at, None, n, place) for at, n, place in got.copies or []]
+                rows = [(k, *[None] * 5, *head)] + [(k, i, *r, *[None] * len(names_)) for i, r in enumerate(recs)]
                 for lo in range(0, len(rows), 4096):
                     part = zip(*rows[lo : lo + 4096])
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(part, (b.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), *[pa.int64()] * 5, pa.binary(), pa.string()))], names=schema.names)
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(part, (b.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 5, pa.binary(), pa.bool_(), pa.string()))], names=schema.names)
 
     visible(patches.sparkSession)
     known = patches.select(key, patch_format(F.col(patch)).alias("_f"), patch).where(F.col("_f").isin(*P.MOST))
@@ -105,8 +109,8 @@ def applied(df: DataFrame, key: str, patch: str = "patch", source: str = "source
     """
     rows = df.select(key, patch_format(F.col(patch)).alias("format"), F.col(patch).alias("_p"), F.col(source).alias("_s"))
     parsed = cut(records(rows, key, "_p"))
-    heads, recs = parsed.where("seq is null").drop("seq", "at", "data"), parsed.where("seq is not null").select(key, "seq", "at", "data")
-    ends = recs.groupBy(key).agg(F.max(F.col("at") + F.octet_length("data")).alias("_end"))
+    heads, recs = parsed.where("seq is null").drop("seq", "at", "data", "n", "place"), parsed.where("seq is not null").select(key, "seq", "at", "data", "n", "place")
+    ends = recs.groupBy(key).agg(F.max(F.col("at") + F.col("n")).alias("_end"), F.max(F.col("place") + F.col("n")).alias("_reach"))
     own = rows.select(key, "format", F.octet_length("_s").cast("bigint").alias("_n"), F.crc32("_s").alias("_c"), "_s")
     told = heads.join(own, key).join(ends, key, "left")
     held = F.substring("_s", F.col("check_at").cast("int") + 1, F.octet_length("check_bytes"))
@@ -115,27 +119,29 @@ def applied(df: DataFrame, key: str, patch: str = "patch", source: str = "source
         F.when(F.col("_n").isNull(), "no source"),
         F.when((F.col("source_size") != F.col("_n")) | (F.col("source_crc") != F.col("_c")), "source checksum"),
         F.when(F.col("check_at").isNotNull() & ~(held == F.col("check_bytes")), "block check"),
-        F.when(~F.col("grows") & ~F.col("xor") & (F.col("_end") > F.col("_n")), "outside the source"),
+        F.when((~F.col("grows") & ~F.col("xor") & (F.col("_end") > F.col("_n"))) | (F.col("_reach") > F.col("_n")), "outside the source"),
     )
     n = F.coalesce("target_size", F.greatest("_n", F.coalesce("_end", F.lit(0))))
-    judged = cut(told.select(key, "format", fault.alias("error"), n.alias("n"), "xor", "target_crc"))
+    judged = cut(told.select(key, "format", fault.alias("error"), n.alias("n"), "xor", "copies", "target_crc"))
     good = judged.where("error is null")
-    out = patched_blocks(chunks(rows.join(good.select(key), key), key, "_s", size), recs.join(good.select(key, "xor"), key), good.select(key, "n"), key, size)
+    blocks = chunks(rows.join(good.select(key, "copies"), key).select(key, "_s"), key, "_s", size)
+    told_bytes = recs.where("data is not null").join(good.select(key, "xor"), key).select(key, "seq", "at", "data", "xor")
+    asked = recs.where("data is null").join(good.select(key), key).select(key, F.struct("seq", "at").alias("read_no"), F.col("place").alias("v_start"), (F.col("place") + F.col("n")).alias("v_end"))
+    copied = read_ranges(asked, blocks, key, size).select(key, "read_no.seq", "read_no.at", F.col("bytes").alias("data"), F.lit(False).alias("xor"))
+    own_blocks = blocks.join(good.where("not copies").select(key), key, "left_semi")  # a patch that copies builds anew
+    out = patched_blocks(own_blocks, told_bytes.unionByName(copied), good.select(key, "n"), key, size)
     whole = good.join(assembled(out, key), key, "left").withColumn("bytes", F.coalesce("bytes", F.lit(b"")))
     right = F.coalesce(F.crc32("bytes") == F.col("target_crc"), F.lit(True))
     done = whole.select(key, "format", right.alias("ok"), F.when(right, F.col("bytes")).alias("bytes"), F.when(~right, "target checksum").alias("error"))
     bad = judged.where("error is not null").select(key, "format", F.lit(False).alias("ok"), F.lit(None).cast("binary").alias("bytes"), "error")
-    copying = rows.where("format = 'bps'").select(key, "format", _each(P.apply_bps, F.col("_p"), F.col("_s")).alias("r")).select(key, "format", "r.ok", "r.bytes", "r.error")
     none = rows.where("format is null").select(key, "format", F.lit(False).alias("ok"), F.lit(None).cast("binary").alias("bytes"), F.lit("unknown format").alias("error"))
-    return done.unionByName(bad).unionByName(copying).unionByName(none)
+    return done.unionByName(bad).unionByName(none)
 
 
 def created(df: DataFrame, key: str, kind: str, source: str = "source", target: str = "target", size: int = BLOCK) -> DataFrame:
     """(key, patch, error) that turns each source into its target; null where the format cannot."""
     visible(df.sparkSession)
     rows = df.select(key, F.col(source).alias("_a"), F.col(target).alias("_b"))
-    if kind == "bps":
-        return rows.select(key, _each(P.make_bps, F.col("_a"), F.col("_b")).alias("r")).select(key, F.col("r.bytes").alias("patch"), F.col("r.error").alias("error"))
     a, b = (chunks(rows, key, c, size).select(key, "block_no", F.col("bytes").alias(c)) for c in ("_a", "_b"))
     of_key = rows.schema[key].dataType.simpleString()
 
@@ -182,25 +188,6 @@ def created(df: DataFrame, key: str, kind: str, source: str = "source", target:
     return every.mapInArrow(encode, f"`{key}` {of_key}, patch binary, error string")
 
 
-_RESULT = StructType([StructField("ok", BooleanType()), StructField("bytes", BinaryType()), StructField("error", StringType())])
-
-
-def _each(call, a: Column, b: Column) -> Column:
-    """call(a, b) for each row, in Arrow batches; faults as values."""
-
-    def one(x, y):
-        try:
-            P.need(x is not None and y is not None, "missing")
-            return True, call(bytes(x), bytes(y)), None
-        except (ValueError, IndexError) as e:
-            return False, None, str(e)
-
-    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(p, s) for p, s in zip(x, y)], columns=_RESULT.names)
-
-    return F.pandas_udf(run, _RESULT)(a, b)
-
-
 def batch_targets(patches: DataFrame, files: DataFrame, path: str) -> DataFrame:
     """``patches`` with ``kind`` and ``target``: the file that each one is for.
 

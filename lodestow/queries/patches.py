@@ -33,7 +33,7 @@ def _query(kind: str):
     register(f"patch_{kind}", f"select b.doc_id, '{kind}' as format, true as ok, md5({target}) as hash from documents a join documents b on b.doc_id = a.doc_id + 1")(query)
 
 
-for _kind in ("ips", "ips32", "ups", "bps", "aps", "ppf"):
+for _kind in ("ips", "ips32", "ups", "bps", "vcdiff", "aps", "ppf"):
     _query(_kind)
 
 

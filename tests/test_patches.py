@@ -35,6 +35,10 @@ def laid_over(patch, source):
     out = bytearray(source)
     if patch.target_size is not None:
         out = bytearray(bytes(out).ljust(patch.target_size, b"\0")[: patch.target_size])
+    if patch.copies is not None:
+        out = bytearray(patch.target_size)
+        for at, n, place in patch.copies:
+            out[at : at + n] = source[place : place + n]
     for at, data in patch.records:
         out.extend(bytes(max(0, at + len(data) - len(out))))
         old = out[at : at + len(data)]
@@ -46,9 +50,8 @@ def laid_over(patch, source):
 @given(texts, texts, st.integers(0, 5))
 def test_formats_round_trip(a, b, shared):
     b = a[: len(a) * shared // 5] + b
-    assert P.apply_bps(P.make_bps(a, b), a) == b
     same = bytes(random.Random(len(b)).choices(b or b"x", k=len(a)))
-    for kind, target in (("ips", a + b), ("ips32", a + b), ("ups", b), ("aps", same), ("ppf", same)):
+    for kind, target in (("ips", a + b), ("ips32", a + b), ("ups", b), ("bps", b), ("vcdiff", b), ("aps", same), ("ppf", same)):
         e = P.Encoder(kind, (len(a), len(target)), (zlib.crc32(a), zlib.crc32(target)))
         for at, data in P.differences(kind, 0, a, target):
             e.add(at, data)
@@ -64,7 +67,7 @@ def test_frames_round_trip(spark):
         b = bytes(rng.choices(b"abcd", k=len(a))) if i % 2 else a[:10] + b"zzzz" + a[14:]
         rows.append((i, a, b.ljust(len(a), b"q")[: len(a)]))
     df = spark.createDataFrame(rows, "id long, source binary, target binary")
-    for kind in ("ips", "ips32", "ups", "aps", "ppf", "bps"):
+    for kind in ("ips", "ips32", "ups", "aps", "ppf", "bps", "vcdiff"):
         made = patches.created(df, "id", kind, size=7).join(df.select("id", "source"), "id")
         got = {r["id"]: r for r in patches.applied(made, "id", size=7).collect()}
         assert {i: (r["ok"], bytes(r["bytes"])) for i, r in got.items()} == {i: (True, b) for i, _, b in rows}, kind
@@ -100,10 +103,42 @@ def test_offset_that_spells_the_end():
     assert list(P.differences("ips", lo, a, b)) == [(0x454F45, b"\0\x07")]
 
 
-def test_overlapping_copy():
-    patch = bytearray(b"BPS1" + P.to_varint(0) + P.to_varint(6) + P.to_varint(0) + P.to_varint(1 << 2 | 1) + b"ab" + P.to_varint(3 << 2 | 3) + P.to_varint(0))
-    patch += P._crc(b"") + P._crc(b"ababab")
-    assert P.apply_bps(bytes(patch) + P._crc(bytes(patch)), b"") == b"ababab"
+def bps(source, target, actions):
+    out = b"BPS1" + P.to_varint(len(source)) + P.to_varint(len(target)) + P.to_varint(0) + actions + P._crc(source) + P._crc(target)
+    return out + P._crc(out)
+
+
+def test_copies_of_what_was_just_written(spark):
+    """BPS and VCDIFF by hand: overlapping copies, copies of copies, moves back and forth in the source."""
+    v = P.to_varint
+    runs = bps(b"", b"ababab", v(1 << 2 | 1) + b"ab" + v(3 << 2 | 3) + v(0))
+    source = b"0123456789"
+    # "567" of the source, "012", then five of the target from its second byte on
+    mixed = bps(source, b"56701267012", v(2 << 2 | 2) + v(5 << 1) + v(2 << 2 | 2) + v(8 << 1 | 1) + v(4 << 2 | 3) + v(1 << 1))
+    # window over the whole source: copy 4 at 3 (mode self), add "xy", run of five z, copy 6 here from 10 + 4 (its own bytes)
+    inst, data, addr = b"\x14" + b"\x03" + b"\x00\x05" + b"\x13\x06", b"xyz", bytes([3, 14])
+    target = b"3456xyzzzzz" + b"xyzzzz"
+    body = bytes([len(target), 0, len(data), len(inst), len(addr)]) + data + inst + addr
+    vcd = b"\xd6\xc3\xc4\0\0\x01\x0a\x00" + bytes([len(body)]) + body
+    # a copy that runs on over its own beginning, by an address before here
+    inst2, addr2 = b"\x02" + b"\x23\x07", bytes([1])
+    body2 = bytes([8, 0, 1, len(inst2), len(addr2)]) + b"q" + inst2 + addr2
+    two = b"\xd6\xc3\xc4\0\0\x00" + bytes([len(body2)]) + body2
+    rows = [("runs", b"", runs), ("mixed", source, mixed), ("window", source, vcd), ("here", b"", two), ("short", source[:5], vcd)]
+    got = {r["id"]: r for r in patches.applied(spark.createDataFrame(rows, "id string, source binary, patch binary"), "id", size=3).collect()}
+    assert {k: bytes(got[k]["bytes"]) for k in ("runs", "mixed", "window", "here")} == {"runs": b"ababab", "mixed": b"56701267012", "window": target, "here": b"q" * 8}
+    assert (got["short"]["ok"], got["short"]["error"]) == (False, "outside the source")
+
+
+def test_default_codes_of_vcdiff():
+    """Codes that the specification's table names."""
+    t = P._vcd_codes()
+    assert len(t) == 256
+    assert (t[0], t[1], t[18], t[19], t[20], t[34]) == ([("run", 0, 0)], [("add", 0, 0)], [("add", 17, 0)], [("copy", 0, 0)], [("copy", 4, 0)], [("copy", 18, 0)])
+    assert (t[35], t[162], t[163], t[234], t[235], t[246], t[247], t[255]) == (
+        [("copy", 0, 1)], [("copy", 18, 8)], [("add", 1, 0), ("copy", 4, 0)], [("add", 4, 0), ("copy", 6, 5)], [("add", 1, 0), ("copy", 4, 6)],
+        [("add", 4, 0), ("copy", 4, 8)], [("copy", 4, 0), ("add", 1, 0)], [("copy", 4, 8), ("add", 1, 0)],
+    )
 
 
 def test_faults_are_rows(spark):
