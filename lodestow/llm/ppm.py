@@ -41,8 +41,8 @@ from .linear import fold
 ORDER = 6
 #: Contexts of fewer bytes than NEAR go to every bucket of grams, longer ones to the bucket of their nearest NEAR bytes.
 NEAR = 3
-#: Bytes of text in a chunk; words or grams that a task counts before it hands them on.
-CHUNK, FLUSH = 5 << 20, 1_500_000
+#: Bytes of text in a chunk, and of those that are gone through at once; words or grams that a task counts before it hands them on.
+CHUNK, PIECE, FLUSH = 5 << 20, 1 << 19, 1_500_000
 #: Of a bucket, about: words, grams, and bytes of training text whose keys are merged at once; bytes of questions for a task.
 BUCKET_WORDS, BUCKET_GRAMS, BUCKET_BYTES, TASK_BYTES = 1_000_000, 400_000, 4 << 20, 32 << 20
 HELD_OUT, FOLDS = 1, 5
@@ -298,7 +298,7 @@ def train(docs: DataFrame, across: bool = False) -> Model:
             words, grams, texts = (words[0][:0], words[1][:0]), (grams[0][:0], grams[1][:0]), 0
 
         for b in batches:
-            for lo, hi, buf, off in A.chunks(b.column(0)):
+            for lo, hi, buf, off in A.chunks(b.column(0), PIECE):
                 starts, ends, first = A.runs(buf, off)
                 new["h"].append(A.hashes(buf, starts, ends, folded=True))
                 new["k"].append(coded(buf, starts, ends, first, across)[0])
@@ -351,7 +351,7 @@ class _Chunk:
         self.docs = len(texts)
         self.tokens, self.own = np.zeros(self.docs, np.int64), np.zeros(self.docs)
         words, grams = ([], []), ([], [])
-        for lo, hi, buf, off in A.chunks(texts):
+        for lo, hi, buf, off in A.chunks(texts, PIECE):
             starts, ends, first = A.runs(buf, off)
             h = np.insert(A.hashes(buf, starts, ends, folded=True), first[1:], END)
             row = np.insert(A.rows_of(first), first[1:], np.arange(hi - lo))
@@ -362,7 +362,7 @@ class _Chunk:
             priced = ~hit[token]
             for kept, values, rows in ((words, h.view(np.int64), row), (grams, k[priced], row[token[priced]])):
                 kept[0].append(values)
-                kept[1].append((rows + lo).astype(np.int32))
+                kept[1].append((rows + lo).astype(np.uint16 if self.docs < 1 << 16 else np.int32))
         #: Runs of the values of words and of grams, and of the row of each.
         self.values = [kept[0] for kept in (words, grams)]
         self.rows = [kept[1] for kept in (words, grams)]
