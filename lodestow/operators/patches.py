@@ -1,23 +1,27 @@
 """Binary patches: detection, application, creation.  Faults are rows, not failed jobs.
 
 A patch is parsed into records; records go to the blocks of the object that they touch, and a block is laid over
-with its records in order.  So an object is rows of blocks, of any size, and only the patch itself is one row.
-Formats that copy (BPS, VCDIFF) have records whose bytes are ranges of the source, read from its blocks; what they
-copy from their own target is resolved to these when the patch is parsed.  Creation is the reverse: blocks of
-source and target meet, and what differs in a block is its records.
+with its records in order.  Objects that are rows are cut into blocks where they lie: a row's blocks follow one another
+out of the row, so a task reads them in order and nothing is shuffled.  Objects of any size are rows of blocks, which
+meet their records by (key, block_no).  Formats that copy (BPS, VCDIFF) have records whose bytes are ranges of the
+source, read from its blocks; what they copy from their own target is resolved to these when the patch is parsed.
+Creation is the reverse: blocks of source and target meet, and what differs in a block is its records.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import names
 from ..functions import patch_formats as P
 from ..session import cut, visible
-from .blocks import chunks, read_ranges
 from .catalog import first_rule
 
 #: Bytes of a block of an object.
@@ -30,35 +34,48 @@ def patch_format(patch: Column) -> Column:
     return first_rule(rules)
 
 
-_HEAD = "grows boolean, xor boolean, source_size bigint, target_size bigint, source_crc bigint, target_crc bigint, check_at bigint, check_bytes binary, copies boolean, error string"
+_RECORDS = "array<struct<seq:bigint,at:bigint,data:binary,n:bigint,place:bigint>>"
+_HEAD = f"grows boolean, xor boolean, source_size bigint, target_size bigint, source_crc bigint, target_crc bigint, check_at bigint, check_bytes binary, copies boolean, error string, records {_RECORDS}"
+
+
+def _streamed(df: DataFrame, run: Callable[[Iterator[tuple]], Iterable[tuple]], schema: StructType, few: int = 128) -> DataFrame:
+    """What ``run`` makes of a partition's rows, read and written a few at a time."""
+    kinds = to_arrow_schema(schema)
+
+    def go(batches):
+        rows = (r for b in batches for lo in range(0, b.num_rows, few) for r in zip(*(c.to_pylist() for c in b.slice(lo, few).columns)))
+        done = iter(run(rows))
+        while part := [r for _, r in zip(range(few), done)]:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*part), kinds.types)], schema=kinds)
+
+    visible(df.sparkSession)
+    return df.mapInArrow(go, schema)
+
+
+def _types(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def records(patches: DataFrame, key: str, patch: str = "patch") -> DataFrame:
-    """(key, seq, at, data, n, place) of each patch's records, and a row with seq null for what the patch says of the objects, or its fault.
+    """``patches`` without the patch: ``format``, what it says of the objects, ``records`` (seq, at, data, n, place), or its fault.
 
     A record without data takes ``n`` bytes of the source from ``place`` on.
     """
-    kind = patches.schema[key].dataType.simpleString()
-    names_ = [x.split()[0] for x in _HEAD.split(", ")]
-    schema = StructType.fromDDL(f"`{key}` {kind}, seq bigint, at bigint, data binary, n bigint, place bigint, {_HEAD}")
+    kept = [c for c in patches.columns if c not in (key, patch, "format")]
 
-    def run(batches):
-        for b in batches:
-            for k, fmt, body in zip(*(b.column(i).to_pylist() for i in range(3))):
-                try:
-                    got, error = P.parsed(body, fmt), None
-                except ValueError as e:
-                    got, error = P.Patch(), str(e)
-                head = (got.grows, got.xor, got.source_size, got.target_size, got.source_crc, got.target_crc, got.check_at, got.check, got.copies is not None, error)
-                recs = [] if error else [(at, data, len(data), None) for at, data in got.records] + [(at, None, n, place) for at, n, place in got.copies or []]
-                rows = [(k, *[None] * 5, *head)] + [(k, i, *r, *[None] * len(names_)) for i, r in enumerate(recs)]
-                for lo in range(0, len(rows), 4096):
-                    part = zip(*rows[lo : lo + 4096])
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(part, (b.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 5, pa.binary(), pa.bool_(), pa.string()))], names=schema.names)
+    def run(rows):
+        for k, fmt, body, *rest in rows:
+            try:
+                P.need(fmt is not None, "unknown format")
+                got, error = P.parsed(body, fmt), None
+            except ValueError as e:
+                got, error = P.Patch(), str(e)
+            recs = [(at, data, len(data), None) for at, data in got.records] + [(at, None, n, place) for at, n, place in got.copies or []]
+            head = (got.grows, got.xor, got.source_size, got.target_size, got.source_crc, got.target_crc, got.check_at, got.check, got.copies is not None, error)
+            yield k, fmt, *rest, *head, [(i, *r) for i, r in enumerate(recs)]
 
-    visible(patches.sparkSession)
-    known = patches.select(key, patch_format(F.col(patch)).alias("_f"), patch).where(F.col("_f").isin(*P.MOST))
-    return known.mapInArrow(run, schema)
+    rows = patches.select(key, patch_format(F.col(patch)).alias("format"), patch, *kept)
+    return _streamed(rows, run, StructType.fromDDL(f"{_types(rows, [key, 'format', *kept])}, {_HEAD}"))
 
 
 def xored(a: Column, b: Column) -> Column:
@@ -95,24 +112,15 @@ def patched_blocks(blocks: DataFrame, recs: DataFrame, sizes: DataFrame, key: st
     return met.select(key, "block_no", F.when(F.col("p").isNull(), base).otherwise(F.aggregate("p", base, step)).alias("bytes"))
 
 
-def assembled(blocks: DataFrame, key: str) -> DataFrame:
-    """(key, bytes) of objects that fit into a row."""
-    rows = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block_no", F.hex("bytes").alias("h")))).alias("b"))
-    return rows.select(key, F.unhex(F.array_join(F.transform("b", lambda x: x["h"]), "")).alias("bytes"))
-
-
 def applied(df: DataFrame, key: str, patch: str = "patch", source: str = "source", size: int = BLOCK) -> DataFrame:
     """(key, format, ok, bytes, error) for rows (key, patch, source); the format is found by what the patch begins with.
 
     What a patch says of its objects (sizes, checksums, a block's bytes) is held against them.  ``patched_blocks``
     takes objects of any size; here they come and go as rows.
     """
-    rows = df.select(key, patch_format(F.col(patch)).alias("format"), F.col(patch).alias("_p"), F.col(source).alias("_s"))
-    parsed = cut(records(rows, key, "_p"))
-    heads, recs = parsed.where("seq is null").drop("seq", "at", "data", "n", "place"), parsed.where("seq is not null").select(key, "seq", "at", "data", "n", "place")
-    ends = recs.groupBy(key).agg(F.max(F.col("at") + F.col("n")).alias("_end"), F.max(F.col("place") + F.col("n")).alias("_reach"))
-    own = rows.select(key, "format", F.octet_length("_s").cast("bigint").alias("_n"), F.crc32("_s").alias("_c"), "_s")
-    told = heads.join(own, key).join(ends, key, "left")
+    told = records(df.select(key, F.col(patch).alias("_p"), F.col(source).alias("_s")), key, "_p")
+    furthest = lambda at: F.array_max(F.transform("records", lambda r: r[at] + r["n"]))
+    told = told.select("*", F.octet_length("_s").cast("bigint").alias("_n"), F.crc32("_s").alias("_c"), furthest("at").alias("_end"), furthest("place").alias("_reach"))
     held = F.substring("_s", F.col("check_at").cast("int") + 1, F.octet_length("check_bytes"))
     fault = F.coalesce(
         "error",
@@ -122,70 +130,71 @@ def applied(df: DataFrame, key: str, patch: str = "patch", source: str = "source
         F.when((~F.col("grows") & ~F.col("xor") & (F.col("_end") > F.col("_n"))) | (F.col("_reach") > F.col("_n")), "outside the source"),
     )
     n = F.coalesce("target_size", F.greatest("_n", F.coalesce("_end", F.lit(0))))
-    judged = cut(told.select(key, "format", fault.alias("error"), n.alias("n"), "xor", "copies", "target_crc"))
-    good = judged.where("error is null")
-    blocks = chunks(rows.join(good.select(key, "copies"), key).select(key, "_s"), key, "_s", size)
-    told_bytes = recs.where("data is not null").join(good.select(key, "xor"), key).select(key, "seq", "at", "data", "xor")
-    asked = recs.where("data is null").join(good.select(key), key).select(key, F.struct("seq", "at").alias("read_no"), F.col("place").alias("v_start"), (F.col("place") + F.col("n")).alias("v_end"))
-    copied = read_ranges(asked, blocks, key, size).select(key, "read_no.seq", "read_no.at", F.col("bytes").alias("data"), F.lit(False).alias("xor"))
-    own_blocks = blocks.join(good.where("not copies").select(key), key, "left_semi")  # a patch that copies builds anew
-    out = patched_blocks(own_blocks, told_bytes.unionByName(copied), good.select(key, "n"), key, size)
-    whole = good.join(assembled(out, key), key, "left").withColumn("bytes", F.coalesce("bytes", F.lit(b"")))
-    right = F.coalesce(F.crc32("bytes") == F.col("target_crc"), F.lit(True))
-    done = whole.select(key, "format", right.alias("ok"), F.when(right, F.col("bytes")).alias("bytes"), F.when(~right, "target checksum").alias("error"))
-    bad = judged.where("error is not null").select(key, "format", F.lit(False).alias("ok"), F.lit(None).cast("binary").alias("bytes"), "error")
-    none = rows.where("format is null").select(key, "format", F.lit(False).alias("ok"), F.lit(None).cast("binary").alias("bytes"), F.lit("unknown format").alias("error"))
-    return done.unionByName(bad).unionByName(none)
-
-
-def created(df: DataFrame, key: str, kind: str, source: str = "source", target: str = "target", size: int = BLOCK) -> DataFrame:
-    """(key, patch, error) that turns each source into its target; null where the format cannot."""
-    visible(df.sparkSession)
-    rows = df.select(key, F.col(source).alias("_a"), F.col(target).alias("_b"))
-    a, b = (chunks(rows, key, c, size).select(key, "block_no", F.col("bytes").alias(c)) for c in ("_a", "_b"))
-    of_key = rows.schema[key].dataType.simpleString()
-
-    def differ(batches):
-        for b in batches:
-            out = [(k, at, data) for k, no, x, y in zip(*(b.column(i).to_pylist() for i in range(4))) for at, data in P.differences(kind, no * size, x or b"", y or b"")]
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (b.schema.field(0).type, pa.int64(), pa.binary()))], names=[key, "at", "data"])
-
-    recs = a.join(b, [key, "block_no"], "full").select(key, "block_no", "_a", "_b").mapInArrow(differ, f"`{key}` {of_key}, at bigint, data binary")
-    if kind == "ups":  # differences that go on over the end of a block are one record
-        from .ordered import runs
-
-        pieces = runs(recs, [key], "at", step=F.octet_length("data")).groupBy(key, "run").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", F.hex("data").alias("h")))).alias("p"))
-        recs = pieces.select(key, "at", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("data"))
-    none = F.lit(None)
-    heads = rows.select(key, none.cast("bigint").alias("at"), none.cast("binary").alias("data"), *[f(F.col(c)).cast("bigint").alias(f"{n}{c}") for c in ("_a", "_b") for n, f in (("n", F.octet_length), ("c", F.crc32))])
-
-    def encode(batches):
-        k, encoder, error, any_ = None, None, None, False
-
-        def done():
-            body = encoder.done() if encoder else None
-            return pa.record_batch([pa.array([k], type_), pa.array([body], pa.binary()), pa.array([error], pa.string())], names=[key, "patch", "error"])
-
-        for b in batches:
-            type_ = b.schema.field(0).type
-            for own, at, data, na, ca, nb, cb in zip(*(b.column(i).to_pylist() for i in range(7))):
-                if at is None:  # a key's head comes first
-                    if any_:
-                        yield done()
-                    k, encoder, error, any_ = own, None, None, True
-                    try:
-                        P.need(na is not None and nb is not None, "no source or no target")
-                        encoder = P.Encoder(kind, (na, nb), (ca, cb))
-                    except ValueError as e:
-                        error = str(e)
-                elif encoder:
-                    encoder.add(at, data)
-        if any_:
-            yield done()
-
-    every = heads.unionByName(recs, allowMissingColumns=True).repartition(key).sortWithinPartitions(key, F.col("at").asc_nulls_first())
-    return every.mapInArrow(encode, f"`{key}` {of_key}, patch binary, error string")
+    judged = told.select(key, "format", fault.alias("error"), n.alias("n"), "xor", "copies", "target_crc", "records", "_s")
+
+    def block(no: Column) -> Column:
+        start = no * size
+
+        def piece(r: Column) -> Column:
+            lo = F.greatest(start - r["at"], F.lit(0))
+            length = (F.least(start + size - r["at"], r["n"]) - lo).cast("int")
+            own = F.substring(r["data"], (lo + 1).cast("int"), length)
+            return F.struct((r["at"] + lo - start).cast("int").alias("at"), F.when(r["data"].isNotNull(), own).otherwise(F.substring("_s", (r["place"] + lo + 1).cast("int"), length)).alias("d"))
+
+        body = F.when(~F.col("copies"), F.substring("_s", (start + 1).cast("int"), F.lit(size)))  # a patch that copies builds anew
+        touching = F.filter("records", lambda r: (r["at"] < start + size) & (r["at"] + r["n"] > start))
+        return F.struct(no.alias("block_no"), body.alias("body"), F.transform(touching, piece).alias("pieces"))
+
+    places = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / size))
+    cut_up = judged.select(key, "format", "error", "n", "xor", "target_crc", F.when(F.col("error").isNull() & (F.col("n") > 0), F.transform(places, block)).alias("_b"))
+    rows = cut_up.select(key, "format", "error", "n", "xor", "target_crc", F.inline_outer("_b")).select(key, "format", "error", "n", "xor", "target_crc", "block_no", "body", "pieces.at", "pieces.d")
+
+    def run(rows):
+        whole = []
+        for k, fmt, error, n, xor, crc, no, body, at, data in rows:
+            if no is not None:
+                whole.append(P.laid(body or b"", min(size, n - no * size), zip(at, data), xor))
+                if (no + 1) * size < n:
+                    continue
+            made, whole = b"".join(whole), []
+            if error is None and crc is not None and crc != zlib.crc32(made):
+                error = "target checksum"
+            yield k, fmt, error is None, made if error is None else None, error
+
+    return _streamed(rows, run, StructType.fromDDL(f"{_types(rows, [key])}, format string, ok boolean, bytes binary, error string"))
+
+
+def created(df: DataFrame, key: str, kind: str, source: str = "source", target: str = "target", size: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, patch, error) that turns each source into its target, and the columns ``keep``; null where the format cannot."""
+    sizes = [f(F.col(c)).cast("bigint").alias(n) for c, x in ((source, "a"), (target, "b")) for n, f in ((f"_n{x}", F.octet_length), (f"_c{x}", F.crc32))]
+    last = F.floor((F.greatest(F.octet_length(source), F.octet_length(target), F.lit(1)) - 1) / size)
+    block = lambda no: F.struct(no.alias("block_no"), *[F.substring(c, (no * size + 1).cast("int"), F.lit(size)).alias(n) for c, n in ((source, "_a"), (target, "_b"))], *[F.when(no == 0, F.col(c)).alias(c) for c in keep])
+    cut_up = df.select(key, *sizes, last.alias("_last"), F.transform(F.sequence(F.lit(0).cast("bigint"), last), block).alias("_x"))
+    rows = cut_up.select(key, "_na", "_ca", "_nb", "_cb", "_last", F.inline("_x"))
+
+    def run(rows):
+        encoder = error = begun = kept = None
+        for k, na, ca, nb, cb, last, no, a, b, *first in rows:
+            if no == 0:
+                encoder, error, begun, kept = None, None, None, first
+                try:
+                    P.need(na is not None and nb is not None, "no source or no target")
+                    encoder = P.Encoder(kind, (na, nb), (ca, cb))
+                except ValueError as e:
+                    error = str(e)
+            for at, data in P.differences(kind, no * size, a, b) if encoder else ():
+                if kind == "ups" and begun and begun[0] + len(begun[1]) == at:  # goes on over the end of a block: one record
+                    begun[1].extend(data)
+                    continue
+                if begun:
+                    encoder.add(*begun)
+                begun = at, bytearray(data)
+            if no == last:
+                if begun:
+                    encoder.add(*begun)
+                yield k, encoder.done() if encoder else None, error, *kept
+
+    return _streamed(rows, run, StructType.fromDDL(f"{_types(rows, [key])}, patch binary, error string{''.join(', ' + _types(rows, [c]) for c in keep)}"))
 
 
 def batch_targets(patches: DataFrame, files: DataFrame, path: str) -> DataFrame:

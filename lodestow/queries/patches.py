@@ -15,7 +15,7 @@ _GROWS, _SAME = ("ips", "ips32"), ("aps", "ppf")
 def _pairs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
     a, b = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("b").alias("source")), d.select("doc_id", F.col("b").alias("target"))
-    pairs = a.join(b, "doc_id")
+    pairs = a.join(b, "doc_id").repartition("doc_id")  # however few pieces the table comes in
     if kind in _GROWS:  # cannot shorten: the target goes after the source
         pairs = pairs.withColumn("target", F.concat("source", "target"))
     if kind in _SAME:  # cannot change the size: the source is the target turned round
@@ -26,7 +26,7 @@ def _pairs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 def _query(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         pairs = _pairs(spark, sf_dir, kind)
-        made = P.created(pairs, "doc_id", kind).join(pairs.select("doc_id", "source"), "doc_id")
+        made = P.created(pairs, "doc_id", kind, keep=("source",))
         return P.applied(made, "doc_id").select("doc_id", "format", "ok", F.md5("bytes").alias("hash"))
 
     target = "a.text || b.text" if kind in _GROWS else "hex(encode(b.text))" if kind in _SAME else "b.text"

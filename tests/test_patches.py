@@ -4,6 +4,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestow.functions import patch_formats as P
 from lodestow.operators import patches
@@ -149,3 +150,40 @@ def test_faults_are_rows(spark):
     assert got["bad magic"]["format"] is None
     made = patches.created(spark.createDataFrame([(1, b"abc", b"ab"), (2, b"a", None)], "id long, source binary, target binary"), "id", "ips").collect()
     assert all(r["patch"] is None for r in made) and {r["id"]: r["error"] for r in made} == {1: "the format cannot shorten", 2: "no source or no target"}
+
+
+def test_ups_of_many_tasks(spark):
+    """A patch has all of its records, however the tasks of an adaptive plan are put together."""
+    rng = random.Random(3)
+    rows = [(i, rng.randbytes(rng.randrange(1, 900)), rng.randbytes(rng.randrange(1, 900))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, source binary, target binary")
+    confs = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1000", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "60000", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    old = {c: spark.conf.get(c) for c in confs}
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        pairs = df.select("id", "source").join(df.select("id", "target"), "id")
+        made = {r["id"]: bytes(r["patch"]) for r in patches.created(pairs, "id", "ups").collect()}
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert all(laid_over(P.parsed(made[i], "ups"), a) == b for i, a, b in rows)
+
+
+def test_objects_that_are_rows_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, b"abcd" * 9, b"abxd" * 9)], "id long, source binary, target binary")
+    made = patches.created(df, "id", "ppf", size=7, keep=("source",))
+    out = patches.applied(made, "id", size=7)
+    assert "Exchange" not in out._jdf.queryExecution().toString()
+    assert [(r["id"], r["ok"], bytes(r["bytes"])) for r in out.collect()] == [(1, True, b"abxd" * 9)]
+
+
+def test_objects_that_are_blocks(spark):
+    """Records of a patch over an object that comes as rows of blocks."""
+    a, b = b"0123456789" * 5, b"01x3456789" * 4 + b"987654321012"
+    for kind in ("ips", "ups"):
+        made = patches.created(spark.createDataFrame([(1, a, b)], "id long, source binary, target binary"), "id", kind, size=7)
+        recs = patches.records(made.select("id", "patch"), "id").select("id", "xor", F.inline("records")).select("id", "seq", "at", "data", "xor")
+        blocks = spark.createDataFrame([(1, i, a[i * 7 : i * 7 + 7]) for i in range(8)], "id long, block_no long, bytes binary")
+        out = patches.patched_blocks(blocks, recs, spark.createDataFrame([(1, len(b))], "id long, n long"), "id", size=7)
+        assert b"".join(bytes(r["bytes"]) for r in sorted(out.collect(), key=lambda r: r["block_no"])) == b
