@@ -1,12 +1,12 @@
 """Small structured texts as rows: cue sheets, GDI, DAT, INI, playlists.
 
 Each parser takes (id, text) and works line by line with column functions: lines are exploded with their
-numbers and what a line inherits (its file, track, section) is carried forward in a window.
+numbers and what a line inherits (its file, track) is carried forward in a window; sections of settings are cut in the row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import blank_as_null
@@ -101,8 +101,18 @@ def dat_title(df: DataFrame, key: str = "id", locales: tuple[str, ...] = ("ko_KR
 
 def ini_values(df: DataFrame, key: str = "id") -> DataFrame:
     """(key, section, name, value): lines after ; are comments, the last value of a name counts, quotes go."""
-    rows = lines(df, key).where("line <> '' and not startswith(line, ';')").withColumn("section", _part(r"^\[(.*)\]$"))
-    rows = carried(rows.withColumn("head", F.col("section").isNotNull()), [key], "no", ["section"]).where("not head and instr(line, '=') > 0")
+    line = lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))
+    head = lambda x: F.nullif(F.regexp_extract(x, r"^\[(.*)\]$", 1), F.lit(""))
+    every = df.select(key, F.transform(F.split("text", r"\r\n|\r|\n", -1), line).alias("_l"))
+    heads = every.withColumn("_h", F.filter(F.sequence(F.lit(1), F.size("_l")), lambda i: head(F.element_at("_l", i)).isNotNull()))
+
+    def part(j: Column) -> Column:
+        """What begins with the head before place ``j`` of the heads, up to the next one."""
+        begin, end = F.coalesce(F.get("_h", j - 1), F.lit(0)), F.coalesce(F.get("_h", j), F.size("_l") + 1)
+        return F.struct(head(F.get("_l", begin - 1)).alias("section"), begin.alias("at"), F.slice("_l", begin + 1, end - begin - 1).alias("body"))
+
+    parts = heads.select(key, F.inline(F.transform(F.sequence(F.lit(0), F.size("_h")), part)))
+    rows = parts.select(key, "section", "at", F.posexplode("body").alias("_n", "line")).withColumn("no", F.col("at") + F.col("_n")).where("line <> '' and not startswith(line, ';') and instr(line, '=') > 0")
     pair = rows.select(key, "no", F.coalesce("section", F.lit("")).alias("section"), F.trim(F.substring_index("line", "=", 1)).alias("name"), F.regexp_replace(F.trim(F.regexp_extract("line", r"^[^=]*=(.*)$", 1)), r'^"(.*)"$', "$1").alias("value"))
     return last_by(pair, [key, "section", "name"], [F.col("no")]).drop("no")
 
@@ -119,12 +129,21 @@ def ccd_tracks(df: DataFrame, key: str = "id") -> DataFrame:
     values = ini_values(df, key).withColumn("name", F.upper("name"))
     number = F.nullif(F.regexp_extract("section", r"(?i)^TRACK\s+(\d+)$", 1), F.lit("")).cast("int")
     value = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
-    own = values.withColumn("track", number).where("track is not null").groupBy(key, "track").agg(value("MODE").cast("int").alias("mode"), value("INDEX 1").cast("bigint").alias("start"))
-    entry = values.where(F.col("section").rlike(r"(?i)^Entry\s+\d+$")).groupBy(key, "section").agg(value("POINT").alias("p"), value("CONTROL").alias("c"), value("PLBA").cast("bigint").alias("start"))
+    told = values.withColumn("_own", number).withColumn("_entry", F.when(F.col("_own").isNull() & F.col("section").rlike(r"(?i)^Entry\s+\d+$"), F.col("section")))
+    cells = [value(n).alias(c) for c, n in (("m", "MODE"), ("i", "INDEX 1"), ("p", "POINT"), ("c", "CONTROL"), ("b", "PLBA"))]
+    each = told.where("_own is not null or _entry is not null").groupBy(key, "_own", "_entry").agg(*cells)
     point = F.conv(F.regexp_replace(F.lower("p"), "^0x", ""), 16, 10).cast("int")
     data = F.conv(F.regexp_replace(F.lower("c"), "^0x", ""), 16, 10).cast("int").bitwiseAND(F.lit(4)) != 0
-    other = entry.select(key, point.alias("track"), F.when(data, 1).otherwise(0).alias("mode"), "start").where("track between 1 and 99")
-    return own.unionByName(other.join(own.select(key).distinct(), key, "left_anti"))
+    own = F.col("_own").isNotNull()
+    rows = each.select(
+        key,
+        F.when(own, F.col("_own")).otherwise(point).alias("track"),
+        F.when(own, F.col("m").cast("int")).otherwise(F.when(data, 1).otherwise(0)).alias("mode"),
+        F.when(own, F.col("i").cast("bigint")).otherwise(F.col("b").cast("bigint")).alias("start"),
+        own.alias("_is_own"),
+        F.max(own).over(Window.partitionBy(key)).alias("_has_own"),
+    )
+    return rows.where("_is_own or (not _has_own and track between 1 and 99)").select(key, "track", "mode", "start")
 
 
 def playlist(df: DataFrame, key: str = "id", folder: str | None = None) -> DataFrame:

@@ -113,3 +113,13 @@ def test_gdi_written_and_read(spark):
     df = spark.createDataFrame(tracks, "id string, number int, lba long, type int, sector int, file string, offset long")
     back = texts.gdi_tracks(gdi_text(df, "id"))
     assert sorted(map(tuple, back.drop("complete").collect())) == sorted(tracks) and back.where("not complete").count() == 0
+
+
+def test_sheets_are_read_once(spark):
+    """Settings are cut in the row, and both kinds of sections come from one reading."""
+    text = "MODE=9\n[TRACK 2]\nMODE=1\nINDEX 1=5\n[]\nMODE=2\n; MODE=3\n[Entry 0]\nPOINT=0x01\nPLBA=7\n[TRACK 2]\nINDEX 1=6"
+    df = spark.createDataFrame([("a", text), ("b", "[Entry 4]\nPoint=0x03\nControl=0x04\nPLBA=8\n[Entry 5]\nPOINT=0xa0"), ("c", ""), ("d", None)], "id string, text string")
+    got = texts.ccd_tracks(df)
+    assert rows(got, "id", "track") == [("a", 2, 2, 6), ("b", 3, 1, 8)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert rows(texts.ini_values(df).where("id = 'a' and section = ''"), "id") == [("a", "", "MODE", "9")]
