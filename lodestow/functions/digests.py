@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 _SHA = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256)}
 
 
@@ -50,16 +52,18 @@ def hash_levels(blocks: DataFrame, key: list[str], block_no: str, data: str, siz
     """(key, level, node, sha1) of a tree of SHA-1: level 0 of each block filled up to ``size`` bytes with zeros, each
     level above of ``fan`` hashes of the one below, those that are missing as zeros.
 
-    A level is one aggregation on (key, node); nothing larger than ``fan`` hashes is put together.
+    A level is one aggregation on (key, node) over the one below, which is computed once; nothing larger than
+    ``fan`` hashes is put together.
     """
     short = F.lit(size) - F.octet_length(data)
     level = blocks.select(*key, F.lit(0).alias("level"), F.col(block_no).cast("bigint").alias("node"), F.sha1(F.concat(F.col(data), F.unhex(F.repeat(F.lit("00"), short)))).alias("sha1"))
-    out = level
+    out = level = cut(level)
     for n in range(1, levels):
         place = F.pmod("node", F.lit(fan)).cast("int")
         parts = [F.coalesce(F.max(F.when(place == i, F.col("sha1"))), F.lit("00" * 20)) for i in range(fan)]
         level = level.groupBy(*key, F.expr(f"node div {fan}").alias("up")).agg(F.sha1(F.unhex(F.concat(*parts))).alias("sha1"))
         level = level.select(*key, F.lit(n).alias("level"), F.col("up").alias("node"), "sha1")
+        level = cut(level) if n < levels - 1 else level
         out = out.unionByName(level)
     return out
 

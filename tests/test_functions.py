@@ -81,3 +81,15 @@ def test_xml_and_entities(spark):
     df = spark.createDataFrame([("x", "<app><id>7</id><v/></app>")], "id string, text string")
     assert tuple(texts.xml_values(df, {"ident": "/app/id", "v": "/app/v", "none": "/app/no"}).first()) == ("x", "7", None, None)
     assert one(spark, pages.decoded(F.col("v")), v="a&amp;lt;b&nbsp;&quot;") == 'a&lt;b "'
+
+
+def test_levels_compute_their_input_once(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from lodestow.functions import digests
+
+    blocks = spark.range(40).select((F.col("id") % 2).alias("k"), F.encode(F.col("id").cast("string"), "UTF-8").alias("d"), (F.row_number().over(Window.partitionBy(F.col("id") % 2).orderBy("id")) - 1).alias("no"))
+    got = digests.hash_levels(blocks, ["k"], "no", "d", 4)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["k"], r["level"], r["n"]) for r in got.groupBy("k", "level").agg(F.count("*").alias("n")).collect()) == [(k, x, n) for k in (0, 1) for x, n in ((0, 20), (1, 2), (2, 1), (3, 1))]
