@@ -55,17 +55,17 @@ def contained(names: DataFrame, targets: DataFrame, name: str, target: str, gram
     begins = begins.withColumn("_p", F.expr(f"xxhash64(substring(encode(`{target}`, 'UTF-8'), 1, _k))"))
     lengths = [r[0] for r in begins.select("_k").distinct().collect()]  # grams values at most
 
-    def pieces_of(k: int) -> Column:
-        def hashes(data: Column) -> Column:
-            places = F.sequence(F.lit(1), F.greatest(F.octet_length(data) - (k - 1), F.lit(1)))
-            return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(data, i, F.lit(k)))))
-
-        return F.transform(F.array(F.encode(name, "UTF-8")), hashes)[0]  # the bytes are bound once
+    def pieces_of(k: int) -> DataFrame:
+        """(_id, _p) of each place of a name; places are rows of short stretches, whose hashes are compiled code."""
+        stretch = lambda data: F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(data) - k, F.lit(0)).bitwiseAND(F.lit(-64)), F.lit(64)), lambda i: F.substring(data, i + 1, F.lit(63 + k)))
+        cut_up = rest.select("_id", F.explode(F.transform(F.array(F.encode(name, "UTF-8")), stretch)[0]).alias("_d"))  # the bytes are bound once
+        places = cut_up.select("_id", "_d", F.explode(F.sequence(F.lit(1), F.greatest(F.octet_length("_d") - (k - 1), F.lit(1)))).alias("_i"))
+        return places.select("_id", F.xxhash64(F.substring("_d", F.col("_i"), F.lit(k))).alias("_p"))
 
     out = rest.limit(0).select(name, F.lit("").alias(target)) if not lengths else None
     for k in lengths:
         # a piece travels with its name's digest; the name itself comes back only for what has met a target
-        met = rest.select("_id", F.explode(pieces_of(k)).alias("_p")).join(begins.where(F.col("_k") == k), "_p").select("_id", target).distinct()
+        met = pieces_of(k).join(begins.where(F.col("_k") == k), "_p").select("_id", target).distinct()
         found = met.join(rest, "_id").where(F.contains(name, target)).select(name, target)
         out = found if out is None else out.unionByName(found)
     return out

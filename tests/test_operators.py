@@ -87,3 +87,17 @@ def test_hashed_layout(spark):
     df = spark.createDataFrame([("c", "b.bin", b"xyz"), ("c", "a.bin", b"q" * 600)], "c string, name string, data binary")
     got = {r["name"]: r for r in containers.hashed_layout(df, "c", "name", "data").collect()}
     assert (got["b.bin"]["data_offset"], got["a.bin"]["sha256"], got["a.bin"]["header_size"]) == (600, hashlib.sha256(b"q" * 512).hexdigest(), 16 + 2 * 64 + 16)
+
+
+def test_names_of_any_length_are_searched_by_stretches(spark):
+    """Targets at every place of names around the stretches' edges, and hashes as compiled code, not within arrays."""
+    from pyspark.sql import functions as F
+
+    from lodestow.operators import matching
+
+    target = "0123456789ABCDEFGHIJ"
+    names = ["é" * n + "q" * i + target + "z" * (i % 3) for n in (0, 20) for i in range(150)] + ["q" * 200 + target[:-1], target[:5], "", target[:16]]
+    found = matching.contained(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(target,)], "t string"), "name", "t", grams=16)
+    assert sorted(r["name"] for r in found.select("name").collect()) == sorted(names[:300])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(substring(_d" in plan
