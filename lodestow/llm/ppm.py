@@ -219,7 +219,7 @@ class Model:
     """Counts of all training words and grams, and of the contexts shorter than NEAR, in the shared folder.
 
     ``counts``: rows (kind, bucket, size, total, keys, counts), each with a sorted part of a bucket's keys; kind
-    0 words, 1 grams, 2 short contexts; a bucket is the first ``bits`` bits of a hash.
+    0 words, 1 grams, 2 short contexts; a bucket is the first ``bits`` bits of a hash.  Not ``spelled``: words only.
     """
 
     counts: DataFrame
@@ -228,6 +228,7 @@ class Model:
     distinct: int
     n_grams: int
     across: bool
+    spelled: bool = True
 
 
 COUNTED = "kind int, bucket int, size long, total long, keys binary, counts binary"
@@ -260,10 +261,11 @@ def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(_released(keys, np.uint64)).view(np.int64), _released(counts, np.int64)
 
 
-def train(docs: DataFrame, across: bool = False) -> Model:
+def train(docs: DataFrame, across: bool = False, spelled: bool = True) -> Model:
     """Count words and contexts of all rows (column text; only where ``learn`` is true).
 
-    ``across``: contexts go on over the words before, else each word begins anew.  A task hands on sorted keys
+    ``across``: contexts go on over the words before, else each word begins anew.  Without ``spelled`` only words
+    are counted, for base scores.  A task hands on sorted keys
     and counts by buckets; a bucket's parts are merged in one task.
     """
     prepare(docs.sparkSession)
@@ -301,12 +303,12 @@ def train(docs: DataFrame, across: bool = False) -> Model:
             for lo, hi, buf, off in A.chunks(b.column(0), PIECE):
                 starts, ends, first = A.runs(buf, off)
                 new["h"].append(A.hashes(buf, starts, ends, folded=True))
-                new["k"].append(coded(buf, starts, ends, first, across)[0])
-                size += len(new["k"][-1])
+                new["k"].append(coded(buf, starts, ends, first, across)[0] if spelled else grams[0][:0])
+                size += len(new["k"][-1]) or len(new["h"][-1])
                 texts += hi - lo
                 if size > FLUSH:
                     merged()
-                    if len(grams[0]) > FLUSH:
+                    if max(len(grams[0]), 0 if spelled else len(words[0])) > FLUSH:
                         yield from flush()
         yield from flush()
 
@@ -337,7 +339,7 @@ def train(docs: DataFrame, across: bool = False) -> Model:
     counted = written(parts.repartition("bucket", "kind").sortWithinPartitions("bucket", "kind").mapInArrow(merge, COUNTED), "counts")
     sums = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("size").alias("size"), F.sum("total").alias("total")).collect()}
     of = lambda kind, name: sums[kind][name] if kind in sums else 0
-    return Model(counted, bits, of(0, "total"), of(0, "size"), of(1, "size"), across)
+    return Model(counted, bits, of(0, "total"), of(0, "size"), of(1, "size"), across, spelled)
 
 
 def _bits(n: int, each: int) -> int:
@@ -347,7 +349,7 @@ def _bits(n: int, each: int) -> int:
 class _Chunk:
     """Texts laid end to end: what they ask, and sums of what is answered."""
 
-    def __init__(self, texts: pa.Array, across: bool):
+    def __init__(self, texts: pa.Array, across: bool, spelled: bool = True):
         self.docs = len(texts)
         self.tokens, self.own = np.zeros(self.docs, np.int64), np.zeros(self.docs)
         words, grams = ([], []), ([], [])
@@ -355,12 +357,15 @@ class _Chunk:
             starts, ends, first = A.runs(buf, off)
             h = np.insert(A.hashes(buf, starts, ends, folded=True), first[1:], END)
             row = np.insert(A.rows_of(first), first[1:], np.arange(hi - lo))
-            hit, share = foretold(h, row)
-            self.own[lo:hi] = np.bincount(row, share, hi - lo)
             self.tokens[lo:hi] = np.diff(first) + 1
-            k, token = coded(buf, starts, ends, first, across)
-            priced = ~hit[token]
-            for kept, values, rows in ((words, h.view(np.int64), row), (grams, k[priced], row[token[priced]])):
+            parts = [(words, h.view(np.int64), row)]
+            if spelled:
+                hit, share = foretold(h, row)
+                self.own[lo:hi] = np.bincount(row, share, hi - lo)
+                k, token = coded(buf, starts, ends, first, across)
+                priced = ~hit[token]
+                parts.append((grams, k[priced], row[token[priced]]))
+            for kept, values, rows in parts:
                 kept[0].append(values)
                 kept[1].append((rows + lo).astype(np.uint16 if self.docs < 1 << 16 else np.int32))
         #: Runs of the values of words and of grams, and of the row of each.
@@ -394,12 +399,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every row (doc_id, text).
 
     Texts are asked about by chunks: a chunk's different words and grams go to their buckets, counts and prices
-    come back to the chunk's texts, which travel as one compressed row, and are summed there.
+    come back to the chunk's texts, which travel as one compressed row, and are summed there.  ``score`` is null
+    where the model counts words only.
     """
     spark = prepare(docs.sparkSession)
-    across = model.across
+    across, spelled = model.across, model.spelled
     word_bits, gram_bits = (min(model.bits, _bits(n, each)) for n, each in ((model.distinct, BUCKET_WORDS), (model.n_grams, BUCKET_GRAMS)))
-    n_words, n_grams = 1 << word_bits, 1 << gram_bits
+    n_words, n_grams = 1 << word_bits, 1 << gram_bits if spelled else 0
     # buckets of words come first, those of grams behind them
 
     def gather(batches):
@@ -418,13 +424,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def opened(texts: bytes) -> tuple[pa.Array, _Chunk]:
         with pa.ipc.open_stream(texts) as stream:
             head = stream.read_next_batch()
-        return head.column(0), _Chunk(head.column(1), across)
+        return head.column(0), _Chunk(head.column(1), across, spelled)
 
     def ask(batches):
         for b in batches:
             for number, texts in zip(b.column(0).to_pylist(), b.column(1)):
                 _, chunk = opened(texts.as_py())
-                for kind, bits, base in ((0, word_bits, 0), (1, gram_bits, n_words)):
+                for kind, bits, base in ((0, word_bits, 0), (1, gram_bits, n_words))[: 1 + spelled]:
                     values, edges = chunk.asked(kind, bits)
                     full = np.flatnonzero(np.diff(edges))
                     blobs = [_squeezed(_steps(values[edges[k] : edges[k + 1]])) for k in full]
@@ -467,9 +473,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for counts, row in chunk.answered(0, word_bits, heard([x for k, x in told if k < n_words])):
                 known += np.bincount(row, counts > 0, chunk.docs).astype(np.int64)
                 base = base + np.bincount(row, np.log10(counts + 0.5), chunk.docs)
-            for prices, row in chunk.answered(1, gram_bits, heard([x for k, x in told if k >= n_words])):
+            for prices, row in chunk.answered(1, gram_bits, heard([x for k, x in told if k >= n_words])) if spelled else ():
                 own = own - np.bincount(row, prices / _UNIT, chunk.docs)
-            return pa.record_batch([ids, pa.array(chunk.tokens), pa.array(known), pa.array(base), pa.array(own)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            return pa.record_batch([ids, pa.array(chunk.tokens), pa.array(known), pa.array(base), pa.array(own) if spelled else pa.nulls(chunk.docs, pa.float64())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
         for b in batches:
             for bucket, chunk, texts, x in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("bucket", "chunk", "texts", "told"))):
@@ -496,7 +502,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     nearer = lambda bits: F.shiftright("bucket", model.bits - bits)
     every = F.explode(F.sequence(F.lit(n_words), F.lit(n_words + n_grams - 1)))
     kinds = [counts.where("kind = 0").withColumn("bucket", nearer(word_bits)), counts.where("kind = 1").withColumn("bucket", nearer(gram_bits) + n_words), counts.where("kind = 2").withColumn("bucket", every)]
-    known = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).drop("kind").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    known = (kinds[0].unionByName(kinds[1]).unionByName(kinds[2]) if spelled else kinds[0]).drop("kind").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     both = questions.unionByName(known, allowMissingColumns=True)
     met = both.repartitionById(copies * (n_words + n_grams), F.col("bucket") * copies + F.col("salt")).sortWithinPartitions("bucket", "salt", F.col("chunk").asc_nulls_first())
     answered = met.mapInArrow(answer, "bucket int, chunk long, told binary")
@@ -581,7 +587,12 @@ def _gram_prices(k: np.ndarray, c: np.ndarray):
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir)
+
+
+def scored(spark: SparkSession, sf_dir: str, spelled: bool = True) -> DataFrame:
+    """The columns of ``op4_ppm``; without ``spelled`` those that counts of words decide, and no score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold(FOLDS) == HELD_OUT, F.lit(False))
-    model = train(docs.withColumn("learn", ~held_out), across=True)
+    model = train(docs.withColumn("learn", ~held_out), across=True, spelled=spelled)
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -134,3 +134,13 @@ def test_sample_is_bounded_and_keeps_out_the_fold(docs, labels):
     import zlib
 
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 for r in got)
+
+
+def test_word_counts_do_without_grams(spark):
+    from lodestow.llm import ppm
+
+    docs = spark.createDataFrame([(1, "one two One", True), (2, "two three", True), (3, None, False), (4, "one four", False)], "doc_id long, text string, learn boolean")
+    few, full = ppm.train(docs, across=True, spelled=False), ppm.train(docs, across=True)
+    assert {r["kind"] for r in few.counts.collect()} == {0}
+    base = [[tuple(r) for r in ppm.score(docs, m).select("doc_id", "n_tokens", "n_known", "base_score").orderBy("doc_id").collect()] for m in (few, full)]
+    assert base[0] == base[1] and len(base[0]) == 4
