@@ -60,33 +60,35 @@ def _key(context, order, symbol):
 
 
 def coded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of texts as they are coded (symbols with their longest contexts, as keys), and the token of each.
+    """The grams of texts as they are coded (symbols with their longest contexts, as keys), and how many each token has.
 
     A text's tokens are its words and its end.  ``across``: contexts go on over the words before.
     """
     size = np.insert(ends - starts + 1, first[1:], 1)
-    begin = np.insert(starts, first[1:], 0)
     upto = np.cumsum(size)
-    token = np.repeat(np.arange(len(size)), size)
-    nth = np.arange(len(token))
-    at = nth + np.repeat(begin - (upto - size), size)
-    symbol = np.append(A.LOWER[buf], np.uint8(0))[np.minimum(at, len(buf))].astype(np.int64)
-    symbol[upto - 1] = _SPACE
     closing = first[1:] + np.arange(len(first) - 1)
+    n = int(upto[-1])
+    inside = np.ones(n, bool)
+    inside[upto - 1] = False
+    # the symbols behind a word's length of others, so that each one's context ends where it stands
+    laid = np.full(n + 7, _SPACE, np.uint8)
+    symbol = laid[7:]
+    symbol[inside] = A.LOWER[buf[~A.SEPARATORS[buf]]]
     symbol[upto[closing] - 1] = _END
-    if across:
-        text_ends = upto[closing]
-        since = nth - np.repeat(np.insert(text_ends[:-1], 0, 0), np.diff(np.insert(text_ends, 0, 0)))
-    else:
-        since = nth - np.repeat(upto - size, size)
-    context = np.zeros(len(symbol), np.int64)
-    for d in range(1, ORDER + 1):
-        context[d:] |= symbol[:-d] << (8 * (d - 1))
-    near = np.minimum(since, ORDER)
-    context &= _LOWEST[near]
-    young = np.flatnonzero(since < ORDER)
-    context[young] |= np.int64(_SPACE) << 8 * since[young]  # a text, or a word without what is before it, begins after a space
-    return _key(context, np.minimum(since + 1, ORDER), symbol), token
+    keys = np.ndarray(n, ">u8", laid, strides=(1,)).astype(np.uint64)
+    keys &= np.uint64((1 << 8 * (ORDER + 1)) - 1)
+    keys <<= np.uint64(3)
+    keys |= np.uint64(ORDER)
+    keys = keys.view(np.int64)
+    # a text, or a word without what is before it, begins after a space
+    last = upto[closing] if across else upto
+    since = np.tile(np.arange(ORDER), len(last))
+    young = np.repeat(np.insert(last[:-1], 0, 0), ORDER) + since
+    held = young < np.repeat(last, ORDER)
+    young, since = young[held], since[held]
+    context = (keys[young] >> 11 & _LOWEST[since]) | np.int64(_SPACE) << 8 * since
+    keys[young] = _key(context, since + 1, symbol[young].astype(np.int64))
+    return keys, size
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,21 +98,38 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
         return k, c
     by = np.argsort(k)
     k = k[by]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    first = np.flatnonzero(_new(k))
     return k[first], np.add.reduceat(c[by], first)
 
 
+def _new(v: np.ndarray) -> np.ndarray:
+    """Which of sorted values are unlike the one before."""
+    new = np.ones(len(v), bool)
+    np.not_equal(v[1:], v[:-1], out=new[1:])
+    return new
+
+
 def _distinct(values: np.ndarray) -> np.ndarray:
     """As np.unique, by a sort: many times faster than by hashing for integers."""
     v = np.sort(values)
-    return v[np.append(True, v[1:] != v[:-1])] if len(v) else v
+    return v[_new(v)]
+
+
+def _met(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, sorted, and how often each is there: by a sort of values alone, which is cheaper than one of places."""
+    v = np.sort(values)
+    first = np.flatnonzero(_new(v))
+    return v[first], np.diff(first, append=len(v))
 
 
 def shortened(keys: np.ndarray, counts: np.ndarray, orders) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of these grams' contexts of ``orders`` bytes."""
-    order, context, symbol = keys & 7, keys >> 11, keys >> 3 & 255
-    parts = [(_key(context[deep], k, symbol[deep]), counts[deep]) for k in orders for deep in (order >= k,)]
-    return _summed(*zip(*parts))
+    """Keys and counts of these grams' contexts of ``orders`` bytes, each found from those one byte longer; sorted within an order, the longest first."""
+    order, parts = keys & 7, []
+    for k in reversed(orders):
+        own = order == k if parts else order >= k
+        met = [*parts[-1:], (keys[own], counts[own])]
+        parts.append(_summed([_key(g >> 11, k, g >> 3 & 255) for g, _ in met], [c for _, c in met]))
+    return tuple(map(np.concatenate, zip(*parts)))
 
 
 class Trie:
@@ -197,14 +216,15 @@ def foretold(h: np.ndarray, row: np.ndarray, depth: int = 2) -> tuple[np.ndarray
     inside = at < len(h)
     inside[inside] = row[at[inside]] == row[at[inside] - 1]
     g, at = g[inside], at[inside]
-    by = np.lexsort((g, row[at]))
-    same = (g[by][1:] == g[by][:-1]) & (row[at[by]][1:] == row[at[by]][:-1])
+    its = row[at]
+    by, same = _alike(g, its)
     before = np.full(len(at), -1)
-    before[by[1:][same]] = at[by[:-1][same]]  # the sort is stable: the last time that these stood together
+    before[by[1:][same]] = at[by[:-1][same]]  # in order of places: the last time that these stood together
     made = before >= 0
     right = np.zeros(len(at), bool)
     right[made] = h[at[made]] == h[before[made]]
-    begin = np.searchsorted(row[at], row[at])
+    begins = np.flatnonzero(_new(its))
+    begin = np.repeat(begins, np.diff(begins, append=len(its)))
     so_far = [(total := np.cumsum(x) - x) - total[begin] for x in (made.astype(np.int64), right.astype(np.int64))]
     p = (so_far[1] + 0.5) / (so_far[0] + 1)
     hit[at[right]] = True
@@ -214,6 +234,29 @@ def foretold(h: np.ndarray, row: np.ndarray, depth: int = 2) -> tuple[np.ndarray
     return hit, share
 
 
+def _alike(g: np.ndarray, row: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal values of one row stand together, first ones first, and which of these are like the one before.
+
+    Places are sorted as the lowest bits of mixed values; where what is left of these (of ``bits`` bits) takes different
+    ones for one, the values themselves are sorted.
+    """
+    low = np.uint64((1 << len(g).bit_length()) - 1)
+    rows = np.arange(row[0], row[-1] + 1) if len(row) else row  # rows come in order
+    mixed = g ^ np.repeat(A.mix(rows.astype(np.uint64) + np.uint64(1)), np.bincount(row - row[0]) if len(row) else 0)
+    if bits < 64:
+        mixed &= ~np.uint64(0) << np.uint64(64 - bits)
+    mixed &= ~low
+    mixed |= np.arange(len(g), dtype=np.uint64)
+    mixed.sort()
+    by = (mixed & low).view(np.int64)
+    like = lambda: (g[by][1:] == g[by][:-1]) & (row[by][1:] == row[by][:-1])
+    same = like()
+    if np.any((mixed[1:] | low == mixed[:-1] | low) & ~same):
+        by = np.lexsort((g, row))
+        same = like()
+    return by, same
+
+
 @dataclass
 class Model:
     """Counts of all training words and grams, and of the contexts shorter than NEAR, in the shared folder.
@@ -236,17 +279,19 @@ COUNTED = "kind int, bucket int, size long, total long, keys binary, counts bina
 
 def _place(kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
     """The bucket of each key: of words by their hash, of grams by the nearest NEAR bytes of their context, of short contexts the first."""
+    small = np.uint16 if bits <= 16 else np.int64  # sorted by digits, not by comparisons
     if kind == 2:
-        return np.zeros(len(keys), np.int64)
+        return np.zeros(len(keys), small)
     h = keys.view(np.uint64) if kind == 0 else A.mix((keys >> 11 & _LOWEST[NEAR]).astype(np.uint64) + np.uint64(1))
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(small)
 
 
 def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Sorted keys and their counts as a row for each bucket."""
+    """Keys, sorted but for few places, and their counts as a row for each bucket."""
     bucket = _place(kind, keys, bits)
     by = np.argsort(bucket, kind="stable")
-    full, at = np.unique(bucket[by], return_index=True)
+    at = np.flatnonzero(_new(bucket[by]))
+    full = bucket[by[at]]
     parts = np.split(by, at[1:]) if len(at) else []
     columns = [np.full(len(parts), kind, np.int32), full.astype(np.int32), np.array([len(x) for x in parts], np.int64), np.array([counts[x].sum() for x in parts], np.int64)]
     blobs = [[_squeezed(_steps(keys[x])) for x in parts], [_squeezed(counts[x]) for x in parts]]
@@ -282,8 +327,7 @@ def train(docs: DataFrame, across: bool = False, spelled: bool = True) -> Model:
         def merged():
             """What has been met since the last time, among what is held."""
             nonlocal words, grams, size
-            ones = [[np.ones(len(x), np.int64) for x in new[k]] for k in "hk"]
-            words, grams = _summed([words[0], *new["h"]], [words[1], *ones[0]]), _summed([grams[0], *new["k"]], [grams[1], *ones[1]])
+            words, grams = (_summed(*zip(old, *new[k])) for old, k in ((words, "h"), (grams, "k")))
             new.update(h=[], k=[])
             size = 0
 
@@ -302,9 +346,9 @@ def train(docs: DataFrame, across: bool = False, spelled: bool = True) -> Model:
         for b in batches:
             for lo, hi, buf, off in A.chunks(b.column(0), PIECE):
                 starts, ends, first = A.runs(buf, off)
-                new["h"].append(A.hashes(buf, starts, ends, folded=True))
-                new["k"].append(coded(buf, starts, ends, first, across)[0] if spelled else grams[0][:0])
-                size += len(new["k"][-1]) or len(new["h"][-1])
+                new["h"].append(_met(A.hashes(buf, starts, ends, folded=True)))
+                new["k"].append(_met(coded(buf, starts, ends, first, across)[0]) if spelled else (grams[0][:0], grams[1][:0]))
+                size += len(new["k"][-1][0]) or len(new["h"][-1][0])
                 texts += hi - lo
                 if size > FLUSH:
                     merged()
@@ -347,52 +391,54 @@ def _bits(n: int, each: int) -> int:
 
 
 class _Chunk:
-    """Texts laid end to end: what they ask, and sums of what is answered."""
+    """Texts laid end to end: what they ask, and sums of what is answered.  ``asks``: nothing will be answered."""
 
-    def __init__(self, texts: pa.Array, across: bool, spelled: bool = True):
+    def __init__(self, texts: pa.Array, across: bool, spelled: bool = True, asks: bool = False):
         self.docs = len(texts)
         self.tokens, self.own = np.zeros(self.docs, np.int64), np.zeros(self.docs)
-        words, grams = ([], []), ([], [])
+        #: Runs of the different values of words and of grams, sorted; how often each is there, and the rows of these.
+        self.values, self.places = ([], []), ([], [])
         for lo, hi, buf, off in A.chunks(texts, PIECE):
             starts, ends, first = A.runs(buf, off)
             h = np.insert(A.hashes(buf, starts, ends, folded=True), first[1:], END)
             row = np.insert(A.rows_of(first), first[1:], np.arange(hi - lo))
             self.tokens[lo:hi] = np.diff(first) + 1
-            parts = [(words, h.view(np.int64), row)]
+            kept = (row + lo).astype(np.uint16 if self.docs < 1 << 16 else np.int32)
+            self._keep(0, h, kept, asks)
             if spelled:
                 hit, share = foretold(h, row)
                 self.own[lo:hi] = np.bincount(row, share, hi - lo)
-                k, token = coded(buf, starts, ends, first, across)
-                priced = ~hit[token]
-                parts.append((grams, k[priced], row[token[priced]]))
-            for kept, values, rows in parts:
-                kept[0].append(values)
-                kept[1].append((rows + lo).astype(np.uint16 if self.docs < 1 << 16 else np.int32))
-        #: Runs of the values of words and of grams, and of the row of each.
-        self.values = [kept[0] for kept in (words, grams)]
-        self.rows = [kept[1] for kept in (words, grams)]
+                k, size = coded(buf, starts, ends, first, across)
+                priced = ~hit
+                self._keep(1, k.view(np.uint64)[np.repeat(priced, size)], np.repeat(kept[priced], size[priced]), asks)
+
+    def _keep(self, kind: int, values: np.ndarray, rows: np.ndarray, asks: bool):
+        if asks:
+            self.values[kind].append(_distinct(values))
+            return
+        by = np.argsort(values)
+        v = values[by]
+        first = np.flatnonzero(_new(v))
+        self.values[kind].append(v[first])
+        self.places[kind].append((np.diff(first, append=len(v)).astype(np.int32), rows[by]))
 
     def _different(self, kind: int) -> np.ndarray:
-        each = [_distinct(v.view(np.uint64)) for v in self.values[kind]]
-        return _distinct(np.concatenate(each)) if each else np.zeros(0, np.uint64)
+        return _distinct(np.concatenate([np.zeros(0, np.uint64), *self.values[kind]]))
 
     def asked(self, kind: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """The different values by bucket, sorted within each, and the buckets' edges."""
         different = self._different(kind).view(np.int64)
         bucket = _place(kind, different, bits)
         by = np.argsort(bucket, kind="stable")
-        return different[by], np.searchsorted(bucket[by], np.arange((1 << bits) + 1))
+        return different[by], np.insert(np.cumsum(np.bincount(bucket, minlength=1 << bits)), 0, 0)
 
-    def answered(self, kind: int, bits: int, answers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The answer for each value, given those in the order of ``asked``, and each one's row; in runs."""
+    def answered(self, kind: int, bits: int, answers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The answers for different values, given those in the order of ``asked``; how often each is there, and the rows of these; in runs."""
         different = self._different(kind)
         of = np.empty(len(different))
         of[np.argsort(_place(kind, different.view(np.int64), bits), kind="stable")] = answers
-        for values, rows in zip(self.values[kind], self.rows[kind]):
-            by = np.argsort(values.view(np.uint64))
-            v = values.view(np.uint64)[by]
-            new = np.append(True, v[1:] != v[:-1]) if len(v) else np.zeros(0, bool)
-            yield of[np.searchsorted(different, v[new])][np.cumsum(new) - 1], rows[by]
+        for values, (n, rows) in zip(self.values[kind], self.places[kind]):
+            yield of[np.searchsorted(different, values)], n, rows
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -421,15 +467,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([pa.array([part << 24 | nth]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "texts"])
             nth += 1
 
-    def opened(texts: bytes) -> tuple[pa.Array, _Chunk]:
+    def opened(texts: bytes, asks: bool = False) -> tuple[pa.Array, _Chunk]:
         with pa.ipc.open_stream(texts) as stream:
             head = stream.read_next_batch()
-        return head.column(0), _Chunk(head.column(1), across, spelled)
+        return head.column(0), _Chunk(head.column(1), across, spelled, asks)
 
     def ask(batches):
         for b in batches:
             for number, texts in zip(b.column(0).to_pylist(), b.column(1)):
-                _, chunk = opened(texts.as_py())
+                _, chunk = opened(texts.as_py(), asks=True)
                 for kind, bits, base in ((0, word_bits, 0), (1, gram_bits, n_words))[: 1 + spelled]:
                     values, edges = chunk.asked(kind, bits)
                     full = np.flatnonzero(np.diff(edges))
@@ -470,11 +516,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             ids, chunk = opened(held)
             heard = lambda mine: np.concatenate([_heard(x) for x in mine]) if mine else np.zeros(0)
             known, base, own = np.zeros(chunk.docs, np.int64), -floor * chunk.tokens, chunk.own
-            for counts, row in chunk.answered(0, word_bits, heard([x for k, x in told if k < n_words])):
-                known += np.bincount(row, counts > 0, chunk.docs).astype(np.int64)
-                base = base + np.bincount(row, np.log10(counts + 0.5), chunk.docs)
-            for prices, row in chunk.answered(1, gram_bits, heard([x for k, x in told if k >= n_words])) if spelled else ():
-                own = own - np.bincount(row, prices / _UNIT, chunk.docs)
+            for counts, n, row in chunk.answered(0, word_bits, heard([x for k, x in told if k < n_words])):
+                known += np.bincount(row, np.repeat(counts > 0, n), chunk.docs).astype(np.int64)
+                base = base + np.bincount(row, np.repeat(np.log10(counts + 0.5), n), chunk.docs)
+            for prices, n, row in chunk.answered(1, gram_bits, heard([x for k, x in told if k >= n_words])) if spelled else ():
+                own = own - np.bincount(row, np.repeat(prices / _UNIT, n), chunk.docs)
             return pa.record_batch([ids, pa.array(chunk.tokens), pa.array(known), pa.array(base), pa.array(own) if spelled else pa.nulls(chunk.docs, pa.float64())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
         for b in batches:
