@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import names
 from ..functions import patch_formats as P
-from ..session import cut, visible
+from ..session import visible
 from .catalog import first_rule
 
 #: Bytes of a block of an object.
@@ -204,12 +204,15 @@ def batch_targets(patches: DataFrame, files: DataFrame, path: str) -> DataFrame:
     ending, or with another ending than that: in its own folder, or else anywhere, the first by path; whatever
     the case.  Null: there is none.
     """
+    # small files of paths are many rows: neither side is broadcast, and what is sorted has been dealt by key before
     known = files.select(F.col(path).alias("_file"), F.explode(F.array_distinct(F.array(F.upper(names.stem(F.col(path))), F.upper(names.base_name(F.col(path)))))).alias("_k")).withColumn("_dir", F.upper(names.directory(F.col("_file"))))
-    near = known.groupBy("_dir", "_k").agg(F.min("_file").alias("_near"))
-    far = known.groupBy("_k").agg(F.min("_file").alias("_far"))
-    asked = patches.withColumn("kind", names.patch_kind(F.col(path))).withColumn("_k", F.when(F.col("kind") == "patch", F.upper(names.patch_target(F.col(path))))).withColumn("_dir", F.upper(names.directory(F.col(path))))
-    met = asked.join(near, ["_dir", "_k"], "left").join(far, "_k", "left")
-    return met.withColumn("target", F.when(F.col("kind") == "overwrite", F.col(path)).otherwise(F.coalesce("_near", "_far"))).drop("_k", "_dir", "_near", "_far")
+    near = known.repartition("_dir", "_k").groupBy("_dir", "_k").agg(F.min("_file").alias("_near"))
+    far = near.groupBy("_k").agg(F.min("_near").alias("_far"))
+    asked = patches.withColumn("kind", names.patch_kind(F.col(path)))
+    own = asked.where("kind = 'overwrite'").withColumn("target", F.col(path))
+    others = asked.where("kind = 'patch'").withColumn("_k", F.upper(names.patch_target(F.col(path)))).withColumn("_dir", F.upper(names.directory(F.col(path))))
+    met = others.join(near.hint("merge"), ["_dir", "_k"], "left").join(far.hint("merge"), "_k", "left")
+    return met.select(*asked.columns, F.coalesce("_near", "_far").alias("target")).unionByName(own)
 
 
 def batch_applied(files: DataFrame, patches: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -217,12 +220,13 @@ def batch_applied(files: DataFrame, patches: DataFrame, path: str = "path", cont
 
     Of several patches for one file the first by path is applied; a file whose patch fails stays as it was.
     """
-    plan = cut(batch_targets(patches.select(path), files.select(path), path))
+    kind = names.patch_kind(F.col(path))
+    over = patches.where((kind == "overwrite") & F.col(path).isNotNull()).select(path, F.col(content).alias("_new"))
+    made = patches.where(kind == "patch")
     own = lambda df, name: df.select(F.col(path).alias(name), F.col(content).alias(f"_{name}"))
-    over = plan.where("kind = 'overwrite'").select(F.col(path).alias("_patch"), F.col("target").alias(path)).join(own(patches, "_patch"), "_patch").select(path, F.col("__patch").alias("_new"))
-    first = plan.where("kind = 'patch' and target is not null").groupBy(F.col("target").alias("_file")).agg(F.min(path).alias("_patch"))
-    met = first.join(own(patches, "_patch"), "_patch").join(own(files, "_file"), "_file")
+    first = batch_targets(made.select(path), files.select(path), path).where("kind = 'patch' and target is not null").groupBy(F.col("target").alias("_file")).agg(F.min(path).alias("_patch"))
+    met = first.join(own(made, "_patch").hint("merge"), "_patch").join(own(files, "_file").hint("merge"), "_file")
     done = applied(met.select(F.col("_file").alias(path), F.col("__patch").alias("patch"), F.col("__file").alias("source")), path).select(path, "ok", F.col("bytes").alias("_bytes"), "error")
-    whole = files.select(path, content).join(over, path, "full").join(done, path, "left")
+    whole = files.select(path, content).join(over.hint("merge"), path, "full").join(done.hint("merge"), path, "left")
     how = F.when(F.col("_new").isNotNull(), F.when(F.col(content).isNull(), "new").otherwise("overwritten")).when(F.col("ok"), "patched").when(~F.col("ok"), "failed").otherwise("kept")
     return whole.select(path, F.coalesce("_new", "_bytes", content).alias(content), how.alias("how"), F.when(F.col("_new").isNull(), F.col("error")).alias("error"))

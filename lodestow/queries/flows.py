@@ -311,7 +311,7 @@ def batch_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, b = F.col("p_partkey"), lambda *c: F.encode(F.concat(*c), "UTF-8")
     stem = F.concat(F.col("p_type"), F.lit("/"), k.cast("string"))
     files = p.select(F.concat(stem, F.lit(".dat")).alias("path"), b("p_name").alias("content"))
-    made = P.created(p.where("p_partkey % 4 = 2").select("p_partkey", b("p_name").alias("source"), b("p_name", "p_brand").alias("target")), "p_partkey", "ips").join(p.select("p_partkey", "p_type"), "p_partkey")
+    made = P.created(p.where("p_partkey % 4 = 2").select("p_partkey", "p_type", b("p_name").alias("source"), b("p_name", "p_brand").alias("target")), "p_partkey", "ips", keep=("p_type",))
     patches = made.select(F.concat(stem, F.lit(".ips")).alias("path"), F.col("patch").alias("content"))
     broken = p.where("p_partkey % 4 = 3").select(F.concat(stem, F.lit(".bps")).alias("path"), F.lit(b"BPS1 no patch at all").alias("content"))
     over = p.where("p_partkey % 4 = 1").select(F.concat(stem, F.lit(".dat")).alias("path"), b("p_brand").alias("content"))

@@ -187,3 +187,30 @@ def test_objects_that_are_blocks(spark):
         blocks = spark.createDataFrame([(1, i, a[i * 7 : i * 7 + 7]) for i in range(8)], "id long, block_no long, bytes binary")
         out = patches.patched_blocks(blocks, recs, spark.createDataFrame([(1, len(b))], "id long, n long"), "id", size=7)
         assert b"".join(bytes(r["bytes"]) for r in sorted(out.collect(), key=lambda r: r["block_no"])) == b
+
+
+def test_a_batch_neither_broadcasts_nor_sorts_what_has_not_been_dealt(spark):
+    """Files of few bytes can be many rows; a replacement or a null path asks for no file."""
+    files = [("a/One.bin", b"one"), ("b/one.bin", b"two"), ("c/x.dat", b"old"), ("c/y.dat", b"same")]
+    ips = bytes.fromhex("5041544348") + bytes.fromhex("0000000001") + b"N" + b"EOF"
+    batch = [("b/ONE.ips", ips), ("z/one.ips", ips), ("c/x.dat", b"new"), ("d/z.txt", b"own"), ("q/nowhere.ips", ips), (None, b"lost"), ("c/y.bps", b"BPS1 none")]
+    kinds = "path string, content binary"
+    tree, folder = spark.createDataFrame(files, kinds), spark.createDataFrame(batch, kinds)
+    targets = patches.batch_targets(folder, tree, "path")
+    assert {(r["path"], r["kind"], r["target"]) for r in targets.collect()} == {
+        ("b/ONE.ips", "patch", "b/one.bin"), ("z/one.ips", "patch", "a/One.bin"), ("q/nowhere.ips", "patch", None), ("c/y.bps", "patch", "c/y.dat"),
+        ("c/x.dat", "overwrite", "c/x.dat"), ("d/z.txt", "overwrite", "d/z.txt"), (None, "overwrite", None),
+    }
+    done = patches.batch_applied(tree, folder)
+    assert {(r["path"], bytes(r["content"]), r["how"]) for r in done.collect()} == {
+        ("a/One.bin", b"Nne", "patched"), ("b/one.bin", b"Nwo", "patched"), ("c/x.dat", b"new", "overwritten"), ("c/y.dat", b"same", "failed"), ("d/z.txt", b"own", "new"),
+    }
+    for df in (targets, done):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_of_the_query_joins_without_broadcasts(spark, data):
+    from lodestow import registry
+
+    done = registry.queries()["batch_applied"](spark, data)
+    assert "Broadcast" not in done._jdf.queryExecution().executedPlan().toString()
